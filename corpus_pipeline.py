@@ -1,14 +1,74 @@
-"""Documents to training shards: quality rules, near duplicates, decontamination, mixing, sharding."""
+"""Documents to training shards: quality rules, near duplicates, decontamination, mixing, sharding.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns the columns of documents; the last returns where each row goes. A
+stage that filters keeps rows as they are. Rows are told apart by id and text, so
+repeated rows share a decision. A null id is no identity: such rows are dropped
+by rules that reject their text, and are never taken for duplicates.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caseloom.llm import decontamination, mixing, near_dedup, quality_rules, sharding
+from caseloom.llm.common import stash
+from caseloom.llm.queries import SHARDS, WEIGHTS
+
+#: DuckDB SQL for the rows of run(): none, since the last stages hash and fill in ways that SQL there lacks.
+ORACLE_SQL = None
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``rejected`` (doc_id); a null id is never there."""
+    return docs.join(rejected.where(F.col("doc_id").isNotNull()).distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the base rules or the line-frequency verdict reject."""
+    return _without(docs, quality_rules.judge(docs).where(~F.col("kept")).select("doc_id"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component the document with the least id."""
+    return _without(docs, near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontamination.contained_items(docs, items).select("doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it: not at all, once or twice."""
+    mixed = mixing.mix(docs, WEIGHTS)
+    taken = mixed.select(F.col("doc_id").alias("taken_id"), mixing.copies(F.col("whole"), F.col("extra"), F.col("size")).alias("copies")).where(F.col("copies") > 0)
+    # repeated rows of one id share their number of copies, so that a row is matched once
+    taken = stash(taken.groupBy("taken_id").agg(F.max("copies").alias("copies")), "taken")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("taken_id")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and the position in it of every copy."""
+    placed = sharding.shard_documents(docs, SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", "shard", "slot", "slot_id", "version")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("shard", shard),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
