@@ -64,15 +64,14 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return in_runs.where(F.col("run_words") >= LEAST_RUN_WORDS).select(F.col("doc_id").alias(id_col), "unit", "start", "end", "words", "first_doc_id", "first_start")
 
 
-
-
 def without_repeats(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed units, and the line ends behind them, taken out of the text; every row and column stays."""
-    spans = removed.groupBy(id_col).agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed(id_col, "removed_id")
-    joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("removed_id")), "left")
+    spans = removed.groupBy(F.col(id_col).alias("removed_id")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = docs.alias("d").join(spans.alias("s"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.removed_id")), "left")
+    text = F.col(f"d.`{text_col}`")
     # what stays lies between the spans: from behind one to the start of the next
-    ordered = F.array_sort(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
+    ordered = F.array_sort(F.coalesce(F.col("s.spans"), F.array().cast("array<struct<start:int,end:int>>")))
     edges = F.concat(F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))), ordered)
-    stays = F.transform(edges, lambda s, i: F.substr(F.col(text_col), s["end"] + 2, F.greatest(F.lit(0), F.coalesce(F.get(edges, i + 1)["start"], F.length(text_col)) - s["end"] - 1)))
-    cut = F.when(F.size(ordered) == 0, F.col(text_col)).otherwise(F.array_join(stays, ""))
-    return joined.select(*[cut.alias(text_col) if c == text_col else docs[c] for c in docs.columns])
+    stays = F.transform(edges, lambda s, i: F.substr(text, s["end"] + 2, F.greatest(F.lit(0), F.coalesce(F.get(edges, i + 1)["start"], F.length(text)) - s["end"] - 1)))
+    cut = F.when(F.size(ordered) == 0, text).otherwise(F.array_join(stays, ""))
+    return joined.select(*[cut.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])

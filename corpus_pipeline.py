@@ -47,8 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixed.select(F.col("doc_id").alias("taken_id"), mixing.copies(F.col("whole"), F.col("extra"), F.col("size")).alias("copies")).where(F.col("copies") > 0)
     # repeated rows of one id share their number of copies, so that a row is matched once
     taken = stash(taken.groupBy("taken_id").agg(F.max("copies").alias("copies")), "taken")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("taken_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    joined = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.taken_id")))
+    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
+    return joined.select(F.explode(F.array_repeat(row, F.col("t.copies"))).alias("row")).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
