@@ -119,7 +119,9 @@ ORACLE_SQL: dict[str, str] = {
                      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
               FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
         nl AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(raw), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM rawl JOIN d USING (doc_id)),
-        li AS (SELECT *, first_value(line) OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line) AS document FROM nl WHERE line <> ''),
+        ul AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line DESC) AS nth FROM (SELECT DISTINCT doc_id, line FROM nl WHERE line <> '')),
+        top AS (SELECT doc_id, max(line) FILTER (nth = 1) AS l1, coalesce(max(line) FILTER (nth = 2), '') AS l2 FROM ul WHERE nth < 3 GROUP BY doc_id),
+        li AS (SELECT nl.*, CASE WHEN line = l1 THEN l2 ELSE l1 END AS document FROM nl JOIN top USING (doc_id) WHERE line <> ''),
         held AS (SELECT source, line, count(DISTINCT document) AS n FROM li GROUP BY ALL),
         hosts AS (SELECT source, count(DISTINCT document) AS n FROM li GROUP BY ALL),
         found AS (SELECT held.source, line FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held.n > 20 AND held.n * 100 > hosts.n),
