@@ -500,9 +500,10 @@ def q_fallback_key(t):
     return joined.select("o_orderkey", F.coalesce("a", "b").alias("c_custkey"), found.alias("found_by"))
 
 
-@_query("SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@_query("SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48 AND l_returnflag = 'R')")
 def q_dangling(t):
-    return graph.unused(t("part").select("p_partkey", "p_brand"), t("lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+    used = t("lineitem").where((F.col("l_quantity") > 48) & (F.col("l_returnflag") == "R")).select(F.col("l_partkey").alias("p_partkey"))
+    return graph.unused(t("part").select("p_partkey", "p_brand"), used, "p_partkey")
 
 
 @_query("SELECT a, b, c FROM (VALUES (false), (true)) x(a), (VALUES (false), (true)) y(b), (VALUES (false), (true)) z(c)")
@@ -521,10 +522,10 @@ def q_closure(t):
     return graph.closure(t("nation").where(F.col("n_regionkey") == 1).select(F.col("n_nationkey").alias("start")), edges.checkpoint(), 3)
 
 
-@_query("""SELECT page_id, n_nationkey FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(url, '[A-Za-z_]\\w*')) AS w FROM pages), (SELECT n_nationkey, lower(substr(n_name, 1, 2)) AS w2 FROM nation) WHERE w = w2""")
+@_query(r"""SELECT page_id, net FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(url, '[A-Za-z_]\w*')) AS net FROM pages) WHERE net IN (SELECT lang FROM documents)""")
 def q_net_names(t):
-    pages = t("pages").select("page_id", F.col("url").alias("expression"))
-    return graph.matching_nets(pages, t("nation").select("n_nationkey", F.lower(F.substring("n_name", 1, 2)).alias("net"))).select("page_id", "n_nationkey")
+    nets = t("documents").select(F.col("lang").alias("net")).distinct()
+    return graph.matching_nets(t("pages").select("page_id", F.col("url").alias("expression")), nets).select("page_id", "net")
 
 
 @_query("""SELECT n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
