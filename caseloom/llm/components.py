@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from .common import stash
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _contracted(pairs: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none: the edges are stars then, and no two of them touch."""
+    forked = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("a")
+    inner = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
+    return forked.union(inner).isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,8 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where(F.col("a") != F.col("b"))
     pairs = stash(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(pairs)
-    while state[0]:
+    while not _contracted(pairs):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -34,7 +35,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         pairs = stash(small, "small")
-        state, last = _state(pairs), state
-        if state == last:
-            break
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
