@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import jsonx, scores, text
-from ..operators import coverage, gates, graph, ranking, select
+from ..operators import bundles, coverage, gates, graph, ranking, select
+from ..streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -541,3 +543,72 @@ def q_star_join(t):
 def q_event_windows(t):
     w = t("events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return w.select(F.col("w.start").alias("day"), "event_type", "n", "total")
+
+
+# bundles, summaries and streams
+
+
+@_query("""WITH f AS (SELECT l_orderkey, list('submission/' || l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS paths, bool_or(l_discount = 0) AS empty FROM lineitem GROUP BY 1)
+           SELECT l_orderkey, CASE WHEN empty THEN 'bad_content' WHEN len(list_distinct(paths)) < len(paths) THEN 'duplicate_path' WHEN NOT list_has_all(paths, ['submission/A', 'submission/N', 'submission/R']) THEN 'missing_path' END AS fault FROM f""")
+def q_bundle_faults(t):
+    file = F.struct(F.concat(F.lit("submission/"), F.col("l_returnflag")).alias("path"), F.when(F.col("l_discount") != 0, F.col("l_linestatus")).alias("content"))
+    bundles_ = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(file).alias("files"))
+    allowed = F.array(*[F.lit(f"submission/{x}") for x in "ANR"])
+    return bundles_.select("l_orderkey", bundles.bundle_fault(F.col("files"), allowed).alias("fault"))
+
+
+@_query("""SELECT c_custkey, len(list_filter([0, 1, 2, 9, 40], lambda i: i < length(c_name) AND i < length(c_mktsegment) AND substr(upper(c_name), i + 1, 1) = substr(c_mktsegment, i + 1, 1))) / 5 AS matched FROM customer""")
+def q_position_match(t):
+    positions = F.array(*[F.lit(i) for i in (0, 1, 2, 9, 40)])
+    return t("customer").select("c_custkey", bundles.position_match(F.upper("c_name"), F.col("c_mktsegment"), positions).alias("matched"))
+
+
+@_query("""SELECT user_id, sum(k)::BIGINT AS completion, sum(CASE WHEN event_type = 'click' THEN k ELSE 0 END)::BIGINT AS reasoning, sum(CASE WHEN event_type = 'click' THEN k ELSE 0 END) > 0.25 * sum(k) AS high_share
+           FROM (SELECT user_id, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1""")
+def q_reasoning_share(t):
+    e = t("events").select("user_id", "event_type", F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0)).alias("k"))
+    sums = e.groupBy("user_id").agg(F.sum("k").alias("completion"), F.sum(F.when(F.col("event_type") == "click", F.col("k")).otherwise(0)).alias("reasoning"))
+    return sums.withColumn("high_share", F.col("reasoning") > F.col("completion") * 0.25)
+
+
+@_query("""SELECT o_orderkey, o_totalprice AS reported, coalesce(round(sum(l_extendedprice), 2), 0) AS computed, abs(o_totalprice - coalesce(sum(l_extendedprice), 0)) > 0.01 AS overridden
+           FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
+def q_recomputed_summary(t):
+    sums = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("s"))
+    joined = t("orders").select("o_orderkey", "o_totalprice").join(sums, "o_orderkey", "left")
+    won = gates.computed_wins(F.col("o_totalprice"), F.coalesce("s", F.lit(0.0)))
+    return joined.select("o_orderkey", F.col("o_totalprice").alias("reported"), F.round(won["value"], 2).alias("computed"), won["overridden"].alias("overridden"))
+
+
+@_query("""WITH best AS (SELECT l_partkey, l_suppkey, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
+           SELECT l_partkey, l_suppkey, CASE WHEN q >= 45 THEN 'kept' ELSE 'regenerate' END AS part FROM best""")
+def q_keep_or_regenerate(t):
+    pairs = t("lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    failed = pairs.where(F.col("l_quantity") >= 45).select("l_partkey", "l_suppkey").distinct()
+    both = pairs.select("l_partkey", "l_suppkey").distinct()
+    kept = both.join(failed, ["l_partkey", "l_suppkey"], "left_semi").withColumn("part", F.lit("kept"))
+    return kept.union(both.join(failed, ["l_partkey", "l_suppkey"], "left_anti").withColumn("part", F.lit("regenerate")))
+
+
+@_query("""SELECT s_nationkey, count(*) AS n, count(*) = max(count(*)) OVER () AND count(*) = min(count(*)) OVER () AS balanced FROM supplier GROUP BY 1""")
+def q_domain_balance(t):
+    n = t("supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    ends = n.agg(F.max("n").alias("most"), F.min("n").alias("least"))
+    return n.join(F.broadcast(ends)).select("s_nationkey", "n", (F.col("most") == F.col("least")).alias("balanced"))
+
+
+def q_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user, kept by a file stream that runs until its input is read."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    work = f"{root.rstrip('/')}/caseloom-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may also match a single file
+    query = resume.keep_latest(stream, "user_id", "event_id", f"{work}/latest", f"{work}/state")
+    query.awaitTermination()
+    versions = spark.read.parquet(f"{work}/latest")
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == newest).select("user_id", "event_id", "event_type")
+
+
+QUERIES["q_stream_latest"] = q_stream_latest
+ORACLE_SQL["q_stream_latest"] = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
