@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def closure(starts: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFrame:
     """(start, node, depth) of every node reachable over ``edges`` (src, dst), at its least depth.
@@ -19,7 +21,8 @@ def closure(starts: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFra
     frontier = seen
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = cut(frontier)
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 
 from ..functions import jsonx, scores, text
 from ..operators import bundles, coverage, gates, graph, ranking, select
+from ..sources.scratch import cut, shared_folder
 from ..streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -521,7 +522,7 @@ def q_closure(t):
     orders = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(lines, "l_orderkey")
     edges = orders.join(t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src")), "o_custkey")
     edges = edges.join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey").select("src", "dst").distinct()
-    return graph.closure(t("nation").where(F.col("n_regionkey") == 1).select(F.col("n_nationkey").alias("start")), edges.checkpoint(), 3)
+    return graph.closure(t("nation").where(F.col("n_regionkey") == 1).select(F.col("n_nationkey").alias("start")), cut(edges), 3)
 
 
 @_query(r"""SELECT page_id, net FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(url, '[A-Za-z_]\w*')) AS net FROM pages) WHERE net IN (SELECT lang FROM documents)""")
@@ -599,8 +600,7 @@ def q_domain_balance(t):
 
 def q_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user, kept by a file stream that runs until its input is read."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    work = f"{root.rstrip('/')}/caseloom-{uuid.uuid4().hex}"
+    work = f"{shared_folder(spark)}/caseloom-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may also match a single file
     query = resume.keep_latest(stream, "user_id", "event_id", f"{work}/latest", f"{work}/state")
