@@ -15,7 +15,7 @@ SHINGLE_WORDS = 5
 #: Rows turned into Python objects at once, so that a batch of long texts stays small.
 SLICE_ROWS = 128
 
-_WORD_CACHE_ENTRIES = 300_000
+_WORD_CACHE_ENTRIES = 150_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -39,6 +39,59 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What Spark hands a Python worker at once: few texts, and no more than so many bytes unless one text is longer.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size, which the session's settings carry: texts may be long, and a worker's memory is not."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+#: Bits of a key bitmap: 4 MB in all, whatever number of keys it holds.
+BITMAP_BITS = 1 << 25
+
+
+def key_bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """A fixed-size bitmap of a long column, in at most 1024 rows (bucket, bits): small enough to broadcast at any scale."""
+    bit = F.pmod(F.col(key), F.lit(BITMAP_BITS))
+    return keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+
+
+def bitmap_bucket(key: Column) -> Column:
+    return F.bitmap_bucket_number(F.pmod(key, F.lit(BITMAP_BITS)))
+
+
+def bitmap_may_hold(bits: Column, key: Column) -> Column:
+    """False only for keys that the bitmap was not built from."""
+    bit = F.bitmap_bit_position(F.pmod(key, F.lit(BITMAP_BITS)))
+    byte = F.conv(F.hex(F.substring(bits, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+
+
+def without_keys(docs: DataFrame, rejected: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``rejected``; null ids are never there.
+
+    Rows that a bitmap of the rejected ids rules out pass straight through; only
+    the others, few unless the bitmap is full, are shuffled for the exact anti join.
+    """
+    ids = rejected.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rejected_id")).distinct()
+    ids = stash(ids, "rejected")
+    bitmap = key_bitmap(ids.select(F.xxhash64("rejected_id").alias("k")), "k").alias("b")
+    key = F.xxhash64(F.col(f"d.`{id_col}`"))
+    marked = docs.alias("d").join(F.broadcast(bitmap), bitmap_bucket(key) == F.col("b.bucket"), "left")
+    may = bitmap_may_hold(F.col("b.bits"), key)
+    passed = marked.where(~may).select("d.*")
+    checked = marked.where(may).select("d.*").alias("d").join(ids.alias("r"), F.col(f"d.`{id_col}`") == F.col("r.rejected_id"), "left_anti").select("d.*")
+    return passed.unionByName(checked)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

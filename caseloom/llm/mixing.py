@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import n_words, stash
+from .common import WORD, n_words, stash
 
 #: Stretches of the seeded order in which words are summed before they are run up, per source.
 STRETCHES = 4096
@@ -77,9 +77,21 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: f
     reached = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     extra = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("quota") - reached))
     rows = rows.withColumn("extra", extra)
-    return rows.select(id_col if id_col == "doc_id" else F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+    return rows.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), "place")
 
 
-def copies(whole: Column, extra: Column, size: Column) -> Column:
-    """Whole copies to write of a document: a part of a repetition counts from half of it on."""
-    return (whole + F.when((size > 0) & (extra * 2 >= size), 1).otherwise(0)).cast("int")
+def repeat(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; part of a repetition counts as one from half of it on.
+
+    What a source takes once more is a stretch from the start of its seeded order,
+    so one place per source says it all: texts are not shuffled, only that small
+    table is. Texts without words are taken whole times only.
+    """
+    mixed = mix(docs, weights, share, max_epochs, seed, id_col, text_col, source_col)
+    once_more = (F.col("size") > 0) & (F.col("extra") * 2 >= F.col("size"))
+    last = stash(mixed.groupBy("source").agg(F.max("whole").alias("whole"), F.max(F.when(once_more, F.col("place"))).alias("last_place")), "places")
+    joined = docs.alias("d").join(last.alias("t"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("t.source")))
+    more = F.regexp_like(F.col(f"d.`{text_col}`"), F.lit(WORD)) & (place(F.col(f"d.`{id_col}`"), seed) <= F.col("t.last_place"))
+    copies = (F.col("t.whole") + F.when(more, 1).otherwise(0)).cast("int")
+    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
+    return joined.select(F.explode(F.array_repeat(row, copies)).alias("row")).select("row.*")

@@ -72,7 +72,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: CRC-32 of a text, by the usual table, built from its rule; {SHARDED} is the source of documents.
+_SHARDS_SQL = """
+        WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+        r AS MATERIALIZED (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, (('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % 4096)::INTEGER AS slot_id,
+                     xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+                                                 lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32
+              FROM {SHARDED}, tab),
+        s AS (SELECT slot_id, sum(size)::BIGINT AS b, count(*) AS n FROM r GROUP BY 1),
+        o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY b DESC, slot_id) AS nth FROM s),
+        p(i, loads, slot_id, shard) AS (
+          SELECT 0::BIGINT, list_transform(range(40), lambda x: 0::BIGINT), -1, -1
+          UNION ALL SELECT i + 1, list_transform(loads, lambda v, j: CASE WHEN j = pos THEN v + b ELSE v END), slot, (pos - 1)::INTEGER
+          FROM (SELECT p.i, p.loads, o.slot_id AS slot, o.b, list_position(p.loads, list_min(p.loads)) AS pos FROM p JOIN o ON o.nth = p.i + 1)),
+        m AS (SELECT p.slot_id, p.shard, coalesce(sum(s.n) OVER (PARTITION BY p.shard ORDER BY p.slot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p JOIN s ON s.slot_id = p.slot_id)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, {COLUMNS}, m.shard, (m.before + row_number() OVER (PARTITION BY r.slot_id ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot
+        FROM r JOIN m ON m.slot_id = r.slot_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": _SHARDS_SQL.replace("{SHARDED}", "documents").replace("{COLUMNS}", "'bytes' AS law, NULL::INTEGER AS grown_shard, r.slot_id AS virtual_slot, 1 AS map_version"),
     "op2_mixing": rf"""
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
@@ -159,3 +177,16 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM g)
         SELECT doc_id, unit::INTEGER AS unit, start::INTEGER AS start, "end"::INTEGER AS "end", words::INTEGER AS words, first_doc_id, first_start::INTEGER AS first_start FROM s WHERE run_words >= 50""",
 }
+
+
+def pipeline_sql() -> str:
+    """The pipeline's rows: every stage's SQL over what the stage before it kept."""
+    over = lambda name, table: ORACLE_SQL[name].replace("FROM documents", f"FROM {table}")
+    mixed = """SELECT d.* FROM kept3 d JOIN (SELECT doc_id, unnest(range(taken // greatest(size, 1) + CASE WHEN size > 0 AND 2 * (taken % greatest(size, 1)) >= size THEN 1 ELSE 0 END)) FROM ({MIX})) c ON c.doc_id = d.doc_id"""
+    sharded = _SHARDS_SQL.replace("{SHARDED}", "mixed4").replace("{COLUMNS}", "r.slot_id AS slot_id, 1 AS version").replace("slot_id AS slot_id", "slot_id")
+    return f"""
+        WITH kept1 AS MATERIALIZED (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({over("op7_quality_rules", "documents")}) WHERE NOT kept)),
+        kept2 AS MATERIALIZED (SELECT * FROM kept1 WHERE doc_id NOT IN (SELECT doc_id FROM ({over("op3_near_dedup", "kept1")}) WHERE NOT kept)),
+        kept3 AS MATERIALIZED (SELECT * FROM kept2 WHERE doc_id NOT IN (SELECT doc_id FROM ({over("op9_decontamination", "kept2")}))),
+        mixed4 AS MATERIALIZED ({mixed.replace("{MIX}", over("op2_mixing", "kept3"))})
+        SELECT * FROM ({sharded})"""

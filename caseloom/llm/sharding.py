@@ -30,8 +30,9 @@ def record_bytes(text: Column) -> Column:
 
 
 def slot_of(keys: list[Column], n_slots: int = DEFAULT_SLOTS) -> Column:
-    """The slot that a record's keys hash into."""
-    return F.pmod(F.xxhash64(*keys), F.lit(n_slots)).cast("int")
+    """The slot that a record's keys hash into: 60 bits of a digest that any other system can compute too."""
+    text = F.concat_ws(":", *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys])
+    return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"), F.lit(n_slots)).cast("int")
 
 
 def slot_totals(records: DataFrame) -> DataFrame:

@@ -13,43 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import decontamination, mixing, near_dedup, quality_rules, sharding
-from caseloom.llm.common import stash
-from caseloom.llm.queries import SHARDS, WEIGHTS
+from caseloom.llm.common import stash, without_keys
+from caseloom.llm.queries import SHARDS, WEIGHTS, pipeline_sql
 
-#: DuckDB SQL for the rows of run(): none, since the last stages hash and fill in ways that SQL there lacks.
-ORACLE_SQL = None
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``rejected`` (doc_id); a null id is never there."""
-    return docs.join(rejected.where(F.col("doc_id").isNotNull()).distinct(), "doc_id", "left_anti").select(*docs.columns)
+#: DuckDB SQL for the rows of run().
+ORACLE_SQL = pipeline_sql()
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the base rules or the line-frequency verdict reject."""
-    return _without(docs, quality_rules.judge(docs).where(~F.col("kept")).select("doc_id"))
+    return without_keys(docs, quality_rules.judge(docs).where(~F.col("kept")), "doc_id")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component the document with the least id."""
-    return _without(docs, near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id"))
+    return without_keys(docs, near_dedup.near_duplicates(docs).where(~F.col("kept")), "doc_id")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.contained_items(docs, items).select("doc_id"))
+    return without_keys(docs, decontamination.contained_items(docs, items), "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it: not at all, once or twice."""
-    mixed = mixing.mix(docs, WEIGHTS)
-    taken = mixed.select(F.col("doc_id").alias("taken_id"), mixing.copies(F.col("whole"), F.col("extra"), F.col("size")).alias("copies")).where(F.col("copies") > 0)
-    # repeated rows of one id share their number of copies, so that a row is matched once
-    taken = stash(taken.groupBy("taken_id").agg(F.max("copies").alias("copies")), "taken")
-    joined = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.taken_id")))
-    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
-    return joined.select(F.explode(F.array_repeat(row, F.col("t.copies"))).alias("row")).select("row.*")
+    return mixing.repeat(docs, WEIGHTS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -377,6 +377,18 @@ def test_pipeline_stages_do_as_their_operators_say(spark, same_rows):
     assert stages["shard"](spark, mixed, DATA).count() == mixed.count()
 
 
+def test_pipeline_equals_its_sql(same_rows):
+    import corpus_pipeline
+
+    same_rows(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
+
+
+def test_rejected_rows_go_and_all_others_stay(spark, odd):
+    rejected = spark.createDataFrame([(0,), (5,), (None,), (77,)], "doc_id long")
+    left = common.without_keys(odd, rejected, "doc_id")
+    assert left.columns == odd.columns and left.count() == odd.count() - 3  # 0, and 5 twice
+
+
 def test_pipeline_odd_input(spark, odd, empty):
     import corpus_pipeline
 
