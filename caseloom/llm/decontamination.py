@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SLICE_ROWS, WordHashes, grams, hashed_words, stash
+from .common import SHINGLE_WORDS, SLICE_ROWS, WordHashes, grams, hashed_words, map_batches, stash
 
 CONTAINED_PERCENT = 75
 #: Shingles of the items of one block: what one broadcast holds at most, plus one item.
@@ -109,7 +109,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     item_type, id_type = items.schema["item_id"].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, n_item long, n_shared long"
-    hashed = items.select("item_id", F.col("text").cast("binary").alias("text")).mapInArrow(_item_batches, f"item_id {item_type}, width int, shingles binary")
+    hashed = map_batches(items.select("item_id", F.col("text").cast("binary").alias("text")), _item_batches, f"item_id {item_type}, width int, shingles binary")
     narrow = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     found = None
     for block in _blocks(stash(hashed, "items")):
@@ -127,7 +127,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                     if rows:
                         yield pa.RecordBatch.from_arrays([ids, item_ids, sizes, pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "item_id", "n_item", "n_shared"])
 
-        one = narrow.mapInArrow(search, schema)
+        one = map_batches(narrow, search, schema)
         found = one if found is None else found.union(one)
     if found is None:
         found = spark.createDataFrame([], schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, WORD, stash
+from .common import SLICE_ROWS, WORD, map_batches, stash
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -84,7 +84,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, source, the base counts and base_failed."""
     id_type, source_type = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "source"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "source", F.col("text").cast("binary").alias("text"))
-    counted = keyed.mapInArrow(_base_batches, f"doc_id {id_type}, text_key long, source {source_type}, {_SCHEMA}")
+    counted = map_batches(keyed, _base_batches, f"doc_id {id_type}, text_key long, source {source_type}, {_SCHEMA}")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT)
     return counted.withColumn("base_failed", failed)
 

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS
+from .common import SLICE_ROWS, map_batches
 
 SPACE = "▁"
 CHUNK_CHARS = 65_536
@@ -255,5 +255,5 @@ def tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(found, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    counted = narrow.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long")
+    counted = map_batches(narrow, run, f"id {id_type}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

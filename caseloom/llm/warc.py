@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import SLICE_ROWS, scratch_path
+from .common import SLICE_ROWS, bound_batches, scratch_path
 
 SUFFIX = ".warc.gz"
 FILE_BYTES = 128 << 20
@@ -242,6 +242,7 @@ class WarcDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    bound_batches(spark)
     spark.dataSource.register(WarcDataSource)
 
 
