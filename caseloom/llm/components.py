@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not _contracted(pairs):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stash(least, "least")  # summed before the shuffle, and joined plainly, so that a hub's edges can be split
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stash(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))

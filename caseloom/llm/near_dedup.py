@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, WordHashes, common_size, hashed_words, shingle_set, stash
+from .common import SLICE_ROWS, WordHashes, bitmap_bucket, bitmap_may_hold, common_size, hashed_words, key_bitmap, map_batches, shingle_set, stash
 from .components import connected_components
 
 SIGNATURE = 64
@@ -42,8 +42,6 @@ NEIGHBOURS = 3
 LEAST_EQUAL = 32
 #: Percent of the union that two sets must share.
 LINK_PERCENT = 75
-#: Bits of the fixed-size filter by which texts are fetched (4 MB in all).
-FILTER_BITS = 1 << 25
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,7 +79,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: set size, set key (equal for equal sets) and signature."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    return _keyed(docs, id_col, text_col).mapInArrow(_fingerprint_batches, f"doc_id {id_type}, text_key long, n_shingles long, set_key binary, signature binary")
+    return map_batches(_keyed(docs, id_col, text_col), _fingerprint_batches, f"doc_id {id_type}, text_key long, n_shingles long, set_key binary, signature binary")
 
 
 def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +110,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     label = F.substring("twice", F.col("nth") * F.lit(4 * SIGNATURE // ORDERS) + 1, F.lit(4 * DEPTH))
     orders = orders.select("nth", label.alias("label"), "set_key")
     order = ["nth", "label", "set_key"]
-    pairs = orders.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbour_batches, "a binary, b binary")
+    pairs = map_batches(orders.repartitionByRange(*order).sortWithinPartitions(*order), _neighbour_batches, "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -130,11 +128,7 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidates whose signatures agree often enough, with the number of equal values."""
     signed = classes.select("set_key", "signature")
     both = pairs.join(signed.withColumnsRenamed({"set_key": "a", "signature": "left"}), "a").join(signed.withColumnsRenamed({"set_key": "b", "signature": "right"}), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_estimate_batches, "a binary, b binary, equal int")
-
-
-def _bit(key: Column) -> Column:
-    return F.pmod(key, F.lit(FILTER_BITS))
+    return map_batches(both.select("a", "b", "left", "right"), _estimate_batches, "a binary, b binary, equal int")
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,11 +137,10 @@ def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     Documents pass a bitmap of the wanted keys first; the bitmap's size is fixed,
     so it can be broadcast at any scale, and only wanted texts are shuffled.
     """
-    bitmap = nodes.groupBy(F.bitmap_bucket_number(_bit(F.col("text_key"))).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit(F.col("text_key")))).alias("bits"))
+    bitmap = key_bitmap(nodes, "text_key")
     keyed = _keyed(docs, id_col, text_col)
-    keyed = keyed.withColumn("bucket", F.bitmap_bucket_number(_bit(F.col("text_key")))).withColumn("bit", F.bitmap_bit_position(_bit(F.col("text_key"))))
-    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    wanted = keyed.join(F.broadcast(bitmap), "bucket").where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select("doc_id", "text_key", "text").alias("d")
+    wanted = keyed.join(F.broadcast(bitmap), bitmap_bucket(F.col("text_key")) == F.col("bucket")).where(bitmap_may_hold(F.col("bits"), F.col("text_key")))
+    wanted = wanted.select("doc_id", "text_key", "text").alias("d")
     found = wanted.join(nodes.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.text_key") == F.col("n.text_key")))
     return found.select("n.set_key", "d.text").dropDuplicates(["set_key"])
 
@@ -171,7 +164,7 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(texts.withColumnsRenamed({"set_key": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"set_key": "b", "text": "right"}), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_confirm_batches, "a binary, b binary")
+    return map_batches(both.select("a", "b", "left", "right"), _confirm_batches, "a binary, b binary")
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -232,7 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = link(classes, docs, id_col, text_col)
     grouped = classes.join(roots, classes["set_key"] == roots["node"], "left").select("set_key", "least_id", "copies", F.coalesce("root", "set_key").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("together"))
-    members = grouped.join(least.where(F.col("together") > 1), "root").select("set_key", "component_id")
+    # written first, so that the join is a plain one, whose hot component adaptive execution can split
+    least = stash(least.where(F.col("together") > 1), "components")
+    members = grouped.join(least, "root").select("set_key", "component_id")
     joined = prints.select("doc_id", "n_shingles", "set_key").join(members, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     result = joined.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"))
