@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SLICE_ROWS, stash
+from .common import SLICE_ROWS, map_batches, stash
 
 LEAST_RUN_WORDS = 50
 
@@ -55,8 +55,9 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Units to remove: id, unit (number among the text's units), start, end, words, first_doc_id and first_start of the kept occurrence."""
     id_type = docs.schema[id_col].dataType.simpleString()
     narrow = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stash(narrow.mapInArrow(_unit_batches, f"doc_id {id_type}, unit int, start int, end int, words int, digest binary"), "units")
+    rows = stash(map_batches(narrow, _unit_batches, f"doc_id {id_type}, unit int, start int, end int, words int, digest binary"), "units")
     firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "unit", "start")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    firsts = stash(firsts, "firsts")  # so that the join below is a plain one, whose hot digests adaptive execution can split
     again = rows.join(firsts, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit"))))
     again = again.select("doc_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
     run = F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("unit"))
