@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SLICE_ROWS
+from .common import SLICE_ROWS, map_batches
 
 SAMPLE_TEXTS = 200
 SAMPLE_TEXT_BYTES = 16_384
@@ -42,8 +42,11 @@ _LETTER = regex.compile(r"\p{L}")
 def sample(labelled: DataFrame) -> list[tuple[str, str]]:
     """A bounded sample of (lang, text): documents under a hash threshold set from each language's count, then ranked."""
     usable = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT_BYTES)).withColumn("order", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    totals = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    likely = usable.join(totals, "lang").where(F.col("order") * F.col("n") < F.lit(4 * SAMPLE_TEXTS))
+    totals = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a number per language, of which every worker holds a dictionary anyway
+    if not totals:
+        return []
+    share = F.element_at(F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], 4.0 * SAMPLE_TEXTS / r["n"])]), F.col("lang"))
+    likely = usable.where(F.col("order") < share)
     first = likely.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "text"))).where(F.col("nth") <= SAMPLE_TEXTS)
     return [(r["lang"], r["text"]) for r in first.orderBy("lang", "nth").select("lang", "text").collect()]
 
@@ -94,7 +97,7 @@ def predict(docs: DataFrame, content: dict[str, bytes], text_col: str = "text")
                 columns = [part.column(f.name) for f in kept] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), "lang_pred", "score", "accepted"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def held_out(id_col: Column) -> Column:
