@@ -6,10 +6,11 @@ normalised and hashed, the distinct documents that hold a line are counted per
 host (here the source), lines above the limit are removed, and a document that
 loses too large a share of its words is rejected.
 
-Copies of one text are one document here, and so are near copies: for each of its
-lines a document is named by the longest of its other lines. Otherwise every copied
-text would look like boilerplate and its whole group would be lost before
-duplicates are handled.
+Copies of one text are one document here: a document is named by all of its
+normalised lines. Otherwise every copied text would look like boilerplate and its
+whole group would be lost before duplicates are handled. Texts that differ in any
+line count as different documents, near copies too: no rule can tell a large group
+of them from documents that are mostly boilerplate.
 
 Nulls and odd input: a null or empty text has no words and fails the base rules; a
 null source is a host of its own; repeated rows get the same verdict; an empty
@@ -95,15 +96,13 @@ def normalised(line: Column) -> Column:
 
 
 def host_lines(docs: DataFrame) -> DataFrame:
-    """A row per document and line with a word: doc_id, text_key, source, line (hash), line_words, document (hash of its longest other line)."""
+    """A row per document and line with a word: doc_id, text_key, source, line (hash), line_words, document (hash of all its lines)."""
     lines = F.filter(F.transform(F.split("text", "\n"), normalised), lambda x: x != "")
     narrow = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), "source", lines.alias("lines")).where(F.size("lines") > 0)
-    ranked = F.reverse(F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.struct(F.length(x).alias("size"), x.alias("line"))))))
     hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("words")))
-    nth = lambda i: F.xxhash64(F.get("ranked", F.lit(i))["line"])
-    rows = narrow.withColumn("ranked", ranked).select("doc_id", "text_key", "source", nth(0).alias("first"), nth(1).alias("second"), F.explode(hashed).alias("l"))
-    document = F.when(F.col("l.line") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    return rows.select("doc_id", "text_key", "source", document.alias("document"), F.col("l.line").alias("line"), F.col("l.words").alias("line_words"))
+    document = F.xxhash64(F.array_join("lines", "\n"))
+    rows = narrow.select("doc_id", "text_key", "source", document.alias("document"), F.explode(hashed).alias("l"))
+    return rows.select("doc_id", "text_key", "source", "document", F.col("l.line").alias("line"), F.col("l.words").alias("line_words"))
 
 
 def boilerplate(lines: DataFrame) -> DataFrame:

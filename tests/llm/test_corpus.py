@@ -275,6 +275,17 @@ def test_boilerplate_depletes(spark):
     assert all(got[200 + i]["kept"] for i in range(50)), "copies of one text are no boilerplate"
 
 
+def test_two_common_lines_and_a_large_host(spark):
+    letters = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(3))
+    own = lambda i, n: " ".join(f"d{letters(i)}x{letters(k)}" for k in range(n))
+    menu, foot = (" ".join(f"{w}{letters(k)}" for k in range(40)) for w in ("menu", "foot"))
+    data = [(i, f"{menu}\n{own(i, 15)}\n{foot}", "two") for i in range(60)]
+    data += [(1000 + i, f"{own(i, 30)}\n{menu if i < 30 else own(9000 + i, 40)}", "large") for i in range(2100)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["removed_words"] == 80 and not got[i]["kept"] for i in range(60))
+    assert all(got[1000 + i]["removed_words"] == (40 if i < 30 else 0) for i in range(2100)), "30 of 2,100 documents are above 1 %"
+
+
 def test_quality_odd_input(odd, empty):
     got = quality_rules.judge(odd).collect()
     assert len(got) == odd.count() and all(r["base_failed"] for r in got if r["doc_id"] in (0, 1, 2, 3, 8, 9))
