@@ -14,6 +14,12 @@ classes that most links lead to with the candidates that have no link yet, so th
 a class which only resembles a crowded group's centre meets it; they end when one
 finds no link.
 
+The rounds leave pairs of a dense region unseen, so that region is then finished
+exactly: all classes with a pair beyond the window are joined by prefix filter. In
+an order of shingles from rare to common, two sets of enough similarity share one
+among so many of the first that no more can be missing; pairs of one component are
+left out. What a region's texts have in common stands last in that order.
+
 Nulls and odd input: a document without words has an empty set and is a component
 of its own, as is one with a null text; a null id gets a null component; repeated
 rows share a component; an empty table gives an empty result; columns other than
@@ -48,6 +54,20 @@ _MULTIPLY = _rng.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2)
 _ADD = _rng.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
 _BLOCK = 4096
 
+#: Buckets of the shingle counts that set the order from rare to common: a fixed size, so that workers can hold it.
+COUNT_BUCKETS = 1 << 21
+
+
+def _size_bounds() -> np.ndarray:
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        bounds.append(max(bounds[-1] + 1, bounds[-1] * 21 // 20))
+    return np.array(bounds, np.int64)
+
+
+#: Least set sizes of the size classes, each at most a twentieth wide.
+SIZE_BOUNDS = _size_bounds()
+
 
 def signature(shingles: np.ndarray) -> bytes:
     """MinHash values of a set, as big-endian 32-bit numbers, so that bytes sort as values do."""
@@ -83,35 +103,63 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of near rows of the sorted orders that share the least depth; rows carry over from batch to batch."""
-    kept_labels, kept_keys = np.empty((0, DEPTH + 1), np.uint32), np.empty(0, "S16")
+    """Pairs of near rows of the sorted orders that share the least depth; rows carry over from batch to batch.
+
+    ``unseen`` pairs are no candidates: each end shares the least depth with rows
+    beyond the window, or perhaps, at an end of the task, with rows of another task.
+    """
+    held = NEIGHBOURS + 1
+    kept_labels, kept_keys = np.empty((0, DEPTH + 1), np.uint32), np.empty(0, object)
+    started = False
+
+    def alike(labels: np.ndarray, at: int) -> np.ndarray:
+        return (labels[:, : LEAST_DEPTH + 1] == labels[at, : LEAST_DEPTH + 1]).all(axis=1)
+
+    def found(left: list, right: list, unseen: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(unseen, pa.bool_())], ["a", "b", "unseen"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
         labels = np.array([np.frombuffer(x, ">u4") for x in batch.column("label").to_pylist()], np.uint32)
         labels = np.column_stack([np.asarray(batch.column("nth"), np.uint32), labels])
         labels = np.concatenate([kept_labels, labels])
-        keys = np.concatenate([kept_keys, np.array(batch.column("set_key").to_pylist(), object)]) if len(kept_keys) else np.array(batch.column("set_key").to_pylist(), object)
-        left, right = [], []
-        for step in range(1, NEIGHBOURS + 1):
+        keys = np.empty(batch.num_rows, object)
+        keys[:] = batch.column("set_key").to_pylist()
+        keys = np.concatenate([kept_keys, keys])
+        left, right, unseen = [], [], []
+        for step in range(1, held + 1):
             new = np.arange(max(len(kept_labels), step), len(labels))
             near = new[(labels[new, : LEAST_DEPTH + 1] == labels[new - step, : LEAST_DEPTH + 1]).all(axis=1)]
             left += keys[near].tolist()
             right += keys[near - step].tolist()
-        kept_labels, kept_keys = labels[-NEIGHBOURS:], keys[-NEIGHBOURS:]
+            unseen += [step > NEIGHBOURS] * len(near)
+        if not started or len(kept_labels) < held:  # the task's first rows may go on a region of the task before
+            edge = keys[:held][alike(labels[:held], 0)].tolist()
+            left, right, unseen = left + edge, right + edge, unseen + [True] * len(edge)
+        started = True
+        kept_labels, kept_keys = labels[-held:], keys[-held:]
         if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+            yield found(left, right, unseen)
+    if started:
+        edge = kept_keys[alike(kept_labels, -1)].tolist()
+        yield found(edge, edge, [True] * len(edge))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of set keys that are neighbours in some order of the forest."""
+def neighbours(classes: DataFrame) -> DataFrame:
+    """Distinct pairs (a <= b, unseen) of set keys of the sorted orders of the forest."""
     doubled = F.concat("signature", "signature")
     orders = classes.select("set_key", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("nth"), doubled.alias("twice"))
     label = F.substring("twice", F.col("nth") * F.lit(4 * SIGNATURE // ORDERS) + 1, F.lit(4 * DEPTH))
     orders = orders.select("nth", label.alias("label"), "set_key")
     order = ["nth", "label", "set_key"]
-    pairs = map_batches(orders.repartitionByRange(*order).sortWithinPartitions(*order), _neighbour_batches, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = map_batches(orders.repartitionByRange(*order).sortWithinPartitions(*order), _neighbour_batches, "a binary, b binary, unseen boolean")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "unseen").distinct()
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of set keys that are neighbours in some order of the forest."""
+    return neighbours(classes).where(~F.col("unseen")).select("a", "b")
 
 
 def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,18 +251,91 @@ def _standing(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return centres.union(_ends(pairs).distinct().join(degree, "node", "left_anti"))
 
 
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles per bucket, over a whole task."""
+    cache, counts = WordHashes(), np.zeros(COUNT_BUCKETS, np.int64)
+    for batch in batches:
+        for text in batch.column("text"):
+            np.add.at(counts, (shingle_set(hashed_words(text.as_py(), cache)) % np.uint64(COUNT_BUCKETS)).astype(np.int64), 1)
+    held = np.flatnonzero(counts)
+    for at in range(0, len(held), 1 << 16):
+        part = held[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["bucket", "n"])
+
+
+def size_class(n: int) -> int:
+    return int(np.searchsorted(SIZE_BOUNDS, n, "right")) - 1
+
+
+def prefixes(n: int) -> Iterator[tuple[int, int]]:
+    """(size class, length): how many of a set's first shingles must be looked up for partners of that class."""
+    least, most = -(-LINK_PERCENT * n // 100), 100 * n // LINK_PERCENT
+    for c in range(size_class(least), size_class(most) + 1):
+        shared = -(-LINK_PERCENT * (n + max(least, int(SIZE_BOUNDS[c]))) // (100 + LINK_PERCENT))
+        if shared <= n:
+            yield c, n - shared + 1
+
+
+def dense_pairs(texts: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of ``texts`` (set_key, root, text): all of different components that may be similar enough."""
+    spark = texts.sparkSession
+    counted = map_batches(texts.select("text"), _count_batches, "bucket long, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(COUNT_BUCKETS, np.int32)
+    counts[np.asarray(counted.column("bucket"))] = np.asarray(counted.column("n"))
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, counts = WordHashes(), shared.value
+        for batch in batches:
+            for key, root, text in zip(*(batch.column(c) for c in ("set_key", "root", "text")), strict=True):
+                shingles = shingle_set(hashed_words(text.as_py(), cache))
+                often = counts[(shingles % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
+                order = np.lexsort((shingles, often))
+                alone = int((often < 2).sum())  # a shingle of one set leads to no other
+                own = size_class(len(shingles))
+                for c, length in prefixes(len(shingles)):
+                    tokens = shingles[order[alone:length]].view(np.int64)
+                    if len(tokens):
+                        sizes = [pa.array(np.full(len(tokens), x, np.int32)) for x in (min(own, c), max(own, c), own)]
+                        both = [pa.array([x.as_py()] * len(tokens), pa.binary()) for x in (key, root)]
+                        yield pa.RecordBatch.from_arrays([pa.array(tokens), *sizes, *both], ["token", "small", "large", "own", "set_key", "root"])
+
+    place = ["token", "small", "large"]
+    looked_up = stash(map_batches(texts, run, "token long, small int, large int, own int, set_key binary, root binary"), "prefixes")
+    ends = looked_up.groupBy(*place).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("own").alias("first"), F.max("own").alias("last"))
+    several = ends.where((F.col("least") != F.col("most")) & (F.col("first") == F.col("small")) & (F.col("last") == F.col("large"))).select(*place)
+    met = stash(looked_up.join(stash(several, "several"), place), "met")
+    left = met.where(F.col("own") == F.col("small")).select(*place, F.col("set_key").alias("a"), F.col("root").alias("root_a"))
+    right = met.where(F.col("own") == F.col("large")).select(*place, F.col("set_key").alias("b"), F.col("root").alias("root_b"))
+    pairs = left.join(right, place).where((F.col("root_a") < F.col("root_b")) | ((F.col("small") < F.col("large")) & (F.col("root_a") > F.col("root_b"))))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _dense_links(unseen: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links between components among the ends of ``unseen`` pairs, all of them compared."""
+    ends = _ends(unseen).distinct().select(F.col("node").alias("set_key"))
+    nodes = stash(classes.join(ends, "set_key").select("set_key", "doc_id", "text_key"), "dense")
+    rooted = texts_of(nodes, docs, id_col, text_col).join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
+    texts = stash(rooted.select("set_key", F.coalesce("root", "set_key").alias("root"), "text"), "texts")
+    likely = stash(likely_pairs(dense_pairs(texts), classes), "likely")
+    return stash(confirmed(likely.select("a", "b"), texts.select("set_key", "text")), "links")
+
+
 def link(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, root) over the classes that are linked with others; rounds end when one finds no link."""
-    pairs = stash(candidates(classes), "pairs")
+    """(node, root) over the classes that are linked with others; when a round finds no link, dense regions are finished exactly."""
+    near = stash(neighbours(classes), "pairs")
+    pairs, unseen = near.where(~F.col("unseen")).select("a", "b"), near.where("unseen").select("a", "b")
     links, roots = _confirmed_round(pairs, classes, docs, id_col, text_col)
     while True:
         standing = _standing(pairs, links).withColumnRenamed("node", "set_key")
         left = stash(classes.join(standing, "set_key", "left_semi"), "standing")
         found, _ = _confirmed_round(_rooted(candidates(left), roots), left, docs, id_col, text_col)
         if found.isEmpty():
-            return roots
+            break
         links = links.union(found)
         roots = connected_components(links)
+    found = _dense_links(unseen, roots, classes, docs, id_col, text_col)
+    return roots if found.isEmpty() else connected_components(links.union(found))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -163,6 +163,22 @@ def test_crowded_group_keeps_every_link(spark):
     assert got == brute_components(texts)
 
 
+def test_dense_region_keeps_planted_links(spark):
+    r = random.Random(11)
+    words = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+    passage, texts = words(245), {}
+    for i in range(300):
+        own = words(55)
+        texts[i] = passage + own  # 241 of 351 shingles are those of any other: 0.69
+        if i < 100:
+            texts[5000 + i] = passage + own[:16] + words(39)  # near 0.77 to its like, 0.69 to all others
+    a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (texts[0], texts[5000]))
+    assert 0.75 < len(a & b) / len(a | b) < 0.78
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: i % 5000 for i in texts}
+
+
 def test_near_duplicates_odd_input(odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
