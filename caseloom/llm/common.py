@@ -92,6 +92,20 @@ def without_keys(docs: DataFrame, rejected: DataFrame, id_col: str) -> DataFrame
     return passed.unionByName(checked)
 
 
+def without_rows(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and text are in ``rejected`` (id, text_key); a null id or text is a value like any other."""
+    keys = stash(rejected.select(F.col(id_col).alias("rejected_id"), F.col("text_key").alias("rejected_key")).distinct(), "rejected")
+    bitmap = key_bitmap(keys.select(F.xxhash64("rejected_id", "rejected_key").alias("k")), "k").alias("b")
+    text_key = F.xxhash64(F.col(f"d.`{text_col}`"))
+    key = F.xxhash64(F.col(f"d.`{id_col}`"), text_key)
+    marked = docs.alias("d").join(F.broadcast(bitmap), bitmap_bucket(key) == F.col("b.bucket"), "left")
+    may = bitmap_may_hold(F.col("b.bits"), key)
+    passed = marked.where(~may).select("d.*")
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("r.rejected_id")) & (text_key == F.col("r.rejected_key"))
+    checked = marked.where(may).select("d.*").alias("d").join(keys.alias("r"), same, "left_anti").select("d.*")
+    return passed.unionByName(checked)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

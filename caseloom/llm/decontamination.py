@@ -105,12 +105,12 @@ def _blocks(items: DataFrame) -> Iterator[ItemBlock]:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, item_id, n_item, n_shared): items of which a document holds enough, one row per document row and item row."""
+    """(id, text_key, item_id, n_item, n_shared): items of which a document holds enough, one row per document row and item row."""
     spark = docs.sparkSession
     item_type, id_type = items.schema["item_id"].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, n_item long, n_shared long"
+    schema = f"doc_id {id_type}, text_key long, item_id {item_type}, n_item long, n_shared long"
     hashed = map_batches(items.select("item_id", F.col("text").cast("binary").alias("text")), _item_batches, f"item_id {item_type}, width int, shingles binary")
-    narrow = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    narrow = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
     found = None
     for block in _blocks(stash(hashed, "items")):
         shared = spark.sparkContext.broadcast(block)
@@ -121,11 +121,12 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                 for at in range(0, batch.num_rows, SLICE_ROWS):
                     part = batch.slice(at, SLICE_ROWS)
                     rows = [(i, *hit) for i, text in enumerate(part.column("text").to_pylist()) for hit in block.found_in(hashed_words(text, cache))]
-                    ids = part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
+                    where = pa.array([r[0] for r in rows], pa.int64())
+                    ids, keys = part.column("doc_id").take(where), part.column("text_key").take(where)
                     item_ids = pa.array([block.ids[r[1]] for r in rows])
                     sizes = pa.array([len(block.sets[r[1]]) for r in rows], pa.int64())
                     if rows:
-                        yield pa.RecordBatch.from_arrays([ids, item_ids, sizes, pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "item_id", "n_item", "n_shared"])
+                        yield pa.RecordBatch.from_arrays([ids, keys, item_ids, sizes, pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "text_key", "item_id", "n_item", "n_shared"])
 
         one = map_batches(narrow, search, schema)
         found = one if found is None else found.union(one)

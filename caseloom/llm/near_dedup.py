@@ -339,7 +339,7 @@ def link(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id (least id of its component) and kept (whether it has that id)."""
+    """Per document: id, text_key, n_shingles, component_id (least id of its component) and kept (whether it has that id)."""
     prints = stash(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = prints.where(F.col("set_key").isNotNull()).groupBy("set_key")
     classes = stash(classes.agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key", "signature")).alias("one"), F.count("*").alias("copies")).select("set_key", "least_id", "one.doc_id", "one.text_key", "one.signature", "copies"), "classes")
@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # written first, so that the join is a plain one, whose hot component adaptive execution can split
     least = stash(least.where(F.col("together") > 1), "components")
     members = grouped.join(least, "root").select("set_key", "component_id")
-    joined = prints.select("doc_id", "n_shingles", "set_key").join(members, "set_key", "left")
+    joined = prints.select("doc_id", "text_key", "n_shingles", "set_key").join(members, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    result = joined.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"))
+    result = joined.select(F.col("doc_id").alias(id_col), "text_key", "n_shingles", component.alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -28,7 +28,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontamination.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

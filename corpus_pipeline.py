@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import decontamination, mixing, near_dedup, quality_rules, sharding
-from caseloom.llm.common import stash, without_keys
+from caseloom.llm.common import stash, without_rows
 from caseloom.llm.queries import SHARDS, WEIGHTS, pipeline_sql
 
 #: DuckDB SQL for the rows of run().
@@ -22,18 +22,18 @@ ORACLE_SQL = pipeline_sql()
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the base rules or the line-frequency verdict reject."""
-    return without_keys(docs, quality_rules.judge(docs).where(~F.col("kept")), "doc_id")
+    return without_rows(docs, quality_rules.judge(docs).where(~F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component the document with the least id."""
-    return without_keys(docs, near_dedup.near_duplicates(docs).where(~F.col("kept")), "doc_id")
+    return without_rows(docs, near_dedup.near_duplicates(docs).where(~F.col("kept")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without_keys(docs, decontamination.contained_items(docs, items), "doc_id")
+    return without_rows(docs, decontamination.contained_items(docs, items))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

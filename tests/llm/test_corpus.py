@@ -416,6 +416,20 @@ def test_rejected_rows_go_and_all_others_stay(spark, odd):
     assert left.columns == odd.columns and left.count() == odd.count() - 3  # 0, and 5 twice
 
 
+def test_stages_tell_rows_by_id_and_text(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    clean = lambda k: " ".join(f"{k}{i}" for i in range(80))
+    data = [(None, "too short"), (None, clean("a")), (7, "too short"), (7, clean("b")), (None, clean("c") + " " + item), (8, clean("d") + " " + item), (8, clean("e")), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], DOC_SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    good = common.stash(stages["quality"](spark, docs, DATA), "good")
+    assert rows(good.select("doc_id", "text")) == sorted([x for x in data if x[1] not in (None, "too short")], key=repr)
+    left = stages["decontaminate"](spark, good, DATA)
+    assert rows(left.select("doc_id", "text")) == sorted([data[1], data[3], data[6]], key=repr)
+
+
 def test_pipeline_odd_input(spark, odd, empty):
     import corpus_pipeline
 
