@@ -3,22 +3,23 @@
 A document's set holds the hashes of its distinct five-word shingles. Documents
 with equal sets form a class, of which one row goes on. Each class has one
 signature; the forest holds it in several orders, each starting at other values.
-All orders are sorted as one table, dealt by range, so that a dense region is
-simply cut into more tasks. Candidates are the nearest neighbours in an order
-that share a prefix: in a thin region every pair that shares the least depth, in
-a dense region only those with the longest common prefixes, so the depth adapts
-to the region. Candidates with a hopeless signature are left out, the others are
-confirmed on their full sets, first the most similar partner of each class, then
-every candidate that would still join two components. Further rounds sort only the
-classes that most links lead to with the candidates that have no link yet, so that
-a class which only resembles a crowded group's centre meets it; they end when one
-finds no link.
-
-The rounds leave pairs of a dense region unseen, so that region is then finished
-exactly: all classes with a pair beyond the window are joined by prefix filter. In
-an order of shingles from rare to common, two sets of enough similarity share one
-among so many of the first that no more can be missing; pairs of one component are
-left out. What a region's texts have in common stands last in that order.
+All orders are sorted as one table, dealt by range. Neighbours in an order are
+candidates, since no other row shares a longer prefix with either; they go as deep
+as their region is dense. Each class gives a pair an order at most, however
+crowded its region is. Candidates with a hopeless signature are left out, the
+others are confirmed on their full sets.
+
+Neighbours alone would lose links of a crowded region, so it is then finished
+exactly. A region holds the classes that share the least depth in some order; only
+those regions in which several components meet go on. The most crowded class of a
+region is its hub, and every other member is compared with it and described by
+where it differs from it. Two members can be linked beyond the hub only if they
+share so many differences that one of the first must be common, in an order from
+rare to common (a prefix filter, with the bound of what may still follow). Members
+of near copies differ by edits of their own, so that hardly any pair is left. What
+remains is confirmed on full sets too. So no link is lost but one whose ends share
+the least depth in no order: 2 in a million at a similarity of 0.75, fewer above.
+The result does not depend on the partitions.
 
 Nulls and odd input: a document without words has an empty set and is a component
 of its own, as is one with a null text; a null id gets a null component; repeated
@@ -36,18 +37,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, WordHashes, bitmap_bucket, bitmap_may_hold, common_size, hashed_words, key_bitmap, map_batches, shingle_set, stash
+from .common import SLICE_ROWS, WordHashes, bitmap_bucket, bitmap_may_hold, common_size, finalise, hashed_words, key_bitmap, map_batches, shingle_set, stash
 from .components import connected_components
 
 SIGNATURE = 64
 ORDERS = 16
+#: Signature values that a row of an order holds, and how many of the first a region shares.
 DEPTH = 8
 LEAST_DEPTH = 2
-NEIGHBOURS = 3
-#: Least equal values of 64 for a pair to be confirmed: at a similarity of 0.75 fewer occur in 4 of a million pairs.
-LEAST_EQUAL = 32
+#: Least equal values of 64 for a pair to be confirmed: at a similarity of 0.75 fewer occur in one of a hundred million pairs.
+LEAST_EQUAL = 28
 #: Percent of the union that two sets must share.
 LINK_PERCENT = 75
+#: Sets of sizes a and b that differ in d values are linked if SAME * (a + b) >= BOTH * d.
+SAME, BOTH = 100 - LINK_PERCENT, 100 + LINK_PERCENT
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,15 +61,16 @@ _BLOCK = 4096
 COUNT_BUCKETS = 1 << 21
 
 
-def _size_bounds() -> np.ndarray:
-    bounds = [1]
+def _class_bounds() -> np.ndarray:
+    bounds = [0, 1, 2, 3, 4, 6, 8]
     while bounds[-1] < 1 << 40:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 21 // 20))
+        bounds.append(bounds[-1] * 5 // 4)
     return np.array(bounds, np.int64)
 
 
-#: Least set sizes of the size classes, each at most a twentieth wide.
-SIZE_BOUNDS = _size_bounds()
+#: Least numbers of differences of the classes in which partners are looked up.
+CLASS_BOUNDS = _class_bounds()
+_LEAST, _MOST = CLASS_BOUNDS[:-1], CLASS_BOUNDS[1:] - 1
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -103,63 +107,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of near rows of the sorted orders that share the least depth; rows carry over from batch to batch.
+    """Rows of the sorted orders that share the least depth with a neighbour, and the neighbour before; the last row carries over to the next batch.
 
-    ``unseen`` pairs are no candidates: each end shares the least depth with rows
-    beyond the window, or perhaps, at an end of the task, with rows of another task.
+    A task's first and last row may have such a neighbour in another task, and are given without one.
     """
-    held = NEIGHBOURS + 1
-    kept_labels, kept_keys = np.empty((0, DEPTH + 1), np.uint32), np.empty(0, object)
-    started = False
+    width = 4 * LEAST_DEPTH
 
-    def alike(labels: np.ndarray, at: int) -> np.ndarray:
-        return (labels[:, : LEAST_DEPTH + 1] == labels[at, : LEAST_DEPTH + 1]).all(axis=1)
-
-    def found(left: list, right: list, unseen: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(unseen, pa.bool_())], ["a", "b", "unseen"])
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        nth, prefix, key, before, depth = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(nth, pa.int32()), pa.array(prefix, pa.binary()), pa.array(key, pa.binary()), pa.array(before, pa.binary()), pa.array(depth, pa.int32())], ["nth", "prefix", "set_key", "before", "depth"])
 
+    last: tuple | None = None  # (order, label, key, whether it was given)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        labels = np.array([np.frombuffer(x, ">u4") for x in batch.column("label").to_pylist()], np.uint32)
-        labels = np.column_stack([np.asarray(batch.column("nth"), np.uint32), labels])
-        labels = np.concatenate([kept_labels, labels])
-        keys = np.empty(batch.num_rows, object)
-        keys[:] = batch.column("set_key").to_pylist()
-        keys = np.concatenate([kept_keys, keys])
-        left, right, unseen = [], [], []
-        for step in range(1, held + 1):
-            new = np.arange(max(len(kept_labels), step), len(labels))
-            near = new[(labels[new, : LEAST_DEPTH + 1] == labels[new - step, : LEAST_DEPTH + 1]).all(axis=1)]
-            left += keys[near].tolist()
-            right += keys[near - step].tolist()
-            unseen += [step > NEIGHBOURS] * len(near)
-        if not started or len(kept_labels) < held:  # the task's first rows may go on a region of the task before
-            edge = keys[:held][alike(labels[:held], 0)].tolist()
-            left, right, unseen = left + edge, right + edge, unseen + [True] * len(edge)
-        started = True
-        kept_labels, kept_keys = labels[-held:], keys[-held:]
-        if left:
-            yield found(left, right, unseen)
-    if started:
-        edge = kept_keys[alike(kept_labels, -1)].tolist()
-        yield found(edge, edge, [True] * len(edge))
+        rows: list[tuple] = []
+        for nth, label, key in zip(*(batch.column(c).to_pylist() for c in ("nth", "label", "set_key")), strict=True):
+            if last is None:
+                rows.append((nth, label[:width], key, None, 0))
+                last = (nth, label, key, True)
+                continue
+            near = last[0] == nth and last[1][:width] == label[:width]
+            if near:
+                if not last[3]:
+                    rows.append((nth, label[:width], last[2], None, 0))
+                depth = next((i for i in range(LEAST_DEPTH, DEPTH) if last[1][4 * i : 4 * i + 4] != label[4 * i : 4 * i + 4]), DEPTH)
+                rows.append((nth, label[:width], key, last[2], depth))
+            last = (nth, label, key, near)
+        if rows:
+            yield given(rows)
+    if last is not None and not last[3]:
+        yield given([(last[0], last[1][:width], last[2], None, 0)])
 
 
 def neighbours(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a <= b, unseen) of set keys of the sorted orders of the forest."""
+    """(nth, prefix, set_key, before, depth): rows of the forest in regions of the least depth, each with the class before it and their longest common prefix."""
     doubled = F.concat("signature", "signature")
     orders = classes.select("set_key", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("nth"), doubled.alias("twice"))
     label = F.substring("twice", F.col("nth") * F.lit(4 * SIGNATURE // ORDERS) + 1, F.lit(4 * DEPTH))
     orders = orders.select("nth", label.alias("label"), "set_key")
     order = ["nth", "label", "set_key"]
-    pairs = map_batches(orders.repartitionByRange(*order).sortWithinPartitions(*order), _neighbour_batches, "a binary, b binary, unseen boolean")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "unseen").distinct()
+    return map_batches(orders.repartitionByRange(*order).sortWithinPartitions(*order), _neighbour_batches, "nth int, prefix binary, set_key binary, before binary, depth int")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of set keys that are neighbours in some order of the forest."""
-    return neighbours(classes).where(~F.col("unseen")).select("a", "b")
+def candidates(near: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of neighbours of any order."""
+    pairs = near.where(F.col("before").isNotNull())
+    return pairs.select(F.least("set_key", "before").alias("a"), F.greatest("set_key", "before").alias("b")).distinct()
 
 
 def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,40 +207,35 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "left", "right"), _confirm_batches, "a binary, b binary")
 
 
-def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs that join two components, each pair still naming its own nodes."""
-    for side in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    return pairs.where(apart).select("a", "b")
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
 
 
-def _confirmed_round(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Links among candidate pairs, and the components they make; pairs inside a component found meanwhile are left out."""
+def _confirm_all(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links among candidate pairs."""
     likely = stash(likely_pairs(pairs, classes), "likely")
     ends = _ends(likely).distinct().select(F.col("node").alias("set_key"))
     nodes = stash(classes.join(ends, "set_key").select("set_key", "doc_id", "text_key"), "nodes")
     texts = stash(texts_of(nodes, docs, id_col, text_col), "texts")
-    each = likely.select("a", "b", "equal", F.col("a").alias("node")).union(likely.select("a", "b", "equal", F.col("b").alias("node")))
-    best = each.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = stash(confirmed(best, texts), "links")
-    roots = connected_components(links)
-    more = stash(confirmed(_rooted(likely, roots), texts), "links")
-    links = links.union(more)
-    return links, connected_components(links)
+    return stash(confirmed(likely.select("a", "b"), texts), "links")
 
 
-def _standing(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Nodes of the next round: each linked node's neighbour with most links (or itself), and candidates without a link."""
-    degree = stash(_ends(links).groupBy("node").agg(F.count("*").alias("degree")), "degree")
-    sides = links.select(F.col("a").alias("member"), F.col("b").alias("node")).union(links.select(F.col("b").alias("member"), F.col("a").alias("node")))
-    votes = sides.join(degree, "node").union(degree.select("node", F.col("node").alias("member"), "degree"))
-    centres = votes.groupBy("member").agg(F.max_by("node", F.struct("degree", "node")).alias("node")).select("node").distinct()
-    return centres.union(_ends(pairs).distinct().join(degree, "node", "left_anti"))
+def region_members(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """(set_key, root, hub, hub_root): members of the regions in which several components meet, with each hub they are compared with.
+
+    The hub is the member that meets most rows in all its regions, so that the
+    regions of one crowd in the several orders have the same hub.
+    """
+    place = ["nth", "prefix"]
+    rows = near.select(*place, "set_key").distinct().join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
+    rows = stash(rows.select(*place, "set_key", F.coalesce("root", "set_key").alias("root")), "regions")
+    met = rows.groupBy(*place).agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most")).select(*place, "n")
+    members = stash(rows.join(stash(met, "met"), place), "members")
+    weights = stash(members.groupBy("set_key").agg(F.sum("n").alias("weight")), "weights")
+    hub = F.max_by(F.struct("set_key", "root"), F.struct("weight", "set_key"))
+    hubs = stash(members.join(weights, "set_key").groupBy(*place).agg(hub.alias("hub")), "hubs")
+    spokes = members.join(hubs, place).where(F.col("set_key") != F.col("hub.set_key"))
+    return spokes.select("set_key", "root", F.col("hub.set_key").alias("hub"), F.col("hub.root").alias("hub_root")).distinct()
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,79 +250,116 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["bucket", "n"])
 
 
-def size_class(n: int) -> int:
-    return int(np.searchsorted(SIZE_BOUNDS, n, "right")) - 1
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle of each bucket: a table of fixed size."""
+    counted = map_batches(texts.select("text"), _count_batches, "bucket long, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(COUNT_BUCKETS, np.int32)
+    counts[np.asarray(counted.column("bucket"))] = np.asarray(counted.column("n"))
+    return counts
+
+
+def lookups(differences: int, size: int, hub_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(partner classes, lengths): how many of the first differences must be looked up for partners of each class.
 
+    A partner with at least so many differences has at most a certain size, which
+    bounds from below how many differences the two must share. Those that need
+    share none are both linked with the hub.
+    """
+    largest = np.minimum(100 * size // LINK_PERCENT, hub_size + _LEAST)
+    shared = np.maximum(1, -(-(BOTH * (differences + _LEAST) - SAME * (size + largest)) // (2 * BOTH)))
+    near = BOTH * (_LEAST - differences) <= SAME * (size + 100 * size // LINK_PERCENT)
+    fits = np.flatnonzero(near & (shared <= differences) & (shared <= _MOST))
+    return fits, differences - shared[fits] + 1
 
-def prefixes(n: int) -> Iterator[tuple[int, int]]:
-    """(size class, length): how many of a set's first shingles must be looked up for partners of that class."""
-    least, most = -(-LINK_PERCENT * n // 100), 100 * n // LINK_PERCENT
-    for c in range(size_class(least), size_class(most) + 1):
-        shared = -(-LINK_PERCENT * (n + max(least, int(SIZE_BOUNDS[c]))) // (100 + LINK_PERCENT))
-        if shared <= n:
-            yield c, n - shared + 1
 
+#: One row a class of partners and difference to look up; ``place`` is null in the rows of members that are linked with their hub.
+_SPOKE_SCHEMA = "place long, is_small boolean, is_large boolean, set_key binary, other binary, meets binary, own_left int, gone_left int, differences int, size int"
 
-def dense_pairs(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of ``texts`` (set_key, root, text): all of different components that may be similar enough."""
-    spark = texts.sparkSession
-    counted = map_batches(texts.select("text"), _count_batches, "bucket long, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
-    counts = np.zeros(COUNT_BUCKETS, np.int32)
-    counts[np.asarray(counted.column("bucket"))] = np.asarray(counted.column("n"))
-    shared = spark.sparkContext.broadcast(counts)
 
+def _spoke_function(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, counts = WordHashes(), shared.value
+        often = lambda x: counts[(x % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
+        last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
-            for key, root, text in zip(*(batch.column(c) for c in ("set_key", "root", "text")), strict=True):
-                shingles = shingle_set(hashed_words(text.as_py(), cache))
-                often = counts[(shingles % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
-                order = np.lexsort((shingles, often))
-                alone = int((often < 2).sum())  # a shingle of one set leads to no other
-                own = size_class(len(shingles))
-                for c, length in prefixes(len(shingles)):
-                    tokens = shingles[order[alone:length]].view(np.int64)
-                    if len(tokens):
-                        sizes = [pa.array(np.full(len(tokens), x, np.int32)) for x in (min(own, c), max(own, c), own)]
-                        both = [pa.array([x.as_py()] * len(tokens), pa.binary()) for x in (key, root)]
-                        yield pa.RecordBatch.from_arrays([pa.array(tokens), *sizes, *both], ["token", "small", "large", "own", "set_key", "root"])
-
-    place = ["token", "small", "large"]
-    looked_up = stash(map_batches(texts, run, "token long, small int, large int, own int, set_key binary, root binary"), "prefixes")
-    ends = looked_up.groupBy(*place).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("own").alias("first"), F.max("own").alias("last"))
-    several = ends.where((F.col("least") != F.col("most")) & (F.col("first") == F.col("small")) & (F.col("last") == F.col("large"))).select(*place)
-    met = stash(looked_up.join(stash(several, "several"), place), "met")
-    left = met.where(F.col("own") == F.col("small")).select(*place, F.col("set_key").alias("a"), F.col("root").alias("root_a"))
-    right = met.where(F.col("own") == F.col("large")).select(*place, F.col("set_key").alias("b"), F.col("root").alias("root_b"))
-    pairs = left.join(right, place).where((F.col("root_a") < F.col("root_b")) | ((F.col("small") < F.col("large")) & (F.col("root_a") > F.col("root_b"))))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _dense_links(unseen: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links between components among the ends of ``unseen`` pairs, all of them compared."""
-    ends = _ends(unseen).distinct().select(F.col("node").alias("set_key"))
-    nodes = stash(classes.join(ends, "set_key").select("set_key", "doc_id", "text_key"), "dense")
-    rooted = texts_of(nodes, docs, id_col, text_col).join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
-    texts = stash(rooted.select("set_key", F.coalesce("root", "set_key").alias("root"), "text"), "texts")
-    likely = stash(likely_pairs(dense_pairs(texts), classes), "likely")
-    return stash(confirmed(likely.select("a", "b"), texts.select("set_key", "text")), "links")
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                numbers, owners, linked = [], [], []
+                rows = list(zip(*(part.column(c).to_pylist() for c in ("set_key", "root", "hub", "hub_root", "text", "hub_text")), strict=True))
+                for nth, (_, _, hub, _, text, hub_text) in enumerate(rows):
+                    if last[0] != hub:
+                        last = (hub, shingle_set(hashed_words(hub_text, cache)))
+                    mine, theirs = shingle_set(hashed_words(text, cache)), last[1]
+                    own, gone = np.setdiff1d(mine, theirs, assume_unique=True), np.setdiff1d(theirs, mine, assume_unique=True)
+                    differences = len(own) + len(gone)
+                    linked.append(SAME * (len(mine) + len(theirs)) >= BOTH * differences)
+                    own_often, gone_often = often(own), often(gone)
+                    alone = int((own_often < 2).sum())  # a shingle of one text leads to no other
+                    order = np.concatenate([own[np.lexsort((own, own_often))], gone[np.lexsort((gone, -gone_often))]])
+                    classes, lengths = lookups(differences, len(mine), len(theirs))
+                    took = np.maximum(lengths - alone, 0)
+                    if not took.sum():
+                        continue
+                    at = alone + np.concatenate([np.arange(n) for n in took])
+                    partner = np.repeat(classes, took)
+                    mean = np.searchsorted(CLASS_BOUNDS, differences, "right") - 1
+                    small, large = np.minimum(partner, mean), np.maximum(partner, mean)
+                    seed = np.uint64(int.from_bytes(hub[:8], "big"))
+                    place = finalise(finalise(order[at] ^ seed) + small.astype(np.uint64) * np.uint64(1 << 20) + large.astype(np.uint64))
+                    left = np.maximum(len(own) - at, 0), np.minimum(len(gone), differences - at)
+                    numbers.append(np.column_stack([place.view(np.int64), small == mean, large == mean, *left, np.full(len(at), differences), np.full(len(at), len(mine))]))
+                    owners.append(np.full(len(at), nth))
+                links = [i for i, x in enumerate(linked) if x]
+                table = np.concatenate(numbers) if numbers else np.empty((0, 7), np.int64)
+                whose = pa.array(np.concatenate([*owners, np.array(links, np.int64)]).astype(np.int64))
+                bare = lambda column, kind: pa.concat_arrays([pa.array(column).cast(kind), pa.nulls(len(links), kind)])
+                keys, roots, hubs = (pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1, 2))
+                meets = pa.array([r[3] if x else r[1] for r, x in zip(rows, linked, strict=True)], pa.binary())
+                other = pa.concat_arrays([roots.take(whose.slice(0, len(table))), hubs.take(whose.slice(len(table)))])
+                flags = [pa.concat_arrays([pa.array(table[:, i] > 0), pa.nulls(len(links), pa.bool_())]) for i in (1, 2)]
+                columns = [bare(table[:, 0], pa.int64()), *flags, keys.take(whose), other, meets.take(whose), *(bare(table[:, i], pa.int32()) for i in (3, 4, 5, 6))]
+                yield pa.RecordBatch.from_arrays(columns, ["place", "is_small", "is_large", "set_key", "other", "meets", "own_left", "gone_left", "differences", "size"])
+
+    return run
+
+
+def compared_with_hubs(spokes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of members with their hubs (place is null; other is the hub), and the differences to look up (other is the root)."""
+    shared = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))
+    both = spokes.join(texts, "set_key").join(texts.select(F.col("set_key").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    return map_batches(both.select("set_key", "root", "hub", "hub_root", "text", "hub_text"), _spoke_function(shared), _SPOKE_SCHEMA)
+
+
+def difference_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a difference and may share enough."""
+    ends = rows.groupBy("place").agg(F.min("meets").alias("least"), F.max("meets").alias("most"), F.bool_or("is_small").alias("small"), F.bool_or("is_large").alias("large"))
+    several = stash(ends.where((F.col("least") != F.col("most")) & F.col("small") & F.col("large")).select("place"), "several")
+    met = stash(rows.join(several, "place"), "met")
+    side = lambda flag, name: met.where(flag).select("place", (F.col("is_small") & F.col("is_large")).alias("alike"), F.struct("set_key", "other", "meets", "own_left", "gone_left", "differences", "size").alias(name))
+    l, r = F.col("l"), F.col("r")
+    may_share = F.least(l["own_left"], r["own_left"]) + F.least(l["gone_left"], r["gone_left"])
+    enough = may_share * (2 * BOTH) >= (l["differences"] + r["differences"]) * BOTH - (l["size"] + r["size"]) * SAME
+    sizes = (l["size"] * 100 >= r["size"] * LINK_PERCENT) & (r["size"] * 100 >= l["size"] * LINK_PERCENT)
+    apart = (l["other"] != r["other"]) & (l["meets"] != r["meets"])
+    once = ~F.col("alike") | (l["set_key"] < r["set_key"])
+    pairs = side("is_small", "l").join(side("is_large", "r").drop("alike"), "place").where(once & apart & sizes & enough)
+    return pairs.select(F.least(l["set_key"], r["set_key"]).alias("a"), F.greatest(l["set_key"], r["set_key"]).alias("b")).distinct()
 
 
 def link(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, root) over the classes that are linked with others; when a round finds no link, dense regions are finished exactly."""
-    near = stash(neighbours(classes), "pairs")
-    pairs, unseen = near.where(~F.col("unseen")).select("a", "b"), near.where("unseen").select("a", "b")
-    links, roots = _confirmed_round(pairs, classes, docs, id_col, text_col)
-    while True:
-        standing = _standing(pairs, links).withColumnRenamed("node", "set_key")
-        left = stash(classes.join(standing, "set_key", "left_semi"), "standing")
-        found, _ = _confirmed_round(_rooted(candidates(left), roots), left, docs, id_col, text_col)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        roots = connected_components(links)
-    found = _dense_links(unseen, roots, classes, docs, id_col, text_col)
-    return roots if found.isEmpty() else connected_components(links.union(found))
+    """(node, root) over the classes that are linked with others."""
+    near = stash(neighbours(classes), "neighbours")
+    links = _confirm_all(candidates(near), classes, docs, id_col, text_col)
+    spokes = stash(region_members(near, connected_components(links)), "spokes")
+    keys = spokes.select("set_key").union(spokes.select("hub")).distinct()
+    nodes = stash(classes.join(keys, "set_key").select("set_key", "doc_id", "text_key"), "nodes")
+    texts = stash(texts_of(nodes, docs, id_col, text_col), "texts")
+    rows = stash(compared_with_hubs(spokes, texts), "differences")
+    pairs = difference_pairs(rows.where(F.col("place").isNotNull()))
+    likely = stash(likely_pairs(pairs, classes), "likely")
+    more = stash(confirmed(likely.select("a", "b"), texts), "links")
+    hubs = rows.where(F.col("place").isNull()).select(F.col("set_key").alias("a"), F.col("other").alias("b"))
+    return connected_components(links.union(hubs).union(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
