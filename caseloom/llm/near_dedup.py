@@ -10,16 +10,17 @@ crowded its region is. Candidates with a hopeless signature are left out, the
 others are confirmed on their full sets.
 
 Neighbours alone would lose links of a crowded region, so it is then finished
-exactly. A region holds the classes that share the least depth in some order; only
-those regions in which several components meet go on. The most crowded class of a
-region is its hub, and every other member is compared with it and described by
-where it differs from it. Two members can be linked beyond the hub only if they
-share so many differences that one of the first must be common, in an order from
-rare to common (a prefix filter, with the bound of what may still follow). Members
-of near copies differ by edits of their own, so that hardly any pair is left. What
-remains is confirmed on full sets too. So no link is lost but one whose ends share
-the least depth in no order: 2 in a million at a similarity of 0.75, fewer above.
-The result does not depend on the partitions.
+exactly. A region holds the classes that share the least depth in some order; it
+goes on if it has pairs that are no neighbours and several components meet in it.
+The most crowded class of a region is its hub, and every other member is compared
+with it and described by where it differs from it. Two members can be linked
+beyond the hub only if they share so many differences that one of the first must
+be common, in an order from rare to common (a prefix filter, with the bound of
+what may still follow). Members of near copies differ by edits of their own, so
+that hardly any pair is left. What remains is confirmed on full sets too. So no
+link is lost but one whose ends share the least depth in no order: one in a
+million at a similarity of 0.75, fewer above. The result does not depend on the
+partitions.
 
 Nulls and odd input: a document without words has an empty set and is a component
 of its own, as is one with a null text; a null id gets a null component; repeated
@@ -41,10 +42,10 @@ from .common import SLICE_ROWS, WordHashes, bitmap_bucket, bitmap_may_hold, comm
 from .components import connected_components
 
 SIGNATURE = 64
-ORDERS = 16
+ORDERS = 36
 #: Signature values that a row of an order holds, and how many of the first a region shares.
-DEPTH = 8
-LEAST_DEPTH = 2
+DEPTH = 6
+LEAST_DEPTH = 4
 #: Least equal values of 64 for a pair to be confirmed: at a similarity of 0.75 fewer occur in one of a hundred million pairs.
 LEAST_EQUAL = 28
 #: Percent of the union that two sets must share.
@@ -61,16 +62,18 @@ _BLOCK = 4096
 COUNT_BUCKETS = 1 << 21
 
 
-def _class_bounds() -> np.ndarray:
-    bounds = [0, 1, 2, 3, 4, 6, 8]
-    while bounds[-1] < 1 << 40:
-        bounds.append(bounds[-1] * 5 // 4)
-    return np.array(bounds, np.int64)
+def _order_values() -> list[list[int]]:
+    """The signature values of each order: blocks of the values in their own and in shuffled sequences, so that orders share hardly any of the least depth."""
+    shuffle = np.random.default_rng(5)
+    values: list[list[int]] = []
+    sequence = np.arange(SIGNATURE)
+    while len(values) < ORDERS:
+        values += [[int(sequence[(at + i) % SIGNATURE]) for i in range(DEPTH)] for at in range(0, SIGNATURE, LEAST_DEPTH)]
+        sequence = shuffle.permutation(SIGNATURE)
+    return values[:ORDERS]
 
 
-#: Least numbers of differences of the classes in which partners are looked up.
-CLASS_BOUNDS = _class_bounds()
-_LEAST, _MOST = CLASS_BOUNDS[:-1], CLASS_BOUNDS[1:] - 1
+ORDER_VALUES = _order_values()
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -140,10 +143,8 @@ def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def neighbours(classes: DataFrame) -> DataFrame:
     """(nth, prefix, set_key, before, depth): rows of the forest in regions of the least depth, each with the class before it and their longest common prefix."""
-    doubled = F.concat("signature", "signature")
-    orders = classes.select("set_key", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("nth"), doubled.alias("twice"))
-    label = F.substring("twice", F.col("nth") * F.lit(4 * SIGNATURE // ORDERS) + 1, F.lit(4 * DEPTH))
-    orders = orders.select("nth", label.alias("label"), "set_key")
+    labels = [F.concat(*[F.substring("signature", 4 * v + 1, 4) for v in values]) for values in ORDER_VALUES]
+    orders = classes.select("set_key", F.posexplode(F.array(*labels)).alias("nth", "label"))
     order = ["nth", "label", "set_key"]
     return map_batches(orders.repartitionByRange(*order).sortWithinPartitions(*order), _neighbour_batches, "nth int, prefix binary, set_key binary, before binary, depth int")
 
@@ -221,16 +222,17 @@ def _confirm_all(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col:
 
 
 def region_members(near: DataFrame, roots: DataFrame) -> DataFrame:
-    """(set_key, root, hub, hub_root): members of the regions in which several components meet, with each hub they are compared with.
+    """(set_key, root, hub, hub_root): members of the regions in which several components meet and some pair is no pair of neighbours, with each hub they are compared with.
 
     The hub is the member that meets most rows in all its regions, so that the
     regions of one crowd in the several orders have the same hub.
     """
     place = ["nth", "prefix"]
-    rows = near.select(*place, "set_key").distinct().join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
-    rows = stash(rows.select(*place, "set_key", F.coalesce("root", "set_key").alias("root")), "regions")
-    met = rows.groupBy(*place).agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most")).select(*place, "n")
-    members = stash(rows.join(stash(met, "met"), place), "members")
+    rows = near.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
+    rows = stash(rows.select(*place, "set_key", "before", F.coalesce("root", "set_key").alias("root")), "regions")
+    met = rows.groupBy(*place).agg(F.count("*").alias("n"), F.count("before").alias("pairs"), F.min("root").alias("least"), F.max("root").alias("most"))
+    met = met.where((F.col("least") != F.col("most")) & ((F.col("n") > 2) | (F.col("pairs") < 1))).select(*place, "n")
+    members = stash(rows.drop("before").join(stash(met, "met"), place), "members")
     weights = stash(members.groupBy("set_key").agg(F.sum("n").alias("weight")), "weights")
     hub = F.max_by(F.struct("set_key", "root"), F.struct("weight", "set_key"))
     hubs = stash(members.join(weights, "set_key").groupBy(*place).agg(hub.alias("hub")), "hubs")
@@ -258,22 +260,21 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def lookups(differences: int, size: int, hub_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(partner classes, lengths): how many of the first differences must be looked up for partners of each class.
+def lookups(differences: int, size: int, hub_size: int) -> int:
+    """How many of a member's first differences must be looked up to meet every partner.
 
-    A partner with at least so many differences has at most a certain size, which
-    bounds from below how many differences the two must share. Those that need
+    The fewer differences a partner has, the fewer must be shared; the fewest are
+    those of one as unlike the member as a linked one can be. Partners that need
     share none are both linked with the hub.
     """
-    largest = np.minimum(100 * size // LINK_PERCENT, hub_size + _LEAST)
-    shared = np.maximum(1, -(-(BOTH * (differences + _LEAST) - SAME * (size + largest)) // (2 * BOTH)))
-    near = BOTH * (_LEAST - differences) <= SAME * (size + 100 * size // LINK_PERCENT)
-    fits = np.flatnonzero(near & (shared <= differences) & (shared <= _MOST))
-    return fits, differences - shared[fits] + 1
+    largest = 100 * size // LINK_PERCENT
+    least = max(0, differences - SAME * (size + largest) // BOTH)
+    shared = -(-(BOTH * (differences + least) - SAME * (size + min(largest, hub_size + least))) // (2 * BOTH))
+    return differences - max(1, shared) + 1
 
 
-#: One row a class of partners and difference to look up; ``place`` is null in the rows of members that are linked with their hub.
-_SPOKE_SCHEMA = "place long, is_small boolean, is_large boolean, set_key binary, other binary, meets binary, own_left int, gone_left int, differences int, size int"
+#: One row a difference to look up; ``place`` is null in the rows of members that are linked with their hub.
+_SPOKE_SCHEMA = "place long, set_key binary, other binary, meets binary, own_left int, gone_left int, differences int, size int"
 
 
 def _spoke_function(shared):
@@ -296,29 +297,22 @@ def _spoke_function(shared):
                     own_often, gone_often = often(own), often(gone)
                     alone = int((own_often < 2).sum())  # a shingle of one text leads to no other
                     order = np.concatenate([own[np.lexsort((own, own_often))], gone[np.lexsort((gone, -gone_often))]])
-                    classes, lengths = lookups(differences, len(mine), len(theirs))
-                    took = np.maximum(lengths - alone, 0)
-                    if not took.sum():
+                    at = np.arange(alone, lookups(differences, len(mine), len(theirs)))
+                    if not len(at):
                         continue
-                    at = alone + np.concatenate([np.arange(n) for n in took])
-                    partner = np.repeat(classes, took)
-                    mean = np.searchsorted(CLASS_BOUNDS, differences, "right") - 1
-                    small, large = np.minimum(partner, mean), np.maximum(partner, mean)
-                    seed = np.uint64(int.from_bytes(hub[:8], "big"))
-                    place = finalise(finalise(order[at] ^ seed) + small.astype(np.uint64) * np.uint64(1 << 20) + large.astype(np.uint64))
+                    place = finalise(order[at] ^ np.uint64(int.from_bytes(hub[:8], "big")))
                     left = np.maximum(len(own) - at, 0), np.minimum(len(gone), differences - at)
-                    numbers.append(np.column_stack([place.view(np.int64), small == mean, large == mean, *left, np.full(len(at), differences), np.full(len(at), len(mine))]))
+                    numbers.append(np.column_stack([place.view(np.int64), *left, np.full(len(at), differences), np.full(len(at), len(mine))]))
                     owners.append(np.full(len(at), nth))
                 links = [i for i, x in enumerate(linked) if x]
-                table = np.concatenate(numbers) if numbers else np.empty((0, 7), np.int64)
+                table = np.concatenate(numbers) if numbers else np.empty((0, 5), np.int64)
                 whose = pa.array(np.concatenate([*owners, np.array(links, np.int64)]).astype(np.int64))
                 bare = lambda column, kind: pa.concat_arrays([pa.array(column).cast(kind), pa.nulls(len(links), kind)])
                 keys, roots, hubs = (pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1, 2))
                 meets = pa.array([r[3] if x else r[1] for r, x in zip(rows, linked, strict=True)], pa.binary())
                 other = pa.concat_arrays([roots.take(whose.slice(0, len(table))), hubs.take(whose.slice(len(table)))])
-                flags = [pa.concat_arrays([pa.array(table[:, i] > 0), pa.nulls(len(links), pa.bool_())]) for i in (1, 2)]
-                columns = [bare(table[:, 0], pa.int64()), *flags, keys.take(whose), other, meets.take(whose), *(bare(table[:, i], pa.int32()) for i in (3, 4, 5, 6))]
-                yield pa.RecordBatch.from_arrays(columns, ["place", "is_small", "is_large", "set_key", "other", "meets", "own_left", "gone_left", "differences", "size"])
+                columns = [bare(table[:, 0], pa.int64()), keys.take(whose), other, meets.take(whose), *(bare(table[:, i], pa.int32()) for i in (1, 2, 3, 4))]
+                yield pa.RecordBatch.from_arrays(columns, ["place", "set_key", "other", "meets", "own_left", "gone_left", "differences", "size"])
 
     return run
 
@@ -332,25 +326,35 @@ def compared_with_hubs(spokes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def difference_pairs(rows: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of different components that share a difference and may share enough."""
-    ends = rows.groupBy("place").agg(F.min("meets").alias("least"), F.max("meets").alias("most"), F.bool_or("is_small").alias("small"), F.bool_or("is_large").alias("large"))
-    several = stash(ends.where((F.col("least") != F.col("most")) & F.col("small") & F.col("large")).select("place"), "several")
+    ends = rows.groupBy("place").agg(F.min("meets").alias("least"), F.max("meets").alias("most"))
+    several = stash(ends.where(F.col("least") != F.col("most")).select("place"), "several")
     met = stash(rows.join(several, "place"), "met")
-    side = lambda flag, name: met.where(flag).select("place", (F.col("is_small") & F.col("is_large")).alias("alike"), F.struct("set_key", "other", "meets", "own_left", "gone_left", "differences", "size").alias(name))
+    side = lambda name: met.select("place", F.struct("set_key", "other", "meets", "own_left", "gone_left", "differences", "size").alias(name))
     l, r = F.col("l"), F.col("r")
     may_share = F.least(l["own_left"], r["own_left"]) + F.least(l["gone_left"], r["gone_left"])
     enough = may_share * (2 * BOTH) >= (l["differences"] + r["differences"]) * BOTH - (l["size"] + r["size"]) * SAME
     sizes = (l["size"] * 100 >= r["size"] * LINK_PERCENT) & (r["size"] * 100 >= l["size"] * LINK_PERCENT)
     apart = (l["other"] != r["other"]) & (l["meets"] != r["meets"])
-    once = ~F.col("alike") | (l["set_key"] < r["set_key"])
-    pairs = side("is_small", "l").join(side("is_large", "r").drop("alike"), "place").where(once & apart & sizes & enough)
-    return pairs.select(F.least(l["set_key"], r["set_key"]).alias("a"), F.greatest(l["set_key"], r["set_key"]).alias("b")).distinct()
+    pairs = side("l").join(side("r"), "place").where((l["set_key"] < r["set_key"]) & apart & sizes & enough)
+    return pairs.select(l["set_key"].alias("a"), r["set_key"].alias("b")).distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of the components ``roots`` with further links between their nodes or others."""
+    over = links
+    for side in ("a", "b"):
+        over = over.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    more = connected_components(over.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return moved.select("node", F.coalesce("top", "root").alias("root")).union(more)
 
 
 def link(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, root) over the classes that are linked with others."""
     near = stash(neighbours(classes), "neighbours")
     links = _confirm_all(candidates(near), classes, docs, id_col, text_col)
-    spokes = stash(region_members(near, connected_components(links)), "spokes")
+    roots = connected_components(links)
+    spokes = stash(region_members(near, roots), "spokes")
     keys = spokes.select("set_key").union(spokes.select("hub")).distinct()
     nodes = stash(classes.join(keys, "set_key").select("set_key", "doc_id", "text_key"), "nodes")
     texts = stash(texts_of(nodes, docs, id_col, text_col), "texts")
@@ -359,7 +363,7 @@ def link(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     likely = stash(likely_pairs(pairs, classes), "likely")
     more = stash(confirmed(likely.select("a", "b"), texts), "links")
     hubs = rows.where(F.col("place").isNull()).select(F.col("set_key").alias("a"), F.col("other").alias("b"))
-    return connected_components(links.union(hubs).union(more))
+    return _joined(roots, hubs.union(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
