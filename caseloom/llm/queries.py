@@ -62,7 +62,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removed_units(_read(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_runs(_read(spark, sf_dir, "documents")).drop("text_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -128,7 +128,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM m""",
     "op7_quality_rules": rf"""
         WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
-        rawl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM d),
+        rawl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM d),
         dup AS (SELECT doc_id, (count(*) - count(DISTINCT raw))::BIGINT AS n FROM rawl WHERE regexp_matches(raw, '{WORD}') GROUP BY doc_id),
         wi AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d),
         tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM wi),
@@ -136,10 +136,9 @@ ORACLE_SQL: dict[str, str] = {
         b AS (SELECT d.doc_id, d.source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
                      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
               FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
-        nl AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(raw), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM rawl JOIN d USING (doc_id)),
-        ul AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line DESC) AS nth FROM (SELECT DISTINCT doc_id, line FROM nl WHERE line <> '')),
-        top AS (SELECT doc_id, max(line) FILTER (nth = 1) AS l1, coalesce(max(line) FILTER (nth = 2), '') AS l2 FROM ul WHERE nth < 3 GROUP BY doc_id),
-        li AS (SELECT nl.*, CASE WHEN line = l1 THEN l2 ELSE l1 END AS document FROM nl JOIN top USING (doc_id) WHERE line <> ''),
+        nl AS (SELECT doc_id, source, nth, trim(regexp_replace(regexp_replace(lower(raw), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM rawl JOIN d USING (doc_id)),
+        named AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY nth) AS document FROM nl WHERE line <> '' GROUP BY doc_id),
+        li AS (SELECT nl.*, document FROM nl JOIN named USING (doc_id) WHERE line <> ''),
         held AS (SELECT source, line, count(DISTINCT document) AS n FROM li GROUP BY ALL),
         hosts AS (SELECT source, count(DISTINCT document) AS n FROM li GROUP BY ALL),
         found AS (SELECT held.source, line FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE held.n > 20 AND held.n * 100 > hosts.n),
@@ -167,15 +166,21 @@ ORACLE_SQL: dict[str, str] = {
         d AS (SELECT id, width, unnest(list_distinct(list_transform(range(1, len(ws) - width + 2), lambda k: array_to_string(ws[k:k + width - 1], ' ')))) AS gram FROM words, widths WHERE kind = 'd' AND len(ws) >= width)
         SELECT d.id AS doc_id, i.id AS item_id, any_value(n_item)::BIGINT AS n_item, count(*)::BIGINT AS n_shared
         FROM d JOIN i ON d.gram = i.gram AND d.width = i.width JOIN n ON n.id = i.id GROUP BY d.id, i.id HAVING 100 * count(*) >= 75 * any_value(n_item)""",
-    "op10_substring_dedup": rf"""
-        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents),
-        o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
-        u AS (SELECT doc_id, start, start + length(line) AS "end", len(regexp_extract_all(line, '{WORD}')) AS words, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
-                     row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS unit FROM o WHERE regexp_matches(line, '{WORD}')),
-        r AS (SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start, row_number() OVER w AS rank FROM u WINDOW w AS (PARTITION BY norm ORDER BY doc_id, unit)),
-        g AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM r WHERE rank > 1),
-        s AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM g)
-        SELECT doc_id, unit::INTEGER AS unit, start::INTEGER AS start, "end"::INTEGER AS "end", words::INTEGER AS words, first_doc_id, first_start::INTEGER AS first_start FROM s WHERE run_words >= 50""",
+    # every window of 50 words is compared with all others, by its text
+    "op10_substring_dedup": r"""
+        WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), 1) AS nth FROM documents),
+        o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY nth) AS upto FROM p),
+        w AS (SELECT doc_id, translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, upto - length(piece) AS low, upto AS high,
+                     row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS nr FROM o WHERE regexp_matches(piece, '[^\x20\x09-\x0D]')),
+        d AS (SELECT doc_id, list(word ORDER BY nr) AS ws FROM w GROUP BY doc_id HAVING count(*) >= 50),
+        x AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i:i + 49], ' ')))) AS h, unnest(range(len(ws) - 49)) AS nr FROM d),
+        f AS (SELECT *, first_value(doc_id) OVER v AS first_doc_id, first_value(nr) OVER v AS first_at FROM x WINDOW v AS (PARTITION BY h ORDER BY doc_id, nr)),
+        r AS (SELECT * FROM f WHERE doc_id <> first_doc_id OR nr - first_at >= 50),
+        g AS (SELECT *, coalesce(nr > lag(nr) OVER (PARTITION BY doc_id ORDER BY nr) + 50, true) AS opens FROM r),
+        n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY nr) AS run FROM g),
+        s AS (SELECT doc_id, min(nr) AS a, max(nr) + 49 AS b, arg_min(first_doc_id, nr) AS first_doc_id, arg_min(first_at, nr) AS first_at FROM n GROUP BY doc_id, run)
+        SELECT s.doc_id, l.low::INTEGER AS start, h.high::INTEGER AS "end", (b - a + 1)::INTEGER AS words, first_doc_id, k.low::INTEGER AS first_start
+        FROM s JOIN w l ON l.doc_id = s.doc_id AND l.nr = a JOIN w h ON h.doc_id = s.doc_id AND h.nr = b JOIN w k ON k.doc_id = first_doc_id AND k.nr = first_at""",
 }
 
 

@@ -1,78 +1,247 @@
-"""Substring dedup by line hashing.
-
-The units are a text's lines that hold a word. Each is normalised (lower case,
-white space collapsed) and hashed; digests are grouped over the whole corpus and
-the occurrence that ranks first, by document id and then place, is kept. Later
-occurrences are removed where they stand in a run of consecutive repeated units of
-at least ``LEAST_RUN_WORDS`` words, so that a passage of several lines goes as a
-whole and a short line that two texts happen to share stays. Offsets in code
-points of the original text are retained.
-
-Nulls and odd input: a null or empty text has no units; a null id ranks first; rows
-with one id are one document, so a repeated row does not remove its like; an empty
-table gives no rows; columns other than id and text are not read.
+"""Removal of passages that repeat across documents, by hashes of units that stand inside lines too.
+
+A passage is repeated if ``least_words`` words in a row, A-Z lower-cased and apart
+from white space, also occur earlier, by document id, text and place, without
+overlap. The earliest occurrence is kept; of every other the words that any such
+window covers are given as runs, with offsets in code points of the text.
+
+Lines as units miss passages inside a line, so a unit here is a paragraph whose
+bounds the words set: a bound lies between two words whose joint hash falls in one
+of ``BOUND`` classes, so that a passage is cut alike wherever it stands. Unit
+digests are grouped over the whole corpus. A window can only be repeated if all
+units inside it are, so only such windows, and the few that hold no whole unit,
+are hashed themselves, and these hashes are grouped in turn: the earliest stays.
+Copies of whole texts are told by one digest and take no part in this.
+
+Nulls and odd input: a null text, or one with fewer words than a passage, has no
+rows; a null id ranks first; rows equal in id and text are one document, so a
+repeated row does not remove its like; two texts with one id are two documents;
+an empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SLICE_ROWS, map_batches, stash
+from .common import SLICE_ROWS, WordHashes, bitmap_bucket, bitmap_may_hold, finalise, hashed_words, key_bitmap, map_batches, stash
+
+LEAST_WORDS = 50
+#: One in so many places between two words is a bound of units.
+BOUND = 8
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as were asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, np.uint64))]) for x in (self.base, self.inverse))
+        return self.up[:n], self.down[:n]
+
+
+def spans(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, powers: Powers) -> np.ndarray:
+    """A hash of the words from ``first`` up to ``last`` (not included), for arrays of both."""
+    up, down = powers.of(len(hashes) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
+    return finalise((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+def bounds(hashes: np.ndarray) -> np.ndarray:
+    """Numbers of the words before which a unit ends and the next begins."""
+    both = finalise(hashes[:-1] + finalise(hashes[1:]))
+    return np.flatnonzero(both % np.uint64(BOUND) == 0) + 1
+
+
+def windows(n_words: int, cuts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``least`` words the first of the units inside it, and the one behind the last."""
+    at = np.arange(n_words - least + 1)
+    first = np.searchsorted(cuts, at + 1)
+    return first, np.maximum(np.searchsorted(cuts, at + least - 1, "right") - 1, first)
+
+
+def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Code points before each word and up to its end."""
+    raw = np.frombuffer(text, np.uint8)
+    word = np.concatenate([[False], ~_SPACES[raw], [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return points[edges[::2]], points[edges[1::2]]
+
+
+class Hasher:
+    """Hashes of one worker: words, units, windows."""
+
+    def __init__(self, least: int):
+        self.least, self.cache = least, WordHashes()
+        self.powers = [Powers(b) for b in _BASES]
+
+    def words(self, text: bytes | None) -> np.ndarray:
+        return hashed_words(text, self.cache)
+
+    def window_rows(self, text: bytes, hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """hash, check, at, start and end of the windows that begin at the words ``at``."""
+        start, end = places(text)
+        value = spans(hashes, at, at + self.least, self.powers[0])
+        check = spans(finalise(hashes), at, at + self.least, self.powers[1])
+        return [value.view(np.int64), (check >> np.uint64(33)).astype(np.int64), at, start[at], end[at + self.least - 1]]
+
+
+_NUMBERS = ["hash", "check", "at", "start", "end"]
+_WINDOW_SCHEMA = "hash long, check int, at int, start int, end int"
+
+
+def _numbers(rows: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array(rows[0], pa.int64()), *(pa.array(x.astype(np.int32), pa.int32()) for x in rows[1:])]
+
+
+def _piece_function(least: int):
+    """Rows of three kinds: a document (``unit`` -1), a unit of it, and (``unit`` null) a window without a whole unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(least)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                docs, whole, units, unit_hashes, open_docs, open_windows = [], [], [], [], [], []
+                for nth, text in enumerate(part.column("text").to_pylist()):
+                    hashes = hasher.words(text)
+                    if len(hashes) < least:
+                        continue
+                    cuts = bounds(hashes)
+                    first, behind = windows(len(hashes), cuts, least)
+                    low, high = places(text)
+                    digest = np.array([0, len(hashes), low[0], high[-1]])
+                    docs.append(np.full(max(len(cuts), 1), nth))
+                    whole += [xxhash.xxh3_128_digest(hashes.tobytes())] * max(len(cuts), 1)
+                    units.append(np.arange(-1, max(len(cuts), 1) - 1))
+                    own = np.zeros((5, max(len(cuts), 1)), np.int64)
+                    own[1:, 0] = digest
+                    if len(cuts) > 1:
+                        own[0, 1:] = spans(hashes, cuts[:-1], cuts[1:], hasher.powers[0]).view(np.int64)
+                    unit_hashes.append(own)
+                    bare = np.flatnonzero(behind == first)
+                    if len(bare):
+                        open_docs.append(np.full(len(bare), nth))
+                        open_windows.append(np.stack(hasher.window_rows(text, hashes, bare)))
+                if not docs:
+                    continue
+                n_open = sum(map(len, open_docs))
+                who = pa.array(np.concatenate(docs + open_docs), pa.int64())
+                numbers = _numbers(list(np.concatenate(unit_hashes + open_windows, axis=1)))
+                unit = pa.concat_arrays([pa.array(np.concatenate(units), pa.int32()), pa.nulls(n_open, pa.int32())])
+                keys = pa.concat_arrays([pa.array(whole, pa.binary()), pa.nulls(n_open, pa.binary())])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("text_key").take(who), keys, unit, *numbers], ["doc_id", "text_key", "whole", "unit", *_NUMBERS])
+
+    return run
+
+
+def _window_function(least: int):
+    """Windows whose units are all among the given ones, of which each holds at least one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(least)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                docs, rows = [], []
+                for nth, (text, units) in enumerate(zip(part.column("text").to_pylist(), part.column("units"), strict=True)):
+                    hashes = hasher.words(text)
+                    cuts = bounds(hashes)
+                    first, behind = windows(len(hashes), cuts, least)
+                    known = np.zeros(len(cuts) + 1, np.int64)
+                    known[np.asarray(units.values) + 1] = 1
+                    upto = np.cumsum(known)
+                    at = np.flatnonzero((behind > first) & (upto[behind] - upto[first] == behind - first))
+                    if len(at):
+                        docs.append(np.full(len(at), nth))
+                        rows.append(np.stack(hasher.window_rows(text, hashes, at)))
+                if docs:
+                    who = pa.array(np.concatenate(docs), pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("text_key").take(who), *_numbers(list(np.concatenate(rows, axis=1)))], ["doc_id", "text_key", *_NUMBERS])
+
+    return run
+
+
+def _same_document(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
+
 
-LEAST_RUN_WORDS = 50
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
 
 
-def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each line that holds a word."""
-    found, at = [], 0
-    for line in (text or "").split("\n"):
-        words = line.lower().encode("utf-8", "surrogatepass").split()
-        if words:
-            found.append((at, at + len(line), len(words), xxhash.xxh3_128_digest(b" ".join(words))))
-        at += len(line) + 1
-    return found
+def _copies(pieces: DataFrame) -> DataFrame:
+    """Documents whose words an earlier document has in the same order: one run each."""
+    documents = pieces.where(F.col("unit") == -1)
+    firsts = documents.groupBy("whole").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("first"), F.max(F.struct("doc_id", "text_key")).alias("last"))
+    several = firsts.where(~(F.struct("first.doc_id", "first.text_key").eqNullSafe(F.col("last")))).drop("last")
+    joined = documents.alias("d").join(stash(several, "firsts").alias("f"), "whole").where(~(F.col("d.doc_id").eqNullSafe(F.col("f.first.doc_id")) & (F.col("d.text_key") == F.col("f.first.text_key"))))
+    return joined.select("d.doc_id", "d.text_key", "d.start", "d.end", F.col("d.at").alias("words"), F.col("f.first.doc_id").alias("first_doc_id"), F.col("f.first.start").alias("first_start")).distinct()
 
 
-def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
-            rows = [(i, n, *u) for i, text in enumerate(part.column("text").to_pylist()) for n, u in enumerate(units(text))]
-            if rows:
-                where, *columns = zip(*rows, strict=True)
-                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(where, pa.int64())), *arrays], ["doc_id", "unit", "start", "end", "words", "digest"])
+def _marked_windows(pieces: DataFrame, copies: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
+    """Windows whose units all occur again, and those without a whole unit, of documents that are no copies."""
+    units = pieces.where(F.col("unit") >= 0).select("doc_id", "text_key", "unit", "hash", F.xxhash64("whole", "unit").alias("place"))
+    ends = units.groupBy("hash").agg(F.min("place").alias("least"), F.max("place").alias("most"))
+    again = units.drop("place").join(stash(ends.where(F.col("least") != F.col("most")).select("hash"), "repeated"), "hash")
+    marks = again.groupBy("doc_id", "text_key").agg(F.collect_set("unit").alias("units"))
+    marks = stash(marks.alias("m").join(copies.alias("c"), _same_document("m", "c"), "left_anti"), "marks")
+    bitmap = key_bitmap(marks, "text_key")
+    likely = keyed.join(F.broadcast(bitmap), bitmap_bucket(F.col("text_key")) == F.col("bucket")).where(bitmap_may_hold(F.col("bits"), F.col("text_key")))
+    texts = likely.select("doc_id", "text_key", "text").alias("d").join(marks.alias("m"), _same_document("d", "m")).select("d.doc_id", "d.text_key", "d.text", "m.units")
+    id_type = keyed.schema["doc_id"].dataType.simpleString()
+    found = map_batches(texts, _window_function(least), f"doc_id {id_type}, text_key long, {_WINDOW_SCHEMA}")
+    bare = pieces.where(F.col("unit").isNull()).select("doc_id", "text_key", *_NUMBERS).alias("w").join(copies.alias("c"), _same_document("w", "c"), "left_anti")
+    return found.unionByName(bare)
 
 
-def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Units to remove: id, unit (number among the text's units), start, end, words, first_doc_id and first_start of the kept occurrence."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stash(map_batches(narrow, _unit_batches, f"doc_id {id_type}, unit int, start int, end int, words int, digest binary"), "units")
-    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "unit", "start")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    firsts = stash(firsts, "firsts")  # so that the join below is a plain one, whose hot digests adaptive execution can split
-    again = rows.join(firsts, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit"))))
-    again = again.select("doc_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
-    run = F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("unit"))
-    in_runs = again.withColumn("run", run).withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run")))
-    return in_runs.where(F.col("run_words") >= LEAST_RUN_WORDS).select(F.col("doc_id").alias(id_col), "unit", "start", "end", "words", "first_doc_id", "first_start")
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Runs to remove: id, text_key, start, end, words, first_doc_id and first_start (where the run's first window occurs first)."""
+    if least_words < 2:
+        raise ValueError("a passage has two words at least")
+    id_type, keyed = docs.schema[id_col].dataType.simpleString(), _keyed(docs, id_col, text_col)
+    pieces = stash(map_batches(keyed, _piece_function(least_words), f"doc_id {id_type}, text_key long, whole binary, unit int, {_WINDOW_SCHEMA}"), "pieces")
+    copies = stash(_copies(pieces), "copies")
+    found = stash(_marked_windows(pieces, copies, keyed, least_words), "windows")
+    firsts = found.groupBy("hash", "check").agg(F.min(F.struct("doc_id", "text_key", "at", "start")).alias("first"), F.max(F.struct("doc_id", "text_key", "at")).alias("last"))
+    firsts = firsts.where(~F.struct("first.doc_id", "first.text_key", "first.at").eqNullSafe(F.col("last"))).drop("last")
+    firsts = stash(firsts, "firsts")  # so that the join below is a plain one, whose hot hashes adaptive execution can split
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    again = found.join(firsts, ["hash", "check"]).where(~own | (F.col("at") - F.col("first.at") >= least_words))
+    again = again.select("doc_id", "text_key", "at", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    w = Window.partitionBy("doc_id", "text_key").orderBy("at")
+    opens = F.coalesce(F.col("at") > F.lag("at").over(w) + least_words, F.lit(True)).cast("int")
+    numbered = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = F.min_by(F.struct("first_doc_id", "first_start"), "at")
+    runs = numbered.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + least_words).cast("int").alias("words"), first.alias("f"))
+    every = runs.select("doc_id", "text_key", "start", "end", "words", "f.first_doc_id", "f.first_start").unionByName(copies)
+    return every.withColumnRenamed("doc_id", id_col)
 
 
 def without_repeats(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed units, and the line ends behind them, taken out of the text; every row and column stays."""
-    spans = removed.groupBy(F.col(id_col).alias("removed_id")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = docs.alias("d").join(spans.alias("s"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.removed_id")), "left")
+    """``docs`` with the runs of ``removed`` (id, text_key, start, end), and the white space behind each, taken out of the text; every row and column stays."""
+    spans_ = removed.groupBy(F.col(id_col).alias("removed_id"), F.col("text_key").alias("removed_key")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.removed_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("s.removed_key"))
+    joined = docs.alias("d").join(spans_.alias("s"), same, "left")
     text = F.col(f"d.`{text_col}`")
+    ordered = F.array_sort("s.spans")
     # what stays lies between the spans: from behind one to the start of the next
-    ordered = F.array_sort(F.coalesce(F.col("s.spans"), F.array().cast("array<struct<start:int,end:int>>")))
-    edges = F.concat(F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))), ordered)
-    stays = F.transform(edges, lambda s, i: F.substr(text, s["end"] + 2, F.greatest(F.lit(0), F.coalesce(F.get(edges, i + 1)["start"], F.length(text)) - s["end"] - 1)))
-    cut = F.when(F.size(ordered) == 0, text).otherwise(F.array_join(stays, ""))
+    head = F.substr(text, F.lit(1), F.get(ordered, F.lit(0))["start"])
+    tails = F.transform(ordered, lambda s, i: F.regexp_replace(F.substr(text, s["end"] + 1, F.coalesce(F.get(ordered, i + 1)["start"], F.length(text)) - s["end"]), r"^[\x20\x09-\x0D]+", ""))
+    cut = F.when(F.col("s.spans").isNull(), text).otherwise(F.concat(head, F.array_join(tails, "")))
     return joined.select(*[cut.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])

@@ -4,7 +4,9 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from caseloom.llm import chat_format, common, components, decontamination, language_id, mixing, near_dedup, quality_rules, queries, sharding, substring_dedup, token_counts, warc
@@ -179,6 +181,53 @@ def test_dense_region_keeps_planted_links(spark):
     assert got == {i: i % 5000 for i in texts}
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 200])
+def test_components_do_not_depend_on_partitions(spark, partitions):
+    """Crowds at every similarity around the border, some of them with edits in common."""
+    r = random.Random(29)
+    new = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
+    texts, doc = {}, 0
+    for _ in range(3):
+        base, edits = new(120), [(r.randrange(120), new(1)) for _ in range(12)]
+        for _ in range(70):
+            words = list(base)
+            for at in r.sample(range(120), r.randrange(0, 7)):
+                words[at : at + 1] = new(r.choice([0, 1, 1, 2]))
+            for at, word in r.sample(edits, r.randrange(0, 4)):
+                words[min(at, len(words) - 1)] = word[0]
+            texts[doc] = " ".join(words + new(r.choice([0, 0, 25])))
+            doc += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = brute_components(texts)
+    assert got == want and 3 < len({c for _, c in want.values()}) < len(want)
+
+
+def test_lookups_meet_every_linked_pair():
+    """Two linked members that need share differences look up more than either has apart, so that one that both have is among the first of both."""
+    r = np.random.default_rng(3)
+    seen = 0
+    while seen < 3000:
+        hub = int(r.integers(1, 300))
+        own, gone = r.integers(0, 60, 2), r.integers(0, min(hub, 60), 2)
+        shared = int(r.integers(0, own.min() + 1)) + int(r.integers(0, gone.min() + 1))
+        sizes, apart = hub - gone + own, own + gone
+        linked = sizes.min() > 0 and 175 * (apart.sum() - 2 * shared) <= 25 * sizes.sum()
+        if not linked or all(175 * d <= 25 * (s + hub) for d, s in zip(apart, sizes, strict=True)):
+            continue
+        seen += 1
+        assert shared > 0
+        for x in (0, 1):
+            assert near_dedup.lookups(int(apart[x]), int(sizes[x]), hub) >= apart[x] - shared + 1
+
+
 def test_near_duplicates_odd_input(odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
@@ -359,20 +408,68 @@ def test_contained_items(spark):
 # substrings
 
 
+def brute_runs(texts, least):
+    """Runs of words covered by windows that occur earlier without overlap; documents rank by their order in ``texts``."""
+    first, runs = {}, defaultdict(list)
+    for doc, text in enumerate(texts):
+        words = [w for w in regex.finditer(r"[^\x20\x09-\x0D]+", text)]
+        keys = [tuple(w[0].encode().lower() for w in words[i : i + least]) for i in range(len(words) - least + 1)]
+        for at, key in enumerate(keys):
+            seen = first.setdefault(key, (doc, at))
+            if seen[0] < doc or at - seen[1] >= least:
+                if runs[doc] and runs[doc][-1][1] >= at:
+                    runs[doc][-1][1] = at + least
+                else:
+                    runs[doc].append([at, at + least])
+        runs[doc] = [(words[a].start(), words[b - 1].end(), b - a) for a, b in runs[doc]]
+    return {d: r for d, r in runs.items() if r}
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_repeats_equal_brute_force(spark, partitions):
+    r = random.Random(7)
+    word = lambda n: [r.choice(["é", "W", "x"]) + str(r.randrange(n)) for _ in range(r.randrange(1, 60))]
+    shared = [word(50) for _ in range(8)]
+    texts = []
+    for _ in range(120):
+        parts = [r.choice(shared)[r.randrange(4) :] if r.random() < 0.5 else word(50) for _ in range(r.randrange(1, 6))]
+        texts.append("".join(w + r.choice([" ", "  ", "\n", "\t "]) for p in parts for w in p))
+    texts += [texts[3], texts[4].upper().replace("É", "é"), "same " * 70, " ".join(map(str, range(30))) * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions)
+    got = defaultdict(list)
+    for x in substring_dedup.repeated_runs(docs, 9).collect():
+        got[x["doc_id"]].append((x["start"], x["end"], x["words"]))
+    assert {d: sorted(x) for d, x in got.items()} == brute_runs(texts, 9)
+
+
+def test_passages_inside_lines_are_found(spark):
+    r = random.Random(5)
+    own = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = own(60)
+    docs = spark.createDataFrame([(i, f"{own(30)} {passage} {own(30)}") for i in range(50)], "doc_id long, text string")
+    removed = substring_dedup.repeated_runs(docs)
+    assert sorted((x["doc_id"], x["words"], x["first_doc_id"]) for x in removed.collect()) == [(i, 60, 0) for i in range(1, 50)]
+    cut = substring_dedup.without_repeats(docs, removed).where("doc_id > 0").collect()
+    assert len(cut) == 49 and all(len(x["text"].split()) == 60 and passage not in x["text"] for x in cut)
+
+
 def test_repeats_are_cut_where_they_stand(spark):
     passage = "\n".join(" ".join(f"p{j}w{k}" for k in range(30)) for j in range(2))
-    data = [(1, "intro\n" + passage + "\nend"), (2, passage.upper() + "\nown words"), (3, "intro\nsomething else"), (4, None), (2, passage.upper() + "\nown words")]
+    data = [(1, "intro\n" + passage + "\nend"), (2, passage.upper() + "\nown words"), (3, "intro\nsomething else"), (4, None), (2, passage.upper() + "\nown words"), (2, "another text of that id " + passage)]
     docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("spans", F.lit("clash"))
-    removed = substring_dedup.removed_units(docs)
-    assert {(r["doc_id"], r["unit"], r["first_doc_id"]) for r in removed.collect()} == {(2, 0, 1), (2, 1, 1)}
-    texts = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs, removed).collect()}
-    assert texts == {1: data[0][1], 2: "own words", 3: data[2][1], 4: None}
+    removed = substring_dedup.repeated_runs(docs)
+    assert sorted((x["doc_id"], x["words"], x["first_doc_id"], x["first_start"]) for x in removed.collect()) == [(2, 60, 1, 6), (2, 60, 1, 6)]
+    texts = sorted((x["doc_id"], x["text"]) for x in substring_dedup.without_repeats(docs, removed).collect() if x["text"])
+    assert texts == [(1, data[0][1]), (2, "another text of that id "), (2, "own words"), (2, "own words"), (3, data[2][1])]
 
 
 def test_substring_odd_input(odd, empty):
-    cut = substring_dedup.without_repeats(odd, substring_dedup.removed_units(odd))
+    removed = substring_dedup.repeated_runs(odd)
+    cut = substring_dedup.without_repeats(odd, removed)
     assert cut.columns == odd.columns and cut.count() == odd.count()
-    assert substring_dedup.removed_units(empty).count() == 0
+    # the text without an id ranks first, and its other copies go; the periodic text keeps one window
+    assert {(x["doc_id"], x["words"]) for x in removed.collect()} == {(5, 80), (6, 80), (7, 76), (8, 29_950), (10, 160)}
+    assert substring_dedup.repeated_runs(empty).count() == 0
 
 
 # shared and pipeline
