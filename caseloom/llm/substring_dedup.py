@@ -7,11 +7,13 @@ window covers are given as runs, with offsets in code points of the text.
 
 Lines as units miss passages inside a line, so a unit here is a paragraph whose
 bounds the words set: a bound lies between two words whose joint hash falls in one
-of ``BOUND`` classes, so that a passage is cut alike wherever it stands. Unit
-digests are grouped over the whole corpus. A window can only be repeated if all
+of ``BOUND`` classes, so that a passage is cut alike wherever it stands. Digests of
+units are grouped over the whole corpus. A window can only be repeated if all
 units inside it are, so only such windows, and the few that hold no whole unit,
 are hashed themselves, and these hashes are grouped in turn: the earliest stays.
-Copies of whole texts are told by one digest and take no part in this.
+Units of a few words are in every text and decide nothing. Copies of whole texts
+are told by one digest and take no part in this; a window that a text has more
+than once is one row with all its places.
 
 Nulls and odd input: a null text, or one with fewer words than a passage, has no
 rows; a null id ranks first; rows equal in id and text are one document, so a
@@ -35,6 +37,8 @@ from .common import SLICE_ROWS, WordHashes, bitmap_bucket, bitmap_may_hold, fina
 LEAST_WORDS = 50
 #: One in so many places between two words is a bound of units.
 BOUND = 8
+#: Units of fewer words are left out.
+LEAST_UNIT = 4
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -67,11 +71,17 @@ def bounds(hashes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(both % np.uint64(BOUND) == 0) + 1
 
 
-def windows(n_words: int, cuts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``least`` words the first of the units inside it, and the one behind the last."""
-    at = np.arange(n_words - least + 1)
-    first = np.searchsorted(cuts, at + 1)
-    return first, np.maximum(np.searchsorted(cuts, at + least - 1, "right") - 1, first)
+class Units:
+    """The units of a text that count: where they begin and end, in words, and how many of them each window of ``least`` words holds whole."""
+
+    def __init__(self, hashes: np.ndarray, least: int):
+        cuts = bounds(hashes)
+        counts = np.diff(cuts) >= LEAST_UNIT
+        self.low, self.high = cuts[:-1][counts], cuts[1:][counts]
+        at = np.arange(len(hashes) - least + 1)
+        # a bound is known from the words on both sides of it, so both must stand in the window
+        self.first = np.searchsorted(self.low, at + 1)
+        self.behind = np.maximum(np.searchsorted(self.high, at + least - 1, "right"), self.first)
 
 
 def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -93,16 +103,23 @@ class Hasher:
     def words(self, text: bytes | None) -> np.ndarray:
         return hashed_words(text, self.cache)
 
-    def window_rows(self, text: bytes, hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        """hash, check, at, start and end of the windows that begin at the words ``at``."""
+    def window_rows(self, text: bytes, hashes: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[list[int] | None]]:
+        """hash, check, at, start and end of the windows that begin at the words ``at``, equal ones at their first place; and at, start and end of their other places."""
         start, end = places(text)
         value = spans(hashes, at, at + self.least, self.powers[0])
-        check = spans(finalise(hashes), at, at + self.least, self.powers[1])
-        return [value.view(np.int64), (check >> np.uint64(33)).astype(np.int64), at, start[at], end[at + self.least - 1]]
+        check = spans(finalise(hashes), at, at + self.least, self.powers[1]) >> np.uint64(33)
+        numbers = np.stack([value.view(np.int64), check.astype(np.int64), at, start[at], end[at + self.least - 1]])
+        order = np.lexsort((at, check, value))
+        fresh = np.concatenate([[True], (value[order[1:]] != value[order[:-1]]) | (check[order[1:]] != check[order[:-1]])])
+        heads = np.flatnonzero(fresh)
+        sizes = np.diff(np.concatenate([heads, [len(order)]]))
+        more = [None if n == 1 else numbers[2:, order[h + 1 : h + n]].T.ravel().tolist() for h, n in zip(heads, sizes, strict=True)]
+        return numbers[:, order[heads]], more
 
 
 _NUMBERS = ["hash", "check", "at", "start", "end"]
-_WINDOW_SCHEMA = "hash long, check int, at int, start int, end int"
+_WINDOW_SCHEMA = "hash long, check int, at int, start int, end int, more array<int>"
+_MORE = pa.list_(pa.int32())
 
 
 def _numbers(rows: list[np.ndarray]) -> list[pa.Array]:
@@ -110,42 +127,45 @@ def _numbers(rows: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _piece_function(least: int):
-    """Rows of three kinds: a document (``unit`` -1), a unit of it, and (``unit`` null) a window without a whole unit."""
+    """Rows of three kinds: a document (``unit`` -1: at is its number of words), a unit of it (from the end of the unit before to the start of the one behind), and (``unit`` null) a window without a whole unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(least)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                docs, whole, units, unit_hashes, open_docs, open_windows = [], [], [], [], [], []
+                docs, whole, units, tables, open_docs, open_windows, more = [], [], [], [], [], [], []
                 for nth, text in enumerate(part.column("text").to_pylist()):
                     hashes = hasher.words(text)
-                    if len(hashes) < least:
+                    n_words = len(hashes)
+                    if n_words < least:
                         continue
-                    cuts = bounds(hashes)
-                    first, behind = windows(len(hashes), cuts, least)
-                    low, high = places(text)
-                    digest = np.array([0, len(hashes), low[0], high[-1]])
-                    docs.append(np.full(max(len(cuts), 1), nth))
-                    whole += [xxhash.xxh3_128_digest(hashes.tobytes())] * max(len(cuts), 1)
-                    units.append(np.arange(-1, max(len(cuts), 1) - 1))
-                    own = np.zeros((5, max(len(cuts), 1)), np.int64)
-                    own[1:, 0] = digest
-                    if len(cuts) > 1:
-                        own[0, 1:] = spans(hashes, cuts[:-1], cuts[1:], hasher.powers[0]).view(np.int64)
-                    unit_hashes.append(own)
-                    bare = np.flatnonzero(behind == first)
+                    own, (low, high) = Units(hashes, least), places(text)
+                    n = len(own.low)
+                    table = np.zeros((5, n + 1), np.int64)
+                    table[2:, 0] = n_words, low[0], high[-1]
+                    if n:
+                        table[0, 1:] = spans(hashes, own.low, own.high, hasher.powers[0]).view(np.int64)
+                        table[2, 1:] = np.concatenate([[0], own.low[:-1]])
+                        table[3, 1:] = np.concatenate([own.high[1:], [n_words]])
+                    docs.append(np.full(n + 1, nth))
+                    whole += [xxhash.xxh3_128_digest(hashes.tobytes())] * (n + 1)
+                    units.append(np.arange(-1, n))
+                    tables.append(table)
+                    bare = np.flatnonzero(own.behind == own.first)
                     if len(bare):
-                        open_docs.append(np.full(len(bare), nth))
-                        open_windows.append(np.stack(hasher.window_rows(text, hashes, bare)))
+                        numbers, others = hasher.window_rows(text, hashes, bare)
+                        open_docs.append(np.full(numbers.shape[1], nth))
+                        open_windows.append(numbers)
+                        more += others
                 if not docs:
                     continue
-                n_open = sum(map(len, open_docs))
                 who = pa.array(np.concatenate(docs + open_docs), pa.int64())
-                numbers = _numbers(list(np.concatenate(unit_hashes + open_windows, axis=1)))
-                unit = pa.concat_arrays([pa.array(np.concatenate(units), pa.int32()), pa.nulls(n_open, pa.int32())])
-                keys = pa.concat_arrays([pa.array(whole, pa.binary()), pa.nulls(n_open, pa.binary())])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("text_key").take(who), keys, unit, *numbers], ["doc_id", "text_key", "whole", "unit", *_NUMBERS])
+                numbers = _numbers(list(np.concatenate(tables + open_windows, axis=1)))
+                unit = pa.concat_arrays([pa.array(np.concatenate(units), pa.int32()), pa.nulls(len(more), pa.int32())])
+                keys = pa.concat_arrays([pa.array(whole, pa.binary()), pa.nulls(len(more), pa.binary())])
+                rest = pa.concat_arrays([pa.nulls(len(whole), _MORE), pa.array(more, _MORE)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("text_key").take(who), keys, unit, *numbers, rest], ["doc_id", "text_key", "whole", "unit", *_NUMBERS, "more"])
 
     return run
 
@@ -158,21 +178,23 @@ def _window_function(least: int):
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                docs, rows = [], []
+                docs, rows, more = [], [], []
                 for nth, (text, units) in enumerate(zip(part.column("text").to_pylist(), part.column("units"), strict=True)):
                     hashes = hasher.words(text)
-                    cuts = bounds(hashes)
-                    first, behind = windows(len(hashes), cuts, least)
-                    known = np.zeros(len(cuts) + 1, np.int64)
+                    own = Units(hashes, least)
+                    known = np.zeros(len(own.low) + 1, np.int64)
                     known[np.asarray(units.values) + 1] = 1
                     upto = np.cumsum(known)
-                    at = np.flatnonzero((behind > first) & (upto[behind] - upto[first] == behind - first))
+                    at = np.flatnonzero((own.behind > own.first) & (upto[own.behind] - upto[own.first] == own.behind - own.first))
                     if len(at):
-                        docs.append(np.full(len(at), nth))
-                        rows.append(np.stack(hasher.window_rows(text, hashes, at)))
+                        numbers, others = hasher.window_rows(text, hashes, at)
+                        docs.append(np.full(numbers.shape[1], nth))
+                        rows.append(numbers)
+                        more += others
                 if docs:
                     who = pa.array(np.concatenate(docs), pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(who), part.column("text_key").take(who), *_numbers(list(np.concatenate(rows, axis=1)))], ["doc_id", "text_key", *_NUMBERS])
+                    columns = [part.column("doc_id").take(who), part.column("text_key").take(who), *_numbers(list(np.concatenate(rows, axis=1))), pa.array(more, _MORE)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", *_NUMBERS, "more"])
 
     return run
 
@@ -196,17 +218,20 @@ def _copies(pieces: DataFrame) -> DataFrame:
 
 def _marked_windows(pieces: DataFrame, copies: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
     """Windows whose units all occur again, and those without a whole unit, of documents that are no copies."""
-    units = pieces.where(F.col("unit") >= 0).select("doc_id", "text_key", "unit", "hash", F.xxhash64("whole", "unit").alias("place"))
+    units = pieces.where(F.col("unit") >= 0).select("doc_id", "text_key", "unit", "hash", F.col("at").alias("low"), F.col("start").alias("high"), F.xxhash64("whole", "unit").alias("place"))
     ends = units.groupBy("hash").agg(F.min("place").alias("least"), F.max("place").alias("most"))
     again = units.drop("place").join(stash(ends.where(F.col("least") != F.col("most")).select("hash"), "repeated"), "hash")
-    marks = again.groupBy("doc_id", "text_key").agg(F.collect_set("unit").alias("units"))
+    # units that stand together, if a window fits between the units around them
+    island = F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id", "text_key").orderBy("unit"))
+    together = again.withColumn("island", island).groupBy("doc_id", "text_key", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("unit").alias("units"))
+    marks = together.where(F.col("high") - F.col("low") >= least).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("units")).alias("units"))
     marks = stash(marks.alias("m").join(copies.alias("c"), _same_document("m", "c"), "left_anti"), "marks")
     bitmap = key_bitmap(marks, "text_key")
     likely = keyed.join(F.broadcast(bitmap), bitmap_bucket(F.col("text_key")) == F.col("bucket")).where(bitmap_may_hold(F.col("bits"), F.col("text_key")))
     texts = likely.select("doc_id", "text_key", "text").alias("d").join(marks.alias("m"), _same_document("d", "m")).select("d.doc_id", "d.text_key", "d.text", "m.units")
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     found = map_batches(texts, _window_function(least), f"doc_id {id_type}, text_key long, {_WINDOW_SCHEMA}")
-    bare = pieces.where(F.col("unit").isNull()).select("doc_id", "text_key", *_NUMBERS).alias("w").join(copies.alias("c"), _same_document("w", "c"), "left_anti")
+    bare = pieces.where(F.col("unit").isNull()).select("doc_id", "text_key", *_NUMBERS, "more").alias("w").join(copies.alias("c"), _same_document("w", "c"), "left_anti")
     return found.unionByName(bare)
 
 
@@ -218,12 +243,19 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str =
     pieces = stash(map_batches(keyed, _piece_function(least_words), f"doc_id {id_type}, text_key long, whole binary, unit int, {_WINDOW_SCHEMA}"), "pieces")
     copies = stash(_copies(pieces), "copies")
     found = stash(_marked_windows(pieces, copies, keyed, least_words), "windows")
-    firsts = found.groupBy("hash", "check").agg(F.min(F.struct("doc_id", "text_key", "at", "start")).alias("first"), F.max(F.struct("doc_id", "text_key", "at")).alias("last"))
-    firsts = firsts.where(~F.struct("first.doc_id", "first.text_key", "first.at").eqNullSafe(F.col("last"))).drop("last")
+    ends = found.groupBy("hash", "check").agg(
+        F.min(F.struct("doc_id", "text_key", "at", "start")).alias("first"), F.max(F.struct("doc_id", "text_key", "at")).alias("last"), F.count("more").alias("several"),
+    )
+    firsts = ends.where((F.col("several") > 0) | ~F.struct("first.doc_id", "first.text_key", "first.at").eqNullSafe(F.col("last"))).drop("last", "several")
     firsts = stash(firsts, "firsts")  # so that the join below is a plain one, whose hot hashes adaptive execution can split
+    # the places of a row: its own and the triples of its others
+    nth = lambda i, k: F.get("more", 3 * i + k)
+    others = F.transform(F.sequence(F.lit(0), (F.size("more") / 3).cast("int") - 1), lambda i: F.struct(nth(i, 0).alias("at"), nth(i, 1).alias("start"), nth(i, 2).alias("end")))
+    every = F.concat(F.array(F.struct("at", "start", "end")), F.when(F.col("more").isNotNull(), others).otherwise(F.array().cast("array<struct<at:int,start:int,end:int>>")))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    again = found.join(firsts, ["hash", "check"]).where(~own | (F.col("at") - F.col("first.at") >= least_words))
-    again = again.select("doc_id", "text_key", "at", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    joined = found.join(firsts, ["hash", "check"]).select("doc_id", "text_key", "first", F.explode(every).alias("p"))
+    again = joined.where(~own | (F.col("p.at") - F.col("first.at") >= least_words))
+    again = again.select("doc_id", "text_key", "p.at", "p.start", "p.end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
     w = Window.partitionBy("doc_id", "text_key").orderBy("at")
     opens = F.coalesce(F.col("at") > F.lag("at").over(w) + least_words, F.lit(True)).cast("int")
     numbered = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
