@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,84 +22,94 @@ def first_key(text: Column, paths: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(text, p)), F.lit("")) for p in paths])
 
 
-def _is_object(text: str) -> bool:
+def _parsed(text: str) -> object:
     try:
-        return isinstance(json.loads(text), dict)
+        return json.loads(text)
     except ValueError:
-        return False
+        return None
+
+
+#: A fenced block around an object, to its nearest and to its farthest end.
+_FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.IGNORECASE | re.DOTALL)
+_WIDELY_FENCED = re.compile(r"```(?:json)?\s*(\{.*\})\s*```", re.DOTALL)
 
 
-def _object_in(text: str | None) -> str | None:
+def object_in(text: str | None) -> str | None:
+    """The text itself if it is an object, else the first fenced one, else the first that starts at any brace."""
     if text is None:
         return None
-    if _is_object(text):
-        return text
+    fence = _FENCED.search(text)
+    for whole in (text.strip(), fence and fence[1]):
+        if whole and isinstance(_parsed(whole), dict):
+            return whole
     decoder, at = json.JSONDecoder(), text.find("{")
     while at >= 0:
         try:
-            found, end = decoder.raw_decode(text, at)
-            if isinstance(found, dict):
-                return text[at:end]
+            return text[at : decoder.raw_decode(text, at)[1]]
         except ValueError:
-            pass
-        at = text.find("{", at + 1)
+            at = text.find("{", at + 1)
     return None
 
 
 def _embedded(texts: pd.Series) -> pd.Series:
-    return texts.map(_object_in)
+    return texts.map(object_in)
 
 
 def embedded_object(text: Column) -> Column:
     """The first JSON object inside a text; braces in strings do not count. Texts that parse whole stay with the built-in parser."""
     whole = F.try_parse_json(text)
     is_object = F.coalesce(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT")), F.lit(False))
-    return F.when(is_object, text).otherwise(F.pandas_udf(_embedded, "string")(text))
+    # a UDF runs before the CASE, so rows that need none hand it a null
+    found = F.pandas_udf(_embedded, "string")(F.when(~is_object, text))
+    return F.when(is_object, text).otherwise(found)
+
+
+def closed(text: str) -> str | None:
+    """Text with the closers that it lacks, in the right order; null if it lacks none, ends inside a string or closes what is not open."""
+    lacking: list[str] = []
+    at, in_string = 0, False
+    while at < len(text):
+        char = text[at]
+        if in_string and char == "\\":
+            at += 1
+        elif char == '"':
+            in_string = not in_string
+        elif not in_string and char in "{[":
+            lacking.append({"{": "}", "[": "]"}[char])
+        elif not in_string and char in "}]" and (not lacking or lacking.pop() != char):
+            return None
+        at += 1
+    return None if in_string or not lacking else text + "".join(reversed(lacking))
+
+
+def _balanced(text: str) -> str | None:
+    """From the first brace to where as many are closed as were opened; braces in strings count too."""
+    depth = 0
+    for brace in re.finditer(r"[{}]", text[(start := text.find("{")) :] if "{" in text else ""):
+        depth += 1 if brace[0] == "{" else -1
+        if depth == 0:
+            return text[start : start + brace.end()]
+    return None
 
 
-def closed(text: str | None) -> str | None:
-    """Text with the closers that it lacks, in the right order."""
-    if text is None:
+def repaired(text: str | None) -> str | None:
+    """The text if it is an object; where it is no JSON the widely fenced or balanced part, and where there is none the text closed. Null if that is no object."""
+    if text is None or isinstance(_parsed(text), dict):
+        return text
+    if _parsed(text) is not None or text.strip() == "null":
         return None
-    open_, in_string, escaped = [], False, False
-    for char in text:
-        if in_string:
-            in_string, escaped = escaped or char != '"', char == "\\" and not escaped
-        elif char == '"':
-            in_string = True
-        elif char in "{[":
-            open_.append("}" if char == "{" else "]")
-        elif char in "}]" and open_:
-            open_.pop()
-    return text + '"' * in_string + "".join(reversed(open_))
+    fence = _WIDELY_FENCED.search(text)
+    part = fence[1] if fence else _balanced(text)
+    made = part if part is not None else closed(text.strip())
+    return made if made is not None and isinstance(_parsed(made), dict) else None
 
 
 def _repaired(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _object_in(t) or _object_in(closed(t[t.find("{") :] if isinstance(t, str) and "{" in t else None)))
+    return texts.map(repaired)
 
 
 def repaired_object(text: Column) -> Column:
-    """Like ``embedded_object``, also closing what a cut-off text leaves open."""
-    return F.pandas_udf(_repaired, "string")(text)
-
-
-def _rendered(templates: pd.Series, values: pd.Series) -> pd.Series:
-    def one(text: str | None, given: str | None) -> str | None:
-        known = json.loads(given) if given else {}
-        return None if text is None else re.sub(r"\{\{\s*(\w+)\s*\}\}", lambda m: str(known.get(m[1], "")), text)
-
-    return pd.Series([one(t, v) for t, v in zip(templates, values, strict=True)], dtype=object)
-
-
-def rendered(template: Column, values: Column) -> Column:
-    """``{{ name }}`` replaced from a JSON object of values, once; a missing name becomes empty."""
-    return F.pandas_udf(_rendered, "string")(template, values)
-
-
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([bool(x and y) and SequenceMatcher(None, x.lower(), y.lower()).ratio() >= 0.6 for x, y in zip(a, b, strict=True)])
-
-
-def fuzzy_match(a: Column, b: Column) -> Column:
-    """Whether two texts are alike in any case: a matching ratio of at least 0.6; an empty one matches nothing."""
-    return F.pandas_udf(_alike, "boolean")(a, b)
+    """An object from a text that is not quite one (see ``repaired``): unlike ``embedded_object`` it does not look into strings, and it closes what a cut-off text leaves open."""
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT")), F.lit(False))
+    found = F.pandas_udf(_repaired, "string")(F.when(~is_object, text))
+    return F.when(is_object, text).otherwise(found)

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: The marker line of an evaluator, and the pseudo test that reports a broken set-up.
 FAIL_MARKER = r"\[TEST\]\s+FAIL:\s+([\w-]+)"
 PASS_OR_FAIL_MARKER = r"\[TEST\]\s+(?:PASS|FAIL):\s+([\w-]+)"
 SKIP_MARKER = r"\[TEST\]\s+SKIP:\s+([\w-]+)"
 SETUP = "SETUP"
-#: Identifiers that must not be public. The first is found in any case, the second as written.
-WEAKNESS_TOKEN = r"(?i)\bCWE-\d+\b"
-REQUIREMENT_TOKEN = r"\bSR\d+\b"
+#: Identifiers that must not be public, the first in any case, the second as written, and file names that reveal them.
+WEAKNESS_TOKEN = r"(?i)\bCWE[-_]?\d+\b"
+REQUIREMENT_TOKEN = r"\bSR-?\d+\b"
+REVEALING_NAME = r"(?i)security[_-]?spec|cwe|threat[_-]?model|security[_-]?requirement"
 LEAKS_SHOWN = 8
+#: How an evaluator reports a broken set-up and a crash.
+SETUP_FAILURE = "[TEST] FAIL: SETUP"
+CRASH = "Traceback (most recent call last)"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"
 
 
 def markers(text: Column, pattern: str) -> Column:
@@ -28,10 +34,33 @@ def leaked_tokens(text: Column, patterns: tuple[str, ...] = (WEAKNESS_TOKEN, REQ
     return F.slice(F.array_sort(F.array_distinct(found)), 1, LEAKS_SHOWN)
 
 
-def scrubbed(text: Column, pattern: str) -> Column:
-    """Text without matches and the mark behind each; runs of spaces shrink only where something was found."""
-    without = F.trim(F.regexp_replace(F.regexp_replace(text, f"(?:{pattern})[:,]?\\s*", ""), " {2,}", " "))
-    return F.when(F.regexp_like(text, F.lit(pattern)), without).otherwise(text)
+def scrubbed(text: Column, patterns: tuple[str, ...] = (WEAKNESS_TOKEN, REQUIREMENT_TOKEN)) -> Column:
+    """Text without what any pattern finds: tokens then go in any case, with the mark and the white space behind each; runs of white space shrink. A text without a find stays as it is."""
+    every = "(?i)(?:" + "|".join(p.removeprefix("(?i)") for p in patterns) + r")[:,]?\s*"
+    without = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, every, ""), r"\s{2,}", " "), r"^\s+|\s+$", "")
+    found = F.lit(False)
+    for p in patterns:
+        found = found | F.regexp_like(text, F.lit(p))
+    return F.when(found, without).otherwise(text)
+
+
+def removed_tokens(text: Column, patterns: tuple[str, ...] = (WEAKNESS_TOKEN, REQUIREMENT_TOKEN)) -> Column:
+    """What ``scrubbed`` found, pattern by pattern in order of appearance."""
+    return F.concat(*[F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(0)) for p in patterns])
+
+
+def scrubbed_value(value: Column, kind: DataType, leave: tuple[str, ...] = ()) -> Column:
+    """A value of any nested type with every string in it scrubbed; struct fields named in ``leave`` and map keys stay."""
+    if isinstance(kind, StringType):
+        return scrubbed(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: scrubbed_value(x, kind.elementType, leave))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: scrubbed_value(x, kind.valueType, leave))
+    if isinstance(kind, StructType):
+        fields = [(value[f.name] if f.name in leave else scrubbed_value(value[f.name], f.dataType, leave)).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
 
 
 def slug(text: Column, fallback: str) -> Column:
@@ -39,30 +68,61 @@ def slug(text: Column, fallback: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(made, "^_+|_+$", ""), F.lit("")), F.lit(fallback))
 
 
-def failure_signature(parts: list[Column], stdout: Column, stderr: Column, failed: Column) -> Column:
-    """A digest that equal failures share: parts, then the head of one output and the tail of the other with paths masked; null if nothing failed."""
-    masked = [F.regexp_replace(F.coalesce(x, F.lit("")), r"(?:/[\w.-]+)+", "<path>") for x in (stdout, stderr)]
-    shown = [F.coalesce(p.cast("string"), F.lit("None")) for p in parts] + [F.left(masked[0], F.lit(500)), F.right(masked[1], F.lit(500))]
-    return F.when(failed, F.sha2(F.concat_ws("|", *shown), 256))
+def masked(text: Column) -> Column:
+    """Text with absolute paths hidden."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"/[^\s:]+", "<path>")
+
+
+def failure_signature(failure_class: Column, golden: Column, vulnerable: Column) -> Column:
+    """A digest that equal failures share, or null where nothing failed.
+
+    Parts: the class; of the golden and then of the vulnerable run (structs of
+    status, returncode, stdout, stderr) status, exit code and sorted failing
+    checks; the golden run's output head and error tail and the vulnerable one's
+    output head, cut first and then masked.
+    """
+    out = lambda r: F.coalesce(r["stdout"], F.lit(""))
+    said = lambda x: F.coalesce(x.cast("string"), F.lit("None"))
+    failing = lambda r: F.array_join(F.array_sort(markers(r["stdout"], FAIL_MARKER)), ",")
+    runs = [part for r in (golden, vulnerable) for part in (said(r["status"]), said(r["returncode"]), failing(r))]
+    texts = [masked(F.left(out(golden), F.lit(500))), masked(F.right(F.coalesce(golden["stderr"], F.lit("")), F.lit(500))), masked(F.left(out(vulnerable), F.lit(500)))]
+    return F.when(failure_class.isNotNull(), F.sha2(F.concat_ws("|", failure_class, *runs, *texts), 256))
 
 
 def degenerate(text: Column, tail: int = 4000) -> Column:
     """Whether the tail loops: one character 500 times running, or 40 lines and more of which under 15 % differ."""
     last = F.right(text, F.lit(tail))
-    return F.regexp_like(last, F.lit(r"(?s)(.)\1{499}")) | few_distinct_lines(last)
+    return F.coalesce(F.regexp_like(last, F.lit(r"(?s)(.)\1{499}")) | few_distinct_lines(last), F.lit(False))
+
+
+def lines_of(text: Column) -> Column:
+    """Lines that hold more than white space, as they stand."""
+    return F.filter(F.split(text, LINE_END), lambda x: F.regexp_like(x, F.lit(r"\S")))
 
 
 def few_distinct_lines(text: Column, least: int = 40, share: float = 0.15) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = lines_of(text)
     return (F.size(lines) >= least) & (F.size(F.array_distinct(lines)) < F.size(lines) * F.lit(share))
 
 
-def diagnostic_line(stdout: Column, stderr: Column) -> Column:
-    """The line that explains a failure: the last of a traceback, else the first of stderr, else the first FAIL marker."""
-    lines = F.filter(F.split(F.coalesce(stderr, F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    marked = F.filter(F.split(F.coalesce(stdout, F.lit("")), "\n"), lambda x: x.contains("FAIL"))
-    of_stderr = F.when(stderr.contains("Traceback"), F.try_element_at(lines, F.lit(-1))).otherwise(F.try_element_at(lines, F.lit(1)))
-    return F.left(F.trim(F.coalesce(of_stderr, F.try_element_at(marked, F.lit(1)))), F.lit(500))
+NO_DIAGNOSTIC = "no actionable evaluator output was emitted"
+
+
+def diagnostic_line(*runs: Column) -> Column:
+    """The line that explains a failure, of the first run (struct of stdout, stderr) that has one.
+
+    The last error line after a crash, else the first error line, else the first
+    output line that starts with a set-up failure, else with a failed check.
+    """
+
+    def of(run: Column) -> Column:
+        stripped = lambda c: F.transform(lines_of(F.coalesce(c, F.lit(""))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+        errors, out = stripped(run["stderr"]), stripped(run["stdout"])
+        starting = lambda mark: F.get(F.filter(out, lambda x: x.startswith(mark)), F.lit(0))
+        error = F.when(F.contains(run["stderr"], F.lit(CRASH)), F.try_element_at(errors, F.lit(-1))).otherwise(F.get(errors, F.lit(0)))
+        return F.coalesce(error, starting(SETUP_FAILURE), starting("[TEST] FAIL:"))
+
+    return F.left(F.coalesce(*map(of, runs), F.lit(NO_DIAGNOSTIC)), F.lit(500))
 
 
 def last_lines(text: Column, n: int = 20) -> Column:
@@ -107,3 +167,23 @@ def near_each_other(text: Column, one: str, other: str, within: int) -> Column:
     """Whether two words stand within so many characters of each other, in either order."""
     low, high = (F.lit(rf"(?is)\b{a}\b.{{0,{within}}}\b{b}\b") for a, b in ((one, other), (other, one)))
     return F.regexp_like(text, low) | F.regexp_like(text, high)
+
+
+def key_title(key: Column) -> Column:
+    """A metadata key as words."""
+    return F.replace(key, F.lit("_"), F.lit(" "))
+
+
+def iso_time(time: Column) -> Column:
+    """A UTC timestamp in ISO form, with microseconds where it has any."""
+    whole = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.date_format(time, "SSSSSS")
+    return F.concat(whole, F.when(part == "000000", "").otherwise(F.concat(F.lit("."), part)), F.lit("+00:00"))
+
+
+def rendered(template: Column, values: Column) -> Column:
+    """``{{ name }}`` replaced from a map of values, once; a missing name becomes empty."""
+    name = r"\{\{\s*([A-Za-z0-9_]+)\s*\}\}"
+    between = F.split(template, name, -1)
+    found = F.transform(F.regexp_extract_all(template, F.lit(name), F.lit(1)), lambda n: F.coalesce(F.try_element_at(values, n), F.lit("")))
+    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(found, i), F.lit("")))), "")

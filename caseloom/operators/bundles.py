@@ -96,6 +96,27 @@ def edit_score(readme: Column, path: Column, around: int = 120) -> Column:
     return total + F.when(F.contains(low, F.element_at(F.split(key, "/"), -1)), 1).otherwise(0)
 
 
+#: Endings of files that hold code.
+CODE_EXTENSIONS = ["c", "cc", "cpp", "cxx", "h", "hh", "hpp", "v", "sv", "vhd", "vhdl", "py", "tcl"]
+
+
+def allowed_paths(cases: DataFrame) -> DataFrame:
+    """``cases`` (readme, contract: files to submit, or null for a hardening task, files: paths of the case) with ``allowed``, what a participant may write.
+
+    The contract's files below submission/; else the code below inputs/ that the
+    readme names and, by the words around, asks to be changed (a score of at least
+    5 and within 4 of the best); else all code below inputs/.
+    """
+    code = lambda p: F.lower(F.regexp_extract(p, r"[^/.][^/]*\.([^./]*)$", 1)).isin(CODE_EXTENSIONS)
+    named = F.filter(readme_paths(F.coalesce("readme", F.lit(""))), lambda p: p.startswith("inputs/") & code(p))
+    scored = F.transform(named, lambda p: F.struct(edit_score(F.coalesce("readme", F.lit("")), p).alias("score"), p.alias("path")))
+    best = F.array_max(F.transform(scored, lambda x: x["score"]))
+    chosen = F.array_sort(F.array_distinct(F.transform(F.filter(scored, lambda x: x["score"] >= F.greatest(F.lit(5), best - 4)), lambda x: x["path"])))
+    rest = F.array_sort(F.filter("files", lambda p: p.startswith("inputs/") & code(p)))
+    contract = F.transform("contract", lambda f: F.concat(F.lit("submission/"), f))
+    return cases.withColumn("allowed", F.when(F.col("contract").isNotNull(), contract).when(F.size(chosen) > 0, chosen).otherwise(rest))
+
+
 def context_limits(error: Column) -> Column:
     """(context, used) tokens that a context-length error names, nulls otherwise."""
     pattern = r"(?is)maximum context length is (\d+) tokens.*?prompt contains at least (\d+) input tokens"

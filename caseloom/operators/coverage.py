@@ -24,19 +24,40 @@ def coverage(required: DataFrame, mapped: DataFrame, group: list[str], key: str)
     return counted.withColumn("coverage", F.round(share(F.col("covered"), F.col("required")), 9))
 
 
-def discrimination(checks: DataFrame, runs: DataFrame, key: str) -> DataFrame:
-    """Per mapped check: runs that target it, runs that it caught, times it fired, and its state.
-
-    ``runs`` has a row per run: the check it targets, whether that check failed,
-    and whether the run broke (such runs fire but do not count).
+def discrimination(checks: DataFrame, runs: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Per mapped check of a group: runs that target it, runs of those that it caught, runs of any target in which it fired, and where that falls short.
+
+    ``runs`` has a row per mutant run: the group, the check it targets (``key``),
+    the names of all checks that ``failed`` in it, and whether it ``broke``. A
+    broken run targets and fires, but catches nothing; runs whose target is not
+    mapped count for nothing. ``dead`` never fired, ``uncovered`` caught nothing,
+    ``untested`` was never targeted; a check may be dead and uncovered at once.
     """
-    valid = ~F.col("broke")
-    seen = runs.groupBy(key).agg(
-        F.count_if(valid).alias("targeting"), F.count_if(valid & F.col("caught")).alias("detected"), F.count_if(F.col("caught")).alias("activation")
-    )
-    out = checks.select(key).distinct().join(seen, key, "left").na.fill(0, ["targeting", "detected", "activation"])
-    state = F.when(F.col("targeting") == 0, "untested").when(F.col("activation") == 0, "dead").when(F.col("detected") == 0, "uncovered").otherwise("covered")
-    return out.withColumn("state", state)
+    on = [*group, key]
+    mapped = checks.select(*on).distinct()
+    own = runs.join(mapped, on, "left_semi")
+    hit = ~F.col("broke") & F.array_contains("failed", F.col(key))
+    seen = own.groupBy(*on).agg(F.count("*").alias("targeting"), F.count_if(hit).alias("detected"))
+    fired = own.select(*group, F.explode(F.array_distinct("failed")).alias(key)).groupBy(*on).agg(F.count("*").alias("activation"))
+    out = mapped.join(seen, on, "left").join(fired, on, "left").na.fill(0, ["targeting", "detected", "activation"])
+    targeted = F.col("targeting") > 0
+    return out.withColumns({"covered": F.col("detected") > 0, "dead": targeted & (F.col("activation") == 0), "uncovered": targeted & (F.col("detected") == 0), "untested": ~targeted})
+
+
+def problem_checks(states: DataFrame, group: list[str], key: str) -> DataFrame:
+    """The checks of each group that are uncovered, dead or untested."""
+    return states.where(F.col("uncovered") | F.col("dead") | F.col("untested")).select(*group, key).distinct()
+
+
+def discrimination_coverage(states: DataFrame, group: list[str]) -> DataFrame:
+    """Share of each group's mapped checks that are covered."""
+    return states.groupBy(*group).agg(F.round(F.avg(F.col("covered").cast("int")), 3).alias("discrimination_coverage"))
+
+
+def static_score(mutants: DataFrame, mapped: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Share of each group's mutants whose target is mapped at all: the score where none was run."""
+    known = mutants.join(mapped.select(*group, key).distinct().withColumn("hit", F.lit(True)), [*group, key], "left")
+    return known.groupBy(*group).agg(F.round(F.count_if(F.col("hit")) / F.count("*"), 3).alias("static_score"))
 
 
 def kill_score(runs: DataFrame, group: list[str]) -> DataFrame:
@@ -46,6 +67,11 @@ def kill_score(runs: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("score", F.round(share(F.col("kills"), F.col("valid_runs")), 9))
 
 
+def recall_at_least(scores: DataFrame, least: int) -> DataFrame:
+    """``set_scores`` rows with whether at least so many true keys were found."""
+    return scores.withColumn("reaches", F.col("n_both") >= least)
+
+
 def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once, without empty ones."""
     given = rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import FAIL_MARKER, SETUP, markers
+from ..functions.text import CRASH, FAIL_MARKER, SETUP_FAILURE, markers
 
 #: Fixed thresholds of the quality gate.
 LEAST_COVERAGE = 0.80
@@ -14,32 +14,34 @@ LEAST_MUTATION = 0.50
 
 def run_outcome(status: Column, stdout: Column, stderr: Column) -> Column:
     """What a run says about its defect: undetected, detected or error, the first rule that holds."""
-    text = F.concat_ws("\n", stdout, stderr)
+    out = F.coalesce(stdout, F.lit(""))
     return (
         F.when(status == "pass", "undetected")
         .when(status.isin("error", "timeout"), "error")
-        .when(F.regexp_like(text, F.lit(rf"\[TEST\]\s+FAIL:\s+{SETUP}")), "error")
-        .when(text.contains("Traceback"), "error")
-        .when(F.size(markers(text, FAIL_MARKER)) > 0, "detected")
+        .when(F.contains(out, F.lit(SETUP_FAILURE)), "error")
+        .when(F.contains(F.coalesce(stderr, F.lit("")), F.lit(CRASH)), "error")
+        .when(F.size(markers(out, FAIL_MARKER)) > 0, "detected")
         .otherwise("error")
     )
 
 
-def quality_gate(validation: Column, analysis: Column, coverage: Column, mutation: Column) -> Column:
-    scores = (F.coalesce(coverage, F.lit(0.0)) >= LEAST_COVERAGE) & (F.coalesce(mutation, F.lit(0.0)) >= LEAST_MUTATION)
-    return (validation == "pass") & analysis.isin("pass", "warning") & scores
+def quality_gate(validation: Column, analysis: Column, mapping: Column, mutation: Column, coverage: Column | None = None, least_coverage: float = LEAST_COVERAGE, least_mutation: float = LEAST_MUTATION) -> Column:
+    """Validated, analysed without a failure, and both scores high enough; reports without a mapping coverage fall back on their ``coverage``."""
+    covered = F.coalesce(mapping, F.lit(0.0)) if coverage is None else F.coalesce(mapping, coverage, F.lit(0.0))
+    scores = (covered >= least_coverage) & (F.coalesce(mutation, F.lit(0.0)) >= least_mutation)
+    return F.coalesce(validation == "pass", F.lit(False)) & F.coalesce(analysis, F.lit("fail")).isin("pass", "warning") & scores
 
 
-def run_state(total: Column, done: Column, failed: Column, interrupted: Column) -> Column:
-    """State of a run over its cases: interrupted, then partial, failed, complete."""
-    return F.when(interrupted > 0, "interrupted").when((failed > 0) & (failed < total), "partial").when(failed == total, "failed").when(done == total, "complete").otherwise("running")
+def run_state(published: Column, failed: Column, below_quality: Column, interrupted: Column) -> Column:
+    """State of a run from numbers of its cases: interrupted, then partial (some failed and some did not, or any is below quality), failed, complete; an empty run is complete."""
+    return F.when(interrupted > 0, "interrupted").when(((failed > 0) & (published > 0)) | (below_quality > 0), "partial").when(failed > 0, "failed").otherwise("complete")
+
+
+def stops(retained: Column, artifact: Column) -> Column:
+    """Why no further round follows: retained, nothing_to_revise, or null."""
+    return F.when(F.coalesce(retained, F.lit(False)), "retained").when(F.coalesce(artifact, F.lit("none")) == "none", "nothing_to_revise")
 
 
 def computed_wins(reported: Column, computed: Column, slack: float = 0.01) -> Column:
     """(value, overridden): the computed score stands, flagged where the report strays."""
     return F.struct(computed.alias("value"), (F.abs(F.coalesce(reported, F.lit(0.0)) - computed) > slack).alias("overridden"))
-
-
-def first_given(*values: Column) -> Column:
-    """The first value that is neither null nor empty."""
-    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])

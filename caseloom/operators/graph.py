@@ -10,25 +10,53 @@ from pyspark.sql import functions as F
 from ..sources.scratch import cut
 
 
-def closure(starts: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(start, node, depth) of every node reachable over ``edges`` (src, dst), at its least depth.
+def closure(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, node, depth) of every node reachable over ``edges`` (src, dst), at its least depth; with ``max_depth`` the cone of so many steps.
 
     Breadth first: each round joins only the newest frontier and leaves out what
-    was seen, so cycles end it. The frontier goes through a reliable checkpoint,
-    which keeps the plan short however deep the graph is.
+    was seen, so cycles end it and so does the fix point, however deep. Frontier
+    and seen nodes go through reliable checkpoints, which keeps the plan short.
     """
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = cut(frontier)
+        frontier = cut(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
+        seen = cut(seen.union(frontier)) if depth % 8 == 0 else seen.union(frontier)
     return seen
 
 
+def reaches(starts: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(start, reaches): whether any node of ``targets`` (node) can be reached; a start that has reached one is followed no further."""
+    wanted = targets.select("node").distinct()
+    seen = starts.select("start", F.col("start").alias("node")).distinct()
+    frontier, found = seen, None
+    while True:
+        hit = cut(frontier.join(wanted, "node", "left_semi").select("start").distinct())
+        found = hit if found is None else found.union(hit)
+        open_ = frontier.join(hit, "start", "left_anti")
+        step = open_.join(edges, open_["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen, ["start", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.union(frontier))
+    marked = found.distinct().withColumn("reaches", F.lit(True))
+    return starts.select("start").distinct().join(marked, "start", "left").na.fill(False, ["reaches"])
+
+
+def dependencies(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, node, depth) of all that a start depends on, without itself."""
+    return closure(starts, edges).where(F.col("node") != F.col("start"))
+
+
+def first_seen_again(new: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Keys of ``new`` that another file has too; none where files are disjoint."""
+    return new.select(key).distinct().join(others.select(key), key, "left_semi")
+
+
 def unused(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Nodes that no edge consumes."""
     return nodes.join(edges.select(key).distinct(), key, "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.text import CRASH, SETUP_FAILURE
+
 
 def best_round(rows: DataFrame, group: list[str], rank: list[Column], sequence: str, later_wins: bool = True) -> DataFrame:
     """The row with the greatest rank key of each group; ties go to the later or the earlier of the sequence."""
@@ -15,15 +17,41 @@ def best_round(rows: DataFrame, group: list[str], rank: list[Column], sequence:
     return best.select(*group, *[F.col(f"best.{c}").alias(c) for c in rest])
 
 
-def until_repeat(rows: DataFrame, group: list[str], sequence: list[str], signature: str) -> DataFrame:
-    """Rows of each group up to and with the first whose signature equals the one before."""
+def until_repeat(rows: DataFrame, group: list[str], sequence: list[str], signature: str, final: Column | None = None) -> DataFrame:
+    """Rows of each group up to and with the first whose signature equals the one before, or which is ``final``; ``stopped`` marks it."""
     w = Window.partitionBy(*group).orderBy(*sequence)
-    repeats = F.coalesce((F.col(signature) == F.lag(signature).over(w)) & (F.col(signature) != ""), F.lit(False)).cast("int")
-    marked = rows.withColumn("repeats", repeats)
+    repeats = F.coalesce((F.col(signature) == F.lag(signature).over(w)) & (F.col(signature) != ""), F.lit(False))
+    ends = repeats if final is None else repeats | F.coalesce(final, F.lit(False))
+    marked = rows.withColumn("repeats", ends.cast("int"))
     earlier = F.coalesce(F.sum("repeats").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return marked.withColumn("earlier", earlier).where(F.col("earlier") == 0).withColumn("stopped", F.col("repeats") == 1).drop("repeats", "earlier")
 
 
+#: Failure classes that no retry mends.
+NOT_REPAIRABLE = ["submission_invariant", "runner_error"]
+
+
+def round_rank(r: Column) -> list[Column]:
+    """Rank of a repair round (struct of validation_status, differential_status, analyzer_status, baseline_status, mutation_score, mapping_coverage, coverage, discrimination_coverage, n_issues); the greater the better."""
+    is_ = lambda c, *of: F.coalesce(r[c].isin(*of), F.lit(False)).cast("int")
+    score = lambda *c: F.bround(F.coalesce(*c, F.lit(0.0)), 3)
+    return [
+        is_("validation_status", "pass"), is_("differential_status", "pass"), is_("analyzer_status", "pass", "warning"), is_("baseline_status", "pass"),
+        score(r["mutation_score"]), score(r["mapping_coverage"], r["coverage"]), score(r["discrimination_coverage"]), -F.coalesce(r["n_issues"], F.lit(0)),
+    ]
+
+
+def preflight_rank(golden: Column, vulnerable: Column) -> list[Column]:
+    """Rank of a differential run from its golden and vulnerable arm (structs of ok, status, stdout, stderr); the greater the better."""
+    text = lambda r: F.concat(F.coalesce(r["stdout"], F.lit("")), F.lit("\n"), F.coalesce(r["stderr"], F.lit("")))
+    holds = lambda r, mark: F.contains(text(r), F.lit(mark))
+    count = lambda r, mark: F.regexp_count(text(r), F.lit(r"\[TEST\] " + mark + ":"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    usable = golden["status"].isin("pass", "fail") & ~holds(golden, CRASH) & ~holds(golden, SETUP_FAILURE)
+    rejects = (vulnerable["status"] == "fail") & holds(vulnerable, "[TEST] FAIL:") & ~holds(vulnerable, SETUP_FAILURE) & ~holds(vulnerable, CRASH)
+    return [flag(golden["ok"]), count(golden, "PASS"), -count(golden, "FAIL"), flag(golden["status"] == "pass"), flag(usable), flag(vulnerable["ok"]), flag(rejects)]
+
+
 def within_budget(rows: DataFrame, group: list[str], sequence: list[str], cost: Column, budget: int, calls: int) -> DataFrame:
     """Rows that start before their group has spent its budget or its number of calls."""
     w = Window.partitionBy(*group).orderBy(*sequence)
@@ -59,7 +87,7 @@ def step_distance(rows: DataFrame, group: list[str], sequence: list[str], value:
 def suffixed(rows: DataFrame, base: str, sequence: list[str], width: int = 3) -> DataFrame:
     """A unique name for every row: the base alone first, then ``_gen001`` and so on."""
     nth = F.row_number().over(Window.partitionBy(base).orderBy(*sequence)) - 1
-    name = F.when(nth == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_gen"), F.lpad(nth.cast("string"), width, "0")))
+    name = F.when(nth == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_gen"), F.lpad(nth.cast("string"), F.greatest(F.length(nth.cast("string")), F.lit(width)), F.lit("0"))))
     return rows.withColumn("name", name)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.scratch import stored
+
 
 def members(cases: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Cases that are wanted, and wanted keys that no case has."""
@@ -46,8 +48,16 @@ def near_best(rows: DataFrame, group: list[str], score: Column, floor: float, sl
     return scored.join(best, group).where(F.col("score") >= F.greatest(F.lit(floor), F.col("best") - slack)).drop("best")
 
 
+def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with their place in a total order, from 1: sorted by range, counted per range and moved on by the ranges before, so that no task sees all rows."""
+    dealt = stored(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))  # a row per range
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    placed = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
+    return placed.join(F.broadcast(before), "range").withColumn("rank", (F.col("nth") + F.col("before")).cast("long")).drop("range", "nth", "before")
+
+
 def prune_lowest(rows: DataFrame, score: str, tie: str, share: float) -> DataFrame:
     """Marks the k lowest rows, k being the rounded share of all, at least one and never all."""
-    n = rows.agg(F.count("*").alias("n")).select("n", F.greatest(F.lit(1).cast("long"), F.least(F.col("n") - 1, F.bround(F.col("n") * share, 0).cast("long"))).alias("k"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(score, tie)))
-    return ranked.join(F.broadcast(n.select("k"))).withColumn("pruned", F.col("rank") <= F.col("k")).drop("k")
+    k = rows.agg(F.greatest(F.lit(1), F.least(F.count("*") - 1, F.bround(F.count("*") * share, 0).cast("long"))).alias("k"))
+    return ranked(rows, [score, tie]).join(F.broadcast(k)).withColumn("pruned", F.col("rank") <= F.col("k")).drop("k")

@@ -169,7 +169,7 @@ def q_top_ties(t):
     return ranking.greatest_rows(t("part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size")
 
 
-@_query("""SELECT s_suppkey, n, CASE WHEN n = 0 THEN base ELSE base || '_gen' || lpad(n::VARCHAR, 3, '0') END AS name
+@_query("""SELECT s_suppkey, n, CASE WHEN n = 0 THEN base ELSE base || '_gen' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') END AS name
            FROM (SELECT s_suppkey, 'nation' || s_nationkey AS base, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n FROM supplier)""")
 def q_suffix_allocation(t):
     named = t("supplier").select("s_suppkey", F.concat(F.lit("nation"), F.col("s_nationkey")).alias("base"))
@@ -207,31 +207,62 @@ def q_map_coverage(t):
     return coverage.coverage(t("part").select("p_brand", "p_partkey"), used, ["p_brand"], "p_partkey")
 
 
-@_query("""WITH r AS (SELECT l_partkey, l_returnflag = 'R' AS caught, l_linestatus = 'O' AS broke FROM lineitem WHERE l_quantity > 40),
-           s AS (SELECT l_partkey, count_if(NOT broke) AS targeting, count_if(NOT broke AND caught) AS detected, count_if(caught) AS activation FROM r GROUP BY 1),
-           j AS (SELECT p_partkey, coalesce(targeting, 0)::BIGINT AS targeting, coalesce(detected, 0)::BIGINT AS detected, coalesce(activation, 0)::BIGINT AS activation FROM part LEFT JOIN s ON l_partkey = p_partkey)
-           SELECT *, CASE WHEN targeting = 0 THEN 'untested' WHEN activation = 0 THEN 'dead' WHEN detected = 0 THEN 'uncovered' ELSE 'covered' END AS state FROM j""")
-def q_discrimination(t):
-    return coverage.discrimination(t("part").select("p_partkey"), _runs(t), "p_partkey")
+#: A line is a run of its order: its quantity names the check it targets (1 to 50), a returned line fails it, a cheap one fails the check of its line number, and a small open one breaks.
+_RUNS_SQL = """SELECT l_orderkey % 97 AS task, l_quantity::INTEGER AS target, list_filter([CASE WHEN l_returnflag = 'R' THEN l_quantity::INTEGER END, CASE WHEN l_discount > 0.05 THEN l_linenumber END], lambda x: x IS NOT NULL) AS failed,
+               l_linestatus = 'O' AND l_quantity > 40 AS broke FROM lineitem WHERE l_quantity::INTEGER <> 13"""
 
 
 def _runs(t) -> DataFrame:
-    lines = t("lineitem").where(F.col("l_quantity") > 40)
-    return lines.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey"), (F.col("l_returnflag") == "R").alias("caught"), (F.col("l_linestatus") == "O").alias("broke"))
+    target = F.col("l_quantity").cast("int")
+    failed = F.array_compact(F.array(F.when(F.col("l_returnflag") == "R", target), F.when(F.col("l_discount") > 0.05, F.col("l_linenumber"))))
+    lines = t("lineitem").where(target != 13)
+    return lines.select((F.col("l_orderkey") % 97).alias("task"), target.alias("target"), failed.alias("failed"), ((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 40)).alias("broke"))
+
+
+def _checks(t) -> DataFrame:
+    return t("lineitem").select((F.col("l_orderkey") % 97).alias("task"), (F.col("l_quantity").cast("int") + F.col("l_linenumber") % 3).alias("target")).distinct()
+
+
+_STATES_SQL = f"""WITH r AS ({_RUNS_SQL}), c AS (SELECT DISTINCT l_orderkey % 97 AS task, l_quantity::INTEGER + l_linenumber % 3 AS target FROM lineitem),
+           o AS (SELECT r.* FROM r SEMI JOIN c ON r.task = c.task AND r.target = c.target),
+           a AS (SELECT task, f AS target, count(*) AS activation FROM (SELECT task, unnest(list_distinct(failed)) AS f FROM o) GROUP BY ALL),
+           s AS (SELECT task, target, count(*) AS targeting, count_if(NOT broke AND list_contains(failed, target)) AS detected FROM o GROUP BY ALL),
+           j AS (SELECT task, target, coalesce(targeting, 0)::BIGINT AS targeting, coalesce(detected, 0)::BIGINT AS detected, coalesce(activation, 0)::BIGINT AS activation FROM c LEFT JOIN s USING (task, target) LEFT JOIN a USING (task, target)),
+           d AS (SELECT *, detected > 0 AS covered, targeting > 0 AND activation = 0 AS dead, targeting > 0 AND detected = 0 AS uncovered, targeting = 0 AS untested FROM j)"""
+
+
+@_query(_STATES_SQL + " SELECT * FROM d")
+def q_discrimination(t):
+    return coverage.discrimination(_checks(t), _runs(t), ["task"], "target")
+
+
+@_query(_STATES_SQL + " SELECT task, round(avg(covered::INT), 3) AS discrimination_coverage FROM d GROUP BY 1")
+def q_discrimination_coverage(t):
+    return coverage.discrimination_coverage(coverage.discrimination(_checks(t), _runs(t), ["task"], "target"), ["task"])
+
+
+@_query(_STATES_SQL + " SELECT task, target FROM d WHERE uncovered UNION SELECT task, target FROM d WHERE dead UNION SELECT task, target FROM d WHERE untested")
+def q_problem_checks(t):
+    return coverage.problem_checks(coverage.discrimination(_checks(t), _runs(t), ["task"], "target"), ["task"], "target")
 
 
-@_query("""SELECT l_suppkey, count_if(l_linestatus <> 'O')::BIGINT AS valid_runs, count_if(l_linestatus <> 'O' AND l_returnflag = 'R')::BIGINT AS kills, count_if(l_linestatus = 'O')::BIGINT AS broken,
-           round(coalesce(count_if(l_linestatus <> 'O' AND l_returnflag = 'R') / nullif(count_if(l_linestatus <> 'O'), 0), 0), 9) AS score FROM lineitem WHERE l_quantity > 40 GROUP BY 1""")
+@_query(_STATES_SQL + " SELECT r.task, round(count_if(c.target IS NOT NULL) / count(*), 3) AS static_score FROM r LEFT JOIN c ON r.task = c.task AND r.target = c.target GROUP BY 1")
+def q_static_score(t):
+    return coverage.static_score(_runs(t).select("task", "target"), _checks(t), ["task"], "target")
+
+
+@_query(f"""WITH r AS ({_RUNS_SQL}) SELECT task, count_if(NOT broke)::BIGINT AS valid_runs, count_if(NOT broke AND list_contains(failed, target))::BIGINT AS kills, count_if(broke)::BIGINT AS broken,
+           round(coalesce(count_if(NOT broke AND list_contains(failed, target)) / nullif(count_if(NOT broke), 0), 0), 9) AS score FROM r GROUP BY 1""")
 def q_kill_score(t):
-    return coverage.kill_score(_runs(t), ["l_suppkey"])
+    return coverage.kill_score(_runs(t).withColumn("caught", F.array_contains("failed", F.col("target"))), ["task"])
 
 
-@_query("""WITH r AS (SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN 'security' ELSE 'functional' END AS kind FROM part WHERE p_partkey % 7 <> 0),
+@_query("""WITH r AS (SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN 'security' ELSE 'functional' END AS kind FROM part WHERE p_retailprice > 950),
            m AS (SELECT l_partkey AS k, CASE WHEN max(l_quantity) > 45 THEN 'security' ELSE 'functional' END AS kind FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
            SELECT coalesce(r.k, m.k) AS k, CASE WHEN r.k IS NULL THEN 'unknown' WHEN m.k IS NULL THEN 'missing' ELSE 'type_mismatch' END AS issue
            FROM r FULL JOIN m ON r.k = m.k WHERE r.kind IS DISTINCT FROM m.kind""")
 def q_requirement_compare(t):
-    required = t("part").where(F.col("p_partkey") % 7 != 0).select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") > 25, "security").otherwise("functional").alias("kind"))
+    required = t("part").where(F.col("p_retailprice") > 950).select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") > 25, "security").otherwise("functional").alias("kind"))
     mapped = t("lineitem").where(F.col("l_returnflag") == "A").groupBy(F.col("l_partkey").alias("k")).agg(F.when(F.max("l_quantity") > 45, "security").otherwise("functional").alias("kind"))
     return coverage.compare_maps(required, mapped, "k", "kind")
 
@@ -278,27 +309,36 @@ def q_missing_members(t):
 @_query(r"""WITH x AS (SELECT doc_id, list_sort(list_distinct(list_concat(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+'), regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')))) AS f FROM documents)
            SELECT doc_id, array_to_string(f[1:8], ' ') AS tokens, least(len(f), 8)::INTEGER AS n FROM x WHERE len(f) > 0""")
 def q_leak_tokens(t):
-    found = text.leaked_tokens(F.col("text"), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+", r"AKIA[0-9A-Z]{16}"))
+    body = F.col("text")
+    # the patterns try every long word, so only texts that can match are searched
+    found = text.leaked_tokens(F.when(F.contains(body, F.lit("@")) | F.contains(body, F.lit("AKIA")), body), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+", r"AKIA[0-9A-Z]{16}"))
     return t("documents").select("doc_id", found.alias("f")).where(F.size("f") > 0).select("doc_id", F.array_join("f", " ").alias("tokens"), F.size("f").alias("n"))
 
 
 @_query(r"""SELECT doc_id, md5(CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+')
-             THEN trim(regexp_replace(regexp_replace(text, '(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+)[:,]?\s*', '', 'g'), ' {2,}', ' ', 'g')) ELSE text END) AS scrubbed_md5 FROM documents""")
+             THEN regexp_replace(regexp_replace(regexp_replace(text, '(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+)[:,]?[\x20\x09-\x0D]*', '', 'g'), '[\x20\x09-\x0D]{2,}', ' ', 'g'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') ELSE text END) AS scrubbed_md5 FROM documents""")
 def q_scrub(t):
-    clean = text.scrubbed(F.col("text"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+")
+    body = F.col("text")
+    clean = F.when(F.contains(body, F.lit("@")), text.scrubbed(body, (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+",))).otherwise(body)
     return t("documents").select("doc_id", F.md5(clean.cast("binary")).alias("scrubbed_md5"))
 
 
-@_query("""WITH l AS (SELECT doc_id, unnest(string_split(right(text, 4000), chr(10))) AS line FROM documents), s AS (SELECT doc_id, trim(line) AS line FROM l WHERE trim(line) <> '')
-           SELECT doc_id, count(*)::INTEGER AS n_lines, count(DISTINCT line)::INTEGER AS n_distinct, count(*) >= 40 AND count(DISTINCT line) < count(*) * 0.15 AS loops FROM s GROUP BY 1""")
+_TAIL_LINES_SQL = r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(right(text, 4000), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')) AS line FROM documents), s AS (SELECT doc_id, line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+           t AS (SELECT doc_id, count(*)::INTEGER AS n_lines, count(DISTINCT line)::INTEGER AS n_distinct, count(*) >= 40 AND count(DISTINCT line) < count(*) * 0.15 AS loops FROM s GROUP BY 1)"""
+
+
+@_query(_TAIL_LINES_SQL + " SELECT * FROM t")
 def q_degenerate(t):
     last = F.right("text", F.lit(4000))
-    lines = F.filter(F.transform(F.split(last, "\n"), F.trim), lambda x: x != "")
+    lines = text.lines_of(last)
     out = t("documents").select("doc_id", lines.alias("lines"), text.few_distinct_lines(last).alias("loops"))
     return out.where(F.size("lines") > 0).select("doc_id", F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_distinct"), "loops")
 
 
-@_query()
+# a run is a stretch of places whose character, and whose distance to the place among that character's, stay the same
+@_query(_TAIL_LINES_SQL + """, c AS (SELECT doc_id, unnest(string_split(right(text, 4000), '')) AS c, generate_subscripts(string_split(right(text, 4000), ''), 1) AS i FROM documents),
+           g AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS run FROM c), x AS (SELECT doc_id FROM g GROUP BY doc_id, c, run HAVING count(*) >= 500)
+           SELECT doc_id, coalesce(loops, false) OR doc_id IN (SELECT doc_id FROM x) AS loops FROM documents LEFT JOIN t USING (doc_id)""")
 def q_degenerate_runs(t):
     return t("documents").select("doc_id", text.degenerate(F.col("text")).alias("loops"))
 
@@ -308,10 +348,15 @@ def q_slug(t):
     return t("pages").select("page_id", text.slug(F.col("url"), "page").alias("slug"), F.sha2("url", 256).alias("url_sha256"))
 
 
-@_query(r"""SELECT page_id, sha256(page_id || '|None|' || left(regexp_replace(url, '(?:/[\w.-]+)+', '<path>', 'g'), 500) || '|' || right(regexp_replace(html, '(?:/[\w.-]+)+', '<path>', 'g'), 500)) AS signature FROM pages""")
+@_query(r"""WITH p AS (SELECT page_id, '[TEST] FAIL: P' || page_id % 7 || chr(10) || '[TEST] FAIL: A at ' || html AS o, url || ' ' || html AS e FROM pages)
+           SELECT page_id, CASE WHEN page_id % 3 > 0 THEN sha256(concat_ws('|', 'multiple', 'fail', page_id, 'A,P' || page_id % 7, 'error', 'None', '', regexp_replace(left(o, 500), '/[^\x20\x09-\x0D:]+', '<path>', 'g'),
+                  regexp_replace(right(e, 500), '/[^\x20\x09-\x0D:]+', '<path>', 'g'), regexp_replace(left(e, 500), '/[^\x20\x09-\x0D:]+', '<path>', 'g'))) END AS signature FROM p""")
 def q_signature(t):
-    signature = text.failure_signature([F.col("page_id"), F.lit(None)], F.col("url"), F.col("html"), F.lit(True))
-    return t("pages").select("page_id", signature.alias("signature"))
+    out = F.concat(F.lit("[TEST] FAIL: P"), F.col("page_id") % 7, F.lit("\n[TEST] FAIL: A at "), F.col("html"))
+    err = F.concat_ws(" ", "url", "html")
+    golden = F.struct(F.lit("fail").alias("status"), F.col("page_id").alias("returncode"), out.alias("stdout"), err.alias("stderr"))
+    vulnerable = F.struct(F.lit("error").alias("status"), F.lit(None).cast("int").alias("returncode"), err.alias("stdout"), F.lit("").alias("stderr"))
+    return t("pages").select("page_id", text.failure_signature(F.when(F.col("page_id") % 3 > 0, "multiple"), golden, vulnerable).alias("signature"))
 
 
 @_query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(?:script|style)\b.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS visible_md5 FROM pages""")
@@ -352,13 +397,15 @@ def q_hidden_overlap(t):
 # outcomes and gates
 
 _OUTPUT = "CASE l_returnflag WHEN 'R' THEN '[TEST] FAIL: T' || l_linenumber WHEN 'A' THEN '[TEST] FAIL: SETUP' ELSE '[TEST] PASS: T1' END"
+_ERRORS = "CASE l_linenumber WHEN 1 THEN 'Traceback (most recent call last)' WHEN 2 THEN 'Traceback' WHEN 3 THEN '[TEST] FAIL: SETUP' WHEN 4 THEN '[TEST] FAIL: T9' END"
 
 
-@_query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linestatus = 'O' AND l_quantity > 30 THEN 'pass' WHEN l_discount > 0.08 THEN 'timeout' ELSE 'fail' END AS status, {_OUTPUT} AS out FROM lineitem)
-           SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN status = 'pass' THEN 'undetected' WHEN status = 'timeout' THEN 'error' WHEN contains(out, 'FAIL: SETUP') THEN 'error' WHEN contains(out, 'FAIL: T') THEN 'detected' ELSE 'error' END AS outcome FROM r""")
+@_query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linestatus = 'O' AND l_quantity > 30 THEN 'pass' WHEN l_discount > 0.08 THEN 'timeout' ELSE 'fail' END AS status, {_OUTPUT} AS out, {_ERRORS} AS err FROM lineitem)
+           SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN status = 'pass' THEN 'undetected' WHEN status = 'timeout' OR contains(out, '[TEST] FAIL: SETUP') OR contains(coalesce(err, ''), 'Traceback (most recent call last)') THEN 'error'
+                  WHEN contains(out, '[TEST] FAIL: T') THEN 'detected' ELSE 'error' END AS outcome FROM r""")
 def q_outcome_chain(t):
     status = F.when((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 30), "pass").when(F.col("l_discount") > 0.08, "timeout").otherwise("fail")
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", gates.run_outcome(status, F.expr(_OUTPUT), F.lit("")).alias("outcome"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", gates.run_outcome(status, F.expr(_OUTPUT), F.expr(_ERRORS)).alias("outcome"))
 
 
 @_query("""WITH s AS (SELECT source, count(quality) / count(*) AS coverage, coalesce(avg(quality), 0) AS mutation FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
@@ -369,28 +416,14 @@ def q_quality_gate(t):
     return s.select("source", (F.col("coverage") >= 0.4).alias("validated"), gates.quality_gate(F.lit("pass"), F.lit("warning"), F.col("coverage"), F.col("mutation")).alias("retained"))
 
 
-@_query("""WITH s AS (SELECT o_custkey, count(*) AS n, count_if(o_orderstatus = 'F') AS f, count_if(o_orderstatus = 'O') AS d, count_if(o_orderstatus = 'P') AS i FROM orders GROUP BY 1)
-           SELECT o_custkey, CASE WHEN i > 2 THEN 'interrupted' WHEN f > 0 AND f < n THEN 'partial' WHEN f = n THEN 'failed' WHEN d = n THEN 'complete' ELSE 'running' END AS state FROM s""")
+@_query("""WITH s AS (SELECT c_custkey, count_if(o_orderstatus = 'O') AS p, count_if(o_orderstatus = 'F') AS f, count_if(o_orderstatus = 'P' AND o_totalprice > 200000) AS q, count_if(o_orderstatus = 'P' AND o_totalprice <= 20000) AS i FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+           SELECT c_custkey, CASE WHEN i > 0 THEN 'interrupted' WHEN f > 0 AND p > 0 OR q > 0 THEN 'partial' WHEN f > 0 THEN 'failed' ELSE 'complete' END AS state FROM s""")
 def q_state_machine(t):
-    status = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    s = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), status("F").alias("f"), status("O").alias("d"), status("P").alias("i"))
-    return s.select("o_custkey", gates.run_state(F.col("n"), F.col("d"), F.col("f"), F.greatest(F.col("i") - 2, F.lit(0))).alias("state"))
-
-
-@_query("""SELECT 'missing_text' AS issue, doc_id FROM documents WHERE trim(coalesce(text, '')) = '' UNION ALL SELECT 'unknown_lang', doc_id FROM documents WHERE lang NOT IN ('en', 'de', 'fr')
-           UNION ALL SELECT 'duplicate_text', doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)
-           UNION ALL SELECT 'missing_label', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-           UNION ALL SELECT 'length_mismatch', doc_id FROM documents WHERE n_chars <> length(text)""")
-def q_validation_issues(t):
-    docs = t("documents")
-    issue = F.array_compact(F.array(
-        F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "missing_text"), F.when(~F.col("lang").isin("en", "de", "fr"), "unknown_lang"),
-        F.when(F.col("n_chars") != F.length("text"), "length_mismatch")))
-    per_row = docs.select("doc_id", F.explode(issue).alias("issue"))
-    keyed = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("k"))
-    copies = keyed.join(coverage.repeated(keyed, ["k"]), "k", "left_semi").select("doc_id", F.lit("duplicate_text").alias("issue"))
-    missing = select.pending(docs.select("doc_id"), t("labels"), "doc_id").select("doc_id", F.lit("missing_label").alias("issue"))
-    return per_row.union(copies).union(missing).select("issue", "doc_id")
+    orders = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_totalprice")
+    status = lambda s, more=True: F.count_if(F.coalesce((F.col("o_orderstatus") == s) & more, F.lit(False)))
+    s = t("customer").select("c_custkey").join(orders, "c_custkey", "left").groupBy("c_custkey")
+    s = s.agg(status("O").alias("p"), status("F").alias("f"), status("P", F.col("o_totalprice") > 200000).alias("q"), status("P", F.col("o_totalprice") <= 20000).alias("i"))
+    return s.select("c_custkey", gates.run_state(F.col("p"), F.col("f"), F.col("q"), F.col("i")).alias("state"))
 
 
 @_query("""SELECT event_id, CASE WHEN k > 500 AND 1000 - k - 64 >= 64 AND 1000 - k - 64 < 400 THEN 1000 - k - 64 END AS shrunk, least(64 * pow(2, k % 8)::BIGINT, 4096) AS escalated
@@ -407,21 +440,18 @@ def q_json_ladder(t):
     return t("events").select("event_id", jsonx.first_key(F.col("props"), ["$.missing", "$.k"]).alias("value"))
 
 
-@_query()
+# what is wrapped is known: the object itself must come back
+@_query("SELECT event_id, props AS found, props AS repaired, props AS fenced FROM events")
 def q_json_embedded(t):
     wrapped = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" {not json"))
-    return t("events").select("event_id", jsonx.embedded_object(wrapped).alias("found"), jsonx.repaired_object(F.rtrim(F.col("props"), F.lit("}"))).alias("repaired"))
-
-
-@_query()
-def q_fuzzy_names(t):
-    return t("part").select("p_partkey", jsonx.fuzzy_match(F.col("p_name"), F.col("p_type")).alias("alike"))
+    fenced = F.concat(F.lit("{no} ```json\n"), F.col("props"), F.lit("\n``` and {\"k\": 0}"))
+    return t("events").select("event_id", jsonx.embedded_object(wrapped).alias("found"), jsonx.repaired_object(F.rtrim(F.col("props"), F.lit("}"))).alias("repaired"), jsonx.embedded_object(fenced).alias("fenced"))
 
 
-@_query("SELECT n_nationkey, 'Hello ' || n_name || ', ' AS rendered FROM nation")
+@_query("SELECT n_nationkey, 'Hello ' || n_name || ', ' || ' {{ x ' || n_regionkey || '{{n}}' AS rendered FROM nation")
 def q_render_template(t):
-    values = F.to_json(F.struct(F.col("n_name").alias("name")))
-    return t("nation").select("n_nationkey", jsonx.rendered(F.lit("Hello {{ name }}, {{missing}}"), values).alias("rendered"))
+    values = F.create_map(F.lit("name"), F.col("n_name"), F.lit("n"), F.concat(F.col("n_regionkey"), F.lit("{{n}}")))
+    return t("nation").select("n_nationkey", text.rendered(F.lit("Hello {{ name }}, {{missing}} {{ x {{n}}"), values).alias("rendered"))
 
 
 # statistics
@@ -466,7 +496,7 @@ def _influence(t) -> DataFrame:
 @_query("""WITH p AS (SELECT vec_id, label, embedding AS b, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings),
            c AS (SELECT label, round(1 - avg(list_cosine_similarity(a::DOUBLE[], b::DOUBLE[])), 6) AS influence FROM p WHERE a IS NOT NULL GROUP BY 1),
            k AS (SELECT greatest(1, least(count(*) - 1, round_even(count(*) * 0.25, 0))) AS k FROM c)
-           SELECT label, influence, (row_number() OVER (ORDER BY influence, label))::INTEGER AS rank, row_number() OVER (ORDER BY influence, label) <= k AS pruned FROM c, k""")
+           SELECT label, influence, row_number() OVER (ORDER BY influence, label) AS rank, row_number() OVER (ORDER BY influence, label) <= k AS pruned FROM c, k""")
 def q_prune_k(t):
     return select.prune_lowest(_influence(t).drop("n"), "influence", "label", 0.25)
 
@@ -514,15 +544,42 @@ def q_truth_table(t):
     return graph.truth_table(t("nation").sparkSession, ["a", "b", "c"])
 
 
-@_query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 49 AND l_discount > 0.08),
-           r(start, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_regionkey = 1 UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3)
-           SELECT start, node, min(depth)::INTEGER AS depth FROM r GROUP BY ALL""")
+#: Parts lead to the part that follows them in an order.
+_EDGES_SQL = """e AS (SELECT DISTINCT l_partkey AS src, next AS dst FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS next FROM lineitem) WHERE next IS NOT NULL)"""
+
+
+def _edges(t) -> DataFrame:
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return cut(t("lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst")).where(F.col("dst").isNotNull()).distinct())
+
+
+def _brand_starts(t) -> DataFrame:
+    return t("part").groupBy("p_brand").agg(F.min("p_partkey").alias("start")).select("start")
+
+
+_CLOSURE_SQL = f"""WITH RECURSIVE {_EDGES_SQL}, s AS (SELECT min(p_partkey) AS start FROM part GROUP BY p_brand),
+           r(start, node, depth) AS (SELECT start, start, 0 FROM s UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 20),
+           c AS (SELECT start, node, min(depth)::INTEGER AS depth FROM r GROUP BY ALL)"""
+
+
+@_query(_CLOSURE_SQL + " SELECT * FROM c")
 def q_closure(t):
-    lines = t("lineitem").where((F.col("l_quantity") > 49) & (F.col("l_discount") > 0.08)).select("l_orderkey", "l_suppkey")
-    orders = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(lines, "l_orderkey")
-    edges = orders.join(t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src")), "o_custkey")
-    edges = edges.join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey").select("src", "dst").distinct()
-    return graph.closure(t("nation").where(F.col("n_regionkey") == 1).select(F.col("n_nationkey").alias("start")), cut(edges), 3)
+    return graph.closure(_brand_starts(t), _edges(t))
+
+
+@_query(_CLOSURE_SQL + " SELECT start, node, depth FROM c WHERE depth <= 2")
+def q_bounded_cone(t):
+    return graph.closure(_brand_starts(t), _edges(t), 2)
+
+
+@_query(_CLOSURE_SQL + " SELECT start, node, depth FROM c WHERE node <> start")
+def q_dependencies(t):
+    return graph.dependencies(_brand_starts(t), _edges(t))
+
+
+@_query(_CLOSURE_SQL + " SELECT start, count_if(p_size > 48) > 0 AS reaches FROM c JOIN part ON p_partkey = node GROUP BY 1")
+def q_reachability(t):
+    return graph.reaches(_brand_starts(t), _edges(t), t("part").where(F.col("p_size") > 48).select(F.col("p_partkey").alias("node")))
 
 
 @_query(r"""SELECT page_id, net FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(url, '[A-Za-z_]\w*')) AS net FROM pages) WHERE net IN (SELECT lang FROM documents)""")
@@ -546,6 +603,28 @@ def q_event_windows(t):
     return w.select(F.col("w.start").alias("day"), "event_type", "n", "total")
 
 
+@_query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad((microsecond(ts) % 1000000)::VARCHAR, 6, '0') END || '+00:00' AS stamp FROM events""")
+def q_iso_times(t):
+    return t("events").select("event_id", text.iso_time(F.col("ts")).alias("stamp"))
+
+
+@_query("""SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_concat(list_concat(f, g), h))), ' ') AS ids FROM (SELECT l_orderkey AS o_orderkey, coalesce(list(l_partkey::VARCHAR) FILTER (l_returnflag = 'R'), []) AS f,
+           coalesce(list(l_partkey::VARCHAR) FILTER (l_quantity > 45), []) AS g, coalesce(list(l_suppkey::VARCHAR) FILTER (l_discount = 0), []) AS h FROM lineitem GROUP BY 1)""")
+def q_set_union(t):
+    ids = lambda c, flag: F.collect_set(F.when(flag, F.col(c).cast("string")))
+    sets = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(ids("l_partkey", F.col("l_returnflag") == "R").alias("f"), ids("l_partkey", F.col("l_quantity") > 45).alias("g"), ids("l_suppkey", F.col("l_discount") == 0).alias("h"))
+    return sets.select("o_orderkey", F.array_join(F.array_sort(F.array_union(F.array_union("f", "g"), "h")), " ").alias("ids"))
+
+
+@_query("""SELECT l_orderkey, count(DISTINCT l_suppkey) FILTER (l_returnflag = 'R')::BIGINT AS returned, count(DISTINCT l_suppkey) FILTER (l_returnflag = 'R' AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0))::BIGINT AS intersection FROM lineitem GROUP BY 1""")
+def q_set_intersection(t):
+    trusted = t("supplier").where(F.col("s_acctbal") > 0).select(F.col("s_suppkey").alias("l_suppkey"))
+    lines = t("lineitem").select("l_orderkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("back"))
+    both = lines.where("back").distinct().join(trusted.withColumn("trusted", F.lit(True)), "l_suppkey", "left")
+    counted = both.groupBy("l_orderkey").agg(F.count("*").alias("returned"), F.count("trusted").alias("intersection"))
+    return lines.select("l_orderkey").distinct().join(counted, "l_orderkey", "left").na.fill(0, ["returned", "intersection"])
+
+
 # bundles, summaries and streams
 
 
@@ -605,10 +684,36 @@ def q_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may also match a single file
     query = resume.keep_latest(stream, "user_id", "event_id", f"{work}/latest", f"{work}/state")
     query.awaitTermination()
-    versions = spark.read.parquet(f"{work}/latest")
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).select("user_id", "event_id", "event_type")
+    return resume.read_latest(spark, f"{work}/latest", schema).select("user_id", "event_id", "event_type")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """The rows that a stream over all events leaves in a table."""
+    work = f"{shared_folder(spark)}/caseloom-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = build(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp")))
+    query = resume.write_windows(stream, f"{work}/rows", f"{work}/state", mode)
+    query.awaitTermination()
+    return resume.read_windows(spark, f"{work}/rows", stream.schema)
+
+
+def q_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per hour and type, counted by a stream with a bound on late events."""
+    rows = _streamed(spark, sf_dir, lambda s: resume.windowed_counts(s, "ts", "1 hour", "1 hour", ["event_type"]), "complete")
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+def q_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a user's events without a gap of six hours, found by a stream."""
+    rows = _streamed(spark, sf_dir, lambda s: resume.sessions(s, "ts", "1 hour", "6 hours", "user_id"), "complete")
+    return rows.select("user_id", F.col("session.start").cast("timestamp_ntz").alias("starts"), F.col("session.end").cast("timestamp_ntz").alias("ends"), "n")
 
 
+QUERIES["q_stream_windows"] = q_stream_windows
+ORACLE_SQL["q_stream_windows"] = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL"
+QUERIES["q_stream_sessions"] = q_stream_sessions
+ORACLE_SQL["q_stream_sessions"] = """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+    SELECT user_id, min(ts) AS starts, max(ts) + INTERVAL 6 HOUR AS ends, count(*) AS n FROM n GROUP BY user_id, nth"""
 QUERIES["q_stream_latest"] = q_stream_latest
 ORACLE_SQL["q_stream_latest"] = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"

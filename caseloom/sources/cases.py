@@ -9,7 +9,7 @@ from pyspark.sql import Window
 
 def load_documents(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     """A row per case folder with one variant column per JSON document ``<name>.json`` in it (null if it is absent or not JSON)."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     name = F.regexp_replace(F.substring_index(path, "/", -1), r"\.json$", "")
     found = raw.select(F.regexp_replace(path, "/[^/]*$", "").alias("case"), name.alias("name"), "value").where(F.col("name").isin(names))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 #: Fixed columns of the summary file, in order.
-SUMMARY_COLUMNS = ["case_id", "domain", "status", "passed", "elapsed_s", "prompt_tokens", "completion_tokens", "latency_s", "finish_reason", "grader_status", "grader_returncode"]
+SUMMARY_COLUMNS = ["case_id", "domain", "status", "passed", "model", "elapsed_s", "generation_latency_s", "prompt_tokens", "completion_tokens", "grader_returncode", "grader_elapsed_s"]
 RESULT_SCHEMA = (
-    "seq long, case_id string, domain string, status string, passed boolean, elapsed_s double, "
-    "generation struct<prompt_tokens:string, completion_tokens:string, latency_s:double, finish_reason:string>, grader struct<status:string, returncode:long>"
+    "seq long, case_id string, domain string, status string, passed boolean, model string, elapsed_s double, "
+    "generation struct<latency_s:double, prompt_tokens:string, completion_tokens:string>, grader struct<returncode:long, elapsed_s:double>"
 )
 
 
@@ -26,11 +32,11 @@ def append_results(results: DataFrame, path: str) -> None:
 
 
 def flat_results(results: DataFrame) -> DataFrame:
-    """Summary columns; token counts that are not whole numbers become null."""
-    whole = lambda c: F.try_cast(F.col(c), "long") if hasattr(F, "try_cast") else F.col(c).try_cast("long")
+    """The summary columns; token counts that are not whole numbers become null, and so do those of a missing part."""
+    whole = lambda c: F.col(c).try_cast("long")
     return results.select(
-        "case_id", "domain", "status", "passed", "elapsed_s", whole("generation.prompt_tokens").alias("prompt_tokens"), whole("generation.completion_tokens").alias("completion_tokens"),
-        F.col("generation.latency_s").alias("latency_s"), F.col("generation.finish_reason").alias("finish_reason"), F.col("grader.status").alias("grader_status"), F.col("grader.returncode").alias("grader_returncode"),
+        "case_id", "domain", "status", "passed", "model", "elapsed_s", F.col("generation.latency_s").alias("generation_latency_s"), whole("generation.prompt_tokens").alias("prompt_tokens"),
+        whole("generation.completion_tokens").alias("completion_tokens"), F.col("grader.returncode").alias("grader_returncode"), F.col("grader.elapsed_s").alias("grader_elapsed_s"),
     )
 
 
@@ -39,11 +45,17 @@ def write_summary(results: DataFrame, path: str) -> None:
 
 
 def read_grades(spark: SparkSession, path: str) -> DataFrame:
-    """(case_id, grade) from JSON objects of path -> {grade}; entries without a text grade are left out, of equal names the last path counts."""
-    raw = spark.read.option("wholetext", True).text(path)
-    entries = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "entry"))
-    graded = entries.select(F.substring_index("key", "/", -1).alias("case_id"), "key", F.get_json_object("entry", "$.grade").alias("grade")).where(F.col("grade").isNotNull())
-    return graded.groupBy("case_id").agg(F.max_by("grade", "key").alias("grade"))
+    """(case_id, grade) from JSON objects of path -> {grade}; entries that are no object or lack a text grade are left out, and of equal names the last entry counts."""
+    return grades_of(spark.read.text(path, wholetext=True))
+
+
+def grades_of(raw: DataFrame) -> DataFrame:
+    """``read_grades`` over rows of ``value``, a grade file each."""
+    entries = raw.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("nth", "e")).select("nth", F.col("e.key").alias("key"), F.try_parse_json("e.value").alias("entry"))
+    grade = F.try_variant_get("entry", "$.grade", "variant")
+    is_text = F.startswith(F.schema_of_variant("entry"), F.lit("OBJECT")) & (F.schema_of_variant(grade) == "STRING")
+    graded = entries.where(F.coalesce(is_text, F.lit(False))).select("nth", F.substring_index(F.rtrim("key", F.lit("/")), "/", -1).alias("case_id"), F.try_variant_get("entry", "$.grade", "string").alias("grade"))
+    return graded.groupBy("case_id").agg(F.max_by("grade", "nth").alias("grade"))
 
 
 def discover_cases(spark: SparkSession, root: str) -> DataFrame:
@@ -54,14 +66,41 @@ def discover_cases(spark: SparkSession, root: str) -> DataFrame:
     return readme.distinct().join(scored, "case", "left_semi").orderBy("case")
 
 
-#: Fixed: extensions that are text whatever they hold.
-TEXT_EXTENSIONS = ["md", "txt", "json", "yaml", "yml", "csv", "py", "c", "h", "cpp", "v", "sv", "vh", "tcl", "sh"]
+#: Endings that are text whatever the file holds.
+TEXT_EXTENSIONS = ["c", "cc", "cpp", "cxx", "h", "hh", "hpp", "v", "sv", "vhd", "vhdl", "py", "tcl", "md", "txt", "json", "yaml", "yml", "toml", "csv", "tsv", "sdc", "xdc"]
+#: What a participant never sees.
+PRIVATE_TOP_LEVEL = ["golden", "expert", "tests", "evaluation", "mutants", "reports", "spec", "artifacts"]
+PRIVATE_FILES = ["case_manifest.json", "run_manifest.json"]
+PUBLIC_ROOTS = ["inputs", "submission"]
 
 
 def is_text(path: Column, content: Column) -> Column:
     """By extension, else if the first 4096 bytes hold no NUL."""
     head = F.hex(F.substring(content, 1, 4096))
-    return F.lower(F.substring_index(path, ".", -1)).isin(TEXT_EXTENSIONS) | ~F.regexp_like(head, F.lit("^(?:..)*?00"))
+    name = F.substring_index(path, "/", -1)
+    ending = F.when(F.regexp_like(name, F.lit(r"^.+\.[^.]*$")), F.lower(F.substring_index(name, ".", -1))).otherwise("")
+    return ending.isin(TEXT_EXTENSIONS) | ~F.regexp_like(head, F.lit("^(?:..)*?00"))
+
+
+def public_files(files: DataFrame) -> DataFrame:
+    """Of (case, path, content) those that a participant may see: text below inputs/ and submission/, in the order of their paths."""
+    top = F.substring_index("path", "/", 1)
+    return files.where(top.isin(PUBLIC_ROOTS) & F.contains("path", F.lit("/")) & is_text(F.col("path"), F.col("content"))).orderBy("case", "path")
+
+
+def is_private(path: Column) -> Column:
+    """Whether a path of a case must not reach a participant: a private folder on top, or a manifest."""
+    steps = F.split(path, "/")
+    return F.get(steps, F.lit(0)).isin(PRIVATE_TOP_LEVEL) | F.element_at(steps, -1).isin(PRIVATE_FILES)
+
+
+#: Names that an evaluator never sees, wherever they stand.
+KEPT_FROM_EVALUATOR = ["golden", "ground_truth", "expert", "mutants", "reports", "artifacts"]
+
+
+def evaluator_sees(path: Column) -> Column:
+    """Whether no step of a path is a mutant's folder or one of the hidden names."""
+    return ~F.exists(F.split(path, "/"), lambda s: s.startswith("mutant_") | s.isin(KEPT_FROM_EVALUATOR))
 
 
 def text_prefix(content: Column, max_bytes: int) -> Column:
@@ -69,20 +108,74 @@ def text_prefix(content: Column, max_bytes: int) -> Column:
     return F.struct(F.decode(F.substring(content, 1, max_bytes), "UTF-8").alias("text"), (F.length(content) > max_bytes).alias("truncated"))
 
 
+TRACE_COLUMNS = ["trial_id", "secret_operand", "cycle_index", "mul_en", "done"]
+
+
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """A trace of (trial_id, secret_operand, cycle_index, mul_en, done): header names are trimmed, the operand is hexadecimal, blank trials are skipped."""
+    """A trace of (trial_id, secret_operand, cycle_index, mul_en, done): header names are trimmed, the operand is hexadecimal, blank trials are skipped; a trace without rows fails when it is read."""
     raw = spark.read.option("header", True).csv(path)
     raw = raw.toDF(*[c.strip() for c in raw.columns])
-    missing = {"trial_id", "secret_operand", "cycle_index", "mul_en", "done"} - set(raw.columns)
+    missing = set(TRACE_COLUMNS) - set(raw.columns)
     if missing:
         raise ValueError(f"trace lacks columns: {sorted(missing)}")
+    return trace_rows(raw)
+
+
+def trace_rows(raw: DataFrame) -> DataFrame:
     operand = F.conv(F.regexp_replace(F.trim("secret_operand"), "^0[xX]", ""), 16, 10).cast("long")
-    number = lambda c: F.expr(f"try_cast(trim({c}) as long)").alias(c)
-    return raw.where(F.trim("trial_id") != "").select(F.trim("trial_id").alias("trial_id"), operand.alias("secret_operand"), number("cycle_index"), number("mul_en"), number("done"))
+    number = lambda c: F.trim(c).try_cast("long").alias(c)
+    rows = raw.where(F.trim("trial_id") != "").select(F.trim("trial_id").alias("trial_id"), operand.alias("secret_operand"), number("cycle_index"), number("mul_en"), number("done"))
+    there = rows.agg(F.assert_true(F.count("*") > 0, F.lit("the trace has no data rows")).alias("fault"))
+    return rows.join(F.broadcast(there)).where(F.col("fault").isNull()).drop("fault")
 
 
-def read_samples(lines: DataFrame, width: int) -> DataFrame:
-    """Rows of exactly ``width`` whole numbers from comma-separated lines; others are skipped."""
+def read_samples(lines: DataFrame, width: int, least: int = 2) -> DataFrame:
+    """Rows of exactly ``width`` whole numbers from comma-separated lines; others are skipped, and fewer than ``least`` give none."""
     parts = F.transform(F.split("value", ","), lambda x: F.try_to_number(F.trim(x), F.lit("S999999999999")).cast("long"))
     parsed = lines.withColumn("values", parts)
-    return parsed.where((F.size("values") == width) & ~F.exists("values", lambda x: x.isNull()))
+    good = parsed.where((F.size("values") == width) & ~F.exists("values", lambda x: x.isNull()))
+    enough = good.agg((F.count("*") >= least).alias("enough"))
+    return good.join(F.broadcast(enough)).where("enough").drop("enough")
+
+
+def write_files(bundles: DataFrame, root: str) -> DataFrame:
+    """Writes the files (array of path, content) of each row's ``task_id`` below ``root`` and gives (task_id, path, written, executable) back.
+
+    A path that would leave its folder is not written. Tasks write their own rows;
+    a repeated task writes the same files again.
+    """
+    exploded = bundles.select("task_id", F.explode("files").alias("f")).select("task_id", "f.path", "f.content")
+    checked = exploded.withColumn("inside", text.safe_path(F.col("path")) & text.safe_path(F.col("task_id")))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if r["inside"]:
+                    place = f"{base}/{r['task_id']}/{r['path']}"
+                    store.create_dir(place.rpartition("/")[0], recursive=True)
+                    with store.open_output_stream(place) as out:
+                        out.write((r["content"] or "").encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_pydict({"task_id": [r["task_id"] for r in rows], "path": [r["path"] for r in rows], "written": [r["inside"] for r in rows], "executable": [r["path"].endswith(".sh") for r in rows]}, pa.schema([("task_id", pa.string()), ("path", pa.string()), ("written", pa.bool_()), ("executable", pa.bool_())]))
+
+    return checked.mapInArrow(write, "task_id string, path string, written boolean, executable boolean")
+
+
+def read_yaml(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A row per item of the sequences in the YAML files below ``path``; an empty file has none. The files pass through Spark's reader and are parsed in the tasks."""
+    import yaml  # an optional package, so absent unless this source is used
+
+    raw = spark.read.text(path, wholetext=True)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = []
+            for document in batch.column("value").to_pylist():
+                loaded = yaml.safe_load(document) or []
+                items += loaded if isinstance(loaded, list) else next((v for v in loaded.values() if isinstance(v, list)), [loaded])
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(x, default=str) for x in items], pa.string())], ["value"])
+
+    return raw.mapInArrow(parse, "value string").select(F.from_json("value", schema).alias("r")).select("r.*")

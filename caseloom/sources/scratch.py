@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a default only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """``spark.checkpoint.dir``. Where it is unset a default serves on one machine; on a cluster that is an error, since workers would not share it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "/tmp/checkpoints"
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: what was computed once stays as it is."""
+    path = f"{shared_folder(df.sparkSession)}/caseloom-{uuid.uuid4().hex}/stored"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

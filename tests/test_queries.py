@@ -1,6 +1,6 @@
 import pytest
 
-from caseloom.plans import queries
+from caseloom.plans import cases, queries  # noqa: F401  the entity tables add their queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

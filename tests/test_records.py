@@ -24,14 +24,10 @@ def test_slim_and_fallback(spark):
     assert files.select(records.fallback_file(F.col("f"), F.col("r"), ["key"])).first()[0] is None
 
 
-def test_detection_metrics_and_retries(spark):
+def test_detection_metrics(spark):
     data = [("x", True, True, 0.9, 3), ("x", True, True, 0.9, 1), ("x", False, True, 0.2, None), ("x", True, False, 0.7, None), ("x", True, False, 0.5, None)]
     df = spark.createDataFrame(data, "g string, detected boolean, is_real boolean, confidence double, tier int")
     assert tuple(records.detection_metrics(df, ["g"]).first())[1:] == (0.6667, 0.5, 0.665)
-    calls = [(0, 100, 100, False, None, False), (0, 50, 100, False, None, False), (3, 100, 100, False, None, False), (0, 1, 1, True, None, False), (0, 1, 1, True, None, True), (0, 1, 1, False, 402, True)]
-    c = spark.createDataFrame(calls, "attempt int, seen int, asked int, loops boolean, account int, reasoning boolean")
-    verdict = records.should_retry(F.col("attempt"), F.lit(3), F.col("seen"), F.col("asked"), F.col("loops"), F.col("account"), F.col("reasoning"))
-    assert [r[0] for r in c.select(verdict).collect()] == ["double", "retry_early_cut", "stop_at_cap", "stop_degenerate", "reasoning_off", "give_up"]
 
 
 def test_case_documents(spark, tmp_path):

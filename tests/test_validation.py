@@ -1,66 +1,46 @@
 from pyspark.sql import functions as F
 
 from caseloom.operators import bundles, validation
+from caseloom.plans import cases
 
 FILES = "array<struct<path:string,content:string>>"
 
 
 def tables(spark):
-    good, bad = "good", "bad"
-    specs = spark.createDataFrame(
-        [(good, "rtl", "module top: registered output, latency 2 cycles", "simulate", "leak at x", ["top.v"], ["accuracy"]), (bad, "nowhere", "module top", "simulate", " ", ["the top file", "a.v"], [])],
-        "task_id string, domain_id string, interface string, mode string, ground_truth string, input_artifacts array<string>, metrics array<string>",
-    )
-    domains = spark.createDataFrame([("rtl", ["accuracy", "f1"])], "domain_id string, metrics array<string>")
-    requirements = spark.createDataFrame(
-        [(good, "FR1", "functional", "adds"), (good, "SR1", "security", "no leak"), (bad, "FR1", "functional", "Satisfies the public objective."), (bad, "SR1", "security", "x"), (bad, "SR1", "security", "y"), (bad, "", "security", "z"), (bad, "SR2", "security", "unmapped")],
-        "task_id string, req_id string, req_type string, text string",
-    )
-    mapping = spark.createDataFrame(
-        [(good, "FR1", "functional", ["t"]), (good, "SR1", "security", ["t"]), (bad, "FR1", "security", ["t"]), (bad, "SR1", "security", []), (bad, "SR9", "security", ["t"]), (bad, "SR9", "security", ["t"])],
-        "task_id string, requirement_id string, requirement_type string, test_files array<string>",
-    )
-    script = "# open('inputs/no.v')\nopen('inputs/top.v')\n"
-    files = spark.createDataFrame(
-        [(good, "tester", "evaluation/evaluate.py", script), (good, "artifact", "README.md", "plain"), (good, "artifact", "submission/top.v", "old"), (good, "expert", "x/top.v", "new"),
-         (bad, "tester", "evaluation/evaluate.py", "open('inputs/other.v'); print('[TEST] SKIP: SR1')"), (bad, "artifact", "inputs/a.v", "// cwe-79"), (bad, "artifact", "../up", "")],
-        "task_id string, bundle string, path string, content string",
-    )
-    ok, caught = "[TEST] PASS: FR1\n[TEST] PASS: SR1", "[TEST] PASS: FR1\n[TEST] FAIL: SR1"
-    runs = spark.createDataFrame(
-        [(good, "golden", None, None, "pass", ok, ""), (good, "vulnerable", None, None, "fail", caught, ""), (good, "mutant", "m1", "SR1", "fail", caught, ""), (good, "mutant", "m2", "FR1", "fail", "[TEST] FAIL: FR1", ""),
-         (bad, "golden", None, None, "fail", caught, ""), (bad, "vulnerable", None, None, "pass", ok, ""), (bad, "mutant", "m1", "SR1", "fail", "[TEST] FAIL: FR1", ""), (bad, "mutant", "m2", "SR9", "fail", "[TEST] FAIL: SR9", "Traceback (most recent call last)")],
-        "task_id string, arm string, mutant_id string, target string, status string, stdout string, stderr string",
-    )
-    return specs, domains, requirements, mapping, files, runs
-
-
-def test_every_issue_of_a_bad_case_and_none_of_a_good_one(spark):
-    specs, domains, requirements, mapping, files, runs = tables(spark)
-    issues = validation.validate(specs, domains, requirements, mapping, files, runs)
-    found = {(r["task_id"], r["issue"], r["detail"]) for r in issues.collect()}
-    assert {f[0] for f in found} == {"bad"}
-    assert {f[1] for f in found} == {
-        "unknown_domain", "input_artifact_not_filename", "missing_ground_truth", "missing_timing_discipline", "missing_metrics", "missing_case_file", "unsafe_output_path",
-        "evaluator_opens_undeclared_file", "evaluator_skips_requirement", "public_security_leak", "generic_functional_requirement", "duplicate_requirement_id", "missing_requirement_id",
-        "duplicate_requirement_mapping", "unknown_requirement_mapping", "requirement_type_mismatch", "missing_requirement_harness", "golden_rejected", "vulnerable_accepted", "dead_check", "untested_requirement",
-    }
-    assert {r["task_id"]: r["status"] for r in validation.report(specs, issues).collect()} == {"good": "pass", "bad": "fail"}
-
-
-def test_differential_classes_and_mutation_score(spark):
-    *_, mapping, _, runs = tables(spark)
-    gate = {r["task_id"]: (r["status"], r["failure_class"]) for r in validation.differential(runs, mapping).collect()}
-    assert gate == {"good": ("pass", None), "bad": ("fail", "multiple")}
-    per_check, score = validation.mutation(runs, mapping)
-    assert {r["task_id"]: r["mutation_score"] for r in score.collect()} == {"good": 1.0, "bad": 0.0}
-    assert {(r["task_id"], r["target"], r["state"]) for r in per_check.collect()} >= {("good", "SR1", "covered"), ("bad", "FR1", "untested")}
-
-
-def test_overlays_and_routes(spark):
-    *_, files, _ = tables(spark)
-    targets = spark.createDataFrame([("good", "submission/top.v"), ("good", "submission/none.v")], "task_id string, target string")
-    assert {r["target"]: r["state"] for r in validation.overlays(files, targets).collect()} == {"submission/top.v": "mapped", "submission/none.v": "missing"}
+    """The registered case tables."""
+    return [spark.createDataFrame(cases.TABLES[n][1], ", ".join(f"`{c}` {k}" for c, k in (x.rsplit(" ", 1) for x in cases.TABLES[n][0].split("; ")))) for n in cases.CASE_TABLES]
+
+
+def test_each_case_has_the_issues_it_was_made_for(spark):
+    issues = validation.validate(*tables(spark)).collect()
+    by = {}
+    for r in issues:
+        by.setdefault(r["task_id"], []).append(r["issue"])
+    assert "good" not in by and "never_run" not in by and "report" not in by
+    assert len({r["issue"] for r in issues}) == 40
+    assert sorted(by["timed"]) == ["domain_metric_mismatch", "golden_equals_baseline"]
+    assert sorted(by["leaks"]) == ["public_security_leak"] * 2
+    assert sorted(by["opens"]) == ["evaluator_opens_undeclared_file"] * 3 + ["evaluator_skips_requirement"] * 2
+    assert sorted(by["dead"]) == ["dead_check", "uncovered_requirement", "untested_requirement"]
+    assert sorted(by["other_check"]) == ["uncovered_requirement"] * 2
+    assert sorted(by["crashed"]) == ["vulnerable_rejection_invalid"]
+    assert sorted(by["unnamed"]) == ["golden_rejected", "requirement_id_mismatch"]
+    assert sorted(by["broken"]) == ["mutation_execution_error", "uncovered_requirement", "uncovered_requirement"]
+    assert "skipped" not in by
+    assert sorted(by["no_mutants"]) == ["untested_requirement"] * 2
+    assert "no_gate" in by and "baseline_failed" in by["no_gate"]
+
+
+def test_mutation_score_and_overlays(spark):
+    specs, domains, requirements, mapping, files, runs, failures = tables(spark)
+    _, score = validation.mutation(runs, mapping)
+    got = {r["task_id"]: (r["mutation_score"], r["error_runs"]) for r in score.collect()}
+    assert got["good"] == (1.0, 0) and got["other_check"] == (0.0, 0) and got["broken"] == (0.0, 3)
+    states = {(r["task_id"], r["state"]) for r in validation.overlays(files, validation.submission_targets(specs, domains)).collect()}
+    assert {("good", "mapped"), ("gone", "absent"), ("twice", "ambiguous"), ("unmatched", "unmapped"), ("equal", "same")} <= states
+
+
+def test_routes(spark):
     issues = spark.createDataFrame([("a", "missing_interface"), ("b", "dead_check"), ("c", "strange")], "task_id string, issue string")
     gate = spark.createDataFrame([("b", "pass"), ("a", "pass")], "task_id string, status string")
     routed = validation.routed(issues, spark.createDataFrame([("b",)], "task_id string"), gate)
