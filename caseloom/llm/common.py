@@ -20,9 +20,11 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a default is set only where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. A default is set only where it is unset on one machine; on a cluster that is an error, since workers would not share it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -75,25 +77,12 @@ def bitmap_may_hold(bits: Column, key: Column) -> Column:
     return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
 
 
-def without_keys(docs: DataFrame, rejected: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is in ``rejected``; null ids are never there.
+def without_rows(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and text are in ``rejected`` (id, text_key); a null id or text is a value like any other.
 
-    Rows that a bitmap of the rejected ids rules out pass straight through; only
+    Rows that a bitmap of the rejected ones rules out pass straight through; only
     the others, few unless the bitmap is full, are shuffled for the exact anti join.
     """
-    ids = rejected.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rejected_id")).distinct()
-    ids = stash(ids, "rejected")
-    bitmap = key_bitmap(ids.select(F.xxhash64("rejected_id").alias("k")), "k").alias("b")
-    key = F.xxhash64(F.col(f"d.`{id_col}`"))
-    marked = docs.alias("d").join(F.broadcast(bitmap), bitmap_bucket(key) == F.col("b.bucket"), "left")
-    may = bitmap_may_hold(F.col("b.bits"), key)
-    passed = marked.where(~may).select("d.*")
-    checked = marked.where(may).select("d.*").alias("d").join(ids.alias("r"), F.col(f"d.`{id_col}`") == F.col("r.rejected_id"), "left_anti").select("d.*")
-    return passed.unionByName(checked)
-
-
-def without_rows(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id and text are in ``rejected`` (id, text_key); a null id or text is a value like any other."""
     keys = stash(rejected.select(F.col(id_col).alias("rejected_id"), F.col("text_key").alias("rejected_key")).distinct(), "rejected")
     bitmap = key_bitmap(keys.select(F.xxhash64("rejected_id", "rejected_key").alias("k")), "k").alias("b")
     text_key = F.xxhash64(F.col(f"d.`{text_col}`"))

@@ -4,13 +4,16 @@ An item's sketch holds its least MinHash values: so many that an item of which a
 least ``CONTAINED_PERCENT`` is in a document must share one of them with it (the
 values missing from the document are fewer than the sketch). Items are
 partitioned by size into power-of-two classes, since a larger item needs a larger
-sketch, and go against all documents in blocks of bounded size, which bounds what
-is broadcast whatever the benchmark holds. A document is hashed whole; its hits in
-the sketches are the candidates, which are verified by the exact share of the
-item's shingles that the document holds.
+sketch. Documents are hashed whole, once, and give the shingles that a bitmap of
+all sketch values lets through; its size is fixed, so it can be broadcast whatever
+the benchmark holds. A join with the sketches, class by class a part of its key,
+finds the candidates, and these are verified by the exact share of the item's
+shingles that the document holds. Neither items nor hits pass through the driver.
 
-Items shorter than a shingle are one shingle of all their words and are looked up
-among the documents' windows of that many words.
+Items of fewer than ``least_words`` words (a shingle, unless asked otherwise) are
+no evidence, since every document that holds a common phrase would match; they are
+not searched, and ``left_out`` lists them. Where shorter items are asked for, each
+is one shingle of all its words among the documents' windows of that many words.
 
 Nulls and odd input: items and documents without words match nothing; repeated
 rows match like any other, each giving its rows; empty tables give no rows; a null
@@ -26,11 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SLICE_ROWS, WordHashes, grams, hashed_words, map_batches, stash
+from .common import BITMAP_BITS, SHINGLE_WORDS, SLICE_ROWS, WordHashes, bitmap_bucket, bitmap_may_hold, grams, hashed_words, key_bitmap, map_batches, n_words, stash
 
 CONTAINED_PERCENT = 75
-#: Shingles of the items of one block: what one broadcast holds at most, plus one item.
-BLOCK_SHINGLES = 1_000_000
 
 
 def sketch_size(n_shingles: int) -> int:
@@ -45,91 +46,114 @@ def sketch_size(n_shingles: int) -> int:
 def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
-        ids, widths, sets = [], [], []
-        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        where, widths, sets, sketches = [], [], [], []
+        for nth, text in enumerate(batch.column("text").to_pylist()):
             words = hashed_words(text, cache)
             if len(words):
-                ids.append(item)
+                where.append(nth)
                 widths.append(min(SHINGLE_WORDS, len(words)))
-                sets.append(np.unique(grams(words, widths[-1])).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("item_id").type), pa.array(widths, pa.int32()), pa.array(sets, pa.binary())], ["item_id", "width", "shingles"])
-
-
-class ItemBlock:
-    """Items of one block: sketches as one sorted table, and full sets for verification."""
-
-    def __init__(self, rows: list[tuple]):
-        self.ids = [r[0] for r in rows]
-        self.widths = np.array([r[1] for r in rows])
-        self.sets = [np.frombuffer(bytes(r[2]), np.uint64) for r in rows]
-        values, owners = [], []
-        for i, shingles in enumerate(self.sets):  # the hashes are mixed well, so their order serves as the MinHash order
-            least = shingles[: sketch_size(len(shingles))]
-            values.append(least)
-            owners.append(np.full(len(least), i))
-        values, owners = np.concatenate(values), np.concatenate(owners)
-        order = np.argsort(values, kind="stable")
-        self.values, self.owners = values[order], owners[order]
-
-    def found_in(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(item, shared shingles) of the items that a document holds enough of."""
-        found = []
-        for width in np.unique(self.widths):
-            own = np.unique(grams(words, int(width)))
-            if not len(own):
-                continue
-            first, last = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
-            hit = last > first
-            items = {int(i) for a, b in zip(first[hit], last[hit], strict=True) for i in self.owners[a:b]}
-            for i in sorted(items):
-                if self.widths[i] != width:
+                shingles = np.unique(grams(words, widths[-1]))
+                sets.append(shingles.tobytes())
+                sketches.append(shingles[: sketch_size(len(shingles))].view(np.int64).tolist())  # the hashes are mixed well, so their order serves as the MinHash order
+        at = pa.array(where, pa.int64())
+        columns = [batch.column("item_id").take(at), batch.column("item_key").take(at), pa.array(widths, pa.int32()), pa.array(sets, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["item_id", "item_key", "width", "shingles", "sketch"])
+
+
+def hashed_items(items: DataFrame, least_words: int = SHINGLE_WORDS) -> DataFrame:
+    """Distinct items that are searched: item_id, item_key, width, shingles, sketch and times (their rows)."""
+    kind = items.schema["item_id"].dataType.simpleString()
+    searched = items.where(n_words(F.col("text")) >= F.lit(max(1, least_words)))
+    once = searched.groupBy("item_id", F.xxhash64("text").alias("item_key")).agg(F.first(F.col("text").cast("binary")).alias("text"), F.count("*").alias("times"))
+    once = stash(once, "items")
+    hashed = map_batches(once.select("item_id", "item_key", "text"), _item_batches, f"item_id {kind}, item_key long, width int, shingles binary, sketch array<long>")
+    same = F.col("h.item_id").eqNullSafe(F.col("o.item_id")) & (F.col("h.item_key") == F.col("o.item_key"))
+    return hashed.alias("h").join(once.alias("o"), same).select("h.*", "o.times")
+
+
+def left_out(items: DataFrame, least_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The item rows that are too short to be searched, null and empty ones among them."""
+    return items.where(n_words(F.col("text")) < F.lit(max(1, least_words)))
+
+
+def _hit_function(shared):
+    """Distinct shingles of a document that the bitmap of sketch values lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, (widths, bitmap) = WordHashes(), shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                where, values = [], []
+                for nth, text in enumerate(part.column("text").to_pylist()):
+                    words = hashed_words(text, cache)
+                    for width in widths:
+                        own = grams(words, width)
+                        bit = (own.view(np.int64) % BITMAP_BITS - 1) % BITMAP_BITS
+                        hit = np.unique(own[(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1])
+                        if len(hit):
+                            where.append(np.full(len(hit), nth))
+                            values.append(hit.view(np.int64))
+                if where:
+                    at = pa.array(np.concatenate(where), pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("text_key").take(at), pa.array(np.concatenate(values))], ["doc_id", "text_key", "value"])
+
+    return run
+
+
+def _bitmap_bytes(values: DataFrame) -> np.ndarray:
+    """The bitmap of a long column: BITMAP_BITS bits, whatever the column holds. Spark counts places from 1, so the one for 0 comes last."""
+    held = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for row in key_bitmap(values, "value").collect():  # at most 1025 rows, 4 MB together
+        part = np.frombuffer(bytes(row["bits"]), np.uint8)
+        if row["bucket"] == 0:
+            held[-1] |= 0x80
+        else:
+            at = (row["bucket"] - 1) * len(part)
+            held[at : at + len(part)] |= part
+    return held
+
+
+def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = WordHashes()
+    last: tuple | None = None
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            kept, sizes, found = [], [], []
+            for nth, (key, text, width, held) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text_key", "text", "width", "shingles")), strict=True)):
+                if last is None or last[:2] != (key, width):
+                    last = (key, width, np.unique(grams(hashed_words(text, cache), width)))
+                own, item = last[2], np.frombuffer(held, np.uint64)
+                if not len(own):
                     continue
-                at = np.minimum(np.searchsorted(own, self.sets[i]), len(own) - 1)
-                shared = int((own[at] == self.sets[i]).sum())
-                if shared * 100 >= CONTAINED_PERCENT * len(self.sets[i]):
-                    found.append((i, shared))
-        return found
-
-
-def _blocks(items: DataFrame) -> Iterator[ItemBlock]:
-    """Items in blocks of bounded size, read one partition of the stored table at a time."""
-    rows, held = [], 0
-    for r in items.toLocalIterator():
-        rows.append((r["item_id"], r["width"], r["shingles"]))
-        held += len(r["shingles"]) // 8
-        if held >= BLOCK_SHINGLES:
-            yield ItemBlock(rows)
-            rows, held = [], 0
-    if rows:
-        yield ItemBlock(rows)
-
-
-def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                at = np.minimum(np.searchsorted(own, item), len(own) - 1)
+                shared = int((own[at] == item).sum())
+                if shared * 100 >= CONTAINED_PERCENT * len(item):
+                    kept.append(nth)
+                    sizes.append(len(item))
+                    found.append(shared)
+            where = pa.array(kept, pa.int64())
+            columns = [part.column(c).take(where) for c in ("doc_id", "text_key", "item_id", "times")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "text_key", "item_id", "times", "n_item", "n_shared"])
+
+
+def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, text_key, item_id, n_item, n_shared): items of which a document holds enough, one row per document row and item row."""
     spark = docs.sparkSession
     item_type, id_type = items.schema["item_id"].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, text_key long, item_id {item_type}, n_item long, n_shared long"
-    hashed = map_batches(items.select("item_id", F.col("text").cast("binary").alias("text")), _item_batches, f"item_id {item_type}, width int, shingles binary")
+    searched = stash(hashed_items(items, least_words), "items")
+    sketches = stash(searched.select("item_id", "item_key", F.explode("sketch").alias("value")), "sketches")
+    widths = sorted(r["width"] for r in searched.select("width").distinct().collect())  # five numbers at most
+    shared = spark.sparkContext.broadcast((widths, _bitmap_bytes(sketches)))
     narrow = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
-    found = None
-    for block in _blocks(stash(hashed, "items")):
-        shared = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            cache, block = WordHashes(), shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE_ROWS):
-                    part = batch.slice(at, SLICE_ROWS)
-                    rows = [(i, *hit) for i, text in enumerate(part.column("text").to_pylist()) for hit in block.found_in(hashed_words(text, cache))]
-                    where = pa.array([r[0] for r in rows], pa.int64())
-                    ids, keys = part.column("doc_id").take(where), part.column("text_key").take(where)
-                    item_ids = pa.array([block.ids[r[1]] for r in rows])
-                    sizes = pa.array([len(block.sets[r[1]]) for r in rows], pa.int64())
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([ids, keys, item_ids, sizes, pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "text_key", "item_id", "n_item", "n_shared"])
-
-        one = map_batches(narrow, search, schema)
-        found = one if found is None else found.union(one)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    return found.withColumnRenamed("doc_id", id_col)
+    hits = stash(map_batches(narrow, _hit_function(shared), f"doc_id {id_type}, text_key long, value long"), "hits")
+    candidates = stash(hits.join(sketches, "value").select("doc_id", "text_key", "item_id", "item_key").distinct(), "candidates")
+    same_item = F.col("c.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("c.item_key") == F.col("i.item_key"))
+    asked = candidates.alias("c").join(searched.alias("i"), same_item).select("c.doc_id", "c.text_key", "c.item_id", "i.width", "i.shingles", "i.times")
+    likely = narrow.join(F.broadcast(key_bitmap(candidates, "text_key")), bitmap_bucket(F.col("text_key")) == F.col("bucket")).where(bitmap_may_hold(F.col("bits"), F.col("text_key")))
+    same_document = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.text_key") == F.col("a.text_key"))
+    both = likely.select("doc_id", "text_key", "text").alias("d").join(asked.alias("a"), same_document).select("d.doc_id", "d.text_key", "d.text", "a.item_id", "a.width", "a.shingles", "a.times")
+    found = map_batches(both, _verify_batches, f"doc_id {id_type}, text_key long, item_id {item_type}, times long, n_item long, n_shared long")
+    each = found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select(F.col("doc_id").alias(id_col), "text_key", "item_id", "n_item", "n_shared")

@@ -160,7 +160,7 @@ ORACLE_SQL: dict[str, str] = {
     "op9_decontamination": rf"""
         WITH words AS (SELECT 'i' AS kind, item_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM benchmark
                        UNION ALL SELECT 'd', doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') FROM documents),
-        i AS (SELECT id, least(5, len(ws)) AS width, unnest(list_distinct(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda k: array_to_string(ws[k:k + least(5, len(ws)) - 1], ' ')))) AS gram FROM words WHERE kind = 'i' AND len(ws) > 0),
+        i AS (SELECT id, least(5, len(ws)) AS width, unnest(list_distinct(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda k: array_to_string(ws[k:k + least(5, len(ws)) - 1], ' ')))) AS gram FROM words WHERE kind = 'i' AND len(ws) >= 5),
         n AS (SELECT id, count(*) AS n_item FROM i GROUP BY id),
         widths AS (SELECT DISTINCT width FROM i),
         d AS (SELECT id, width, unnest(list_distinct(list_transform(range(1, len(ws) - width + 2), lambda k: array_to_string(ws[k:k + width - 1], ' ')))) AS gram FROM words, widths WHERE kind = 'd' AND len(ws) >= width)

@@ -400,8 +400,13 @@ def test_contained_items(spark):
                 want.add((d, i))
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(99, None), (98, "")], "item_id long, text string")
     table = spark.createDataFrame(list(docs.items()) + [(100, None)], "doc_id long, text string").withColumn("n_item", F.lit("clash"))
-    got = decontamination.contained_items(table, bench)
+    got = decontamination.contained_items(table, bench, least_words=1)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    # by default items of under a shingle are left out and listed; repeated rows of both tables give their rows
+    long_enough = {i for i, w in items.items() if len(w) >= 5}
+    twice = decontamination.contained_items(table.union(table), bench.union(bench)).collect()
+    assert len(twice) == 4 * len({x for x in want if x[1] in long_enough}) and {(r["doc_id"], r["item_id"]) for r in twice} == {x for x in want if x[1] in long_enough}
+    assert {r["item_id"] for r in decontamination.left_out(bench).collect()} == {98, 99} | (set(items) - long_enough)
     assert decontamination.contained_items(table, bench.limit(0)).count() == decontamination.contained_items(table.limit(0), bench).count() == 0
 
 
@@ -508,9 +513,10 @@ def test_pipeline_equals_its_sql(same_rows):
 
 
 def test_rejected_rows_go_and_all_others_stay(spark, odd):
-    rejected = spark.createDataFrame([(0,), (5,), (None,), (77,)], "doc_id long")
-    left = common.without_keys(odd, rejected, "doc_id")
-    assert left.columns == odd.columns and left.count() == odd.count() - 3  # 0, and 5 twice
+    gone = odd.where("doc_id IN (0, 5) OR doc_id IS NULL AND text IS NULL").select("doc_id", F.xxhash64("text").alias("text_key"))
+    left = common.without_rows(odd, gone.union(spark.createDataFrame([(77, 1), (1, 77)], "doc_id long, text_key long")))
+    assert left.columns == odd.columns and left.count() == odd.count() - 4  # 0, 5 twice, and the row without id and text
+    assert left.where("doc_id IS NULL").count() == 1
 
 
 def test_stages_tell_rows_by_id_and_text(spark):
