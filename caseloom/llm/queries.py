@@ -75,10 +75,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: CRC-32 of a text, by the usual table, built from its rule; {SHARDED} is the source of documents.
 _SHARDS_SQL = """
         WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
-        r AS MATERIALIZED (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, (('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % 4096)::INTEGER AS slot_id,
+        c AS MATERIALIZED (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
                      xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
                                                  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32
               FROM {SHARDED}, tab),
+        r AS MATERIALIZED (SELECT *, (('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32), 1, 15))::BIGINT % 4096)::INTEGER AS slot_id FROM c),
         s AS (SELECT slot_id, sum(size)::BIGINT AS b, count(*) AS n FROM r GROUP BY 1),
         o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY b DESC, slot_id) AS nth FROM s),
         p(i, loads, slot_id, shard) AS (

@@ -2,22 +2,28 @@
 
 Every record hashes into one of a fixed, large number of slots. Bytes are summed
 per slot (a table of at most ``n_slots`` rows whatever the corpus holds), and a
-versioned slot-to-shard map is derived from those sums: the heaviest slot first,
-each to the shard that is lightest so far. Rebalancing edits the map, never the
-hash, so only records of the slots that the edit names move.
+slot-to-shard map is derived from those sums: the heaviest slot first, each to the
+shard that is lightest so far. The map is stored with its version, and records are
+placed by what is stored. Rebalancing edits the map into its next version, never
+the hash, so only records of the slots that the edit names move.
+
+A slot is hashed from the key and the checksum of the text, so that a null or
+repeated key, which may be that of a third of all records, spreads over the slots.
 
 Nulls and odd input: a null text has no bytes, a null key column hashes like any
 other value, an empty table gives an empty assignment, and repeated rows each get
-a position of their own. Records equal in every key column share a slot. Extra
+a position of their own. Records equal in key and text share a slot. Extra
 columns of the input are neither read nor changed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import scratch_path, stash
+
 DEFAULT_SLOTS = 4096
 #: Bytes that a record takes besides its text.
 RECORD_OVERHEAD = 16
@@ -93,16 +99,16 @@ def add_shard(slot_map: DataFrame) -> DataFrame:
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Add one version to the stored maps; versions already there stay."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    """Store a map's versions; versions already there stay, but for those it holds itself, so a repeated save changes nothing."""
+    slot_map.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
-def load_map(spark, path: str, version: int | None = None) -> DataFrame:
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version, the newest by default."""
     stored = spark.read.schema(_MAP_SCHEMA).parquet(path)
     if version is None:
         version = stored.agg(F.max("version")).first()[0]
-    return stored.where(F.col("version") == version)
+    return stored.where(F.col("version") == F.lit(version))
 
 
 def assign(records: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFrame:
@@ -119,16 +125,26 @@ def assign(records: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFra
     return placed.withColumn("slot", (F.col("offset") + F.col("nth") - 1).cast("long")).drop("offset", "nth")
 
 
-def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = DEFAULT_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spread documents over shards of near equal bytes.
+def document_records(docs: DataFrame, n_slots: int = DEFAULT_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32, slot_id) of documents. Texts stay where they are: only the narrow columns move."""
+    text = F.col(text_col)
+    narrow = docs.select(F.col(id_col), record_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
+    return narrow.withColumn("slot_id", slot_of([F.col(id_col), F.col("text_crc32")], n_slots))
+
+
+def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = DEFAULT_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None, version: int | None = None) -> DataFrame:
+    """Spread documents over shards of near equal bytes, by a stored map.
 
     Returns id, size, text_crc32, slot_id, shard, version and slot (the position
-    in the shard). Texts stay where they are: only the narrow columns move.
+    in the shard). The first version of the map is made from these documents and
+    stored at ``map_path`` (in the shared folder, if none is given); where
+    ``version`` is given, that version is read from there instead, and its sums
+    must be those of the same documents.
     """
-    text = F.col(text_col)
-    records = docs.select(
-        F.col(id_col), record_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        slot_of([F.col(id_col)], n_slots).alias("slot_id"),
-    )
-    sizes = docs.select(record_bytes(text).alias("size"), slot_of([F.col(id_col)], n_slots).alias("slot_id"))
-    return assign(records, build_map(slot_totals(sizes), n_shards), [id_col, "text_crc32", "size"])
+    spark = docs.sparkSession
+    records = stash(document_records(docs, n_slots, id_col, text_col), "records")
+    path = map_path or scratch_path(spark, "slot_map")
+    if version is None:
+        version = 1
+        save_map(build_map(slot_totals(records.select("size", "slot_id")), n_shards, version), path)
+    return assign(records, load_map(spark, path, version), [id_col, "text_crc32", "size"])

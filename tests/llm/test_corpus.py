@@ -88,6 +88,7 @@ def test_map_versions(spark, tmp_path):
     assert max(load.values()) < 1.15 * sum(load.values()) / 9 and load[8] > 0.8 * sum(load.values()) / 9
     for m in (first, second):
         sharding.save_map(m, str(tmp_path / "map"))
+        sharding.save_map(m, str(tmp_path / "map"))
     assert sharding.load_map(spark, str(tmp_path / "map")).first()["version"] == 2
     assert {r["slot_id"]: r["shard"] for r in sharding.load_map(spark, str(tmp_path / "map"), 1).collect()} == before
 
@@ -254,6 +255,36 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_predictions_equal_a_plain_loop(spark):
+    """Each text compressed by itself, piece after piece, with each dictionary: the fewest bytes win, ties by name."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    learned = docs.where("lang IS NOT NULL").where(~language_id.held_out(F.col("doc_id")))
+    content = language_id.dictionaries(language_id.sample(learned.select("doc_id", "text", "lang")))
+    assert set(content) == {r["lang"] for r in learned.select("lang").distinct().collect()}
+    want = {}
+    for r in docs.collect():
+        text, sizes = r["text"] or "", {}
+        for lang, data in content.items():
+            pack = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            low = text.lower().encode()
+            sizes[lang] = sum(len(pack.compress(low[i : i + 8192])) for i in range(0, len(low), 8192))
+        best = min(sizes, key=lambda x: (sizes[x], x))
+        second = min(v for k, v in sizes.items() if k != best)
+        want[r["doc_id"]] = (best, round(1 - sizes[best] / second, 9)) if any(c.isalpha() for c in text) else ("und", 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(docs).collect()}
+    assert got == want
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    r = random.Random(4)
+    long = lambda words: " ".join(r.choice(words) for _ in range(6000))
+    data = [(i, long(["uno", "dos", "tres", "cuatro"]), "es") for i in range(5)] + [(10 + i, "one two three four " * 4, "en") for i in range(5)] + [(20, long(["uno", "dos", "tres", "cuatro"])[:400], None), (21, "x", "zz"), (22, "y", "zz"), (23, "y", "zz")]
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert got[20] == "es" and all(got[i] == "es" for i in range(5))
+
+
 def test_language_odd_input(odd, empty):
     got = {r["doc_id"]: r for r in language_id.identify(odd).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2))
