@@ -279,10 +279,12 @@ def test_predictions_equal_a_plain_loop(spark):
 
 def test_a_language_of_long_texts_is_learned(spark):
     r = random.Random(4)
-    long = lambda words: " ".join(r.choice(words) for _ in range(6000))
-    data = [(i, long(["uno", "dos", "tres", "cuatro"]), "es") for i in range(5)] + [(10 + i, "one two three four " * 4, "en") for i in range(5)] + [(20, long(["uno", "dos", "tres", "cuatro"])[:400], None), (21, "x", "zz"), (22, "y", "zz"), (23, "y", "zz")]
+    spell = lambda letters: ["".join(r.choice(letters) for _ in range(r.randrange(3, 9))) for _ in range(400)]
+    some, other = spell("aeiouñrst"), spell("eaoyhkwtn")
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    data = [(i, say(some, 6000), "es") for i in range(8)] + [(10 + i, say(other, 300), "en") for i in range(8)] + [(20, say(some, 60), None), (21, "x", "zz"), (22, "y", "zz"), (23, "y", "zz")]
     got = {x["doc_id"]: x["lang_pred"] for x in language_id.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
-    assert got[20] == "es" and all(got[i] == "es" for i in range(5))
+    assert got[20] == "es" and all(got[i] == "es" for i in range(8)) and all(got[i] == "en" for i in range(10, 18))
 
 
 def test_language_odd_input(odd, empty):
@@ -565,8 +567,21 @@ def test_stages_tell_rows_by_id_and_text(spark):
 
 
 def test_pipeline_odd_input(spark, odd, empty):
+    """Short, empty and repetitive texts go; of the copies and near copies the rows of the least id stay, and the one without an id."""
     import corpus_pipeline
 
-    for docs in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = common.stash(stage(spark, docs, DATA), "stage")
+    want = {"quality": [5, 5, 6, 7, 10, None], "near_duplicates": [5, 5, None], "decontaminate": [5, 5, None]}
+    docs, none = odd, empty
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs, none = docs, common.stash(stage(spark, docs, DATA), "stage"), common.stash(stage(spark, none, DATA), "stage")
+        assert none.count() == 0
+        if name in want:
+            assert docs.columns == odd.columns and sorted((r["doc_id"] for r in docs.collect()), key=repr) == sorted(want[name], key=repr)
+        elif name == "mix_sources":
+            assert docs.columns == odd.columns and {r["doc_id"] for r in docs.collect()} <= {5, None}
+        else:
+            placed = docs.collect()
+            assert len(placed) == before.count()
+            for shard in {r["shard"] for r in placed}:
+                slots = sorted(r["slot"] for r in placed if r["shard"] == shard)
+                assert slots == list(range(len(slots)))
