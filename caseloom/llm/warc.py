@@ -1,9 +1,10 @@
 """WARC archives as a PySpark data source.
 
 Writing: each task writes archives of gzip members, one record a member, whose
-header carries the member's length (the ``sl`` extra field), rolls over to a new
-file at a size limit, and its files take their names only when the job commits,
-so a lost or repeated task leaves nothing behind.
+header carries the member's length (the ``sl`` extra field), and rolls over to a
+new file at a size limit. The job commits by one list of the files that its tasks
+wrote; of such files only listed ones are read, so a lost or repeated task leaves
+nothing to be seen, and no file is renamed.
 
 Reading: the driver plans partitions of whole files up to a size limit. Filters
 on the record type and on other header columns are pushed down; a record's headers are
@@ -39,8 +40,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import SLICE_ROWS, bound_batches, scratch_path
 
 SUFFIX = ".warc.gz"
-FILE_BYTES = 128 << 20
-PARTITION_BYTES = 128 << 20
+FILE_BYTES = 32 << 20
+PARTITION_BYTES = 64 << 20
+#: Names of the files that this source writes, and of the lists that commit them.
+PART, LIST = "part-", "_committed-"
 #: Payloads from this size on are stored once.
 LEAST_SHARED_BYTES = 1000
 _READ_BYTES = 1 << 16
@@ -97,8 +100,8 @@ class WarcWriter(DataSourceArrowWriter):
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 for row in batch.slice(at, SLICE_ROWS).to_pylist():
                     if out is None:
-                        files.append(f"{uuid.uuid4().hex}{SUFFIX}")
-                        out = fs.open_output_stream(f"{folder}/.{files[-1]}.tmp")
+                        files.append(f"{PART}{uuid.uuid4().hex}{SUFFIX}")
+                        out = fs.open_output_stream(f"{folder}/{files[-1]}", compression=None)
                     out.write(_record(row, now))
                     if out.tell() >= self.file_bytes:
                         out.close()
@@ -110,15 +113,16 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, folder = _file_system(self.path)
         fs.create_dir(folder, recursive=True)
-        for message in messages:
-            for name in message.files if message else []:
-                fs.move(f"{folder}/.{name}.tmp", f"{folder}/{name}")
+        names = [name for message in messages if message for name in message.files]
+        with fs.open_output_stream(f"{folder}/.{LIST}tmp-{(mine := uuid.uuid4().hex)}") as out:
+            out.write("\n".join(names).encode())
+        fs.move(f"{folder}/.{LIST}tmp-{mine}", f"{folder}/{LIST}{mine}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, folder = _file_system(self.path)
         for message in messages:
             for name in message.files if message else []:
-                fs.delete_file(f"{folder}/.{name}.tmp")
+                fs.delete_file(f"{folder}/{name}")
 
 
 @dataclass
@@ -145,8 +149,14 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         fs, folder = _file_system(self.path)
         found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+        committed: set[str] = set()
+        for info in found:
+            if info.base_name.startswith(LIST):
+                with fs.open_input_file(info.path) as file:
+                    committed |= set(file.read().decode().split("\n"))
+        there = [i for i in found if i.base_name.endswith(SUFFIX) and (i.base_name in committed if i.base_name.startswith(PART) else i.base_name[0] not in "._")]
         parts, held = [], self.partition_bytes
-        for info in sorted((i for i in found if i.base_name.endswith(SUFFIX) and not i.base_name.startswith(".")), key=lambda i: i.path):
+        for info in sorted(there, key=lambda i: i.path):
             if held + info.size > self.partition_bytes:
                 parts.append(Files([]))
                 held = 0
