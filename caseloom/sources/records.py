@@ -157,7 +157,7 @@ def write_files(bundles: DataFrame, root: str) -> DataFrame:
                 if r["inside"]:
                     place = f"{base}/{r['task_id']}/{r['path']}"
                     store.create_dir(place.rpartition("/")[0], recursive=True)
-                    with store.open_output_stream(place) as out:
+                    with store.open_output_stream(place, compression=None) as out:
                         out.write((r["content"] or "").encode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_pydict({"task_id": [r["task_id"] for r in rows], "path": [r["path"] for r in rows], "written": [r["inside"] for r in rows], "executable": [r["path"].endswith(".sh") for r in rows]}, pa.schema([("task_id", pa.string()), ("path", pa.string()), ("written", pa.bool_()), ("executable", pa.bool_())]))
 
