@@ -29,9 +29,9 @@ STRETCHES = 4096
 _PLACE_DIGITS = 15
 
 
-def place(id_col: Column, seed: int) -> Column:
-    """A document's place in the seeded order: 60 bits of a digest of seed and id."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null")))
+def place(id_col: Column, text_col: Column, seed: int) -> Column:
+    """A document's place in the seeded order: 60 bits of a digest of seed, id and text, so that rows that share an id, or have none, are spread."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null")), F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256))
     return F.conv(F.substring(F.sha2(text, 256), 1, _PLACE_DIGITS), 16, 10).cast("long")
 
 
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: f
     into a narrow table; sums run over (source, stretch) before rows, so a source
     with any share of all documents is spread over all tasks.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), place(F.col(id_col), seed).alias("place"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), place(F.col(id_col), F.col(text_col), seed).alias("place"))
     sized = stash(sized.withColumn("stretch", F.floor(F.col("place") / F.lit(16**_PLACE_DIGITS // STRETCHES)).cast("int")), "sized")
     stretches = sized.groupBy("source", "stretch").agg(F.sum("size").alias("stretch_size"))
     totals = stretches.groupBy("source").agg(F.sum("stretch_size").alias("source_size"))
@@ -91,7 +91,7 @@ def repeat(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs
     once_more = (F.col("size") > 0) & (F.col("extra") * 2 >= F.col("size"))
     last = stash(mixed.groupBy("source").agg(F.max("whole").alias("whole"), F.max(F.when(once_more, F.col("place"))).alias("last_place")), "places")
     joined = docs.alias("d").join(last.alias("t"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("t.source")))
-    more = F.regexp_like(F.col(f"d.`{text_col}`"), F.lit(WORD)) & (place(F.col(f"d.`{id_col}`"), seed) <= F.col("t.last_place"))
+    more = F.regexp_like(F.col(f"d.`{text_col}`"), F.lit(WORD)) & (place(F.col(f"d.`{id_col}`"), F.col(f"d.`{text_col}`"), seed) <= F.col("t.last_place"))
     copies = (F.col("t.whole") + F.when(more, 1).otherwise(0)).cast("int")
     row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
     return joined.select(F.explode(F.array_repeat(row, copies)).alias("row")).select("row.*")

@@ -95,7 +95,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mixing": rf"""
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-                 ('0x' || substr(sha256('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS place
+                 ('0x' || substr(sha256('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || sha256(coalesce(text, ''))), 1, 15))::BIGINT AS place
           FROM documents),
         s AS (SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
         w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(nth % 3 + 1)::INT] AS weight, source_size * 2 AS stop FROM s),
