@@ -11,6 +11,9 @@ of ``BOUND`` classes, so that a passage is cut alike wherever it stands. Digests
 units are grouped over the whole corpus. A window can only be repeated if all
 units inside it are, so only such windows, and the few that hold no whole unit,
 are hashed themselves, and these hashes are grouped in turn: the earliest stays.
+First, though, stretches of such windows between bounds are hashed as a whole: all
+windows of a stretch that stands earlier too are repeated, so that only those of
+its first occurrence go on, and long repeats cost little.
 Units of a few words are in every text and decide nothing. Copies of whole texts
 are told by one digest and take no part in this; a window that a text has more
 than once is one row with all its places.
@@ -39,6 +42,8 @@ LEAST_WORDS = 50
 BOUND = 8
 #: Units of fewer words are left out.
 LEAST_UNIT = 4
+#: One in so many places between two words (a multiple of BOUND) is a bound of stretches.
+STRETCH_BOUND = 16
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -65,10 +70,10 @@ def spans(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, powers: Power
     return finalise((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 
 
-def bounds(hashes: np.ndarray) -> np.ndarray:
+def bounds(hashes: np.ndarray, every: int = BOUND) -> np.ndarray:
     """Numbers of the words before which a unit ends and the next begins."""
     both = finalise(hashes[:-1] + finalise(hashes[1:]))
-    return np.flatnonzero(both % np.uint64(BOUND) == 0) + 1
+    return np.flatnonzero(both % np.uint64(every) == 0) + 1
 
 
 class Units:
@@ -170,31 +175,80 @@ def _piece_function(least: int):
     return run
 
 
-def _window_function(least: int):
-    """Windows whose units are all among the given ones, of which each holds at least one."""
+class Candidates:
+    """The windows of a text whose units, at least one, are all among the given ones, and the stretches of them between bounds: from ``low`` up to ``high``, not included."""
+
+    def __init__(self, hashes: np.ndarray, units: np.ndarray, least: int):
+        own = Units(hashes, least)
+        known = np.zeros(len(own.low) + 1, np.int64)
+        known[units + 1] = 1
+        upto = np.cumsum(known)
+        self.hold = (own.behind > own.first) & (upto[own.behind] - upto[own.first] == own.behind - own.first)
+        cuts = bounds(hashes, STRETCH_BOUND)
+        cuts = cuts[cuts <= len(self.hold)]
+        held = np.concatenate([[0], np.cumsum(self.hold)])
+        low, high = cuts[:-1], cuts[1:]
+        whole = held[high] - held[low] == high - low
+        self.low, self.high = low[whole], high[whole]
+
+
+def _stretch_function(least: int):
+    """Stretches of candidate windows: hash and check of all their words, the first window's word, where the words start and end, and the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(least)
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                docs, rows, more = [], [], []
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(begin, SLICE_ROWS)
+                docs, rows = [], []
                 for nth, (text, units) in enumerate(zip(part.column("text").to_pylist(), part.column("units"), strict=True)):
                     hashes = hasher.words(text)
-                    own = Units(hashes, least)
-                    known = np.zeros(len(own.low) + 1, np.int64)
-                    known[np.asarray(units.values) + 1] = 1
-                    upto = np.cumsum(known)
-                    at = np.flatnonzero((own.behind > own.first) & (upto[own.behind] - upto[own.first] == own.behind - own.first))
+                    found = Candidates(hashes, np.asarray(units.values), least)
+                    if len(found.low):
+                        behind = found.high + least - 1
+                        value = spans(hashes, found.low, behind, hasher.powers[0])
+                        check = spans(finalise(hashes), found.low, behind, hasher.powers[1]) >> np.uint64(33)
+                        start, end = places(text)
+                        docs.append(np.full(len(value), nth))
+                        rows.append(np.stack([value.view(np.int64), check.astype(np.int64), found.low, start[found.low], end[behind - 1], found.high - found.low]))
+                if docs:
+                    who = pa.array(np.concatenate(docs), pa.int64())
+                    columns = [part.column("doc_id").take(who), part.column("text_key").take(who), *_numbers(list(np.concatenate(rows, axis=1)))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", *_NUMBERS, "n"])
+
+    return run
+
+
+def _window_function(least: int):
+    """Candidate windows but those of the stretches that are known to be repeated (from ``lows``); ``opens`` marks rows with a window that opens a stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(least)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(begin, SLICE_ROWS)
+                docs, rows, more, opens = [], [], [], []
+                for nth, (text, units, lows) in enumerate(zip(part.column("text").to_pylist(), part.column("units"), part.column("lows"), strict=True)):
+                    hashes = hasher.words(text)
+                    found = Candidates(hashes, np.asarray(units.values), least)
+                    hold = found.hold.copy()
+                    if lows.is_valid:
+                        known = np.isin(found.low, np.asarray(lows.values))
+                        for low, high in zip(found.low[known], found.high[known], strict=True):
+                            hold[low:high] = False
+                    at = np.flatnonzero(hold)
                     if len(at):
                         numbers, others = hasher.window_rows(text, hashes, at)
                         docs.append(np.full(numbers.shape[1], nth))
                         rows.append(numbers)
                         more += others
+                        first = np.zeros(len(hold), bool)
+                        first[found.low] = True
+                        opens += [bool(first[a]) or (x is not None and bool(first[x[::3]].any())) for a, x in zip(numbers[2].tolist(), others, strict=True)]
                 if docs:
                     who = pa.array(np.concatenate(docs), pa.int64())
-                    columns = [part.column("doc_id").take(who), part.column("text_key").take(who), *_numbers(list(np.concatenate(rows, axis=1))), pa.array(more, _MORE)]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", *_NUMBERS, "more"])
+                    columns = [part.column("doc_id").take(who), part.column("text_key").take(who), *_numbers(list(np.concatenate(rows, axis=1))), pa.array(more, _MORE), pa.array(opens, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", *_NUMBERS, "more", "opens"])
 
     return run
 
@@ -216,23 +270,56 @@ def _copies(pieces: DataFrame) -> DataFrame:
     return joined.select("d.doc_id", "d.text_key", "d.start", "d.end", F.col("d.at").alias("words"), F.col("f.first.doc_id").alias("first_doc_id"), F.col("f.first.start").alias("first_start")).distinct()
 
 
-def _marked_windows(pieces: DataFrame, copies: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
-    """Windows whose units all occur again, and those without a whole unit, of documents that are no copies."""
+def _marked_texts(pieces: DataFrame, copies: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
+    """(doc_id, text_key, text, units): documents, no copies, in which a window fits between units that do not occur again, with those that do."""
     units = pieces.where(F.col("unit") >= 0).select("doc_id", "text_key", "unit", "hash", F.col("at").alias("low"), F.col("start").alias("high"), F.xxhash64("whole", "unit").alias("place"))
     ends = units.groupBy("hash").agg(F.min("place").alias("least"), F.max("place").alias("most"))
     again = units.drop("place").join(stash(ends.where(F.col("least") != F.col("most")).select("hash"), "repeated"), "hash")
-    # units that stand together, if a window fits between the units around them
     island = F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id", "text_key").orderBy("unit"))
     together = again.withColumn("island", island).groupBy("doc_id", "text_key", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("unit").alias("units"))
     marks = together.where(F.col("high") - F.col("low") >= least).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("units")).alias("units"))
     marks = stash(marks.alias("m").join(copies.alias("c"), _same_document("m", "c"), "left_anti"), "marks")
     bitmap = key_bitmap(marks, "text_key")
     likely = keyed.join(F.broadcast(bitmap), bitmap_bucket(F.col("text_key")) == F.col("bucket")).where(bitmap_may_hold(F.col("bits"), F.col("text_key")))
-    texts = likely.select("doc_id", "text_key", "text").alias("d").join(marks.alias("m"), _same_document("d", "m")).select("d.doc_id", "d.text_key", "d.text", "m.units")
-    id_type = keyed.schema["doc_id"].dataType.simpleString()
-    found = map_batches(texts, _window_function(least), f"doc_id {id_type}, text_key long, {_WINDOW_SCHEMA}")
-    bare = pieces.where(F.col("unit").isNull()).select("doc_id", "text_key", *_NUMBERS, "more").alias("w").join(copies.alias("c"), _same_document("w", "c"), "left_anti")
-    return found.unionByName(bare)
+    texts = likely.select("doc_id", "text_key", "text").alias("d").join(marks.alias("m"), _same_document("d", "m"))
+    return stash(texts.select("d.doc_id", "d.text_key", "d.text", "m.units"), "texts")
+
+
+def _firsts(rows: DataFrame, several: Column) -> DataFrame:
+    """(hash, check, first) of the hashes that rows share, or that have ``several`` places in one; written, so that a join with it is a plain one, whose hot hashes adaptive execution can split."""
+    ends = rows.groupBy("hash", "check").agg(F.min(F.struct("doc_id", "text_key", "at", "start")).alias("first"), (F.count("*") + F.count(several)).alias("n_places"))
+    return stash(ends.where(F.col("n_places") > 1).drop("n_places"), "firsts")
+
+
+def _later(at: Column, least: int) -> Column:
+    """Whether a place is not the first itself and does not overlap with it."""
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    return ~own | (at - F.col("first.at") >= least)
+
+
+def _repeated_stretches(texts: DataFrame, least: int) -> DataFrame:
+    """Stretches that stand earlier too: doc_id, text_key, at, start, end, n and first."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    rows = stash(map_batches(texts, _stretch_function(least), f"doc_id {id_type}, text_key long, hash long, check int, at int, start int, end int, n int"), "stretches")
+    joined = rows.join(_firsts(rows, F.lit(None)), ["hash", "check"])
+    # a stretch is as long as its windows reach, so it must be clear of the first by all of them
+    return stash(joined.where(_later(F.col("at"), least)).select("doc_id", "text_key", "at", "start", "end", "n", "first"), "covered")
+
+
+def _repeated_windows(texts: DataFrame, covered: DataFrame, pieces: DataFrame, copies: DataFrame, least: int) -> DataFrame:
+    """Windows that stand earlier too, but those of ``covered`` stretches: doc_id, text_key, at, start, end, first and opens."""
+    lows = stash(covered.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("lows")), "lows")
+    asked = texts.alias("t").join(lows.alias("l"), _same_document("t", "l"), "left").select("t.doc_id", "t.text_key", "t.text", "t.units", "l.lows")
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    found = map_batches(asked, _window_function(least), f"doc_id {id_type}, text_key long, {_WINDOW_SCHEMA}, opens boolean")
+    bare = pieces.where(F.col("unit").isNull()).select("doc_id", "text_key", *_NUMBERS, "more", F.lit(False).alias("opens")).alias("w").join(copies.alias("c"), _same_document("w", "c"), "left_anti")
+    rows = stash(found.unionByName(bare), "windows")
+    # the places of a row: its own and the triples of its others
+    nth = lambda i, k: F.get("more", 3 * i + k)
+    others = F.transform(F.sequence(F.lit(0), (F.size("more") / 3).cast("int") - 1), lambda i: F.struct(nth(i, 0).alias("at"), nth(i, 1).alias("start"), nth(i, 2).alias("end")))
+    every = F.concat(F.array(F.struct("at", "start", "end")), F.when(F.col("more").isNotNull(), others).otherwise(F.array().cast("array<struct<at:int,start:int,end:int>>")))
+    joined = rows.join(_firsts(rows, F.col("more")), ["hash", "check"]).select("doc_id", "text_key", "first", "opens", F.explode(every).alias("p"))
+    return stash(joined.where(_later(F.col("p.at"), least)).select("doc_id", "text_key", "p.at", "p.start", "p.end", "first", "opens"), "again")
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,26 +329,21 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str =
     id_type, keyed = docs.schema[id_col].dataType.simpleString(), _keyed(docs, id_col, text_col)
     pieces = stash(map_batches(keyed, _piece_function(least_words), f"doc_id {id_type}, text_key long, whole binary, unit int, {_WINDOW_SCHEMA}"), "pieces")
     copies = stash(_copies(pieces), "copies")
-    found = stash(_marked_windows(pieces, copies, keyed, least_words), "windows")
-    ends = found.groupBy("hash", "check").agg(
-        F.min(F.struct("doc_id", "text_key", "at", "start")).alias("first"), F.max(F.struct("doc_id", "text_key", "at")).alias("last"), F.count("more").alias("several"),
-    )
-    firsts = ends.where((F.col("several") > 0) | ~F.struct("first.doc_id", "first.text_key", "first.at").eqNullSafe(F.col("last"))).drop("last", "several")
-    firsts = stash(firsts, "firsts")  # so that the join below is a plain one, whose hot hashes adaptive execution can split
-    # the places of a row: its own and the triples of its others
-    nth = lambda i, k: F.get("more", 3 * i + k)
-    others = F.transform(F.sequence(F.lit(0), (F.size("more") / 3).cast("int") - 1), lambda i: F.struct(nth(i, 0).alias("at"), nth(i, 1).alias("start"), nth(i, 2).alias("end")))
-    every = F.concat(F.array(F.struct("at", "start", "end")), F.when(F.col("more").isNotNull(), others).otherwise(F.array().cast("array<struct<at:int,start:int,end:int>>")))
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    joined = found.join(firsts, ["hash", "check"]).select("doc_id", "text_key", "first", F.explode(every).alias("p"))
-    again = joined.where(~own | (F.col("p.at") - F.col("first.at") >= least_words))
-    again = again.select("doc_id", "text_key", "p.at", "p.start", "p.end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    texts = _marked_texts(pieces, copies, keyed, least_words)
+    covered = _repeated_stretches(texts, least_words)
+    again = _repeated_windows(texts, covered, pieces, copies, least_words)
+    both = again.select("doc_id", "text_key", "at", "start", "end", F.lit(1).alias("n"), "first").unionByName(covered.select("doc_id", "text_key", "at", "start", "end", "n", "first"))
+    reach = F.col("at") + F.col("n") - 1 + least_words
     w = Window.partitionBy("doc_id", "text_key").orderBy("at")
-    opens = F.coalesce(F.col("at") > F.lag("at").over(w) + least_words, F.lit(True)).cast("int")
-    numbered = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    first = F.min_by(F.struct("first_doc_id", "first_start"), "at")
-    runs = numbered.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + least_words).cast("int").alias("words"), first.alias("f"))
-    every = runs.select("doc_id", "text_key", "start", "end", "words", "f.first_doc_id", "f.first_start").unionByName(copies)
+    opens = F.coalesce(F.col("at") > F.max(reach).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    numbered = both.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    words = (F.max(reach) - F.min("at")).cast("int")
+    runs = numbered.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), words.alias("words"), F.min_by("first", "at").alias("first"))
+    # where a run opens with a stretch, the stretch's first window may itself stand earlier still
+    earlier = again.where("opens").select(F.struct("doc_id", "text_key", "at").alias("place"), F.col("first").alias("earliest")).distinct()
+    place = F.struct("first.doc_id", "first.text_key", "first.at")
+    runs = runs.alias("r").join(earlier.alias("e"), place.eqNullSafe(F.col("e.place")), "left").select("r.*", F.coalesce("e.earliest", "r.first").alias("f"))
+    every = runs.select("doc_id", "text_key", "start", "end", "words", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("first_start")).unionByName(copies)
     return every.withColumnRenamed("doc_id", id_col)
 
 

@@ -480,6 +480,37 @@ def test_repeats_equal_brute_force(spark, partitions):
     assert {d: sorted(x) for d, x in got.items()} == brute_runs(texts, 9)
 
 
+def test_long_repeats_equal_brute_force(spark):
+    """Near copies of long texts, with excerpts of them in earlier and later documents: stretches, their first occurrences, and what stands earlier still."""
+    r = random.Random(17)
+    new = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    bases = [new(500) for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        base = list(r.choice(bases))
+        kind = r.random()
+        if kind < 0.4:  # an excerpt
+            at = r.randrange(400)
+            words = new(r.randrange(30)) + base[at : at + r.randrange(8, 90)] + new(r.randrange(30))
+        elif kind < 0.8:  # a near copy
+            for _ in range(r.randrange(1, 8)):
+                at = r.randrange(len(base))
+                base[at : at + r.randrange(3)] = new(r.randrange(3))
+            words = base
+        else:  # pieces after one another, some of them twice
+            words = [w for _ in range(4) for w in r.choice(bases)[(at := r.randrange(300)) : at + r.randrange(150)]]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = defaultdict(list)
+    for x in substring_dedup.repeated_runs(docs, 12).collect():
+        got[x["doc_id"]].append((x["start"], x["end"], x["words"]))
+        words = texts[x["doc_id"]][x["start"] :].split()[:12]
+        assert texts[x["first_doc_id"]][x["first_start"] :].split()[:12] == words
+        first = next(d for d, t in enumerate(texts) if f" {' '.join(words)} " in f" {t} ")
+        assert x["first_doc_id"] == first
+    assert {d: sorted(x) for d, x in got.items()} == brute_runs(texts, 12)
+
+
 def test_passages_inside_lines_are_found(spark):
     r = random.Random(5)
     own = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
