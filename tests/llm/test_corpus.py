@@ -498,7 +498,8 @@ def test_long_repeats_equal_brute_force(spark):
                 base[at : at + r.randrange(3)] = new(r.randrange(3))
             words = base
         else:  # pieces after one another, some of them twice
-            words = [w for _ in range(4) for w in r.choice(bases)[(at := r.randrange(300)) : at + r.randrange(150)]]
+            cuts = [(r.choice(bases), r.randrange(300), r.randrange(150)) for _ in range(4)]
+            words = [w for b, at, n in cuts for w in b[at : at + n]]
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = defaultdict(list)
