@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
@@ -164,9 +168,31 @@ def first_rule(text: Column, needles: list[tuple[str, str]], otherwise: str) ->
 
 
 def near_each_other(text: Column, one: str, other: str, within: int) -> Column:
-    """Whether two words stand within so many characters of each other, in either order."""
-    low, high = (F.lit(rf"(?is)\b{a}\b.{{0,{within}}}\b{b}\b") for a, b in ((one, other), (other, one)))
-    return F.regexp_like(text, low) | F.regexp_like(text, high)
+    """Whether two words stand within so many characters of each other, in either order; letters, digits and ``_`` of ASCII make words."""
+    part, edge = "[A-Za-z0-9_]", "[^A-Za-z0-9_]"
+    between = f"(?:{edge}|{edge}.{{0,{max(0, within - 2)}}}{edge})"
+    order = lambda a, b: F.regexp_like(text, F.lit(rf"(?is)(?:^|{edge}){a}{between}{b}(?:{edge}|$)"))
+    assert re.fullmatch(f"{part}+", one + other)
+    return order(one, other) | order(other, one)
+
+
+def grounded_categories(text: Column, categories: dict[str, list[str]], connectives: list[str], within: int) -> Column:
+    """Categories of which a keyword has a connective wholly within so many characters on either side; case does not count, and both are found inside words too."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def near(word: str, connective: str) -> Column:
+        room = max(0, within - len(connective))
+        pair = [rf"\Q{a}\E.{{0,{room}}}\Q{b}\E" for a, b in ((word, connective), (connective, word))]
+        found = F.regexp_like(low, F.lit(f"(?s){pair[0]}|{pair[1]}"))
+        for at in range(1 - len(connective), len(word)):  # the two may share letters
+            start = min(0, at)
+            joined = [connective[i - at] if 0 <= i - at < len(connective) else word[i] for i in range(start, max(len(word), at + len(connective)))]
+            if "".join(joined[-start:][: len(word)]) == word:
+                found = found | F.contains(low, F.lit("".join(joined)))
+        return found
+
+    hits = [F.coalesce(reduce(operator.or_, [near(w, c) for w in words for c in connectives]), F.lit(False)).cast("int") for words in categories.values()]
+    return reduce(operator.add, hits)
 
 
 def key_title(key: Column) -> Column:

@@ -96,6 +96,26 @@ def edit_score(readme: Column, path: Column, around: int = 120) -> Column:
     return total + F.when(F.contains(low, F.element_at(F.split(key, "/"), -1)), 1).otherwise(0)
 
 
+#: Domains by what the name of a case, or else its readme, holds; the first that fits counts.
+NAME_HINTS = [
+    ("hls", "hls_security_codegen"), ("rtl_trojan", "rtl_trojan_detection"), ("gate_trojan", "gate_trojan_detection"), ("reverse", "hardware_reverse_engineering"), ("side_channel", "side_channel_fault_analysis"),
+    ("fault", "side_channel_fault_analysis"), ("deobfus", "logic_deobfuscation_sat"), ("logic_lock", "logic_deobfuscation_sat"), ("sat", "logic_deobfuscation_sat"),
+]
+README_HINTS = [
+    ("trojan_report.json", "rtl_trojan_detection"), ("vulnerability_report.json", "side_channel_fault_analysis"), ("recovered_key.json", "logic_deobfuscation_sat"), ("recovered_rtl.v", "hardware_reverse_engineering"), ("hls", "hls_security_codegen"),
+]
+
+
+def inferred_domain(documents: list[Column], name: Column, readme: Column, known: list[str]) -> Column:
+    """The domain of a case: the first known one that its JSON documents name, in their order and that of their keys, else by its name, else by its readme, or null."""
+    keys = ["domain_id", "domain", "task_domain"]
+    paths = [f"$.{k}" for k in keys] + [f"$.{parent}.{k}" for parent in ("public_spec", "task_spec", "spec", "metadata") for k in keys]
+    named = [F.when((value := F.get_json_object(d, p)).isin(known), value) for d in documents for p in paths]
+    none = F.lit(None).cast("string")
+    by = lambda c, hints: F.nullif(text.first_rule(F.coalesce(c, F.lit("")), hints, ""), F.lit(""))
+    return F.coalesce(*named, by(name, NAME_HINTS), by(readme, README_HINTS), none)
+
+
 #: Endings of files that hold code.
 CODE_EXTENSIONS = ["c", "cc", "cpp", "cxx", "h", "hh", "hpp", "v", "sv", "vhd", "vhdl", "py", "tcl"]
 

@@ -539,3 +539,16 @@ def q_recall_at_least(t):
     found = mutants.select(F.col("task_id").alias("g"), F.explode(F.regexp_extract_all("stdout", F.lit(r"FAIL: (\S+)"), F.lit(1))).alias("k"))
     scored = coverage.set_scores(truth, found, ["g"], ["k"])
     return coverage.recall_at_least(scored, 2).where(F.col("n_true") > 0).select("g", "n_true", "n_both", "reaches")
+
+
+TABLES["folders"] = (
+    "name string; manifest string; public_spec string; task_spec string; readme string; want string",
+    [("a", '{"domain": "nowhere", "spec": {"domain_id": "rtl_trojan_detection"}}', '{"domain_id": "hls_security_codegen"}', None, "", "rtl_trojan_detection"), ("fault_x", "broken", None, '{"metadata": {"task_domain": "gate_trojan_detection"}}', "hls", "gate_trojan_detection"),
+     ("B_Side_Channel_HLS", None, "{}", "[]", "recovered_key.json", "hls_security_codegen"), ("case_fault_sat", None, None, None, None, "side_channel_fault_analysis"), ("c", None, None, '{"domain": 3}', "Send Recovered_RTL.v or vulnerability_report.json", "side_channel_fault_analysis"), ("d", None, None, None, "nothing", None)],
+)
+
+
+@_query(["folders"], "SELECT name, want AS domain FROM folders")
+def q_inferred_domain(t):
+    documents = [F.col(c) for c in ("manifest", "public_spec", "task_spec")]
+    return t("folders").select("name", bundles.inferred_domain(documents, F.col("name"), F.col("readme"), [d[0] for d in validation.DOMAINS]).alias("domain"))

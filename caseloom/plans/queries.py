@@ -377,9 +377,23 @@ def q_safe_paths(t):
     return t("pages").select("page_id", path.alias("p")).select("page_id", text.normal_path(F.col("p")).alias("path"), text.safe_path(F.col("p")).alias("safe"))
 
 
-@_query(r"""SELECT doc_id, regexp_matches(text, '(?is)\bthe\b.{0,40}\bthat\b') OR regexp_matches(text, '(?is)\bthat\b.{0,40}\bthe\b') AS near FROM documents WHERE lang = 'en'""")
+_GAP = "[^A-Za-z0-9_](?:.{0,38}[^A-Za-z0-9_])?"
+
+
+@_query(f"""SELECT doc_id, regexp_matches(text, '(?is)(?:^|[^A-Za-z0-9_])(?:the{_GAP}that|that{_GAP}the)(?:[^A-Za-z0-9_]|$)') AS near FROM documents""")
 def q_proximity(t):
-    return t("documents").where(F.col("lang") == "en").select("doc_id", text.near_each_other(F.col("text"), "the", "that", 40).alias("near"))
+    return t("documents").select("doc_id", text.near_each_other(F.col("text"), "the", "that", 40).alias("near"))
+
+
+# every place of a keyword is looked at with the characters around it
+@_query("""WITH k AS (SELECT * FROM (VALUES ('reset', 'ation'), ('reset', 'with'), ('scan', 'keit'), ('scan', 'hat'), ('spare', 'mente')) v(category, word)),
+           p AS (SELECT doc_id, lower(text) AS low, category, word, string_split(lower(text), word) AS s FROM documents, k WHERE contains(lower(text), word)),
+           q AS (SELECT doc_id, category, word, low, unnest(list_transform(range(1, len(s)), lambda i: (list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * length(word))::BIGINT)) AS pos FROM p),
+           h AS (SELECT DISTINCT doc_id, category FROM q WHERE contains(substr(low, greatest(pos - 30, 0) + 1, pos + length(word) + 30 - greatest(pos - 30, 0)), 'that') OR contains(substr(low, greatest(pos - 30, 0) + 1, pos + length(word) + 30 - greatest(pos - 30, 0)), ' und'))
+           SELECT doc_id, count(category)::INTEGER AS grounded FROM documents LEFT JOIN h USING (doc_id) GROUP BY 1""")
+def q_grounded_categories(t):
+    categories = {"reset": ["ation", "with"], "scan": ["keit", "hat"], "spare": ["mente"]}
+    return t("documents").select("doc_id", text.grounded_categories(F.col("text"), categories, ["that", " und"], 30).alias("grounded"))
 
 
 @_query("""SELECT doc_id, md5(array_to_string(s[greatest(len(s) - 2, 1):], chr(10))) AS tail_md5 FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)""")
