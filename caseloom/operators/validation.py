@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scores import share
+from ..sources.scratch import stored
 from .coverage import discrimination
 from .gates import run_outcome
 
@@ -187,10 +188,10 @@ def overlays(files: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.select("task_id", "target", state.alias("state"))
 
 
-def overlay_issues(specs: DataFrame, domains: DataFrame, files: DataFrame, ran: DataFrame) -> list[DataFrame]:
-    """Issues of the overlay plan of cases that were run (task_id); a case of an unknown domain has no plan."""
+def overlay_issues(specs: DataFrame, domains: DataFrame, plan: DataFrame, ran: DataFrame) -> list[DataFrame]:
+    """Issues of the overlay plan (see ``overlays``) of cases that were run (task_id); a case of an unknown domain has no plan."""
     known = specs.join(domains, "domain_id", "left_semi").join(ran, "task_id", "left_semi")
-    plan = overlays(files, submission_targets(known, domains))
+    plan = plan.join(ran, "task_id", "left_semi")
     fits = F.count_if(F.col("state").isin("same", "mapped"))
     per_task = known.select("task_id").join(plan.groupBy("task_id").agg(fits.alias("fits"), F.count_if(F.col("state") == "mapped").alias("changed")), "task_id", "left").na.fill(0, ["fits", "changed"])
     return [
@@ -262,18 +263,18 @@ def mutation(runs: DataFrame, mapping: DataFrame, measured: DataFrame | None = N
     return per_check, scored.withColumn("mutation_score", F.bround(share(F.col("kills"), F.col("valid")), 3))
 
 
-def run_issues(specs: DataFrame, domains: DataFrame, requirements: DataFrame, mapping: DataFrame, files: DataFrame, runs: DataFrame, failures: DataFrame) -> list[DataFrame]:
+def run_issues(specs: DataFrame, requirements: DataFrame, mapping: DataFrame, files: DataFrame, runs: DataFrame, failures: DataFrame, plan: DataFrame) -> list[DataFrame]:
     """Issues of the differential and the mutant runs."""
-    gate = differential(runs, requirements)
+    gate = stored(differential(runs, requirements))
     mapped = _ids(mapping, "requirement_id", "mapped")
     unnamed = gate.join(mapped, "task_id").withColumn("unnamed", F.array_sort(F.array_except("mapped", "golden_seen")))
     status = lambda arm, name: runs.where(F.col("arm") == arm).groupBy("task_id").agg(F.first("status").alias(name))
-    fits = overlays(files, submission_targets(specs, domains)).where(F.col("state").isin("same", "mapped")).select("task_id").distinct().withColumn("fits", F.lit(True))
+    fits = plan.where(F.col("state").isin("same", "mapped")).select("task_id").distinct().withColumn("fits", F.lit(True))
     started = specs.select("task_id", "mutants_skipped").join(status("golden", "golden"), "task_id", "left").join(status("baseline", "baseline"), "task_id", "left").join(fits, "task_id", "left")
-    started = started.withColumn("first", F.when(F.col("fits") & F.col("golden").isNotNull(), F.col("golden")).otherwise(F.col("baseline")))
+    started = stored(started.withColumn("first", F.when(F.col("fits") & F.col("golden").isNotNull(), F.col("golden")).otherwise(F.col("baseline"))))
     evaluators = files.where((F.col("bundle") == "tester") & (F.col("path") == EVALUATOR))
     measured = started.where(F.col("first") == "pass").join(evaluators, "task_id", "left_semi").select("task_id")
-    per_check, scored = mutation(runs, mapping, measured)
+    per_check, scored = map(stored, mutation(runs, mapping, measured))
     ran = runs.select("task_id").distinct()
     live = specs.where(~F.coalesce("mutants_skipped", F.lit(False))).join(ran, "task_id", "left_semi")
     states = per_check.join(live, "task_id", "left_semi")
@@ -294,10 +295,11 @@ def run_issues(specs: DataFrame, domains: DataFrame, requirements: DataFrame, ma
 
 
 def validate(specs: DataFrame, domains: DataFrame, requirements: DataFrame, mapping: DataFrame, files: DataFrame, runs: DataFrame, failures: DataFrame) -> DataFrame:
-    """All issues of all cases: task_id, issue, detail."""
+    """All issues of all cases: task_id, issue, detail. What several branches need is written once."""
     parts = [*spec_issues(specs, domains, files), *leak_issues(specs, domains, files), *file_issues(specs, files), *requirement_issues(specs, requirements, mapping)]
-    parts += overlay_issues(specs, domains, files, runs.select("task_id").distinct())
-    parts += run_issues(specs, domains, requirements, mapping, files, runs, failures)
+    plan = stored(overlays(files, submission_targets(specs, domains)))
+    parts += overlay_issues(specs, domains, plan, runs.select("task_id").distinct())
+    parts += run_issues(specs, requirements, mapping, files, runs, failures, plan)
     return reduce(DataFrame.unionByName, parts)
 
 
