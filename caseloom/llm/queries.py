@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts, warc
+from . import chat_format, decontamination, fill_in_middle, language_id, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts, top_k, warc
 
 SHARDS = 40
 WEIGHTS = [3.0, 1.0, 2.0]
@@ -65,9 +65,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_runs(_read(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transformed(_read(spark, sf_dir, "documents")))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_mixing, op3_near_dedup, op4_language_id, op5_warc, op6_token_counts, op7_quality_rules, op8_chat_format, op9_decontamination, op10_substring_dedup)
+    for f in (op1_sharding, op2_mixing, op3_near_dedup, op4_language_id, op5_warc, op6_token_counts, op7_quality_rules, op8_chat_format, op9_decontamination, op10_substring_dedup, op11_fill_in_middle, op13_exact_top_k)
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -167,6 +175,21 @@ ORACLE_SQL: dict[str, str] = {
         d AS (SELECT id, width, unnest(list_distinct(list_transform(range(1, len(ws) - width + 2), lambda k: array_to_string(ws[k:k + width - 1], ' ')))) AS gram FROM words, widths WHERE kind = 'd' AND len(ws) >= width)
         SELECT d.id AS doc_id, i.id AS item_id, any_value(n_item)::BIGINT AS n_item, count(*)::BIGINT AS n_shared
         FROM d JOIN i ON d.gram = i.gram AND d.width = i.width JOIN n ON n.id = i.id GROUP BY d.id, i.id HAVING 100 * count(*) >= 75 * any_value(n_item)""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+        h AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS x FROM d),
+        c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS low, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS high,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, array_to_string(u[1:low], '') AS pre, array_to_string(u[low + 1:high], '') AS mid, array_to_string(u[high + 1:n], '') AS suf FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM p""",
+    "op13_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     # every window of 50 words is compared with all others, by its text
     "op10_substring_dedup": r"""
         WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), 1) AS nth FROM documents),
