@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fill_in_middle, language_id, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts, top_k, warc
+from . import alignment, chat_format, decontamination, fill_in_middle, language_id, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts, top_k, warc
 
 SHARDS = 40
 WEIGHTS = [3.0, 1.0, 2.0]
@@ -69,13 +69,20 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.transformed(_read(spark, sf_dir, "documents")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a_path, b_path = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.aligned(_read(spark, sf_dir, "documents"), a_path, b_path)
+
+
 def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_mixing, op3_near_dedup, op4_language_id, op5_warc, op6_token_counts, op7_quality_rules, op8_chat_format, op9_decontamination, op10_substring_dedup, op11_fill_in_middle, op13_exact_top_k)
+    for f in (op1_sharding, op2_mixing, op3_near_dedup, op4_language_id, op5_warc, op6_token_counts, op7_quality_rules, op8_chat_format, op9_decontamination, op10_substring_dedup, op11_fill_in_middle, op12_token_alignment, op13_exact_top_k)
 }
 
 WORD = r"[^\x20\x09-\x0D]+"

@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.llm import fill_in_middle, top_k
+from caseloom.llm import alignment, fill_in_middle, top_k
 
 DATA = "/root/testdata/sf0.001"
 
@@ -120,3 +122,100 @@ def test_top_k_sends_few_rows(spark):
     finally:
         top_k._highest = plain
     assert sent[0] <= 100 * 6 * 8 and sent[1] < 100 * 6 * 3
+
+
+# tokenizer alignment
+
+
+@pytest.fixture(scope="module")
+def paths():
+    import public_tokenizers
+
+    return tuple(str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
+@pytest.fixture(scope="module")
+def libraries(paths):
+    """For a text, the bytes and ids of the tokens of both libraries over the whole text."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(paths[0]), sentencepiece.SentencePieceProcessor(model_file=paths[1])
+    a.encode_special_tokens = True
+    alphabet = alignment._byte_of_char()
+
+    def whole(text):
+        x, y = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        xs = [bytes(alphabet[c] for c in a.id_to_token(i)) for i in x]
+        ys = [bytes([i - 3]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in y]
+        return x, y, xs, ys
+
+    return whole
+
+
+def brute_alignment(libraries, rows):
+    """Per row, by byte ranges of all tokens: counts, and the links with their corpus-wide document counts."""
+    made, holders = [], {}
+    for nth, (doc_id, text) in enumerate(rows):
+        x, y, xs, ys = libraries(text) if text else ([], [], [], [])
+        data = (" " + text).encode() if text else b""
+        if b"".join(xs) != data or b"".join(ys) != data:
+            x, y, xs, ys = [], [], [], []
+        ends = [list(accumulate(map(len, side))) for side in (xs, ys)]
+        both = sorted(set(ends[0]) & set(ends[1]))
+        groups, found, i, j = [], [], 0, 0
+        for end in both:
+            k, m = bisect_right(ends[0], end), bisect_right(ends[1], end)
+            groups.append(",".join(map(str, x[i:k])) + "|" + ",".join(map(str, y[j:m])))
+            spans = [[(e - len(t), e, n) for t, e, n in zip(side[u:v], en[u:v], ids[u:v], strict=True)] for side, en, ids, u, v in ((xs, ends[0], x, i, k), (ys, ends[1], y, j, m))]
+            found += [(p, q) for s, e, p in spans[0] for c, d, q in spans[1] if s < d and c < e]
+            i, j = k, m
+        for pair in set(found):
+            holders[pair] = holders.get(pair, 0) + 1
+        made.append((doc_id, len(x), len(y), groups, found))
+    best = {}
+    for (p, _), n in holders.items():
+        best[p] = max(best.get(p, 0), n)
+    return [(d, n, m, len(g), len(f), sum(holders[x] == best[x[0]] for x in f), sum(holders[x] for x in f), sha(";".join(g)) if g else "") for d, n, m, g, f in made]
+
+
+def aligned_rows(spark, rows, paths, **more):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for c in ("id", "kind", "chunk", "group", "a", "b", "n", "times"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    made = alignment.aligned(docs, *paths, **more)
+    assert made.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return sorted((tuple(r) for r in made.collect()), key=repr)
+
+
+def test_alignment_equals_brute_force(spark, paths, libraries):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    want = sorted(brute_alignment(libraries, rows), key=repr)
+    assert aligned_rows(spark, rows, paths) == want
+    assert aligned_rows(spark, rows, paths, chunk_chars=5000) == want, "chunks change nothing"
+
+
+def test_alignment_of_odd_texts(spark, paths, libraries):
+    r = random.Random(12)
+    texts = [None, "", " ", "\n", "  \n ", "▁ mark", "a▁b c", "<|endoftext|> </s> <s>[INST]", "x\0y z", "é漢字 😀😀 naïvé ｆｕｌｌ", "a b 　c d", "a\x1c b\x85 c᠎ d", "don't we'll\r\n  go\t\tthere;\r\n", "ab " * 20_000, "z" * 30_000, "漢" * 5000]
+    letters = [" ", " ", "\n", "\t", "a", "the", "é", "漢", "😀", "12", "'s", ".", "\r", " ", "　", "  ", "_", "▁", "\x1c", "​"]
+    texts += ["".join(r.choice(letters[:16]) for _ in range(r.randrange(25))) for _ in range(300)]
+    texts += ["".join(r.choice(letters) for _ in range(r.randrange(25))) for _ in range(200)]
+    rows = [*enumerate(texts), (None, "no id"), (None, None), (3, "the same"), (3, "the same"), (3, "another")]
+    want = brute_alignment(libraries, rows)
+    assert aligned_rows(spark, rows, paths) == sorted(want, key=repr)
+    assert aligned_rows(spark, rows, paths, chunk_chars=1) == sorted(want, key=repr)
+    assert sum(w[1] > 0 for w in want) > 300 and sum(bool(t) and not w[1] for t, w in zip(texts, want, strict=False)) > 20
+    assert alignment.aligned(spark.createDataFrame([], "doc_id long, text string"), *paths).count() == 0
+
+
+def test_remembered_segments_may_be_forgotten(spark, paths, libraries, monkeypatch):
+    monkeypatch.setattr(alignment, "_SEGMENTS", 3)
+    aligner = alignment.Aligner(*paths)
+    for text in ("one two three four five", "six seven eight", "one two"):
+        chunk = alignment._Chunk(0)
+        chunk.add(aligner, 1, text)
+        keys = [aligner.keys[n] for n in aligner.groups(text)[0]]
+        aligner.tidy()
+        assert sha(";".join(keys)) == chunk.digests[0] == brute_alignment(libraries, [(1, text)])[0][-1]
+    assert len(aligner.segments) <= 3
