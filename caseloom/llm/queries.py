@@ -94,7 +94,8 @@ _SHARDS_SQL = """
                      xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
                                                  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32
               FROM {SHARDED}, tab),
-        r AS MATERIALIZED (SELECT *, (('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32), 1, 15))::BIGINT % 4096)::INTEGER AS slot_id FROM c),
+        e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1 AS copy FROM c),
+        r AS MATERIALIZED (SELECT doc_id, size, text_crc32, (('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32 || CASE WHEN copy > 0 THEN ':' || copy ELSE '' END), 1, 15))::BIGINT % 4096)::INTEGER AS slot_id FROM e),
         s AS (SELECT slot_id, sum(size)::BIGINT AS b, count(*) AS n FROM r GROUP BY 1),
         o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY b DESC, slot_id) AS nth FROM s),
         p(i, loads, slot_id, shard) AS (
@@ -102,7 +103,7 @@ _SHARDS_SQL = """
           UNION ALL SELECT i + 1, list_transform(loads, lambda v, j: CASE WHEN j = pos THEN v + b ELSE v END), slot, (pos - 1)::INTEGER
           FROM (SELECT p.i, p.loads, o.slot_id AS slot, o.b, list_position(p.loads, list_min(p.loads)) AS pos FROM p JOIN o ON o.nth = p.i + 1)),
         m AS (SELECT p.slot_id, p.shard, coalesce(sum(s.n) OVER (PARTITION BY p.shard ORDER BY p.slot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p JOIN s ON s.slot_id = p.slot_id)
-        SELECT doc_id, size::BIGINT AS size, text_crc32, {COLUMNS}, m.shard, (m.before + row_number() OVER (PARTITION BY r.slot_id ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot
+        SELECT doc_id, size::BIGINT AS size, text_crc32, {COLUMNS}, m.shard, (m.before + row_number() OVER (PARTITION BY r.slot_id ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot
         FROM r JOIN m ON m.slot_id = r.slot_id"""
 
 ORACLE_SQL: dict[str, str] = {

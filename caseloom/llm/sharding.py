@@ -7,13 +7,17 @@ shard that is lightest so far. The map is stored with its version, and records a
 placed by what is stored. Rebalancing edits the map into its next version, never
 the hash, so only records of the slots that the edit names move.
 
-A slot is hashed from the key and the checksum of the text, so that a null or
-repeated key, which may be that of a third of all records, spreads over the slots.
+Records equal in key, size and checksum of the text are counted before anything
+else and then dealt copy by copy: a slot is hashed from key, checksum and the number
+of the copy. So a null or repeated key, a repeated text, and a row that is a third of
+all rows each spread over the slots, and no slot's rows are more than its share.
+Equal records are interchangeable, so their numbers need no order; the copies of a
+record that has very many are made by many tasks.
 
 Nulls and odd input: a null text has no bytes, a null key column hashes like any
 other value, an empty table gives an empty assignment, and repeated rows each get
-a position of their own. Records equal in key and text share a slot. Extra
-columns of the input are neither read nor changed.
+a position of their own; a very long text weighs its bytes, and its slot goes to a
+shard that is light. Extra columns of the input are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from .common import scratch_path, stash
 DEFAULT_SLOTS = 4096
 #: Bytes that a record takes besides its text.
 RECORD_OVERHEAD = 16
+#: Copies of one record that a task makes at once.
+COPIES = 4096
 
 _MAP_SCHEMA = "slot_id int, slot_bytes long, slot_rows long, shard int, version int"
 
@@ -126,10 +132,22 @@ def assign(records: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFra
 
 
 def document_records(docs: DataFrame, n_slots: int = DEFAULT_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, slot_id) of documents. Texts stay where they are: only the narrow columns move."""
+    """(id, size, text_crc32, slot_id) of documents, one row for each of theirs.
+
+    Texts stay where they are: only narrow rows are counted and dealt.
+    """
     text = F.col(text_col)
-    narrow = docs.select(F.col(id_col), record_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
-    return narrow.withColumn("slot_id", slot_of([F.col(id_col), F.col("text_crc32")], n_slots))
+    narrow = docs.select(F.col(id_col).alias("id"), record_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
+    value = ["id", "size", "text_crc32"]
+    counted = stash(narrow.groupBy(*value).agg(F.count("*").alias("copies")), "values")
+    numbers = lambda low, high: F.explode(F.sequence(low, high)).alias("copy")
+    few = counted.where(F.col("copies") <= COPIES).select(*value, numbers(F.lit(0).cast("long"), F.col("copies") - 1))
+    stretches = counted.where(F.col("copies") > COPIES).select(*value, "copies", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")).alias("stretch"))
+    first = F.col("stretch") * COPIES
+    many = stretches.repartition(*value, "stretch").select(*value, numbers(first, F.least(first + COPIES, F.col("copies")) - 1))
+    keys = [F.col("id"), F.col("text_crc32")]
+    slot = F.when(F.col("copy") == 0, slot_of(keys, n_slots)).otherwise(slot_of([*keys, F.col("copy")], n_slots))
+    return few.union(many).select(F.col("id").alias(id_col), "size", "text_crc32", slot.alias("slot_id"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int, n_slots: int = DEFAULT_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None, version: int | None = None) -> DataFrame:

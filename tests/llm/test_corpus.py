@@ -76,6 +76,29 @@ def test_shards_are_even(spark):
     assert len(sizes) == 40 and max(sizes) < 1.01 * sum(sizes) / 40
 
 
+def test_repeated_rows_are_spread(spark, same_rows):
+    """A third of the rows are one row; the law holds, and the SQL gives the same rows."""
+    own = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.lit(100)).alias("text"))
+    docs = own.union(spark.range(10_000).select(F.lit(None).cast("long"), F.lit("one text of all these rows"))).union(own.limit(3))
+    placed = sharding.shard_documents(docs, 40)
+    by = placed.groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("d")).collect()
+    mean = sum(r["s"] for r in by) / 40
+    assert len(by) == 40 and max(r["s"] for r in by) < 1.01 * mean and min(r["s"] for r in by) > 0.99 * mean
+    assert sum(r["n"] for r in by) == docs.count() and all((r["low"], r["high"], r["d"]) == (0, r["n"] - 1, r["n"]) for r in by)
+    few = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text")).union(docs.where("doc_id IS NULL").limit(1000))
+    columns = ["doc_id", "size", "text_crc32", "shard", "slot", F.col("slot_id").alias("virtual_slot"), F.col("version").alias("map_version")]
+    got = sharding.shard_documents(few, 40).select(*columns, F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+    same_rows(got, queries.ORACLE_SQL["op1_sharding"], documents=few)
+
+
+def test_copies_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(None, None)] * 7 + [(2, "b")], "id long, copies string").withColumn("slot_id", F.lit("clash"))
+    got = sharding.document_records(docs, id_col="id", text_col="copies")
+    assert got.columns == ["id", "size", "text_crc32", "slot_id"]
+    assert {r["id"]: (r["n"], r["s"]) for r in got.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("slot_id").alias("s")).collect()} == {1: (50, 50), None: (7, 7), 2: (1, 1)}
+
+
 def test_map_versions(spark, tmp_path):
     totals = spark.range(500).select(F.col("id").cast("int").alias("slot_id"), (F.col("id") * 37 % 101 + 1).alias("slot_bytes"), F.lit(1).cast("long").alias("slot_rows"))
     first = sharding.build_map(totals, 8)
