@@ -466,6 +466,49 @@ def test_contained_items(spark):
     assert decontamination.contained_items(table, bench.limit(0)).count() == decontamination.contained_items(table.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [100, 400])
+def test_stock_phrases_make_no_candidates(spark, monkeypatch, n):
+    """Items and documents that share a phrase, none of which holds an item, but for one planted whole and one with a gap."""
+    r = random.Random(n)
+    words = lambda k: [f"s{r.randrange(10**8)}" for _ in range(k)]
+    phrase, items = words(20), {i: words(15) for i in range(n)}
+    docs = {d: words(40) + phrase + words(20) for d in range(n)}
+    docs[7] += items[3] + phrase
+    docs[9] = docs[9] + items[5] + ["gap"] + phrase
+    bench = spark.createDataFrame([(i, " ".join(w + phrase)) for i, w in items.items()], "item_id long, text string")
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    counts, plain = {}, decontamination.stash
+
+    def counted(df, name):
+        kept = plain(df, name)
+        counts[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(decontamination, "stash", counted)
+    got = decontamination.contained_items(table, bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(7, 3), (9, 5)}
+    assert counts["candidates"] <= n and counts["hits"] <= 80 * n
+
+
+def test_decontamination_odd_input(spark, odd, empty, monkeypatch):
+    """Null ids on both sides, very long texts, and a document with more candidates than one list holds."""
+    base = " ".join(f"word{i}" for i in range(80))
+    bench = spark.createDataFrame([(None, "word1 word2 word3 word4 word5 word6"), (1, "ab ab ab ab ab ab"), (2, None), (3, ""), (4, base), (4, base), (5, "x" * 50_000)], "item_id long, text string")
+    bench = bench.withColumn("width", F.lit("clash")).withColumn("times", F.lit("clash"))
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontamination.contained_items(odd, bench).collect()), key=repr)
+    holders = [5, 5, 6, 7, 10, None]  # 7 has one word changed; 5 occurs twice
+    changed = 7  # the changed word is in most of the short item
+    want = [(d, None) for d in holders if d != changed] + [(d, 4) for d in holders for _ in range(2)] + [(8, 1)]
+    assert got == sorted(want, key=repr)
+    monkeypatch.setattr(decontamination, "LIST_ITEMS", 3)
+    r = random.Random(2)
+    items = [[f"q{r.randrange(10**8)}" for _ in range(12)] for _ in range(60)]
+    many = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    long = spark.createDataFrame([(None, " ".join(w for item in items for w in item + ["and"] * 500))], "doc_id long, text string")
+    assert sorted(r["item_id"] for r in decontamination.contained_items(long, many).collect()) == list(range(60))
+    assert decontamination.contained_items(empty, bench).count() == 0
+
+
 # substrings
 
 
