@@ -52,7 +52,8 @@ LISTS = 4
 BLOCK_BYTES = 4 << 20
 #: Scores that a task holds at once: queries of a block times candidates of a part.
 _PART_SCORES = 2 << 20
-_LEAST = -(1 << 63)
+#: No score; its negative is a long too.
+_LEAST = 1 - (1 << 63)
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -144,14 +145,13 @@ def _collect_function(shared, lists: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, cutoffs = shared.value
         for part, partial, total in _parts(batches, block, lists):
-            threshold = np.where(cutoffs == _LEAST, _LEAST, -(-cutoffs // lists))  # partial scores are integers
+            threshold = -(-cutoffs // lists)  # partial scores are integers
             sufficient = np.zeros(total.shape, bool)
             for scores in partial:
                 sufficient |= scores >= threshold[:, None]
+            sufficient &= total >= cutoffs[:, None]
             query, row = np.nonzero(sufficient)
             score = total[query, row].astype(np.int64)
-            reach = score >= cutoffs[query]
-            query, row, score = query[reach], row[reach], score[reach]
             keys = part.column("least")
             no_id, ids, rows = (keys.field(i) for i in range(3))
             last = no_id.to_numpy(zero_copy_only=False)[row]
