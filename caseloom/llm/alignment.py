@@ -50,8 +50,8 @@ from .common import SLICE_ROWS, map_batches, scratch_path, stash
 SPACE = "▁"
 #: Characters of text that share a dictionary, unless one text is longer.
 CHUNK_CHARS = 16 << 20
-#: Segments and groups that a worker remembers, and the longest segment among them.
-_SEGMENTS, _GROUPS, _SEGMENT_CHARS = 300_000, 600_000, 48
+#: Segments (of each of two generations) and groups that a worker remembers, and the longest segment among them.
+_SEGMENTS, _GROUPS, _SEGMENT_CHARS = 400_000, 600_000, 48
 #: From a cut to the next: a single space or line feed between other characters is one.
 _SEGMENT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S+)*(?:\s+\Z)?|\s+")
 
@@ -63,21 +63,6 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def grouped(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """Groups of two tokenizations of the same bytes, given each token's bytes."""
-    groups, i, j, first_i, first_j, at, end = [], 0, 0, 0, 0, 0, 0
-    while i < len(a):
-        at += a_sizes[a[i]]
-        i += 1
-        while end < at:
-            end += b_sizes[b[j]]
-            j += 1
-        if end == at:
-            groups.append((tuple(a[first_i:i]), tuple(b[first_j:j])))
-            first_i, first_j = i, j
-    return groups
-
-
 def links(a: tuple[int, ...], b: tuple[int, ...], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
     """Id pairs of a group whose byte ranges overlap, one for each pair of occurrences."""
     found, i, j, a_end, b_end = [], 0, 0, a_sizes[a[0]], b_sizes[b[0]]
@@ -113,71 +98,127 @@ class Aligner:
         plain = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         self.by_segment = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in plain)
         self.mark = self.b.piece_to_id(SPACE)
+        self.sizes = [np.array(side, np.int64) for side in (self.a_sizes, self.b_sizes)]
         self.forget()
 
     def forget(self) -> None:
-        self.segments: dict[str, tuple[tuple[int, ...], str] | None] = {}
-        self.numbers: dict[str, int] = {}
+        self.segments: dict[str, bytes] = {}  # group numbers as 32-bit integers
+        self.older: dict[str, bytes] = {}
+        self.numbers: dict[int | tuple, int] = {}
         self.keys: list[str] = []
         self.facts: list[tuple[int, int, int]] = []  # A tokens, B tokens, links
         self.pairs: list[np.ndarray] = []  # distinct linked pairs, A id above B id
 
     def tidy(self) -> None:
-        if len(self.segments) > _SEGMENTS or len(self.keys) > _GROUPS:
+        """Between chunks: segments not met since the last time are forgotten, and everything if there are too many groups."""
+        if len(self.keys) > _GROUPS:
             self.forget()
-
-    def _number(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
-        key = f"{','.join(map(str, a))}|{','.join(map(str, b))}"
-        number = self.numbers.get(key)
-        if number is None:
-            number = self.numbers[key] = len(self.keys)
-            linked = links(a, b, self.a_sizes, self.b_sizes)
-            self.keys.append(key)
-            self.facts.append((len(a), len(b), len(linked)))
-            self.pairs.append(np.array(sorted({x << 32 | y for x, y in linked}), np.int64))
+        elif len(self.segments) > _SEGMENTS:
+            self.segments, self.older = {}, self.segments
+
+    def _new_number(self, known: int | tuple, a: tuple[int, ...], b: tuple[int, ...]) -> int:
+        number = self.numbers[known] = len(self.keys)
+        linked = links(a, b, self.a_sizes, self.b_sizes)
+        self.keys.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+        self.facts.append((len(a), len(b), len(linked)))
+        self.pairs.append(np.array(sorted({x << 32 | y for x, y in linked}), np.int64))
         return number
 
-    def _encoded(self, part: str) -> tuple[tuple[int, ...], str] | None:
-        """Group numbers of a part of a text that starts at a cut, and their keys as text; None if its bytes are not given back."""
-        b = self.b.encode(part[1:]) if part[0] == " " else self.b.encode(part)
-        if part[0] != " ":
+    def _encoded(self, part: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Group numbers of a part of a text that starts at a cut, and the bytes where they end; None if its bytes are not given back."""
+        b = self.b.encode(part[1:] if part[0] == " " else part)
+        if part[0] != " ":  # the library has put a space before it
             if not b or b[0] != self.mark:
                 return None
             b = b[1:]
         data = part.encode()
-        if b"".join(self.b_bytes[i] for i in b) != data:
+        if b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
         a = self.a.encode(part, add_special_tokens=False).ids
-        if b"".join(self.a_bytes[i] for i in a) != data:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data:
             return None
-        numbers = tuple(self._number(x, y) for x, y in grouped(a, b, self.a_sizes, self.b_sizes))
-        return numbers, ";".join(self.keys[n] for n in numbers)
-
-    def _segment(self, part: str) -> tuple[tuple[int, ...], str] | None:
-        found = self._encoded(part)
-        if len(part) <= _SEGMENT_CHARS:
-            self.segments[part] = found
+        a_ends, b_ends = (np.cumsum(size[side]) for size, side in zip(self.sizes, (a, b), strict=True))
+        at = np.searchsorted(b_ends, a_ends)
+        both = b_ends[at] == a_ends
+        known, numbers, i, j = self.numbers, [], 0, 0
+        for k, m in zip((np.flatnonzero(both) + 1).tolist(), (at[both] + 1).tolist(), strict=True):
+            key = a[i] << 32 | b[j] if k - i == m - j == 1 else (*a[i:k], -1, *b[j:m])
+            number = known.get(key)
+            numbers.append(self._new_number(key, tuple(a[i:k]), tuple(b[j:m])) if number is None else number)
+            i, j = k, m
+        return np.array(numbers, np.int32), a_ends[both]
+
+    def _learn(self, wanted: list[str]) -> dict[str, bytes] | None:
+        """Group numbers of segments: those that begin and end at plain cuts are encoded as one text."""
+        found: dict[str, bytes] = {}
+        plain = [k for k in wanted if k[0] != " " and not k[-1].isspace()]
+        plain.sort(key=lambda k: k[0] == "\n")
+        parts = [_full(k) for k in plain]
+        made = self._encoded("".join(parts)) if parts else None
+        if made is not None:
+            numbers, ends = made
+            cuts = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in parts])) + 1
+            low = 0
+            for k, high in zip(plain, cuts.tolist(), strict=True):
+                found[k] = numbers[low:high].tobytes()
+                low = high
+        for k in wanted:
+            if k not in found:
+                if (made := self._encoded(_full(k))) is None:
+                    return None
+                found[k] = made[0].tobytes()
+        for k, numbers in found.items():
+            if len(k) <= _SEGMENT_CHARS:
+                self.segments[k] = numbers
         return found
 
+    def _by_segment(self, text: str) -> np.ndarray | None:
+        keys = segment_keys(text)
+        held = list(map(self.segments.get, keys))
+        if None in held:
+            new = {}
+            for k in dict.fromkeys(k for k, h in zip(keys, held, strict=True) if h is None):
+                if (old := self.older.get(k)) is None:
+                    new[k] = None
+                else:
+                    self.segments[k] = old
+            if new and (new := self._learn(list(new))) is None:
+                return None
+            held = [h if h is not None else new[k] if k in new else self.segments[k] for k, h in zip(keys, held, strict=True)]
+        return np.frombuffer(b"".join(held), np.int32)
+
     def groups(self, text: str | None) -> tuple[np.ndarray, str]:
         """Group numbers of a text in order, and the digest of their keys."""
         if not text:
-            return np.empty(0, np.int64), ""
-        known, whole = self.segments, " " + text
-        found = []
-        for part in _SEGMENT.findall(whole) if self.by_segment else ():
-            entry = known.get(part)
-            if entry is None and (entry := self._segment(part)) is None:
-                break
-            found.append(entry)
-        else:
-            if found:
-                numbers = np.fromiter(chain.from_iterable(e[0] for e in found), np.int64)
-                return numbers, hashlib.sha256(";".join(e[1] for e in found).encode()).hexdigest()
-        entry = self._encoded(whole)
-        if entry is None:
-            return np.empty(0, np.int64), ""
-        return np.array(entry[0], np.int64), hashlib.sha256(entry[1].encode()).hexdigest()
+            return np.empty(0, np.int32), ""
+        numbers = self._by_segment(text) if self.by_segment else None
+        if numbers is None:
+            made = self._encoded(" " + text)
+            if made is None:
+                return np.empty(0, np.int32), ""
+            numbers = made[0]
+        return numbers, hashlib.sha256(";".join(map(self.keys.__getitem__, numbers.tolist())).encode()).hexdigest()
+
+
+def segment_keys(text: str) -> list[str]:
+    """The segments of a space and the text, each without the single space that most start with."""
+    words = text.split()
+    if len(text) == sum(map(len, words)) + len(words) - 1 and text.count(" ") + text.count("\n") == len(words) - 1:
+        if "\n" not in text:
+            return words
+        keys: list[str] = []
+        for nth, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if nth:
+                words[0] = "\n" + words[0]
+            keys += words
+        return keys
+    return [x[1:] if x[0] == " " and len(x) > 1 and not x[1].isspace() else x for x in _SEGMENT.findall(" " + text)]
+
+
+def _full(key: str) -> str:
+    """The segment of a key."""
+    return key if key[0] in " \n" else " " + key
 
 
 @lru_cache(maxsize=1)
