@@ -6,8 +6,8 @@ signature; the forest holds it in several orders, each starting at other values.
 All orders are sorted as one table, dealt by range. Neighbours in an order are
 candidates, since no other row shares a longer prefix with either; they go as deep
 as their region is dense. Each class gives a pair an order at most, however
-crowded its region is. Candidates with a hopeless signature are left out, the
-others are confirmed on their full sets.
+crowded its region is. Candidates whose sizes cannot be alike enough are left out,
+the others are confirmed on their full sets.
 
 Neighbours alone would lose links of a crowded region, so it is then finished
 exactly. A region holds the classes that share the least depth in some order; it
@@ -16,11 +16,16 @@ The most crowded class of a region is its hub, and every other member is compare
 with it and described by where it differs from it. Two members can be linked
 beyond the hub only if they share so many differences that one of the first must
 be common, in an order from rare to common (a prefix filter, with the bound of
-what may still follow). Members of near copies differ by edits of their own, so
-that hardly any pair is left. What remains is confirmed on full sets too. So no
-link is lost but one whose ends share the least depth in no order: one in a
-million at a similarity of 0.75, fewer above. The result does not depend on the
-partitions.
+what may still follow). The later a difference stands in that order, the fewer
+differences a partner may have, so members meet by difference and by class of the
+number of differences. Members of near copies differ by edits of their own, so
+that hardly any pair is left. A difference that many such members share marks a
+crowd inside the region: it gets a hub of its own, against which its members are
+compared in the next level, where what the crowd has in common is no difference any
+more. So a level's work is in proportion to the members, and no difference pairs
+more of them than a small number times theirs. What remains is confirmed on full sets too. So no link is lost
+but one whose ends share the least depth in no order: one in a million at a
+similarity of 0.75, fewer above. The result does not depend on the partitions.
 
 Nulls and odd input: a document without words has an empty set and is a component
 of its own, as is one with a null text; a null id gets a null component; repeated
@@ -35,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, WordHashes, bitmap_bucket, bitmap_may_hold, common_size, finalise, hashed_words, key_bitmap, map_batches, shingle_set, stash
@@ -46,8 +51,6 @@ ORDERS = 36
 #: Signature values that a row of an order holds, and how many of the first a region shares.
 DEPTH = 6
 LEAST_DEPTH = 4
-#: Least equal values of 64 for a pair to be confirmed: at a similarity of 0.75 fewer occur in one of a hundred million pairs.
-LEAST_EQUAL = 28
 #: Percent of the union that two sets must share.
 LINK_PERCENT = 75
 #: Sets of sizes a and b that differ in d values are linked if SAME * (a + b) >= BOTH * d.
@@ -61,6 +64,9 @@ _BLOCK = 4096
 #: Buckets of the shingle counts that set the order from rare to common: a fixed size, so that workers can hold it.
 COUNT_BUCKETS = 1 << 21
 
+#: Pairs for each member that a difference may make; where it would make more, the members get a hub of their own, in so many levels. What is crowded even in the last is paired all the same.
+CROWD, LEVELS = 48, 6
+
 
 def _order_values() -> list[list[int]]:
     """The signature values of each order: blocks of the values in their own and in shuffled sequences, so that orders share hardly any of the least depth."""
@@ -115,63 +121,46 @@ def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     A task's first and last row may have such a neighbour in another task, and are given without one.
     """
     width = 4 * LEAST_DEPTH
+    names = ["nth", "prefix", "set_key", "before", "fits"]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
 
     def given(rows: list[tuple]) -> pa.RecordBatch:
-        nth, prefix, key, before, depth = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(nth, pa.int32()), pa.array(prefix, pa.binary()), pa.array(key, pa.binary()), pa.array(before, pa.binary()), pa.array(depth, pa.int32())], ["nth", "prefix", "set_key", "before", "depth"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    last: tuple | None = None  # (order, label, key, whether it was given)
+    last: tuple | None = None  # (order, label, key, size, whether it was given)
     for batch in batches:
         rows: list[tuple] = []
-        for nth, label, key in zip(*(batch.column(c).to_pylist() for c in ("nth", "label", "set_key")), strict=True):
+        for nth, label, key, size in zip(*(batch.column(c).to_pylist() for c in ("nth", "label", "set_key", "n_shingles")), strict=True):
             if last is None:
-                rows.append((nth, label[:width], key, None, 0))
-                last = (nth, label, key, True)
+                rows.append((nth, label[:width], key, None, None))
+                last = (nth, label, key, size, True)
                 continue
             near = last[0] == nth and last[1][:width] == label[:width]
             if near:
-                if not last[3]:
-                    rows.append((nth, label[:width], last[2], None, 0))
-                depth = next((i for i in range(LEAST_DEPTH, DEPTH) if last[1][4 * i : 4 * i + 4] != label[4 * i : 4 * i + 4]), DEPTH)
-                rows.append((nth, label[:width], key, last[2], depth))
-            last = (nth, label, key, near)
+                if not last[4]:
+                    rows.append((nth, label[:width], last[2], None, None))
+                rows.append((nth, label[:width], key, last[2], 100 * min(size, last[3]) >= LINK_PERCENT * max(size, last[3])))
+            last = (nth, label, key, size, near)
         if rows:
             yield given(rows)
-    if last is not None and not last[3]:
-        yield given([(last[0], last[1][:width], last[2], None, 0)])
+    if last is not None and not last[4]:
+        yield given([(last[0], last[1][:width], last[2], None, None)])
 
 
 def neighbours(classes: DataFrame) -> DataFrame:
-    """(nth, prefix, set_key, before, depth): rows of the forest in regions of the least depth, each with the class before it and their longest common prefix."""
+    """(nth, prefix, set_key, before, fits): rows of the forest in regions of the least depth, each with the class before it and whether the sizes of the two may belong to a link."""
     labels = [F.concat(*[F.substring("signature", 4 * v + 1, 4) for v in values]) for values in ORDER_VALUES]
-    orders = classes.select("set_key", F.posexplode(F.array(*labels)).alias("nth", "label"))
+    orders = classes.select("set_key", "n_shingles", F.posexplode(F.array(*labels)).alias("nth", "label"))
     order = ["nth", "label", "set_key"]
-    return map_batches(orders.repartitionByRange(*order).sortWithinPartitions(*order), _neighbour_batches, "nth int, prefix binary, set_key binary, before binary, depth int")
+    return map_batches(orders.repartitionByRange(*order).sortWithinPartitions(*order), _neighbour_batches, "nth int, prefix binary, set_key binary, before binary, fits boolean")
 
 
 def candidates(near: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of neighbours of any order."""
-    pairs = near.where(F.col("before").isNotNull())
+    """Distinct pairs (a < b) of neighbours of any order whose sizes may belong to a link."""
+    pairs = near.where("fits")
     return pairs.select(F.least("set_key", "before").alias("a"), F.greatest("set_key", "before").alias("b")).distinct()
 
 
-def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SIGNATURE) for c in ("left", "right"))
-        equal = (left == right).sum(axis=1)
-        likely = pa.array(equal >= LEAST_EQUAL)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(equal, pa.int32())], ["a", "b", "equal"]).filter(likely)
-
-
-def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates whose signatures agree often enough, with the number of equal values."""
-    signed = classes.select("set_key", "signature")
-    both = pairs.join(signed.withColumnsRenamed({"set_key": "a", "signature": "left"}), "a").join(signed.withColumnsRenamed({"set_key": "b", "signature": "right"}), "b")
-    return map_batches(both.select("a", "b", "left", "right"), _estimate_batches, "a binary, b binary, equal int")
-
-
 def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(set_key, text) of the classes in ``nodes`` (set_key, doc_id, text_key).
 
@@ -214,25 +203,19 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _confirm_all(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links among candidate pairs."""
-    likely = stash(likely_pairs(pairs, classes), "likely")
-    ends = _ends(likely).distinct().select(F.col("node").alias("set_key"))
+    pairs = stash(pairs, "candidates")
+    ends = _ends(pairs).distinct().select(F.col("node").alias("set_key"))
     nodes = stash(classes.join(ends, "set_key").select("set_key", "doc_id", "text_key"), "nodes")
     texts = stash(texts_of(nodes, docs, id_col, text_col), "texts")
-    return stash(confirmed(likely.select("a", "b"), texts), "links")
+    return stash(confirmed(pairs, texts), "links")
 
 
-def region_members(near: DataFrame, roots: DataFrame) -> DataFrame:
-    """(set_key, root, hub, hub_root): members of the regions in which several components meet and some pair is no pair of neighbours, with each hub they are compared with.
+def spokes_of(members: DataFrame, place: list[str]) -> DataFrame:
+    """(set_key, root, hub, hub_root): members (place, set_key, root, n) with each hub they are compared with.
 
-    The hub is the member that meets most rows in all its regions, so that the
-    regions of one crowd in the several orders have the same hub.
+    The hub of a place is the member that meets most rows in all its places, so
+    that the places of one crowd have the same hub.
     """
-    place = ["nth", "prefix"]
-    rows = near.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
-    rows = stash(rows.select(*place, "set_key", "before", F.coalesce("root", "set_key").alias("root")), "regions")
-    met = rows.groupBy(*place).agg(F.count("*").alias("n"), F.count("before").alias("pairs"), F.min("root").alias("least"), F.max("root").alias("most"))
-    met = met.where((F.col("least") != F.col("most")) & ((F.col("n") > 2) | (F.col("pairs") < 1))).select(*place, "n")
-    members = stash(rows.drop("before").join(stash(met, "met"), place), "members")
     weights = stash(members.groupBy("set_key").agg(F.sum("n").alias("weight")), "weights")
     hub = F.max_by(F.struct("set_key", "root"), F.struct("weight", "set_key"))
     hubs = stash(members.join(weights, "set_key").groupBy(*place).agg(hub.alias("hub")), "hubs")
@@ -240,6 +223,16 @@ def region_members(near: DataFrame, roots: DataFrame) -> DataFrame:
     return spokes.select("set_key", "root", F.col("hub.set_key").alias("hub"), F.col("hub.root").alias("hub_root")).distinct()
 
 
+def region_members(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the regions in which several components meet and some pair is no pair of neighbours, with their hubs."""
+    place = ["nth", "prefix"]
+    rows = near.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
+    rows = stash(rows.select(*place, "set_key", "before", F.coalesce("root", "set_key").alias("root")), "regions")
+    met = rows.groupBy(*place).agg(F.count("*").alias("n"), F.count("before").alias("pairs"), F.min("root").alias("least"), F.max("root").alias("most"))
+    met = met.where((F.col("least") != F.col("most")) & ((F.col("n") > 2) | (F.col("pairs") < 1))).select(*place, "n")
+    return spokes_of(stash(rows.drop("before").join(stash(met, "met"), place), "members"), place)
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles per bucket, over a whole task."""
     cache, counts = WordHashes(), np.zeros(COUNT_BUCKETS, np.int64)
@@ -273,8 +266,14 @@ def lookups(differences: int, size: int, hub_size: int) -> int:
     return differences - max(1, shared) + 1
 
 
+def reaches(at: np.ndarray, differences: int, size: int, hub_size: int) -> np.ndarray:
+    """The most differences of a partner for which a member's difference number ``at`` must be looked up: with more of them, too many would have to be shared for those that still follow."""
+    room = 2 * BOTH * (differences - at) - BOTH * differences + SAME * size
+    return np.minimum((room + SAME * (100 * size // LINK_PERCENT)) // BOTH, (room + SAME * hub_size) // (BOTH - SAME))
+
+
 #: One row a difference to look up; ``place`` is null in the rows of members that are linked with their hub.
-_SPOKE_SCHEMA = "place long, set_key binary, other binary, meets binary, own_left int, gone_left int, differences int, size int"
+_SPOKE_SCHEMA = "place long, set_key binary, other binary, meets binary, own_left int, gone_left int, differences int, size int, reach int"
 
 
 def _spoke_function(shared):
@@ -302,41 +301,89 @@ def _spoke_function(shared):
                         continue
                     place = finalise(order[at] ^ np.uint64(int.from_bytes(hub[:8], "big")))
                     left = np.maximum(len(own) - at, 0), np.minimum(len(gone), differences - at)
-                    numbers.append(np.column_stack([place.view(np.int64), *left, np.full(len(at), differences), np.full(len(at), len(mine))]))
+                    numbers.append(np.column_stack([place.view(np.int64), *left, np.full(len(at), differences), np.full(len(at), len(mine)), reaches(at, differences, len(mine), len(theirs))]))
                     owners.append(np.full(len(at), nth))
                 links = [i for i, x in enumerate(linked) if x]
-                table = np.concatenate(numbers) if numbers else np.empty((0, 5), np.int64)
+                table = np.concatenate(numbers) if numbers else np.empty((0, 6), np.int64)
                 whose = pa.array(np.concatenate([*owners, np.array(links, np.int64)]).astype(np.int64))
                 bare = lambda column, kind: pa.concat_arrays([pa.array(column).cast(kind), pa.nulls(len(links), kind)])
                 keys, roots, hubs = (pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1, 2))
                 meets = pa.array([r[3] if x else r[1] for r, x in zip(rows, linked, strict=True)], pa.binary())
                 other = pa.concat_arrays([roots.take(whose.slice(0, len(table))), hubs.take(whose.slice(len(table)))])
-                columns = [bare(table[:, 0], pa.int64()), keys.take(whose), other, meets.take(whose), *(bare(table[:, i], pa.int32()) for i in (1, 2, 3, 4))]
-                yield pa.RecordBatch.from_arrays(columns, ["place", "set_key", "other", "meets", "own_left", "gone_left", "differences", "size"])
+                columns = [bare(table[:, 0], pa.int64()), keys.take(whose), other, meets.take(whose), *(bare(table[:, i], pa.int32()) for i in (1, 2, 3, 4, 5))]
+                yield pa.RecordBatch.from_arrays(columns, ["place", "set_key", "other", "meets", "own_left", "gone_left", "differences", "size", "reach"])
 
     return run
 
 
-def compared_with_hubs(spokes: DataFrame, texts: DataFrame) -> DataFrame:
+def compared_with_hubs(spokes: DataFrame, texts: DataFrame, shared) -> DataFrame:
     """Links of members with their hubs (place is null; other is the hub), and the differences to look up (other is the root)."""
-    shared = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))
     both = spokes.join(texts, "set_key").join(texts.select(F.col("set_key").alias("hub"), F.col("text").alias("hub_text")), "hub")
     return map_batches(both.select("set_key", "root", "hub", "hub_root", "text", "hub_text"), _spoke_function(shared), _SPOKE_SCHEMA)
 
 
-def difference_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a difference and may share enough."""
+def _class_of(differences: Column) -> Column:
+    return F.floor(F.log2(differences + F.lit(1)) * 2).cast("int")
+
+
+def meeting_places(rows: DataFrame) -> DataFrame:
+    """(place, class, many, member): members as they meet at a difference, for each class of the partner's number of differences.
+
+    Of a pair, the member with more differences (``many``) is there under each class
+    that its partner may be of, the other under its own.
+    """
     ends = rows.groupBy("place").agg(F.min("meets").alias("least"), F.max("meets").alias("most"))
     several = stash(ends.where(F.col("least") != F.col("most")).select("place"), "several")
-    met = stash(rows.join(several, "place"), "met")
-    side = lambda name: met.select("place", F.struct("set_key", "other", "meets", "own_left", "gone_left", "differences", "size").alias(name))
+    least = F.greatest(F.lit(0), F.col("differences") - F.floor(SAME * (F.col("size") + F.floor(F.col("size") * 100 / LINK_PERCENT)) / BOTH).cast("int"))
+    highest = F.least("reach", "differences")
+    member = F.struct("set_key", "other", "meets", "own_left", "gone_left", "differences", "size", "reach").alias("member")
+    met = rows.join(several, "place").select("place", member, _class_of(F.col("differences")).alias("own"), _class_of(least).alias("low"), _class_of(highest).alias("high"), (highest >= least).alias("open"))
+    many = met.where("open").select("place", F.explode(F.sequence("low", "high")).alias("class"), F.lit(True).alias("many"), "member")
+    return many.union(met.select("place", F.col("own").alias("class"), F.lit(False).alias("many"), "member"))
+
+
+def meetings(places: DataFrame) -> DataFrame:
+    """(place, class, n, crowded): where members of several components meet."""
+    meets = F.col("member.meets")
+    counted = places.groupBy("place", "class").agg(F.count("*").alias("n"), F.count_if("many").alias("many"), F.min(meets).alias("least"), F.max(meets).alias("most"))
+    few = F.col("n") - F.col("many")
+    both = counted.where((F.col("least") != F.col("most")) & (F.col("many") > 0) & (few > 0))
+    return both.select("place", "class", "n", (F.col("many") * few).alias("pairs"), (F.col("many") * few > CROWD * F.col("n")).alias("crowded"))
+
+
+def difference_pairs(places: DataFrame, where: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components that meet at one of these places and classes, and may share enough."""
+    met = places.join(where.select("place", "class"), ["place", "class"])
     l, r = F.col("l"), F.col("r")
     may_share = F.least(l["own_left"], r["own_left"]) + F.least(l["gone_left"], r["gone_left"])
     enough = may_share * (2 * BOTH) >= (l["differences"] + r["differences"]) * BOTH - (l["size"] + r["size"]) * SAME
     sizes = (l["size"] * 100 >= r["size"] * LINK_PERCENT) & (r["size"] * 100 >= l["size"] * LINK_PERCENT)
     apart = (l["other"] != r["other"]) & (l["meets"] != r["meets"])
-    pairs = side("l").join(side("r"), "place").where((l["set_key"] < r["set_key"]) & apart & sizes & enough)
-    return pairs.select(l["set_key"].alias("a"), r["set_key"].alias("b")).distinct()
+    reach = (l["reach"] >= r["differences"]) & (r["reach"] >= l["differences"])
+    both = met.where("many").select("place", "class", F.col("member").alias("l")).join(met.where("NOT many").select("place", "class", F.col("member").alias("r")), ["place", "class"])
+    pairs = both.where((l["set_key"] != r["set_key"]) & apart & sizes & reach & enough)
+    return pairs.select(F.least(l["set_key"], r["set_key"]).alias("a"), F.greatest(l["set_key"], r["set_key"]).alias("b")).distinct()
+
+
+def finished(spokes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links with hubs, candidate pairs) of regions, level by level: what is crowded in one is compared with hubs of its own in the next."""
+    shared = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))
+    hubs = pairs = None
+    for level in range(1, LEVELS + 1):
+        rows = stash(compared_with_hubs(spokes, texts, shared), "differences")
+        linked = rows.where(F.col("place").isNull()).select(F.col("set_key").alias("a"), F.col("other").alias("b"))
+        places = stash(meeting_places(rows.where(F.col("place").isNotNull())), "places")
+        met = stash(meetings(places), "meetings")
+        crowded = met.where("crowded")
+        last = level == LEVELS or crowded.isEmpty()
+        found = stash(difference_pairs(places, met if last else met.where("NOT crowded")), "pairs")
+        hubs, pairs = (linked, found) if hubs is None else (hubs.union(linked), pairs.union(found))
+        if last:
+            break
+        members = places.join(crowded.select("place", "class", "n"), ["place", "class"]).select("place", "class", "n", "member.set_key", F.col("member.other").alias("root"))
+        spokes = stash(spokes_of(stash(members.distinct(), "members"), ["place", "class"]), "spokes")
+    shared.destroy()
+    return hubs, pairs.distinct()
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -358,11 +405,8 @@ def link(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     keys = spokes.select("set_key").union(spokes.select("hub")).distinct()
     nodes = stash(classes.join(keys, "set_key").select("set_key", "doc_id", "text_key"), "nodes")
     texts = stash(texts_of(nodes, docs, id_col, text_col), "texts")
-    rows = stash(compared_with_hubs(spokes, texts), "differences")
-    pairs = difference_pairs(rows.where(F.col("place").isNotNull()))
-    likely = stash(likely_pairs(pairs, classes), "likely")
-    more = stash(confirmed(likely.select("a", "b"), texts), "links")
-    hubs = rows.where(F.col("place").isNull()).select(F.col("set_key").alias("a"), F.col("other").alias("b"))
+    hubs, pairs = finished(spokes, texts)
+    more = stash(confirmed(pairs, texts), "links")
     return _joined(roots, hubs.union(more))
 
 
@@ -370,7 +414,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: id, text_key, n_shingles, component_id (least id of its component) and kept (whether it has that id)."""
     prints = stash(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = prints.where(F.col("set_key").isNotNull()).groupBy("set_key")
-    classes = stash(classes.agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key", "signature")).alias("one"), F.count("*").alias("copies")).select("set_key", "least_id", "one.doc_id", "one.text_key", "one.signature", "copies"), "classes")
+    classes = stash(classes.agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key", "signature", "n_shingles")).alias("one"), F.count("*").alias("copies")).select("set_key", "least_id", "one.doc_id", "one.text_key", "one.signature", "one.n_shingles", "copies"), "classes")
     roots = link(classes, docs, id_col, text_col)
     grouped = classes.join(roots, classes["set_key"] == roots["node"], "left").select("set_key", "least_id", "copies", F.coalesce("root", "set_key").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("together"))

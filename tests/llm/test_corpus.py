@@ -205,6 +205,53 @@ def test_dense_region_keeps_planted_links(spark):
     assert got == {i: i % 5000 for i in texts}
 
 
+def test_subgroups_of_a_template_are_not_paired(spark, monkeypatch):
+    """Two subgroups around one template, every text below the border from every other but for planted links: what is joined grows with the texts, not with their square."""
+    plain, joined, levels = near_dedup.stash, {}, {}
+
+    def counted(df, name):
+        kept = plain(df, name)
+        if name == "meetings":
+            last = kept.where("crowded").isEmpty()
+            joined[n] = joined.get(n, 0) + (kept.where("NOT crowded").agg(F.sum("pairs")).first()[0] or 0)
+            levels[n] = levels.get(n, 0) + 1 if not last else levels.get(n, 0)
+        return kept
+
+    monkeypatch.setattr(near_dedup, "stash", counted)
+    r = random.Random(17)
+    words = lambda k: [f"g{r.randrange(10**9)}" for _ in range(k)]
+    template, groups = words(130), [words(60), words(60)]
+    for n in (300, 600, 1200):
+        texts = {i: template + groups[i % 2] + words(60) for i in range(n)}
+        for i in range(10):
+            texts[10_000 + i] = texts[i][:-12] + words(12)  # 0.9 to its like
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)
+        got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs).collect()}
+        assert got == {i: i % 10_000 for i in texts}
+    assert joined[1200] < 2.2 * joined[600] + 5000 and joined[600] < 2.2 * joined[300] + 5000
+    assert max(levels.values()) < near_dedup.LEVELS - 1, "nothing is crowded in the last level"
+
+
+def test_levels_do_not_change_components(spark, monkeypatch):
+    """Texts with any of a few common edits, crowded at every level; a small bound makes many levels."""
+    monkeypatch.setattr(near_dedup, "CROWD", 3)
+    r = random.Random(37)
+    new = lambda n: [f"n{r.randrange(10**9)}" for _ in range(n)]
+    base, edits = new(150), [(10 * k, new(6)) for k in range(12)]
+    texts = {}
+    for doc in range(150):
+        words = list(base)
+        for at, edit in r.sample(edits, r.randrange(2, 8)):
+            words[at : at + 6] = edit
+        texts[doc] = " ".join(words + new(r.choice([4, 12, 20])))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute_components(texts)
+    for levels in (1, 2, 6):
+        monkeypatch.setattr(near_dedup, "LEVELS", levels)
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(docs).collect()}
+        assert got == want and 3 < len({c for _, c in want.values()}) < len(want)
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 200])
 def test_components_do_not_depend_on_partitions(spark, partitions):
     """Crowds at every similarity around the border, some of them with edits in common."""
@@ -250,6 +297,8 @@ def test_lookups_meet_every_linked_pair():
         assert shared > 0
         for x in (0, 1):
             assert near_dedup.lookups(int(apart[x]), int(sizes[x]), hub) >= apart[x] - shared + 1
+            # the last place at which the pair can first meet reaches the partner's number of differences
+            assert near_dedup.reaches(np.array([apart[x] - shared]), int(apart[x]), int(sizes[x]), hub)[0] >= apart[1 - x]
 
 
 def test_near_duplicates_odd_input(odd, empty):
