@@ -9,16 +9,18 @@ nothing to be seen, and no file is renamed.
 Reading: the driver plans partitions of whole files up to a size limit. Filters
 on the record type and on other header columns are pushed down; a record's headers are
 parsed first, and where the headers fail them, or payloads are not wanted, the rest of the
-member is skipped unread (or passed over, if another program wrote it without its
-length).
+member is skipped (or passed over, if another program wrote it without its length).
+A file is read once from front to back through one buffer; what is skipped inside the
+buffer costs nothing, and only what reaches beyond it is left unread by a seek.
 
 Folders are reached through pyarrow's file systems, so local, HDFS and object
 stores work alike.
 
 Nulls and odd input: a null payload is an empty one, null header fields are left
 out, a null record type is ``resource``; repeated rows are records of their own;
-an empty table gives a folder without archives, which reads as no rows; columns
-of other names are not written.
+an empty table gives a folder without archives, which reads as no rows; a very long
+payload is one record, held whole by the task that writes or decodes it; columns of
+other names are not written.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import SLICE_ROWS, bound_batches, scratch_path
+from .common import SLICE_ROWS, bitmap_bucket, bitmap_may_hold, bound_batches, key_bitmap, scratch_path, stash
 
 SUFFIX = ".warc.gz"
 FILE_BYTES = 32 << 20
@@ -46,7 +48,8 @@ PARTITION_BYTES = 64 << 20
 PART, LIST = "part-", "_committed-"
 #: Payloads from this size on are stored once.
 LEAST_SHARED_BYTES = 1000
-_READ_BYTES = 1 << 16
+#: Bytes read at once, and bytes of a record that hold the member's length and most headers.
+_READ_BYTES, _LEAST_BYTES = 1 << 16, 1 << 10
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 #: Header names of the columns that come from a field of their own.
@@ -179,20 +182,20 @@ class WarcReader(DataSourceReader):
             yield _batch(rows)
 
     def _records(self, file) -> Iterator[dict]:
-        size, at = file.size(), 0
-        while at < size:
-            file.seek(at)
-            data = file.read(_READ_BYTES)
+        ahead, at = _Ahead(file), 0
+        while at < ahead.size:
+            data = ahead.from_(at, _LEAST_BYTES)
             length = struct.unpack("<I", data[16:20])[0] if data[3] == 4 and data[12:14] == b"sl" else None
+            data = data[:length]
             unpacker = zlib.decompressobj(31)
             text = unpacker.decompress(data, 4096)
             read = len(data)
 
-            def more(unpacker=unpacker) -> bytes:
+            def more(unpacker=unpacker, at=at) -> bytes:
                 nonlocal read
                 if unpacker.unconsumed_tail:
                     return unpacker.decompress(unpacker.unconsumed_tail, 1 << 20)
-                chunk = file.read(_READ_BYTES)
+                chunk = ahead.from_(at + read, 1)
                 read += len(chunk)
                 return unpacker.decompress(chunk, 1 << 20)
 
@@ -207,9 +210,9 @@ class WarcReader(DataSourceReader):
                     part = more()
                     if decode:
                         parts.append(part)
-                    elif not part and not unpacker.unconsumed_tail and read + at >= size:
+                    elif not part and not unpacker.unconsumed_tail and read + at >= ahead.size:
                         break
-                length = read - len(unpacker.unused_data)
+                length = length or read - len(unpacker.unused_data)
                 if decode:
                     block = b"".join(parts)[: row["content_length"]]
                     row["payload"] = block.split(b"\r\n\r\n", 1)[-1] if row["http"] else block
@@ -218,6 +221,24 @@ class WarcReader(DataSourceReader):
             at += length
 
 
+class _Ahead:
+    """A file read from front to back through one buffer; places beyond the buffer are sought."""
+
+    def __init__(self, file):
+        self.file, self.size = file, file.size()
+        self.start, self.data = 0, b""
+
+    def from_(self, at: int, least: int) -> bytes:
+        """What is known of the file from ``at`` on, ``least`` bytes or more where the file has them."""
+        held = self.data[at - self.start :] if at - self.start <= len(self.data) else b""
+        if len(held) < min(least, self.size - at):
+            if at - self.start > len(self.data):
+                self.file.seek(at)
+            held += self.file.read(_READ_BYTES)
+            self.start, self.data = at, held
+        return held
+
+
 def _header(text: str) -> dict:
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in text.split("\r\n")[1:])}
     row: dict = {c: fields.get(name.lower()) for c, name in _FIELDS.items()}
@@ -259,14 +280,20 @@ def register(spark: SparkSession) -> None:
 def page_records(pages: DataFrame) -> DataFrame:
     """A record per page: pages whose payload of at least ``LEAST_SHARED_BYTES`` equals that of a later page revisit the last of them.
 
-    Only digests are grouped; payloads meet the groups that have more than one page.
+    Only digests are grouped. Payloads whose digest a bitmap of the shared ones rules
+    out stay where they are; the others are shuffled to meet their group.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     typed = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload"))
     typed = typed.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long"))
     shared = typed.where(F.col("payload_bytes") >= LEAST_SHARED_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    shared = shared.where((F.col("n") > 1) & F.col("first").isNotNull()).select("payload_digest", "first")
-    joined = typed.join(shared, "payload_digest", "left")
+    shared = stash(shared.where((F.col("n") > 1) & F.col("first").isNotNull()).select("payload_digest", "first"), "shared")
+    key = F.xxhash64("payload_digest")
+    marked = typed.join(F.broadcast(key_bitmap(shared.select(key.alias("k")), "k")), bitmap_bucket(key) == F.col("bucket"), "left")
+    may = bitmap_may_hold(F.col("bits"), key)
+    alone = marked.where(~may).select(*typed.columns, F.lit(None).cast(pages.schema["page_id"].dataType).alias("first"))
+    met = marked.where(may).select(*typed.columns).join(shared, "payload_digest", "left")
+    joined = alone.unionByName(met)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
     return joined.select(

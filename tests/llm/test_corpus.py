@@ -398,6 +398,59 @@ def test_archive_files_are_plain_gzip(spark, tmp_path):
     assert spark.read.format("warc").option("payload", "false").load(str(foreign)).where("record_id = 'r1'").count() == 1
 
 
+class _CountedFiles:
+    """The local file system, with the bytes that are read of its files."""
+
+    def __init__(self, fs):
+        self.fs, self.read = fs, 0
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+    def open_input_file(self, path):
+        return _CountedFile(self, self.fs.open_input_file(path))
+
+
+class _CountedFile:
+    def __init__(self, files, file):
+        self.files, self.file = files, file
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def __getattr__(self, name):
+        return getattr(self.file, name)
+
+    def read(self, n=None):
+        data = self.file.read(n)
+        self.files.read += len(data)
+        return data
+
+
+def test_archives_are_read_once(spark, tmp_path, monkeypatch):
+    r = random.Random(6)
+    noise = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(n))  # noqa: E731  packs badly
+    plain = warc._file_system
+    for folder, pages in (("small", [(i, "u", noise(300)) for i in range(1000)]), ("large", [(i, "u", noise(150_000 if i % 2 else 10)) for i in range(30)])):
+        path = str(tmp_path / folder)
+        warc.register(spark)
+        warc.page_records(spark.createDataFrame(pages, "page_id long, url string, html string")).coalesce(1).write.format("warc").mode("append").save(path)
+        archive = sum(f.stat().st_size for f in (tmp_path / folder).glob("*.warc.gz"))
+        for payload in (True, False):
+            files = _CountedFiles(plain(path)[0])
+            monkeypatch.setattr(warc, "_file_system", lambda p, files=files: (files, p))
+            reader = warc.WarcReader(path, payload, 1 << 30)
+            (part,) = reader.partitions()
+            files.read = 0
+            rows = [row for batch in reader.read(part) for row in batch.to_pylist()]
+            assert {x["record_id"]: x["payload"] for x in rows} == {f"urn:page:{i}": t.encode() if payload else None for i, _, t in pages}
+            assert files.read <= (1.1 if payload or folder == "small" else 0.4) * archive
+        monkeypatch.setattr(warc, "_file_system", plain)
+
+
 # tokens
 
 
