@@ -13,11 +13,12 @@ def share(part: Column, whole: Column, empty: float | None = 0.0) -> Column:
 
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation; 0 for fewer than two rows or a constant side."""
-    usable = (F.count("*") > 1) & (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
-    n, sx, sy = F.count("*"), F.sum(x), F.sum(y)
-    top = n * F.sum(x * y) - sx * sy
-    bottom = F.sqrt(n * F.sum(x * x) - sx * sx) * F.sqrt(n * F.sum(y * y) - sy * sy)
-    return F.when(usable, F.try_divide(top, bottom)).otherwise(F.lit(0.0))
+    both = x.isNotNull() & y.isNotNull()
+    seen = lambda c: F.when(both, c)
+    usable = (F.count_if(both) > 1) & (F.max(seen(x)) > F.min(seen(x))) & (F.max(seen(y)) > F.min(seen(y)))
+    x, y = F.when(y.isNotNull(), x).cast("double"), F.when(x.isNotNull(), y).cast("double")
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # central moments, which large values leave exact
+    return F.when(usable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).otherwise(F.lit(0.0))
 
 
 def sample_variance(x: Column) -> Column:

@@ -80,9 +80,11 @@ def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
     return given.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
-def set_scores(truth: DataFrame, found: DataFrame, group: list[str], key: list[str]) -> DataFrame:
-    """Precision, recall and F1 of distinct found against true keys; zero denominators give 0. Also the recall that counts an empty truth as 1, and the share of false finds."""
+def set_scores(truth: DataFrame, found: DataFrame, group: list[str], key: list[str], ignore_case: bool = False) -> DataFrame:
+    """Precision, recall and F1 of distinct found against true keys; zero denominators give 0. Also the recall that counts an empty truth as 1, and the share of false finds. Graders of names compare them with ``ignore_case``."""
     on = [*group, *key]
+    if ignore_case:
+        truth, found = (side.withColumns({k: F.lower(k) for k in key}) for side in (truth, found))
     both = truth.select(*on).distinct().withColumn("t", F.lit(1)).join(found.select(*on).distinct().withColumn("f", F.lit(1)), on, "full_outer")
     n = both.groupBy(*group).agg(F.count("t").alias("n_true"), F.count("f").alias("n_found"), F.count_if(F.col("t").isNotNull() & F.col("f").isNotNull()).alias("n_both"))
     p, r = share(F.col("n_both"), F.col("n_found")), share(F.col("n_both"), F.col("n_true"))

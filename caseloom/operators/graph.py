@@ -74,6 +74,38 @@ def matching_nets(expressions: DataFrame, nets: DataFrame) -> DataFrame:
     return words.join(nets, "net")
 
 
+def indexed_nets(expressions: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs where an expression selects a bit (net, bit) of a net, as in ``net [ 3 ]``; a longer name that ends in the net's selects it too.
+
+    Expressions are read once into postings of word and index. They meet the bits on
+    the index and on as many last characters as the shortest net has, an equality
+    join whatever the number of nets, and are then held against the whole name.
+    """
+    shortest = bits.agg(F.min(F.char_length("net"))).first()[0] or 1
+    selects = F.array_distinct(F.regexp_extract_all("expression", F.lit(r"(\w+)\s*\[\s*(\d+)\s*\]"), F.lit(0)))
+    read = expressions.withColumn("posting", F.explode(selects))
+    read = read.withColumns({"word": F.regexp_extract("posting", r"^(\w+)", 1), "index": F.regexp_extract("posting", r"(\d+)\s*\]$", 1)})
+    read = read.withColumn("ending", F.right("word", F.lit(shortest)))
+    wanted = bits.select("net", "bit", F.col("bit").cast("string").alias("index"), F.right("net", F.lit(shortest)).alias("ending")).distinct()
+    met = read.join(wanted, ["index", "ending"]).where(F.endswith("word", F.col("net")))
+    return met.select(*expressions.columns, "net", "bit").distinct()
+
+
+def resolved(entries: DataFrame, cases: DataFrame, id_col: str, key: str, position: str) -> DataFrame:
+    """Every entry with its case (struct ``case``): the first by position whose key array has the same members, else the first with its id.
+
+    An entry that neither finds is an error, which the plan raises when it runs.
+    """
+    found = F.struct(*[F.col(c) for c in cases.columns])
+    first = F.min_by(found, F.col(position))
+    by_key = cases.groupBy(F.array_sort(key).alias("sorted key")).agg(first.alias("by key"))
+    by_id = cases.groupBy(F.col(id_col).alias("case id")).agg(first.alias("by id"))
+    joined = entries.withColumn("sorted key", F.array_sort(key)).join(by_key, "sorted key", "left").join(by_id, F.col(id_col) == F.col("case id"), "left")
+    failed = F.raise_error(F.concat(F.lit("no case for "), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    case = F.when(F.col("by key").isNotNull(), F.col("by key")).when(F.col("by id").isNotNull(), F.col("by id")).otherwise(failed)
+    return joined.select(*entries.columns, case.alias("case"), F.col("by key").isNotNull().alias("by_key"))
+
+
 def all_of(frames: list[DataFrame], key: str) -> DataFrame:
     """Keys that every frame has."""
     return reduce(lambda a, b: a.intersect(b), [f.select(key) for f in frames])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import CRASH, SETUP_FAILURE
+from ..sources.scratch import stored
+from .select import ranked_within
 
 
 def best_round(rows: DataFrame, group: list[str], rank: list[Column], sequence: str, later_wins: bool = True) -> DataFrame:
@@ -84,11 +86,40 @@ def step_distance(rows: DataFrame, group: list[str], sequence: list[str], value:
     return rows.withColumn("distance", F.bit_count(F.col(value).bitwiseXOR(before).bitwiseAND(F.lit((1 << bits) - 1))))
 
 
-def suffixed(rows: DataFrame, base: str, sequence: list[str], width: int = 3) -> DataFrame:
-    """A unique name for every row: the base alone first, then ``_gen001`` and so on."""
-    nth = F.row_number().over(Window.partitionBy(base).orderBy(*sequence)) - 1
-    name = F.when(nth == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_gen"), F.lpad(nth.cast("string"), F.greatest(F.length(nth.cast("string")), F.lit(width)), F.lit("0"))))
-    return rows.withColumn("name", name)
+def _numbered(base: Column, number: Column, width: int) -> Column:
+    digits = number.cast("string")
+    return F.concat(base, F.lit("_gen"), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
+
+
+def suffixed(rows: DataFrame, base: str, sequence: list[str], taken: DataFrame | None = None, width: int = 3) -> DataFrame:
+    """A unique name for every row that has a base: the base alone if it is free, then ``_gen001`` and so on, leaving out names that are taken.
+
+    Taken are the names of ``taken`` (name), and every base for the first of its own
+    rows, as if these came first; ``x_gen001`` may be a base too. The k-th row that
+    needs a number gets the k-th free one: a taken number b that has j taken ones up
+    to it lies behind b - j free ones, so rows and taken numbers are sorted together
+    by how many free numbers lie before them, and a row's number is its place among
+    both. No base is numbered by one task, though it may be that of all rows.
+    """
+    bases = rows.where(F.col(base).isNotNull()).select(F.col(base).alias("name")).distinct()
+    names = bases if taken is None else taken.where(F.col("name").isNotNull()).select("name").distinct()
+    reserved = stored(names if taken is None else names.union(bases).distinct())
+    parts = reserved.select("name", F.regexp_extract("name", r"(?s)^(.*)_gen(\d+)$", 1).alias("base"), F.regexp_extract("name", r"_gen(\d+)$", 1).try_cast("long").alias("number"))
+    blocked = parts.where((F.col("number") > 0) & (_numbered(F.col("base"), F.col("number"), width) == F.col("name"))).select("base", "number")
+    blocked = ranked_within(blocked, ["base"], ["number"]).select("base", (F.col("number") - F.col("rank")).alias("free"), F.lit(1).alias("kind"))
+    if taken is None:
+        spare = bases.select(F.col("name").alias("base"), F.lit(True).alias("plain"))
+    else:
+        spare = bases.join(names.withColumn("held", F.lit(True)), "name", "left").select(F.col("name").alias("base"), F.col("held").isNull().alias("plain"))
+    placed = ranked_within(rows.where(F.col(base).isNotNull()).withColumn("base ", F.col(base)), ["base "], sequence).drop("n")
+    placed = placed.join(spare.withColumnRenamed("base", "base "), "base ").withColumn("free", F.col("rank") - F.col("plain").cast("long"))
+    placed = stored(placed.drop("rank", "plain").withColumnRenamed("base ", "base of name"))
+    asked = placed.where(F.col("free") > 0).select(F.col("base of name").alias("base"), "free", F.lit(0).alias("kind"))
+    both = ranked_within(asked.union(blocked), ["base"], ["free", "kind"]).where("kind = 0").select(F.col("base").alias("base of name"), "free", F.col("rank").alias("number"))
+    numbered = placed.join(both, ["base of name", "free"], "left")
+    name = F.when(F.col("free") == 0, F.col("base of name")).otherwise(_numbered(F.col("base of name"), F.col("number"), width))
+    unnamed = rows.where(F.col(base).isNull()).withColumn("name", F.lit(None).cast("string"))
+    return numbered.withColumn("name", name).select(*rows.columns, "name").union(unnamed)
 
 
 def cyclic_targets(targets: DataFrame, group: str, preferred: Column, order: str, least: int) -> DataFrame:

@@ -20,9 +20,14 @@ def zipped(a: Column, b: Column) -> Column:
     return F.arrays_zip(F.slice(a, F.lit(1), n).alias("a"), F.slice(b, F.lit(1), n).alias("b"))
 
 
+#: What counts as missing besides null: an empty text, array, map or struct, and the zero of its kind.
+EMPTY = ["", "[]", "{}", "false", "0", "0.0"]
+
+
 def first_value(*candidates: Column) -> Column:
-    """The first array that is neither null nor empty."""
-    return F.coalesce(*[F.when(F.size(c) > 0, c) for c in candidates])
+    """The first candidate, of any type, that is not missing; null if all are."""
+    shown = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":"?(.*?)"?\}$', 1)
+    return F.coalesce(*[F.when(c.isNotNull() & ~shown(c).isin(EMPTY), c) for c in candidates])
 
 
 def slim(items: Column, keep: list[str], flagged: Column, heavy: list[str], key: str, shown: int = 500) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -57,6 +59,38 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(F.broadcast(before), "range").withColumn("rank", (F.col("nth") + F.col("before")).cast("long")).drop("range", "nth", "before")
 
 
+def ranked_within(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with their place in their group, from 1, and ``n``, the group's rows. A group may be all rows: none is sorted or gathered by one task."""
+    placed = stored(ranked(rows, [*group, *order]))
+    starts = placed.groupBy(*group).agg(F.min("rank").alias("first"), F.count("*").alias("n")).alias("g")
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in group])
+    rank = (F.col("p.rank") - F.col("g.first") + 1).alias("rank")
+    return placed.alias("p").join(starts, same).select(*[F.col(f"p.{c}") for c in rows.columns], rank, F.col("g.n").alias("n"))
+
+
+def order_statistics(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Exact (n, least, second, median, last_but_one, greatest) of a group's non-null values, picked by rank."""
+    placed = ranked_within(rows.where(F.col(value).isNotNull()).select(*group, value), group, [value])
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col(value)))
+    n = F.col("n")
+    low, high = at(F.floor((n + 1) / 2)), at(F.floor(n / 2) + 1)
+    return placed.groupBy(*group).agg(
+        F.max("n").alias("n"), at(F.lit(1)).alias("least"), at(F.lit(2)).alias("second"), ((low + high) / 2).alias("median"), at(n - 1).alias("last_but_one"), at(n).alias("greatest")
+    )
+
+
+def trimmed_statistics(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(middle, spread) of a group's values without one least and one greatest, where there are more than two.
+
+    Trimming both ends leaves the median where it is; the spread is what is left
+    between the ends, as a share of the lower one.
+    """
+    found = order_statistics(rows, group, value)
+    low = F.when(F.col("n") > 2, F.col("second")).otherwise(F.col("least"))
+    high = F.when(F.col("n") > 2, F.col("last_but_one")).otherwise(F.col("greatest"))
+    return found.select(*group, F.col("median").alias("middle"), F.try_divide(high - low, low).alias("spread"))
+
+
 def prune_lowest(rows: DataFrame, score: str, tie: str, share: float) -> DataFrame:
     """Marks the k lowest rows, k being the rounded share of all, at least one and never all."""
     k = rows.agg(F.greatest(F.lit(1), F.least(F.count("*") - 1, F.bround(F.count("*") * share, 0).cast("long"))).alias("k"))

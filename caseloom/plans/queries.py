@@ -483,15 +483,15 @@ def q_var(t):
 
 @_query("""WITH m AS (SELECT user_id, event_type, median(value) AS m FROM events GROUP BY ALL) SELECT event_type, round(median(m), 9) AS median_of_medians FROM m GROUP BY 1""")
 def q_median2(t):
-    inner = t("events").groupBy("user_id", "event_type").agg(F.median("value").alias("m"))
-    return inner.groupBy("event_type").agg(F.round(F.median("m"), 9).alias("median_of_medians"))
+    inner = select.order_statistics(t("events"), ["user_id", "event_type"], "value").select("event_type", F.col("median").alias("m"))
+    return select.order_statistics(inner, ["event_type"], "m").select("event_type", F.round("median", 9).alias("median_of_medians"))
 
 
 @_query("""WITH v AS (SELECT user_id, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1), x AS (SELECT user_id, CASE WHEN len(v) > 2 THEN v[2:len(v) - 1] ELSE v END AS v FROM v)
            SELECT user_id, round(list_median(v), 9) AS middle, round((v[-1] - v[1]) / nullif(v[1], 0), 6) AS spread FROM x""")
 def q_trimmed(t):
-    v = t("events").where(F.col("value").isNotNull()).groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v")).select("user_id", scores.trimmed(F.col("v")).alias("v"))
-    return v.select("user_id", F.round(scores.middle(F.col("v")), 9).alias("middle"), F.round(F.try_divide(F.element_at("v", -1) - F.element_at("v", 1), F.element_at("v", 1)), 6).alias("spread"))
+    found = select.trimmed_statistics(t("events"), ["user_id"], "value")
+    return found.select("user_id", F.round("middle", 9).alias("middle"), F.round("spread", 6).alias("spread"))
 
 
 @_query("""WITH p AS (SELECT vec_id, label, embedding AS b, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings),
@@ -553,9 +553,13 @@ def q_dangling(t):
     return graph.unused(t("part").select("p_partkey", "p_brand"), used, "p_partkey")
 
 
-@_query("SELECT a, b, c FROM (VALUES (false), (true)) x(a), (VALUES (false), (true)) y(b), (VALUES (false), (true)) z(c)")
+@_query("""SELECT a, b, c, count(l_orderkey) AS n FROM (VALUES (false), (true)) x(a), (VALUES (false), (true)) y(b), (VALUES (false), (true)) z(c)
+           LEFT JOIN lineitem ON (l_returnflag = 'R') = a AND (l_discount > 0.05) = b AND (l_linestatus = 'O' AND l_returnflag = 'R') = c GROUP BY ALL""")
 def q_truth_table(t):
-    return graph.truth_table(t("nation").sparkSession, ["a", "b", "c"])
+    """Every assignment of three tests, with the lines that have it; some have none."""
+    lines = t("lineitem").select((F.col("l_returnflag") == "R").alias("a"), (F.col("l_discount") > 0.05).alias("b"), ((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")).alias("c"))
+    seen = lines.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
+    return graph.truth_table(lines.sparkSession, ["a", "b", "c"]).join(F.broadcast(seen), ["a", "b", "c"], "left").na.fill(0, ["n"])
 
 
 #: Parts lead to the part that follows them in an order.

@@ -1,4 +1,4 @@
-"""Registered queries over small entity tables: case validation, repair rounds, records of runs.
+"""Operators over small entity tables: case validation, repair rounds, records of runs.
 
 The tables stand here as rows and are given to Spark and to SQL alike. Each SQL
 text says what a table's rows mean by itself, with other means than the operator.
@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import jsonx, text
-from ..operators import bundles, coverage, gates, graph, ranking, records, validation
-from ..sources import records as sources
-from .queries import ORACLE_SQL, QUERIES
+from caseloom.functions import jsonx, text
+from caseloom.operators import bundles, coverage, gates, graph, ranking, records, validation
+from caseloom.sources import records as sources
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
 
 Row = tuple
 

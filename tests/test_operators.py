@@ -1,9 +1,14 @@
+import random
+import re
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from caseloom.functions import jsonx, scores, text
 from caseloom.operators import coverage, gates, graph, ranking, select
+from caseloom.operators import records as record_operators
 from caseloom.sources import records
 from caseloom.streaming import resume
 
@@ -201,3 +206,78 @@ def test_closure_has_no_depth_limit(spark):
     assert graph.closure(start, edges).agg(F.max("depth")).first()[0] == 60
     assert graph.reaches(start, edges, spark.createDataFrame([(5,)], "node long")).first()["reaches"]
     assert not graph.reaches(start, edges.where("src < 3"), spark.createDataFrame([(5,)], "node long")).first()["reaches"]
+
+
+def test_names_are_distinct_whatever_is_taken(spark):
+    """Against handing out names one by one, with the first row of each base first."""
+    r = random.Random(4)
+    bases = ["x", "x", "x_gen001", "x_gen003", "x_gen003_gen001", "y_gen02", "y", "x_gen1000"]
+    rows = [(i, r.choice(bases)) for i in range(300)] + [(1000 + i, "x") for i in range(1100)] + [(5000, None)]
+    taken = ["y", "y_gen002", "x_gen007", "x_gen0008", "x_gen009", "x_gen010", None]
+    for given in (None, taken):
+        df = spark.createDataFrame(rows, "id int, base string").repartition(5)
+        names = None if given is None else spark.createDataFrame([(x,) for x in given * 2], "name string")
+        got = {x["id"]: x["name"] for x in ranking.suffixed(df, "base", ["id"], names).collect()}
+        used, want, seen = set(given or []) | {b for _, b in rows}, {5000: None}, set()
+        for i, b in sorted(rows[:-1]):
+            if b not in seen and b not in (given or []):
+                want[i] = b
+            else:
+                n = 1
+                while f"{b}_gen{n:03d}" in used:
+                    n += 1
+                used.add(want.setdefault(i, f"{b}_gen{n:03d}"))
+            seen.add(b)
+        assert got == want and len(set(got.values())) == len(rows)
+
+
+def test_correlation_of_large_values(spark):
+    df = spark.range(1000).select((F.lit(1e9) + F.col("id")).alias("x"), (F.lit(1e9) + 2 * F.col("id")).alias("y")).union(spark.createDataFrame([(None, 1.0), (5.0, None)], "x double, y double"))
+    assert df.agg(scores.correlation(F.col("x"), F.col("y"))).first()[0] == pytest.approx(1.0, abs=1e-9)
+
+
+def test_order_statistics_of_one_large_group(spark):
+    """All rows in one group, and small and empty ones; nothing is gathered in an array."""
+    r = random.Random(1)
+    groups = {"all": [r.randrange(50) * 1.0 for _ in range(5001)], "one": [3.0], "two": [2.0, 8.0], "three": [5.0, 1.0, 9.0], None: [1.0, 1.0, 4.0, 6.0]}
+    data = [(g, v) for g, vs in groups.items() for v in [*vs, None]]
+    df = spark.createDataFrame(data, "g string, v double").repartition(6)
+    got = {x["g"]: (x["n"], x["least"], x["median"], x["greatest"]) for x in select.order_statistics(df, ["g"], "v").collect()}
+    assert got == {g: (len(v), min(v), statistics.median(v), max(v)) for g, v in groups.items()}
+    trimmed = {x["g"]: (x["middle"], x["spread"]) for x in select.trimmed_statistics(df, ["g"], "v").collect()}
+    cut = {g: sorted(v)[1:-1] if len(v) > 2 else sorted(v) for g, v in groups.items()}
+    assert trimmed == {g: (statistics.median(v), (v[-1] - v[0]) / v[0] if v[0] else None) for g, v in cut.items()}
+    plan = select.order_statistics(df, ["g"], "v")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "percentile" not in plan
+
+
+def test_recall_ignores_case_where_asked(spark):
+    truth, found = (spark.createDataFrame([("a", x) for x in names], "g string, k string") for names in (["KEY_0", "key_1"], ["key_0", "Key_1", "KEY_1"]))
+    got = coverage.set_scores(truth, found, ["g"], ["k"], ignore_case=True).first()
+    assert (got["n_found"], got["recall_or_one"]) == (2, 1.0) and coverage.set_scores(truth, found, ["g"], ["k"]).first()["n_both"] == 0
+
+
+def test_bits_are_found_as_a_pattern_would(spark):
+    r = random.Random(2)
+    nets = ["key_reg", "reg", "g", "data"]
+    pieces = ["key_reg", "my_key_reg", "reg", "data", "[", "]", "[ 3 ]", "[3]", "[\t7\n]", "[ 03 ]", " ", "&", "12", "[12]"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(9))) for _ in range(400)]
+    bits = spark.createDataFrame([(n, b) for n in nets for b in (0, 3, 7, 12)], "net string, bit long")
+    got = {(x["id"], x["net"], x["bit"]) for x in graph.indexed_nets(spark.createDataFrame(list(enumerate(texts)), "id int, expression string"), bits).collect()}
+    assert got == {(i, n, b) for i, t in enumerate(texts) for n in nets for b in (0, 3, 7, 12) if re.search(rf"{n}\s*\[\s*{b}\s*\]", t)}
+
+
+def test_unresolved_entries_are_an_error(spark):
+    cases = spark.createDataFrame([(1, [3, 1], 0), (2, [1, 3], 1), (2, [5], 2)], "id int, key array<int>, at int")
+    entries = spark.createDataFrame([(9, [1, 3]), (2, [7]), (1, [5])], "id int, key array<int>")
+    got = {x["id"]: (x["case"]["at"], x["by_key"]) for x in graph.resolved(entries, cases, "id", "key", "at").collect()}
+    assert got == {9: (0, True), 2: (1, False), 1: (2, True)}
+    with pytest.raises(Exception, match="no case for 8"):
+        graph.resolved(entries.union(spark.createDataFrame([(8, [8])], "id int, key array<int>")), cases, "id", "key", "at").collect()
+
+
+def test_what_counts_as_missing(spark):
+    df = spark.createDataFrame([("", [], None, 0, "x")], "a string, b array<int>, c string, d int, e string").withColumn("m", F.struct(F.lit(None).cast("string").alias("k")))
+    first = lambda *c: df.select(record_operators.first_value(*c).alias("v")).first()["v"]
+    assert first(F.col("a"), F.col("c"), F.col("e")) == "x" and first(F.col("d"), F.lit(7)) == 7 and first(F.col("a")) is None
+    assert first(F.col("m"), F.struct(F.lit("v").alias("k")))["k"] == "v" and first(F.lit(" "), F.lit("y")) == " "

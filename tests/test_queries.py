@@ -1,11 +1,20 @@
 import pytest
 
-from caseloom.plans import cases, queries  # noqa: F401  the entity tables add their queries
+import entity_cases
+from caseloom.plans import queries, records
 
+PLANS = queries.QUERIES | records.QUERIES
+PLANS_SQL = queries.ORACLE_SQL | records.ORACLE_SQL
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+
+@pytest.mark.parametrize("name", sorted(PLANS_SQL))
 def test_query_equals_sql(name, same_rows):
-    same_rows(queries.QUERIES[name], queries.ORACLE_SQL[name])
+    same_rows(PLANS[name], PLANS_SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(entity_cases.ORACLE_SQL))
+def test_entity_case_equals_sql(name, same_rows):
+    same_rows(entity_cases.QUERIES[name], entity_cases.ORACLE_SQL[name])
 
 
 def test_entry_runs(spark):
