@@ -30,3 +30,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/caseloom-{uuid.uuid4().hex}/stored"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/caseloom-{uuid.uuid4().hex}"
