@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import schemas
 from ..operators import graph, ranking
+from ..sources import lines, versions
+from ..sources import records as sources
+from ..sources.scratch import scratch_folder
+from ..streaming import resume, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -117,3 +121,127 @@ def q_resolved_baskets(t):
     baskets = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_suppkey") % 4).alias("key")).withColumn("id", F.col("l_orderkey") % 10)  # the lines of one order
     known = baskets.where((F.col("l_orderkey") % 3 != 0) | (F.col("l_orderkey") < 100))
     return graph.resolved(baskets, known, "id", "key", "l_orderkey").select("l_orderkey", F.col("case.l_orderkey").alias("resolved"), "by_key")
+
+
+# sources
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _registered(sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+@_registered("""WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang, doc_id % 16 AS bucket, string_split('@@doc ' || doc_id || '@@' || chr(10) || coalesce(text, ''), chr(10)) AS ls FROM documents),
+           l AS (SELECT doc_id, lang, bucket, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+           n AS (SELECT *, row_number() OVER (PARTITION BY lang, bucket ORDER BY doc_id, i) AS line_no FROM l)
+           SELECT doc_id, lang, bucket, min(line_no) AS first_line, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, sum(line_no * length(line))::BIGINT AS placed_chars FROM n GROUP BY ALL""")
+def q_numbered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as long reports, a heading before each, read back in ranges with line numbers and with the heading carried to its lines."""
+    folder = f"{scratch_folder(spark)}/reports"
+    body = F.concat(F.lit("@@doc "), F.col("doc_id"), F.lit("@@\n"), F.coalesce("text", F.lit("")))
+    docs = _table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), (F.col("doc_id") % 16).alias("bucket"), "doc_id", body.alias("body"))
+    dealt = docs.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", "doc_id")
+    dealt.select("lang", "bucket", "body").write.partitionBy("lang", "bucket").text(folder)
+    read = lines.numbered_lines(spark, folder, 1 << 18)
+    carried = lines.carried_lines(read, F.nullif(F.regexp_extract("line", r"^@@doc (\d+)@@$", 1), F.lit("")).cast("long"), "doc_id")
+    part = lambda name: F.regexp_extract("file", f"/{name}=([^/]*)/", 1)
+    chars = F.char_length("line")
+    return carried.groupBy("doc_id", part("lang").alias("lang"), part("bucket").cast("long").alias("bucket")).agg(
+        F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.sum(chars).alias("n_chars"), F.sum(F.col("line_no") * chars).alias("placed_chars")
+    )
+
+
+@_registered("""WITH v AS (SELECT 1 AS version, o_orderkey, o_orderstatus, o_totalprice FROM orders
+                 UNION ALL SELECT 2, o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'F' ELSE o_orderstatus END, o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW'
+                 UNION ALL SELECT 3, o_orderkey, o_orderstatus, o_totalprice FROM orders)
+           SELECT version, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM v GROUP BY ALL""")
+def q_published_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders published, published again after a change, and restored; every version as it can be read."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    table = versions.VersionedTable(spark, f"{scratch_folder(spark)}/orders")
+    first = table.publish(orders.drop("o_orderpriority"))
+    changed = orders.where("o_orderpriority <> '5-LOW'").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")))
+    table.publish(changed.drop("o_orderpriority"), expected=first)
+    table.restore(first)
+    held = [table.read(v).withColumn("version", F.lit(v)) for v in table.versions()]
+    return held[0].union(held[1]).union(held[2]).groupBy("version", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@_registered("""SELECT event_id, event_id % 4 = 1 AS in_list, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS event_type, (props->>'$.k')::BIGINT AS k, CASE WHEN event_id % 3 = 0 THEN 'text' ELSE 'number' END AS value_kind
+           FROM events WHERE event_id % 4 <> 3""")
+def q_drifting_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines whose roots are lists, objects or broken, with fields that come, go and change kind; read back by the type that fits all."""
+    folder = f"{scratch_folder(spark)}/log"
+    e = F.col("event_id")
+    value = F.when(e % 3 == 0, F.concat(F.lit('"'), "value", F.lit('"'))).otherwise(F.col("value").cast("string"))
+    kind = F.when(e % 5 == 0, "").otherwise(F.concat(F.lit('"type":"'), "event_type", F.lit('",')))
+    entry = F.concat(F.lit('{"id":'), e, F.lit(","), kind, F.lit('"value":'), value, F.lit(',"props":'), "props", F.lit("}"))
+    line = F.when(e % 4 == 1, F.concat(F.lit("["), entry, F.lit("]"))).when(e % 4 == 3, F.left(entry, F.char_length(entry) - 2)).otherwise(F.concat(F.lit('{"event'), e, F.lit('":'), entry, F.lit("}")))
+    _table(spark, sf_dir, "events").select(line.alias("value")).write.text(folder)
+    read = sources.settled(sources.root_entries(spark.read.text(folder)))
+    text = F.schema_of_variant("read_as.value") == "STRING"
+    return read.select("read_as.id", "key", "read_as.type", "read_as.props.k", text.alias("text")).select(
+        F.col("id").alias("event_id"), F.col("key").isNull().alias("in_list"), F.col("type").alias("event_type"), "k", F.when(F.col("text"), "text").otherwise("number").alias("value_kind")
+    )
+
+
+# streams
+
+_SPENT = """WITH e AS (SELECT user_id, event_id, event_type, coalesce((props->>'$.k')::BIGINT, 0) AS cost FROM events),
+           m AS (SELECT *, coalesce(sum(cost) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before, row_number() OVER w - 1 AS calls_before,
+                        coalesce(event_type = lag(event_type) OVER w, false) AS stopped FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+           s AS (SELECT *, coalesce(sum(stopped::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM m)
+           SELECT user_id, event_id, spent_before, calls_before, stopped FROM s WHERE earlier = 0 AND spent_before < 300 AND calls_before < 12"""
+
+
+def _by_arrival(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Events with ``arrival``, an n-th of their ids each, and times that streams can use."""
+    events = _table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id").alias("last"))
+    return events.join(F.broadcast(last)).withColumn("arrival", F.floor(F.col("event_id") * n / (F.col("last") + 1)).cast("int")).drop("last").withColumn("ts", F.col("ts").cast("timestamp")), events
+
+
+@_registered(_SPENT)
+def q_stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user until a budget, a number of calls or a repeated type ends them: three arrivals, the stream started again for each."""
+    work = scratch_folder(spark)
+    events, _ = _by_arrival(spark, sf_dir, 3)
+    cost = F.get_json_object("props", "$.k").try_cast("long")
+    schemas_seen = []
+
+    def start(stream: DataFrame):
+        kept = stateful.until_spent(stream, "user_id", ["event_id"], cost, "event_type", 300, 12)
+        schemas_seen.append(kept.schema)
+        return resume.write_windows(kept, f"{work}/rows", f"{work}/state")
+
+    stateful.in_arrivals(spark, [events.where(F.col("arrival") == k).drop("arrival") for k in range(3)], f"{work}/in", start)
+    return resume.read_windows(spark, f"{work}/rows", schemas_seen[0], every=True).select("user_id", "event_id", "spent_before", "calls_before", "stopped")
+
+
+@_registered("""WITH m AS (SELECT max(event_id) AS last, max(ts) AS final FROM events WHERE NOT (event_id % 13 = 4 AND event_id < (SELECT max(event_id) FROM events) // 3)),
+           e AS (SELECT date_trunc('hour', ts) AS hour, event_type FROM events, m WHERE NOT (event_id % 13 = 4 AND event_id < (SELECT max(event_id) FROM events) // 3))
+           SELECT hour, event_type, count(*) AS n FROM e, m WHERE hour + INTERVAL 1 HOUR <= date_trunc('milliseconds', final) - INTERVAL 2 HOUR GROUP BY ALL""")
+def q_stream_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per hour and type, each window given once, when it is closed; rows that arrive after that are left out. The last arrival is late by most of the month."""
+    work = scratch_folder(spark)
+    events, plain = _by_arrival(spark, sf_dir, 2)
+    bound = plain.agg(F.floor(F.max("event_id") / 3).alias("bound"))
+    late = (F.col("event_id") % 13 == 4) & (F.col("event_id") < F.col("bound"))
+    marked = events.join(F.broadcast(bound)).withColumn("arrival", F.when(late, 2).otherwise(F.col("arrival"))).drop("bound")
+    seen = []
+
+    def start(stream: DataFrame):
+        counted = resume.windowed_counts(stream, "ts", "2 hours", "1 hour", ["event_type"])
+        seen.append(counted.schema)
+        return resume.write_windows(counted, f"{work}/rows", f"{work}/state")
+
+    stateful.in_arrivals(spark, [marked.where(F.col("arrival") == k).drop("arrival") for k in range(3)], f"{work}/in", start)
+    rows = resume.read_windows(spark, f"{work}/rows", seen[0], every=True)
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")

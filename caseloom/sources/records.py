@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,6 +50,25 @@ def read_grades(spark: SparkSession, path: str) -> DataFrame:
     return grades_of(spark.read.text(path, wholetext=True))
 
 
+def root_entries(lines: DataFrame, text: str = "value") -> DataFrame:
+    """The entries of JSON texts whose root is an object or a list: the columns of ``lines``, then nth, key (null in a list) and entry, a variant. Broken texts, and roots that are neither, have none."""
+    parsed = lines.withColumn("root", F.try_parse_json(text)).withColumnsRenamed({c: f"line {c}" for c in lines.columns})
+    rooted = F.coalesce(F.schema_of_variant("root").rlike("^(OBJECT|ARRAY)"), F.lit(False))
+    exploded = lines.sparkSession.tvf.variant_explode(F.col("root").outer())
+    return parsed.where(rooted).lateralJoin(exploded).select(*[F.col(f"line {c}").alias(c) for c in lines.columns], F.col("pos").alias("nth"), "key", F.col("value").alias("entry"))
+
+
+def settled_type(entries: DataFrame, entry: str = "entry") -> str:
+    """The type that fits all entries, as Spark SQL writes it: fields of any of them, numbers widened, and ``variant`` where their kinds differ."""
+    found = entries.agg(F.schema_of_variant_agg(entry)).first()[0] or "VOID"
+    return re.sub(r"\bVOID\b", "STRING", re.sub(r"\bOBJECT<", "STRUCT<", found)).replace("OBJECT", "STRUCT<>")
+
+
+def settled(entries: DataFrame, entry: str = "entry") -> DataFrame:
+    """``entries`` with the entry read as the type that fits all; ``read_as`` names the column."""
+    return entries.withColumn("read_as", F.try_variant_get(F.col(entry), "$", settled_type(entries, entry)))
+
+
 def grades_of(raw: DataFrame) -> DataFrame:
     """``read_grades`` over rows of ``value``, a grade file each."""
     entries = raw.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("nth", "e")).select("nth", F.col("e.key").alias("key"), F.try_parse_json("e.value").alias("entry"))
