@@ -88,9 +88,13 @@ def edit_score(readme: Column, path: Column, around: int = 120) -> Column:
     """Sum, over the places a path is named, of the weights of edit words within ``around`` characters, and 1 if its file name occurs."""
     low, key = F.lower(readme), F.lower(path)
     pieces = F.split(low, F.concat(F.lit("\\Q"), key, F.lit("\\E")), -1)
-    # the text around the i-th mention is the end of all before it and the start of all behind it
+    # around the i-th mention stand the end of what is before it and the start of what is behind it: as many pieces, with the path between them, as could fill that length
     mention = F.sequence(F.lit(1), F.size(pieces) - 1)
-    near = lambda i: F.concat(F.right(F.array_join(F.slice(pieces, F.lit(1), i), " "), F.lit(around)), key, F.left(F.array_join(F.slice(pieces, i + 1, F.size(pieces)), " "), F.lit(around)))
+    enough = F.lit(around) / F.greatest(F.char_length(key), F.lit(1)) + 2
+    held = enough.cast("int")
+    before = lambda i: F.concat_ws("", F.transform(F.slice(pieces, F.greatest(i - held + 1, F.lit(1)), F.least(i, held)), lambda p, k: F.when(k > 0, F.concat(key, p)).otherwise(p)))
+    behind = lambda i: F.concat_ws("", F.transform(F.slice(pieces, i + 1, held), lambda p, k: F.when(k > 0, F.concat(key, p)).otherwise(p)))
+    near = lambda i: F.concat(F.right(before(i), F.lit(around)), key, F.left(behind(i), F.lit(around)))
     weight = lambda c: sum((F.when(c.contains(w), n).otherwise(0) for w, n in EDIT_WORDS), F.lit(0))
     total = F.aggregate(F.transform(F.when(F.size(pieces) > 1, mention).otherwise(F.array().cast("array<int>")), near), F.lit(0), lambda s, c: s + weight(c))
     return total + F.when(F.contains(low, F.element_at(F.split(key, "/"), -1)), 1).otherwise(0)

@@ -12,6 +12,12 @@ LEAST_COVERAGE = 0.80
 LEAST_MUTATION = 0.50
 
 
+def mutation_score_meaningful(has_workspace: Column, n_mutants: Column, baseline_failed: Column, differential_status: Column, error_runs: Column) -> Column:
+    """Whether a mutation score says anything: there were mutants to run (or no workspace to run them in), the baseline held, the differential run did not fail and no run broke."""
+    held = ~F.coalesce(has_workspace, F.lit(False)) | (F.coalesce(n_mutants, F.lit(0)) > 0)
+    return held & ~F.coalesce(baseline_failed, F.lit(False)) & (F.coalesce(differential_status, F.lit("")) != "fail") & (F.coalesce(error_runs, F.lit(0)) == 0)
+
+
 def run_outcome(status: Column, stdout: Column, stderr: Column) -> Column:
     """What a run says about its defect: undetected, detected or error, the first rule that holds."""
     out = F.coalesce(stdout, F.lit(""))

@@ -146,6 +146,11 @@ def first_fault(faults: dict[str, Column]) -> Column:
     return F.coalesce(*chain)
 
 
+def canonical_text(json_text: Column) -> Column:
+    """A JSON text with the keys of all its objects in order, at every level, and no spaces: equal documents give equal texts; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(json_text))  # a variant keeps its fields by name
+
+
 def canonical_json(value: Column) -> Column:
     """A map of strings as JSON with its keys in order, so that equal maps give equal texts."""
     entries = F.array_sort(F.map_entries(value))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schemas
-from ..operators import graph, ranking
+from ..operators import graph, ranking, windows
+from ..operators import records as record_operators
 from ..sources import lines, versions
 from ..sources import records as sources
 from ..sources.scratch import scratch_folder
@@ -123,6 +124,32 @@ def q_resolved_baskets(t):
     return graph.resolved(baskets, known, "id", "key", "l_orderkey").select("l_orderkey", F.col("case.l_orderkey").alias("resolved"), "by_key")
 
 
+#: Words that stand near the mentions below, and their weights.
+NEAR_WORDS = [("the", 1), ("and", 2), ("der", 3), ("que", 4), ("of the", 5)]
+
+
+@_query("""WITH w(word, weight) AS (VALUES ('the', 1), ('and', 2), ('der', 3), ('que', 4), ('of the', 5)),
+           d AS (SELECT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL),
+           terms AS (SELECT doc_id, low, unnest(['for', 'with', 'des', 'absent']) AS term, true AS mention, 0 AS weight FROM d UNION ALL SELECT doc_id, low, word, false, weight FROM d, w),
+           p AS (SELECT doc_id, term, mention, weight, unnest(string_split(low, term)) AS piece, generate_subscripts(string_split(low, term), 1) AS i FROM terms),
+           o AS (SELECT doc_id, term, mention, weight, sum(length(piece) + length(term)) OVER (PARTITION BY doc_id, term, mention ORDER BY i) - length(term) AS at, i, max(i) OVER (PARTITION BY doc_id, term, mention) AS n FROM p),
+           q AS (SELECT * FROM o WHERE i < n),
+           h AS (SELECT DISTINCT m.doc_id, m.term AS mention, m.at, k.term, k.weight FROM q m JOIN q k ON m.mention AND NOT k.mention AND k.doc_id = m.doc_id AND k.at >= m.at - 120 AND k.at + length(k.term) <= m.at + length(m.term) + 120),
+           s AS (SELECT doc_id, mention, sum(weight) AS score FROM h GROUP BY ALL)
+           SELECT q.doc_id, q.term AS mention, count(*) AS n, coalesce(any_value(score), 0)::BIGINT AS score FROM q LEFT JOIN s ON s.doc_id = q.doc_id AND s.mention = q.term WHERE q.mention GROUP BY ALL""")
+def q_keyword_windows(t):
+    """Scores of mentions by the words around their places."""
+    docs = t("documents").select("doc_id", "text").withColumn("mentions", F.array(*[F.lit(x) for x in ("for", "with", "des", "absent")]))
+    return windows.window_scores(docs, "doc_id", "text", "mentions", NEAR_WORDS)
+
+
+@_query("""SELECT event_id, '{"a":{"k":' || (props->>'$.k') || ',"z":[{"id":' || event_id || ',"n":null}]},"type":"' || event_type || '","user":' || user_id || '}' AS canonical FROM events""")
+def q_canonical_json(t):
+    """Events written as JSON with keys in no order, nested, as their canonical text."""
+    text = F.concat(F.lit('{"user": '), "user_id", F.lit(', "type" : "'), "event_type", F.lit('", "a": {"z": [ {"n": null, "id": '), "event_id", F.lit('} ], "k": '), F.get_json_object("props", "$.k"), F.lit("}}"))
+    return t("events").select("event_id", record_operators.canonical_text(text).alias("canonical"))
+
+
 # sources
 
 

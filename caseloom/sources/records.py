@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .scratch import stored
 
 #: Fixed columns of the summary file, in order.
 SUMMARY_COLUMNS = ["case_id", "domain", "status", "passed", "model", "elapsed_s", "generation_latency_s", "prompt_tokens", "completion_tokens", "grader_returncode", "grader_elapsed_s"]
@@ -159,18 +161,26 @@ def read_samples(lines: DataFrame, width: int, least: int = 2) -> DataFrame:
 
 
 def write_files(bundles: DataFrame, root: str) -> DataFrame:
-    """Writes the files (array of path, content) of each row's ``task_id`` below ``root`` and gives (task_id, path, written, executable) back.
+    """Writes the files (array of path, content) of each row's ``task_id`` below ``root``, a new folder, and gives (task_id, path, written, executable) back.
 
-    A path that would leave its folder is not written. Tasks write their own rows;
-    a repeated task writes the same files again.
+    A path that would leave its folder is not written. Tasks write into a draft beside
+    the folder, and a repeated task writes the same files again; when all are
+    written, one rename makes the draft the folder. So a failed job leaves no part of
+    it, and reading the result again writes nothing.
     """
+    spark = bundles.sparkSession
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path(root)):
+        raise FileExistsError(root)
+    draft = f"{root.rstrip('/')}-draft-{uuid.uuid4().hex}"
     exploded = bundles.select("task_id", F.explode("files").alias("f")).select("task_id", "f.path", "f.content")
     checked = exploded.withColumn("inside", text.safe_path(F.col("path")) & text.safe_path(F.col("task_id")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = fs.FileSystem.from_uri(draft)
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
@@ -181,7 +191,11 @@ def write_files(bundles: DataFrame, root: str) -> DataFrame:
                         out.write((r["content"] or "").encode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_pydict({"task_id": [r["task_id"] for r in rows], "path": [r["path"] for r in rows], "written": [r["inside"] for r in rows], "executable": [r["path"].endswith(".sh") for r in rows]}, pa.schema([("task_id", pa.string()), ("path", pa.string()), ("written", pa.bool_()), ("executable", pa.bool_())]))
 
-    return checked.mapInArrow(write, "task_id string, path string, written boolean, executable boolean")
+    written = stored(checked.mapInArrow(write, "task_id string, path string, written boolean, executable boolean"))
+    files.mkdirs(path(draft))
+    if not files.rename(path(draft), path(root)):
+        raise FileExistsError(root)
+    return written
 
 
 def read_yaml(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from caseloom.functions import jsonx, scores, text
-from caseloom.operators import coverage, gates, graph, ranking, select
+from caseloom.operators import bundles, coverage, gates, graph, ranking, select, windows
 from caseloom.operators import records as record_operators
 from caseloom.sources import records
 from caseloom.streaming import resume
@@ -281,3 +281,45 @@ def test_what_counts_as_missing(spark):
     first = lambda *c: df.select(record_operators.first_value(*c).alias("v")).first()["v"]
     assert first(F.col("a"), F.col("c"), F.col("e")) == "x" and first(F.col("d"), F.lit(7)) == 7 and first(F.col("a")) is None
     assert first(F.col("m"), F.struct(F.lit("v").alias("k")))["k"] == "v" and first(F.lit(" "), F.lit("y")) == " "
+
+
+def test_window_scores_equal_a_plain_loop(spark):
+    r = random.Random(9)
+    vocabulary = ["edit", "modify", "only modify", "inputs/a.c", "inputs/b.v", "Harden", "x", "submission", "lorem ipsum dolor sit amet"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(120))) for _ in range(60)] + [None, "", "inputs/a.c" * 40]
+    paths = ["inputs/a.c", "inputs/b.v", "inputs/none.c"]
+    want = {}
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        for path in paths:
+            places = [m.start() for m in re.finditer(re.escape(path), low)]
+            contexts = [low[max(0, at - 120) : at + len(path) + 120] for at in places]
+            if places:
+                want[i, path] = (len(places), sum(weight for c in contexts for word, weight in bundles.EDIT_WORDS if word in c))
+    df = spark.createDataFrame([(i, t, paths) for i, t in enumerate(texts)], "id int, text string, paths array<string>")
+    got = {(x["id"], x["mention"]): (x["n"], x["score"]) for x in windows.window_scores(df, "id", "text", "paths").collect()}
+    assert got == want
+    # the expression for one document gives the same, and 1 more where the file is named
+    scored = df.where("text IS NOT NULL").select("id", *[bundles.edit_score(F.col("text"), F.lit(p)).alias(f"s{k}") for k, p in enumerate(paths)]).collect()
+    for x in scored:
+        for k, path in enumerate(paths):
+            assert x[f"s{k}"] == want.get((x["id"], path), (0, 0))[1] + (path.rpartition("/")[2] in (texts[x["id"]] or "").lower())
+
+
+def test_files_appear_by_one_rename(spark, tmp_path):
+    made = lambda bad: spark.createDataFrame([("t", [("a.txt", "one"), ("sub/b.sh", "two")])], "task_id string, files array<struct<path:string,content:string>>").withColumn("task_id", F.when(F.lit(bad), F.raise_error(F.lit("broken"))).otherwise(F.col("task_id")))
+    with pytest.raises(Exception, match="broken"):
+        records.write_files(made(True), f"file://{tmp_path}/w")
+    assert not (tmp_path / "w").exists()
+    written = records.write_files(made(False), f"file://{tmp_path}/w")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "w").rglob("*")}
+    assert written.count() == written.count() == 2 and {p: p.stat().st_mtime_ns for p in (tmp_path / "w").rglob("*")} == before
+    assert (tmp_path / "w/t/sub/b.sh").read_text() == "two"
+    with pytest.raises(FileExistsError):
+        records.write_files(made(False), f"file://{tmp_path}/w")
+
+
+def test_mutation_score_is_meaningful(spark):
+    cases = [(False, 0, False, "pass", 0, True), (True, 0, False, "pass", 0, False), (True, 3, False, None, None, True), (True, 3, True, "pass", 0, False), (True, 3, False, "fail", 0, False), (None, None, None, "skipped", 1, False)]
+    df = spark.createDataFrame(cases, "w boolean, n int, b boolean, d string, e int, want boolean")
+    assert all(x["got"] == x["want"] for x in df.select(gates.mutation_score_meaningful(*[F.col(c) for c in "wnbde"]).alias("got"), "want").collect())

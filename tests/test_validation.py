@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from caseloom.operators import bundles, validation
-from caseloom.plans import cases
+import entity_cases as cases
 
 FILES = "array<struct<path:string,content:string>>"
 
