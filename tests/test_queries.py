@@ -1,10 +1,10 @@
 import pytest
 
 import entity_cases
-from caseloom.plans import queries, records
+from caseloom.plans import cases, queries
 
-PLANS = queries.QUERIES | records.QUERIES
-PLANS_SQL = queries.ORACLE_SQL | records.ORACLE_SQL
+PLANS = queries.QUERIES | cases.QUERIES
+PLANS_SQL = queries.ORACLE_SQL | cases.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(PLANS_SQL))
