@@ -25,7 +25,7 @@ def first_key(text: Column, paths: list[str]) -> Column:
 def _parsed(text: str) -> object:
     try:
         return json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):  # the latter where brackets nest too deep
         return None
 
 
@@ -42,11 +42,11 @@ def object_in(text: str | None) -> str | None:
     for whole in (text.strip(), fence and fence[1]):
         if whole and isinstance(_parsed(whole), dict):
             return whole
-    decoder, at = json.JSONDecoder(), text.find("{")
-    while at >= 0:
+    decoder, at, last = json.JSONDecoder(), text.find("{"), text.rfind("}")
+    while 0 <= at < last:  # an object that nothing closes is none
         try:
             return text[at : decoder.raw_decode(text, at)[1]]
-        except ValueError:
+        except (ValueError, RecursionError):
             at = text.find("{", at + 1)
     return None
 

@@ -323,3 +323,9 @@ def test_mutation_score_is_meaningful(spark):
     cases = [(False, 0, False, "pass", 0, True), (True, 0, False, "pass", 0, False), (True, 3, False, None, None, True), (True, 3, True, "pass", 0, False), (True, 3, False, "fail", 0, False), (None, None, None, "skipped", 1, False)]
     df = spark.createDataFrame(cases, "w boolean, n int, b boolean, d string, e int, want boolean")
     assert all(x["got"] == x["want"] for x in df.select(gates.mutation_score_meaningful(*[F.col(c) for c in "wnbde"]).alias("got"), "want").collect())
+
+
+def test_braces_that_nothing_closes():
+    assert jsonx.object_in('{"a":' * 200_000) is None and jsonx.object_in("{" * 200_000) is None
+    assert jsonx.object_in('{"a":' * 3000 + "1" + "}" * 10 + ' {"b": 1}') is not None
+    assert jsonx.repaired("[" * 100_000) is None
