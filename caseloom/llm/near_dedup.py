@@ -12,20 +12,19 @@ the others are confirmed on their full sets.
 Neighbours alone would lose links of a crowded region, so it is then finished
 exactly. A region holds the classes that share the least depth in some order; it
 goes on if it has pairs that are no neighbours and several components meet in it.
-The most crowded class of a region is its hub, and every other member is compared
-with it and described by where it differs from it. Two members can be linked
-beyond the hub only if they share so many differences that one of the first must
-be common, in an order from rare to common (a prefix filter, with the bound of
-what may still follow). The later a difference stands in that order, the fewer
-differences a partner may have, so members meet by difference and by class of the
-number of differences. Members of near copies differ by edits of their own, so
-that hardly any pair is left. A difference that many such members share marks a
-crowd inside the region: it gets a hub of its own, against which its members are
-compared in the next level, where what the crowd has in common is no difference any
-more. So a level's work is in proportion to the members, and no difference pairs
-more of them than a small number times theirs. What remains is confirmed on full sets too. So no link is lost
-but one whose ends share the least depth in no order: one in a million at a
-similarity of 0.75, fewer above. The result does not depend on the partitions.
+Its hub is a set, of the shingles that most of a few of its members hold, and every
+member is described by where it differs from that. Members that are linked whatever
+they differ in are all linked with the one that is nearest to the hub. Any other two
+are linked only if they share so many differences that one of the first must be
+common, in an order from rare to common (a prefix filter, with the bound of what may
+still follow). Members of near copies differ from what they have in common by edits of
+their own, so that hardly any pair is left. A difference that many members share marks
+a crowd inside the region: it gets a hub of its own in the next level, where what the
+crowd has in common is no difference any more. So a level's work is in proportion to
+the members, and no difference pairs more of them than a small number. What remains
+is confirmed on full sets too. So no link is lost but one whose ends share the least
+depth in no order: one in a million at a similarity of 0.75, fewer above. The result
+does not depend on the partitions.
 
 Nulls and odd input: a document without words has an empty set and is a component
 of its own, as is one with a null text; a null id gets a null component; repeated
@@ -40,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, WordHashes, bitmap_bucket, bitmap_may_hold, common_size, finalise, hashed_words, key_bitmap, map_batches, shingle_set, stash
@@ -64,8 +63,10 @@ _BLOCK = 4096
 #: Buckets of the shingle counts that set the order from rare to common: a fixed size, so that workers can hold it.
 COUNT_BUCKETS = 1 << 21
 
-#: Pairs for each member that a difference may make; where it would make more, the members get a hub of their own, in so many levels. What is crowded even in the last is paired all the same.
-CROWD, LEVELS = 48, 6
+#: Members that a difference may pair; more of them get a hub of their own, in so many levels. What is crowded even in the last is paired all the same.
+CROWD, LEVELS = 512, 2
+#: Members whose common shingles make a hub.
+HUB_MEMBERS = 9
 
 
 def _order_values() -> list[list[int]]:
@@ -211,16 +212,14 @@ def _confirm_all(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col:
 
 
 def spokes_of(members: DataFrame, place: list[str]) -> DataFrame:
-    """(set_key, root, hub, hub_root): members (place, set_key, root, n) with each hub they are compared with.
+    """(set_key, root, hub): members (place, set_key, root, n) with each hub they are compared with.
 
-    The hub of a place is the member that meets most rows in all its places, so
-    that the places of one crowd have the same hub.
+    A hub is named by the member that meets most rows in all its places, so that
+    the places of one crowd have the same hub.
     """
     weights = stash(members.groupBy("set_key").agg(F.sum("n").alias("weight")), "weights")
-    hub = F.max_by(F.struct("set_key", "root"), F.struct("weight", "set_key"))
-    hubs = stash(members.join(weights, "set_key").groupBy(*place).agg(hub.alias("hub")), "hubs")
-    spokes = members.join(hubs, place).where(F.col("set_key") != F.col("hub.set_key"))
-    return spokes.select("set_key", "root", F.col("hub.set_key").alias("hub"), F.col("hub.root").alias("hub_root")).distinct()
+    hubs = stash(members.join(weights, "set_key").groupBy(*place).agg(F.max_by("set_key", F.struct("weight", "set_key")).alias("hub")), "hubs")
+    return members.join(hubs, place).select("set_key", "root", "hub").distinct()
 
 
 def region_members(near: DataFrame, roots: DataFrame) -> DataFrame:
@@ -253,12 +252,30 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
+def _hub_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = WordHashes()
+    for batch in batches:
+        sets = []
+        for texts in batch.column("texts"):
+            held = [shingle_set(hashed_words(t.as_py(), cache)) for t in texts.values]
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            sets.append(values[2 * n > len(held)].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("hub"), pa.array(sets, pa.binary())], ["hub", "shingles"])
+
+
+def hub_sets(spokes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, shingles): what most of the first members of each hub hold, by a hash of their keys. Any set would give the same links, a near one gives less work."""
+    first = F.row_number().over(Window.partitionBy("hub").orderBy(F.xxhash64("set_key"), "set_key"))
+    chosen = spokes.select("hub", "set_key").withColumn("nth", first).where(F.col("nth") <= HUB_MEMBERS)
+    return map_batches(chosen.join(texts, "set_key").groupBy("hub").agg(F.collect_list("text").alias("texts")), _hub_batches, "hub binary, shingles binary")
+
+
 def lookups(differences: int, size: int, hub_size: int) -> int:
     """How many of a member's first differences must be looked up to meet every partner.
 
     The fewer differences a partner has, the fewer must be shared; the fewest are
     those of one as unlike the member as a linked one can be. Partners that need
-    share none are both linked with the hub.
+    share none are linked with the member nearest to the hub, as this one is.
     """
     largest = 100 * size // LINK_PERCENT
     least = max(0, differences - SAME * (size + largest) // BOTH)
@@ -266,33 +283,24 @@ def lookups(differences: int, size: int, hub_size: int) -> int:
     return differences - max(1, shared) + 1
 
 
-def reaches(at: np.ndarray, differences: int, size: int, hub_size: int) -> np.ndarray:
-    """The most differences of a partner for which a member's difference number ``at`` must be looked up: with more of them, too many would have to be shared for those that still follow."""
-    room = 2 * BOTH * (differences - at) - BOTH * differences + SAME * size
-    return np.minimum((room + SAME * (100 * size // LINK_PERCENT)) // BOTH, (room + SAME * hub_size) // (BOTH - SAME))
-
-
-#: One row a difference to look up; ``place`` is null in the rows of members that are linked with their hub.
-_SPOKE_SCHEMA = "place long, set_key binary, other binary, meets binary, own_left int, gone_left int, differences int, size int, reach int"
+#: One row a difference to look up, and one with a null place for each member.
+_SPOKE_SCHEMA = "place long, set_key binary, root binary, hub binary, slack int, own_left int, gone_left int, differences int, size int"
 
 
 def _spoke_function(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, counts = WordHashes(), shared.value
         often = lambda x: counts[(x % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
-        last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                numbers, owners, linked = [], [], []
-                rows = list(zip(*(part.column(c).to_pylist() for c in ("set_key", "root", "hub", "hub_root", "text", "hub_text")), strict=True))
-                for nth, (_, _, hub, _, text, hub_text) in enumerate(rows):
-                    if last[0] != hub:
-                        last = (hub, shingle_set(hashed_words(hub_text, cache)))
-                    mine, theirs = shingle_set(hashed_words(text, cache)), last[1]
+                numbers, owners, slack = [], [], []
+                rows = list(zip(*(part.column(c).to_pylist() for c in ("hub", "text", "shingles")), strict=True))
+                for nth, (hub, text, held) in enumerate(rows):
+                    mine, theirs = shingle_set(hashed_words(text, cache)), np.frombuffer(held, np.uint64)
                     own, gone = np.setdiff1d(mine, theirs, assume_unique=True), np.setdiff1d(theirs, mine, assume_unique=True)
                     differences = len(own) + len(gone)
-                    linked.append(SAME * (len(mine) + len(theirs)) >= BOTH * differences)
+                    slack.append(SAME * len(mine) - BOTH * differences)
                     own_often, gone_often = often(own), often(gone)
                     alone = int((own_often < 2).sum())  # a shingle of one text leads to no other
                     order = np.concatenate([own[np.lexsort((own, own_often))], gone[np.lexsort((gone, -gone_often))]])
@@ -301,89 +309,66 @@ def _spoke_function(shared):
                         continue
                     place = finalise(order[at] ^ np.uint64(int.from_bytes(hub[:8], "big")))
                     left = np.maximum(len(own) - at, 0), np.minimum(len(gone), differences - at)
-                    numbers.append(np.column_stack([place.view(np.int64), *left, np.full(len(at), differences), np.full(len(at), len(mine)), reaches(at, differences, len(mine), len(theirs))]))
+                    numbers.append(np.column_stack([place.view(np.int64), *left, np.full(len(at), differences), np.full(len(at), len(mine))]))
                     owners.append(np.full(len(at), nth))
-                links = [i for i, x in enumerate(linked) if x]
-                table = np.concatenate(numbers) if numbers else np.empty((0, 6), np.int64)
-                whose = pa.array(np.concatenate([*owners, np.array(links, np.int64)]).astype(np.int64))
-                bare = lambda column, kind: pa.concat_arrays([pa.array(column).cast(kind), pa.nulls(len(links), kind)])
-                keys, roots, hubs = (pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1, 2))
-                meets = pa.array([r[3] if x else r[1] for r, x in zip(rows, linked, strict=True)], pa.binary())
-                other = pa.concat_arrays([roots.take(whose.slice(0, len(table))), hubs.take(whose.slice(len(table)))])
-                columns = [bare(table[:, 0], pa.int64()), keys.take(whose), other, meets.take(whose), *(bare(table[:, i], pa.int32()) for i in (1, 2, 3, 4, 5))]
-                yield pa.RecordBatch.from_arrays(columns, ["place", "set_key", "other", "meets", "own_left", "gone_left", "differences", "size", "reach"])
+                table = np.concatenate(numbers) if numbers else np.empty((0, 5), np.int64)
+                whose = np.concatenate([*owners, np.arange(len(rows))]).astype(np.int64)
+                bare = lambda column, kind: pa.concat_arrays([pa.array(column).cast(kind), pa.nulls(len(rows), kind)])
+                names = [part.column(c).take(pa.array(whose)) for c in ("set_key", "root", "hub")]
+                columns = [bare(table[:, 0], pa.int64()), *names, pa.array(np.array(slack, np.int32)[whose]), *(bare(table[:, i], pa.int32()) for i in (1, 2, 3, 4))]
+                yield pa.RecordBatch.from_arrays(columns, ["place", "set_key", "root", "hub", "slack", "own_left", "gone_left", "differences", "size"])
 
     return run
 
 
-def compared_with_hubs(spokes: DataFrame, texts: DataFrame, shared) -> DataFrame:
-    """Links of members with their hubs (place is null; other is the hub), and the differences to look up (other is the root)."""
-    both = spokes.join(texts, "set_key").join(texts.select(F.col("set_key").alias("hub"), F.col("text").alias("hub_text")), "hub")
-    return map_batches(both.select("set_key", "root", "hub", "hub_root", "text", "hub_text"), _spoke_function(shared), _SPOKE_SCHEMA)
-
-
-def _class_of(differences: Column) -> Column:
-    return F.floor(F.log2(differences + F.lit(1)) * 2).cast("int")
-
+def compared_with_hubs(spokes: DataFrame, texts: DataFrame, hubs: DataFrame, shared) -> DataFrame:
+    """Members with their slack (place is null), and their differences to look up."""
+    both = spokes.join(texts, "set_key").join(hubs, "hub")
+    return map_batches(both.select("set_key", "root", "hub", "text", "shingles"), _spoke_function(shared), _SPOKE_SCHEMA)
 
-def meeting_places(rows: DataFrame) -> DataFrame:
-    """(place, class, many, member): members as they meet at a difference, for each class of the partner's number of differences.
 
-    Of a pair, the member with more differences (``many``) is there under each class
-    that its partner may be of, the other under its own.
-    """
-    ends = rows.groupBy("place").agg(F.min("meets").alias("least"), F.max("meets").alias("most"))
-    several = stash(ends.where(F.col("least") != F.col("most")).select("place"), "several")
-    least = F.greatest(F.lit(0), F.col("differences") - F.floor(SAME * (F.col("size") + F.floor(F.col("size") * 100 / LINK_PERCENT)) / BOTH).cast("int"))
-    highest = F.least("reach", "differences")
-    member = F.struct("set_key", "other", "meets", "own_left", "gone_left", "differences", "size", "reach").alias("member")
-    met = rows.join(several, "place").select("place", member, _class_of(F.col("differences")).alias("own"), _class_of(least).alias("low"), _class_of(highest).alias("high"), (highest >= least).alias("open"))
-    many = met.where("open").select("place", F.explode(F.sequence("low", "high")).alias("class"), F.lit(True).alias("many"), "member")
-    return many.union(met.select("place", F.col("own").alias("class"), F.lit(False).alias("many"), "member"))
-
-
-def meetings(places: DataFrame) -> DataFrame:
-    """(place, class, n, crowded): where members of several components meet."""
-    meets = F.col("member.meets")
-    counted = places.groupBy("place", "class").agg(F.count("*").alias("n"), F.count_if("many").alias("many"), F.min(meets).alias("least"), F.max(meets).alias("most"))
-    few = F.col("n") - F.col("many")
-    both = counted.where((F.col("least") != F.col("most")) & (F.col("many") > 0) & (few > 0))
-    return both.select("place", "class", "n", (F.col("many") * few).alias("pairs"), (F.col("many") * few > CROWD * F.col("n")).alias("crowded"))
-
-
-def difference_pairs(places: DataFrame, where: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components that meet at one of these places and classes, and may share enough."""
-    met = places.join(where.select("place", "class"), ["place", "class"])
+def difference_pairs(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a difference, at one of these places, and may share enough."""
+    met = stash(rows.join(places, "place"), "paired")
+    side = lambda name: met.select("place", F.struct("set_key", "root", "meets", "own_left", "gone_left", "differences", "size").alias(name))
     l, r = F.col("l"), F.col("r")
     may_share = F.least(l["own_left"], r["own_left"]) + F.least(l["gone_left"], r["gone_left"])
     enough = may_share * (2 * BOTH) >= (l["differences"] + r["differences"]) * BOTH - (l["size"] + r["size"]) * SAME
     sizes = (l["size"] * 100 >= r["size"] * LINK_PERCENT) & (r["size"] * 100 >= l["size"] * LINK_PERCENT)
-    apart = (l["other"] != r["other"]) & (l["meets"] != r["meets"])
-    reach = (l["reach"] >= r["differences"]) & (r["reach"] >= l["differences"])
-    both = met.where("many").select("place", "class", F.col("member").alias("l")).join(met.where("NOT many").select("place", "class", F.col("member").alias("r")), ["place", "class"])
-    pairs = both.where((l["set_key"] != r["set_key"]) & apart & sizes & reach & enough)
-    return pairs.select(F.least(l["set_key"], r["set_key"]).alias("a"), F.greatest(l["set_key"], r["set_key"]).alias("b")).distinct()
+    apart = (l["root"] != r["root"]) & (l["meets"] != r["meets"])
+    pairs = side("l").join(side("r"), "place").where((l["set_key"] < r["set_key"]) & apart & sizes & enough)
+    return pairs.select(l["set_key"].alias("a"), r["set_key"].alias("b")).distinct()
 
 
 def finished(spokes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links with hubs, candidate pairs) of regions, level by level: what is crowded in one is compared with hubs of its own in the next."""
+    """(links, candidate pairs) of regions, level by level: what is crowded in one is compared with hubs of its own in the next.
+
+    Two members whose slacks make no less than nothing together are linked even if
+    they share no difference; then each is so with the member of the most slack.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))
-    hubs = pairs = None
+    links = pairs = None
     for level in range(1, LEVELS + 1):
-        rows = stash(compared_with_hubs(spokes, texts, shared), "differences")
-        linked = rows.where(F.col("place").isNull()).select(F.col("set_key").alias("a"), F.col("other").alias("b"))
-        places = stash(meeting_places(rows.where(F.col("place").isNotNull())), "places")
-        met = stash(meetings(places), "meetings")
-        crowded = met.where("crowded")
+        hubs = stash(hub_sets(spokes, texts), "hubs")
+        rows = stash(compared_with_hubs(spokes, texts, hubs, shared), "differences")
+        members = rows.where(F.col("place").isNull()).select("set_key", "hub", "slack", "root")
+        nearest = members.groupBy("hub").agg(F.max_by(F.struct("set_key", "root", "slack"), F.struct("slack", "set_key")).alias("nearest"))
+        nearest = stash(nearest, "nearest")
+        near = F.col("slack") + F.col("nearest.slack") >= 0
+        linked = members.join(nearest, "hub").where(near & (F.col("set_key") != F.col("nearest.set_key"))).select(F.col("set_key").alias("a"), F.col("nearest.set_key").alias("b"))
+        looked = rows.where(F.col("place").isNotNull()).join(nearest, "hub").withColumn("meets", F.when(near, F.col("nearest.root")).otherwise(F.col("root"))).drop("hub", "slack", "nearest")
+        ends = looked.groupBy("place").agg(F.count("*").alias("n"), F.min("meets").alias("least"), F.max("meets").alias("most"))
+        several = stash(ends.where(F.col("least") != F.col("most")).select("place", "n"), "several")
+        crowded = several.where(F.col("n") > CROWD)
         last = level == LEVELS or crowded.isEmpty()
-        found = stash(difference_pairs(places, met if last else met.where("NOT crowded")), "pairs")
-        hubs, pairs = (linked, found) if hubs is None else (hubs.union(linked), pairs.union(found))
+        found = stash(difference_pairs(looked, (several if last else several.where(F.col("n") <= CROWD)).select("place")), "pairs")
+        links, pairs = (linked, found) if links is None else (links.union(linked), pairs.union(found))
         if last:
             break
-        members = places.join(crowded.select("place", "class", "n"), ["place", "class"]).select("place", "class", "n", "member.set_key", F.col("member.other").alias("root"))
-        spokes = stash(spokes_of(stash(members.distinct(), "members"), ["place", "class"]), "spokes")
+        crowd = looked.select("place", "set_key", "root").join(crowded, "place")
+        spokes = stash(spokes_of(stash(crowd, "members"), ["place"]), "spokes")
     shared.destroy()
-    return hubs, pairs.distinct()
+    return stash(links.distinct(), "linked"), pairs.distinct()
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -402,7 +387,7 @@ def link(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     links = _confirm_all(candidates(near), classes, docs, id_col, text_col)
     roots = connected_components(links)
     spokes = stash(region_members(near, roots), "spokes")
-    keys = spokes.select("set_key").union(spokes.select("hub")).distinct()
+    keys = spokes.select("set_key").distinct()
     nodes = stash(classes.join(keys, "set_key").select("set_key", "doc_id", "text_key"), "nodes")
     texts = stash(texts_of(nodes, docs, id_col, text_col), "texts")
     hubs, pairs = finished(spokes, texts)

@@ -211,25 +211,24 @@ def test_subgroups_of_a_template_are_not_paired(spark, monkeypatch):
 
     def counted(df, name):
         kept = plain(df, name)
-        if name == "meetings":
-            last = kept.where("crowded").isEmpty()
-            joined[n] = joined.get(n, 0) + (kept.where("NOT crowded").agg(F.sum("pairs")).first()[0] or 0)
-            levels[n] = levels.get(n, 0) + 1 if not last else levels.get(n, 0)
+        if name == "paired":
+            joined[n] = joined.get(n, 0) + (kept.groupBy("place").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0)
+            levels[n] = levels.get(n, 0) + 1
         return kept
 
     monkeypatch.setattr(near_dedup, "stash", counted)
     r = random.Random(17)
     words = lambda k: [f"g{r.randrange(10**9)}" for _ in range(k)]
     template, groups = words(130), [words(60), words(60)]
-    for n in (300, 600, 1200):
+    for n in (400, 1600):
         texts = {i: template + groups[i % 2] + words(60) for i in range(n)}
         for i in range(10):
             texts[10_000 + i] = texts[i][:-12] + words(12)  # 0.9 to its like
         docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)
         got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs).collect()}
         assert got == {i: i % 10_000 for i in texts}
-    assert joined[1200] < 2.2 * joined[600] + 5000 and joined[600] < 2.2 * joined[300] + 5000
-    assert max(levels.values()) < near_dedup.LEVELS - 1, "nothing is crowded in the last level"
+    assert max(joined[n] / n for n in joined) < 2000, "a bound for each text, however many there are"
+    assert levels[1600] == 2
 
 
 def test_levels_do_not_change_components(spark, monkeypatch):
@@ -291,14 +290,12 @@ def test_lookups_meet_every_linked_pair():
         shared = int(r.integers(0, own.min() + 1)) + int(r.integers(0, gone.min() + 1))
         sizes, apart = hub - gone + own, own + gone
         linked = sizes.min() > 0 and 175 * (apart.sum() - 2 * shared) <= 25 * sizes.sum()
-        if not linked or all(175 * d <= 25 * (s + hub) for d, s in zip(apart, sizes, strict=True)):
+        if not linked or 175 * apart.sum() <= 25 * sizes.sum():  # linked whatever they share
             continue
         seen += 1
         assert shared > 0
         for x in (0, 1):
             assert near_dedup.lookups(int(apart[x]), int(sizes[x]), hub) >= apart[x] - shared + 1
-            # the last place at which the pair can first meet reaches the partner's number of differences
-            assert near_dedup.reaches(np.array([apart[x] - shared]), int(apart[x]), int(sizes[x]), hub)[0] >= apart[1 - x]
 
 
 def test_near_duplicates_odd_input(odd, empty):
