@@ -12,6 +12,8 @@ of their own; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ OPEN, CLOSE, SEPARATOR = "<s>", "</s>", "<sep>"
 TRAINED = "assistant"
 #: Escapes, applied in this order and undone in reverse.
 _ESCAPES = [("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;")]
+_CHUNK_CHARS, _BLOCK_RUNS = 1024, 256
 
 
 def escaped(text: Column) -> Column:
@@ -71,12 +74,49 @@ def turns_of(formatted: Column) -> Column:
 
 
 def trained_text(formatted: Column, loss_mask: Column) -> Column:
-    """All text under the mask, unescaped, read from the formatted text by the mask's runs."""
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("text"))
-    whole = F.aggregate(
-        loss_mask, start, lambda s, r: F.struct((s["at"] + r["chars"]).alias("at"), F.when(r["trained"], F.concat(s["text"], F.substr(formatted, s["at"], r["chars"]))).otherwise(s["text"]).alias("text"))
-    )
-    return unescaped(whole["text"])
+    """All text under the mask, unescaped, read from the formatted text by the mask's runs.
+
+    The text is cut into chunks and the mask into blocks of runs, both of a fixed size, so
+    that a run is found and read without going through all that stands before it.
+    """
+    chunks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{_CHUNK_CHARS}}}"), F.lit(0))
+    texts = _let(chunks, lambda parts: F.transform(_trained_runs(loss_mask), lambda run: _read(parts, run["at"], run["chars"])))
+    return unescaped(F.array_join(texts, ""))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _trained_runs(loss_mask: Column) -> Column:
+    """(at, chars) of the mask's trained runs, counted from 0."""
+    none = F.expr("CAST(array() AS array<struct<at: bigint, chars: int>>)")
+    zero = F.lit(0).cast("long")
+
+    def within(block: Column, first: Column) -> Column:
+        def step(s: Column, run: Column) -> Column:
+            found = F.array_append(s["found"], F.struct(s["at"].alias("at"), run["chars"].alias("chars")))
+            return F.struct((s["at"] + run["chars"]).alias("at"), F.when(run["trained"], found).otherwise(s["found"]).alias("found"))
+
+        return F.aggregate(block, F.struct(first.alias("at"), none.alias("found")), step)["found"]
+
+    def over(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda total, run: total + run["chars"]))
+        firsts = F.aggregate(sizes, F.array(zero), lambda known, size: F.array_append(known, F.element_at(known, -1) + size))
+        return _let(firsts, lambda known: F.flatten(F.transform(blocks, lambda block, i: within(block, F.get(known, i)))))
+
+    def blocks_of(mask: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(mask), F.lit(_BLOCK_RUNS)), lambda i: F.slice(mask, i, _BLOCK_RUNS))
+
+    return _let(loss_mask, lambda mask: F.when(F.size(mask) > 0, _let(blocks_of(mask), over)).otherwise(none))
+
+
+def _read(chunks: Column, at: Column, chars: Column) -> Column:
+    """``chars`` characters from ``at`` of the text that was cut into ``chunks``."""
+    skipped = (at % _CHUNK_CHARS).cast("int")
+    wanted = F.floor((skipped + chars - 1) / _CHUNK_CHARS).cast("int") + 1
+    return F.substr(F.array_join(F.slice(chunks, F.floor(at / _CHUNK_CHARS).cast("int") + 1, wanted), ""), skipped + 1, chars)
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -526,6 +526,18 @@ def test_chat_keeps_hostile_turns(spark):
     assert chat_format.digests(chat_format.format_conversations(turns.limit(0))).count() == 0
 
 
+def test_chat_reads_long_conversations_by_the_mask(spark):
+    """More runs than a block and texts longer than a chunk, whose characters take one to four bytes."""
+    r = random.Random(12)
+    said = {c: [(r.choice(["user", "assistant"]), "".join(r.choices("a <[&é漢😀\n", k=r.choice([0, 1, 7, 1023, 1024, 3000])))) for _ in range(n)] for c, n in ((1, 1), (2, 85), (3, 86), (4, 900))}
+    turns = spark.createDataFrame([(c, i, role, text) for c, t in said.items() for i, (role, text) in enumerate(t)], "conv_id long, turn long, role string, text string")
+    made = chat_format.format_conversations(turns)
+    loss = {x[0]: x[1] for x in made.select("conv_id", chat_format.trained_text(F.col("formatted"), F.col("loss_mask"))).collect()}
+    assert loss == {c: "".join(text for role, text in t if role == "assistant") for c, t in said.items()}
+    no_runs = made.select("formatted", F.filter("loss_mask", lambda run: run["chars"] < 0).alias("loss_mask"))
+    assert {x[0] for x in no_runs.select(chat_format.trained_text(F.col("formatted"), F.col("loss_mask"))).collect()} == {""}
+
+
 # decontamination
 
 
