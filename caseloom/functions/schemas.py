@@ -2,9 +2,10 @@
 
 ``errors(value, schema)`` is one expression for a whole document: every rule of the
 schema becomes a predicate at its place, arrays are visited by a transform over
-their items, and what fails is listed with its path. So a document is checked inside
-code generation, with no row-at-a-time code, and arrays of any length need no
-exploding.
+their items, and what fails is listed with its path. So a document is checked with no
+Python, and arrays of any length need no exploding. A column that is named twice is
+computed twice, at every level again, so a value and its readings are bound as the
+variable of an aggregate over one item: each is read once, however deep it stands.
 
 Errors are ordered by path (names by code point, items by number, a place before
 what is inside it), and at one place by the order of the rules in the schema, so the
@@ -14,6 +15,7 @@ first error is the one that a validator sorting by path reports.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -23,25 +25,64 @@ from pyspark.sql import functions as F
 #: Words of a schema that state nothing to check.
 NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples"}
 _ERROR = "array<struct<path: array<struct<item: int, name: string>>, rule: string>>"
-_NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
+_NUMBERED = "array<struct<path: array<struct<item: int, name: string>>, nth: int, rule: string>>"
+_FIRST = "struct<place: string, rule: string>"
+_NUMBERS = ["TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE"]
+
+
+_FIELD_RULES = {"required", "properties", "additionalProperties", "minProperties", "maxProperties"}
+_ITEM_RULES = {"items", "minItems", "maxItems", "uniqueItems"}
+
+
+def _let(value: Column, body: Callable[[Column], Column], kind: str = _ERROR) -> Column:
+    """``body`` of a value, of type ``kind``, with the value computed once, however often the body names it.
+
+    An aggregate over one item states its type by what it starts with. A transform
+    asks its body for it again for every row, and so each body inside that body.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, v: body(v))
+
+
+def _named(schema: dict) -> list[str]:
+    """The keys that a schema names."""
+    return list(dict.fromkeys([*schema.get("properties", {}), *schema.get("required", [])]))
+
+
+def _readings(variant: Column, schema: dict, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a variant's readings, each null where the value is of another type; fields and items only if a rule looks at them.
+
+    ``at 0``, ``at 1``, ... are the fields that the schema names, null where they are
+    absent (a field that holds null is a variant).
+    """
+    named = _named(schema)
+    held = [name for name, rules in (("fields", _FIELD_RULES), ("items", _ITEM_RULES)) if rules & schema.keys()]
+    parts = lambda v: F.struct(v.alias("variant"), F.try_variant_get(v, "$", "map<string,variant>").alias("fields"), F.try_variant_get(v, "$", "array<variant>").alias("items"))
+
+    def kinds(p: Column) -> Column:
+        kind = F.when(p["fields"].isNotNull(), "OBJECT").when(p["items"].isNotNull(), "ARRAY").otherwise(F.schema_of_variant(p["variant"]))
+        return _let(F.struct(p["variant"].alias("variant"), kind.alias("kind"), *[p[name].alias(name) for name in held]), read)
+
+    def read(p: Column) -> Column:
+        kind = p["kind"]
+        of = lambda test, kind: F.when(test, F.try_variant_get(p["variant"], "$", kind)).alias(kind)
+        scalars = [of(kind == "STRING", "string"), of(kind == "BOOLEAN", "boolean"), of(kind.isin(_NUMBERS) | kind.startswith("DECIMAL"), "double")]
+        fields = [F.element_at(p["fields"], F.lit(k)).alias(f"at {i}") for i, k in enumerate(named)]
+        return _let(F.struct(kind.alias("kind"), *scalars, *[p[name].alias(name) for name in held], *fields), body)
+
+    return _let(variant, lambda v: _let(parts(v), kinds))
 
 
 class _Value:
-    """A variant and its readings, each null where the value is of another type."""
-
-    def __init__(self, variant: Column):
-        self.variant = variant
-        self.kind = F.schema_of_variant(variant)
-        read = lambda test, kind: F.when(test, F.try_variant_get(variant, "$", kind))
-        self.is_null = F.is_variant_null(variant)
-        self.is_string, self.is_boolean = self.kind == "STRING", self.kind == "BOOLEAN"
-        self.is_number = self.kind.rlike(_NUMBERS)
-        self.is_object, self.is_array = self.kind.startswith("OBJECT"), self.kind.startswith("ARRAY")
-        self.string = read(self.is_string, "string")
-        self.boolean = read(self.is_boolean, "boolean")
-        self.number = read(self.is_number, "double")
-        self.fields = read(self.is_object, "map<string,variant>")
-        self.items = read(self.is_array, "array<variant>")
+    """What is read of a variant, as ``_readings`` gives it."""
+
+    def __init__(self, held: Column, schema: dict):
+        kind = held["kind"]
+        self.is_null = kind == "VOID"
+        self.is_string, self.is_boolean, self.is_object, self.is_array = (kind == k for k in ("STRING", "BOOLEAN", "OBJECT", "ARRAY"))
+        self.is_number = held["double"].isNotNull()
+        self.string, self.boolean, self.number = held["string"], held["boolean"], held["double"]
+        self.fields, self.items = held["fields"], held["items"]
+        self.at = {k: held[f"at {i}"] for i, k in enumerate(_named(schema))}
 
     def is_type(self, name: str) -> Column:
         if name == "integer":
@@ -100,8 +141,8 @@ def _rule(value: _Value, word: str, given: Any, schema: dict) -> Column | None:
         case "maxProperties":
             return F.size(value.fields) > given
         case "additionalProperties" if given is False:
-            known = F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>")
-            return F.size(F.array_except(F.map_keys(value.fields), known)) > 0
+            known = [value.at[k].isNotNull().cast("int") for k in schema.get("properties", {})]
+            return F.size(value.fields) > reduce(lambda a, b: a + b, known, F.lit(0))  # keys differ
     return None
 
 
@@ -110,7 +151,11 @@ def _found(variant: Column, schema: dict | bool, path: Column) -> Column:
     none = F.array().cast(_ERROR)
     if isinstance(schema, bool):
         return none if schema else F.array(F.struct(path.alias("path"), F.lit("false").alias("rule")))
-    value = _Value(variant)
+    return _readings(variant, schema, lambda held: _broken(_Value(held, schema), schema, path))
+
+
+def _broken(value: _Value, schema: dict, path: Column) -> Column:
+    none = F.array().cast(_ERROR)
     parts: list[Column] = []
     fails = lambda test, rule: F.when(F.coalesce(test, F.lit(False)), F.array(F.struct(path.alias("path"), F.lit(rule).alias("rule")))).otherwise(none)
     step = lambda item, name: F.concat(path, F.array(F.struct(item.cast("int").alias("item"), name.alias("name"))))
@@ -119,9 +164,9 @@ def _found(variant: Column, schema: dict | bool, path: Column) -> Column:
         if word in NOTES:
             continue
         if word == "required":
-            parts += [fails(~F.map_contains_key(value.fields, F.lit(k)), "required") for k in given]
+            parts += [fails(value.is_object & value.at[k].isNull(), "required") for k in given]
         elif word == "properties":
-            parts += [F.when(F.map_contains_key(value.fields, F.lit(k)), _found(F.element_at(value.fields, F.lit(k)), sub, named(F.lit(k)))).otherwise(none) for k, sub in given.items()]
+            parts += [F.when(value.at[k].isNotNull(), _found(value.at[k], sub, named(F.lit(k)))).otherwise(none) for k, sub in given.items()]
         elif word == "items":
             each = F.transform(value.items, lambda x, i: _found(x, given, step(i, F.lit(""))))
             parts.append(F.coalesce(F.flatten(each), none))
@@ -138,9 +183,13 @@ def _found(variant: Column, schema: dict | bool, path: Column) -> Column:
 
 def errors(variant: Column, schema: dict | bool) -> Column:
     """All errors of a document: an array of (path, nth, rule) by path, then by the order of rules; null for a null document."""
-    found = _found(variant, schema, F.array().cast("array<struct<item: int, name: string>>"))
-    numbered = F.transform(found, lambda e, i: F.struct(e["path"].alias("path"), i.alias("nth"), e["rule"].alias("rule")))
-    return F.when(variant.isNotNull(), F.array_sort(numbered))
+    root = F.array().cast("array<struct<item: int, name: string>>")
+
+    def of(v: Column) -> Column:
+        numbered = F.transform(_found(v, schema, root), lambda e, i: F.struct(e["path"].alias("path"), i.alias("nth"), e["rule"].alias("rule")))
+        return F.when(v.isNotNull(), F.array_sort(numbered))
+
+    return _let(variant, of, _NUMBERED)
 
 
 def path_text(path: Column) -> Column:
@@ -151,7 +200,6 @@ def path_text(path: Column) -> Column:
 
 def first_error(text: Column, schema: dict | bool) -> Column:
     """(place, rule) of the first error of a JSON text; rule ``json`` at the root where it can't be parsed (or is null), null where all is well."""
-    variant = F.try_parse_json(text)
-    first = F.get(errors(variant, schema), F.lit(0))
     unread = F.struct(F.lit("<root>").alias("place"), F.lit("json").alias("rule"))
-    return F.when(variant.isNull(), unread).when(first.isNotNull(), F.struct(path_text(first["path"]).alias("place"), first["rule"].alias("rule")))
+    named = lambda e: F.when(e.isNotNull(), F.struct(path_text(e["path"]).alias("place"), e["rule"].alias("rule")))
+    return _let(F.try_parse_json(text), lambda v: F.when(v.isNull(), unread).otherwise(_let(F.get(errors(v, schema), F.lit(0)), named, _FIRST)), _FIRST)

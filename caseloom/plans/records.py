@@ -80,8 +80,7 @@ def q_schema_bundles(t):
     joined = t("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus").join(held, "o_orderkey", "left")
     lines = F.coalesce(F.transform("lines", lambda x: x["line"]), F.array().cast("array<struct<flag: string, quantity: double, returned_on: string, discount: double>>"))
     text = F.to_json(F.struct(F.col("o_orderkey").alias("order"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), lines.alias("lines")))
-    found = joined.select("o_orderkey", schemas.first_error(text, BUNDLE).alias("e")).where(F.col("e").isNotNull())
-    return found.select("o_orderkey", "e.place", "e.rule")
+    return joined.select("o_orderkey", F.inline(F.array_compact(F.array(schemas.first_error(text, BUNDLE)))))
 
 
 # names and keys

@@ -95,3 +95,18 @@ def test_first_error_of_texts_that_are_no_json(spark):
 def test_what_cannot_be_compiled_is_said():
     with pytest.raises(ValueError, match="allOf"):
         schemas.errors(F.parse_json(F.lit("1")), {"allOf": []})
+
+
+def nested(depth):
+    return CLOSED(["a"], a={"type": "integer", "minimum": 0} if depth == 1 else nested(depth - 1))
+
+
+def test_each_value_is_read_once_however_deep(spark):
+    """What is computed for a level is what that level adds: a named column was computed again by every rule that names it, at every level inside."""
+    read = {}
+    for depth in (2, 3, 4, 5):
+        df = spark.range(1).select(schemas.errors(F.try_parse_json(F.col("id").cast("string")), nested(depth)).alias("e"))
+        read[depth] = df._jdf.queryExecution().analyzed().toString().count("try_variant_get(")
+    assert len({read[d + 1] - read[d] for d in (2, 3, 4)}) == 1 and read[5] < 60
+    doc = '{"a": {"a": {"a": {"a": {"a": -1}}}}}'
+    assert tuple(spark.createDataFrame([(doc,)], "text string").select(F.inline(F.array(schemas.first_error(F.col("text"), nested(5))))).first()) == ("a.a.a.a.a", "minimum")
