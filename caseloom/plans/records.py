@@ -49,8 +49,7 @@ EVENT = {
 def q_schema_events(t):
     """The first error of each event, written as JSON with its own properties inside."""
     events = t("events").select("event_id", F.to_json(F.struct(F.parse_json("props").alias("props"), F.col("event_type").alias("type"), "value")).alias("text"))
-    found = events.select("event_id", schemas.first_error(F.col("text"), EVENT).alias("e")).where(F.col("e").isNotNull())
-    return found.select("event_id", "e.place", "e.rule")
+    return events.select("event_id", F.inline(F.array_compact(F.array(schemas.first_error(F.col("text"), EVENT)))))
 
 
 LINE = {
