@@ -681,11 +681,8 @@ def q_recomputed_summary(t):
 @_query("""WITH best AS (SELECT l_partkey, l_suppkey, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
            SELECT l_partkey, l_suppkey, CASE WHEN q >= 45 THEN 'kept' ELSE 'regenerate' END AS part FROM best""")
 def q_keep_or_regenerate(t):
-    pairs = t("lineitem").select("l_partkey", "l_suppkey", "l_quantity")
-    failed = pairs.where(F.col("l_quantity") >= 45).select("l_partkey", "l_suppkey").distinct()
-    both = pairs.select("l_partkey", "l_suppkey").distinct()
-    kept = both.join(failed, ["l_partkey", "l_suppkey"], "left_semi").withColumn("part", F.lit("kept"))
-    return kept.union(both.join(failed, ["l_partkey", "l_suppkey"], "left_anti").withColumn("part", F.lit("regenerate")))
+    best = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("q"))
+    return best.select("l_partkey", "l_suppkey", F.when(F.col("q") >= 45, "kept").otherwise("regenerate").alias("part"))
 
 
 @_query("""SELECT s_nationkey, count(*) AS n, count(*) = max(count(*)) OVER () AND count(*) = min(count(*)) OVER () AS balanced FROM supplier GROUP BY 1""")

@@ -22,3 +22,10 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_pairs_are_kept_or_regenerated_in_one_pass(spark):
+    """One read and one grouping: the pairs were made distinct four times and joined with themselves in the memory of a task."""
+    df = PLANS["q_keep_or_regenerate"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
