@@ -7,31 +7,40 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut
+from ..sources.scratch import cut, stored
 
 
 def closure(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start, node, depth) of every node reachable over ``edges`` (src, dst), at its least depth; with ``max_depth`` the cone of so many steps.
 
     Breadth first: each round joins only the newest frontier and leaves out what
-    was seen, so cycles end it and so does the fix point, however deep. Frontier
-    and seen nodes go through reliable checkpoints, which keeps the plan short.
+    was seen, so cycles end it and so does the fix point, however deep. A row of the
+    frontier is a node with the bits of up to 64 starts that have come to it, so an
+    edge is walked once a round for all of them, and one grouping both unites what
+    meets at a node and leaves out the bits that it has. Edges, frontiers and seen
+    nodes are stored, which keeps the plan short and says how large they are.
     """
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier, depth = seen, 0
+    numbered = stored(starts.select("start").distinct().coalesce(1).withColumn("id", F.monotonically_increasing_id()))  # 64 starts a block, however many
+    numbered = numbered.select("start", F.shiftright("id", 6).alias("block"), F.expr("shiftleft(1L, CAST(id & 63 AS INT))").alias("bit"))
+    edges = stored(edges.select("src", "dst"))
+    frontier = stored(numbered.select("block", F.col("start").alias("node"), F.col("bit").alias("mask")))
+    seen, depth = frontier.withColumn("depth", F.lit(0)), 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select("block", F.col("dst").alias("node"), F.col("mask").alias("new"), F.lit(0).cast("long").alias("old"))
+        held = seen.select("block", "node", F.lit(0).cast("long").alias("new"), F.col("mask").alias("old"))
+        met = step.union(held).groupBy("block", "node").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
+        frontier = stored(met.select("block", "node", F.col("new").bitwiseAND(F.bitwise_not("old")).alias("mask")).where(F.col("mask") != 0))
         if frontier.isEmpty():
             break
-        seen = cut(seen.union(frontier)) if depth % 8 == 0 else seen.union(frontier)
-    return seen
+        seen = seen.union(frontier.withColumn("depth", F.lit(depth)))
+        seen = stored(seen) if depth % 8 == 0 else seen
+    return seen.join(numbered, "block").where(F.col("mask").bitwiseAND(F.col("bit")) != 0).select("start", "node", "depth")
 
 
 def reaches(starts: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(start, reaches): whether any node of ``targets`` (node) can be reached; a start that has reached one is followed no further."""
-    wanted = targets.select("node").distinct()
+    wanted, edges = targets.select("node").distinct(), stored(edges.select("src", "dst"))
     seen = starts.select("start", F.col("start").alias("node")).distinct()
     frontier, found = seen, None
     while True:

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 
 from ..functions import jsonx, scores, text
 from ..operators import bundles, coverage, gates, graph, ranking, select
-from ..sources.scratch import cut, shared_folder
+from ..sources.scratch import shared_folder
 from ..streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -568,7 +568,7 @@ _EDGES_SQL = """e AS (SELECT DISTINCT l_partkey AS src, next AS dst FROM (SELECT
 
 def _edges(t) -> DataFrame:
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    return cut(t("lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst")).where(F.col("dst").isNotNull()).distinct())
+    return t("lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst")).where(F.col("dst").isNotNull()).distinct()
 
 
 def _brand_starts(t) -> DataFrame:
