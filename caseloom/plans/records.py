@@ -174,10 +174,10 @@ def q_numbered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), (F.col("doc_id") % 16).alias("bucket"), "doc_id", body.alias("body"))
     dealt = docs.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", "doc_id")
     dealt.select("lang", "bucket", "body").write.partitionBy("lang", "bucket").text(folder)
-    read = lines.numbered_lines(spark, folder, 1 << 18)
+    read = lines.numbered_lines(spark, folder, 1 << 18).withColumn("chars", F.char_length("line"))  # so that no line is shuffled
     carried = lines.carried_lines(read, F.nullif(F.regexp_extract("line", r"^@@doc (\d+)@@$", 1), F.lit("")).cast("long"), "doc_id")
     part = lambda name: F.regexp_extract("file", f"/{name}=([^/]*)/", 1)
-    chars = F.char_length("line")
+    chars = F.col("chars")
     return carried.groupBy("doc_id", part("lang").alias("lang"), part("bucket").cast("long").alias("bucket")).agg(
         F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.sum(chars).alias("n_chars"), F.sum(F.col("line_no") * chars).alias("placed_chars")
     )

@@ -32,6 +32,9 @@ from .scratch import scratch_folder
 
 SPLIT_BYTES = 64 << 20
 _READ_BYTES = 1 << 20
+_TAIL_BYTES = 1 << 14
+#: Tasks that small input is dealt over at least, where it has as many ranges.
+_TASKS = 64
 _LINE_SCHEMA = "file string, start long, line_no long, line string"
 _COUNT_SCHEMA = "file string, start long, n long"
 
@@ -43,18 +46,39 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     start: int
     end: int
     first_line: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads."""
+
+    parts: list[Range]
+
+
+def _dealt(parts: list[Range], tasks: int) -> list[Ranges]:
+    """Neighbouring ranges together: about as many bytes a task as ``tasks`` tasks would read, at most ``SPLIT_BYTES`` unless one range has more."""
+    most = min(SPLIT_BYTES, sum(p.end - p.start for p in parts) // tasks)
+    dealt, held = [], 0
+    for part in parts:
+        size = part.end - part.start
+        if not dealt or held + size > most:
+            dealt.append(Ranges([]))
+            held = 0
+        dealt[-1].parts.append(part)
+        held += size
+    return dealt
+
+
 class LineReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int, counts: str | None):
         self.path, self.split_bytes, self.counts = path, split_bytes, counts
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         fs, folder = _file_system(self.path)
         found = fs.get_file_info(folder)
         infos = [found] if found.is_file else fs.get_file_info(pafs.FileSelector(folder, recursive=True))
@@ -72,12 +96,14 @@ class LineReader(DataSourceReader):
                 parts.append(Range(path, start, min(size, start + self.split_bytes), first))
                 if self.counts is not None:
                     first += held[path, start]
-        return parts or [Range("", 0, 0, 1)]
+        return _dealt(parts, _TASKS) or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = _file_system(self.path)
+        for part in partition.parts:
+            yield from self._read(fs, part)
+
+    def _read(self, fs: pafs.FileSystem, partition: Range) -> Iterator[pa.RecordBatch]:
         with fs.open_input_file(partition.path) as file:
             if self.counts is None:
                 n = _count(file, partition)
@@ -114,7 +140,7 @@ def _lines(file, part: Range) -> Iterator[bytes]:
     at = max(part.start - 1, 0)
     file.seek(at)
     rest, skipping = b"", part.start > 0
-    while data := file.read(_READ_BYTES):
+    while data := file.read(max(_TAIL_BYTES, len(rest), min(_READ_BYTES, part.end - at))):  # behind its end what finishes a line, twice as much each time
         data, begin = rest + data, at - len(rest)  # begin: where the line in hand starts
         at = begin + len(data)
         pieces = data.split(b"\n")

@@ -86,3 +86,12 @@ def test_of_two_writers_one_gets_a_conflict(spark, tmp_path):
     with pytest.raises(versions.VersionConflict):
         other.restore(1, expected=base)
     assert other.versions() == [1, 2] and other.read().count() == 5 and other.publish(spark.range(6)) == 3
+
+
+def test_ranges_are_dealt_over_tasks_that_grow_with_the_bytes(spark, tmp_path):
+    """A task was one range, so small ranges of a large folder were as many tasks; now neighbours share one."""
+    for k in range(5):
+        (tmp_path / f"f{k}").write_text("".join(f"{i} {'x' * (i % 50)}\n" for i in range(2000)))
+    read = lines.numbered_lines(spark, str(tmp_path), 100)
+    assert read.rdd.getNumPartitions() < 200 < read.select("file", "start").distinct().count()
+    assert {(x["f"], x["n"], x["last"]) for x in read.groupBy(F.right("file", F.lit(2)).alias("f")).agg(F.count("*").alias("n"), F.max("line_no").alias("last")).collect()} == {(f"f{k}", 2000, 2000) for k in range(5)}
