@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,17 +33,22 @@ def until_spent(stream: DataFrame, group: str, sequence: list[str], cost: Column
         spent, made, last, ended = state.get if state.exists else (0, 0, "", False)
         if ended:
             return
-        rows = pd.concat(list(parts)).sort_values(sequence, ignore_index=True)
-        running = spent + rows["cost"].cumsum()
-        rows["spent_before"] = running - rows["cost"]
-        rows["calls_before"] = made + rows.index.to_numpy()
-        before = rows["signature"].shift(fill_value=last)
-        rows["stopped"] = (rows["signature"] == before) & (rows["signature"] != "")
-        inside = (rows["spent_before"] < budget) & (rows["calls_before"] < calls) & ~rows["stopped"].shift(fill_value=False).cummax()
-        kept = rows[inside]
-        ended = bool(len(kept) < len(rows) or kept["stopped"].any())
-        state.update((int(running.iloc[-1]), int(made + len(rows)), str(rows["signature"].iloc[-1]), ended))
-        yield kept[[*names, "spent_before", "calls_before", "stopped"]]
+        rows = list(parts)
+        rows = pd.concat(rows, ignore_index=True) if len(rows) > 1 else rows[0]
+        if len(sequence) == 1 and rows[sequence[0]].dtype.kind in "iufM":
+            rows = rows.take(np.argsort(rows[sequence[0]].to_numpy(), kind="stable"))
+        else:
+            rows = rows.sort_values(sequence)
+        marks, costs = rows["signature"].to_numpy(), rows["cost"].to_numpy()
+        after = spent + np.cumsum(costs)
+        before, made_before = after - costs, made + np.arange(len(rows))
+        stopped = (marks == np.concatenate(([last], marks[:-1]))) & (marks != "")
+        earlier = np.concatenate(([False], np.logical_or.accumulate(stopped)[:-1]))
+        inside = (before < budget) & (made_before < calls) & ~earlier
+        ended = bool(not inside.all() or stopped.any())
+        state.update((int(after[-1]), int(made + len(rows)), str(marks[-1]), ended))
+        kept = {n: rows[n].to_numpy()[inside] for n in names}
+        yield pd.DataFrame({**kept, "spent_before": before[inside], "calls_before": made_before[inside], "stopped": stopped[inside].astype(bool)})
 
     return narrow.groupBy(group).applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
 

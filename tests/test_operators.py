@@ -354,3 +354,45 @@ def test_closure_walks_an_edge_once_for_many_starts(spark, monkeypatch):
     got = graph.closure(spark.createDataFrame([(s,) for s in starts], "start int"), spark.createDataFrame(pairs, "src int, dst int")).collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want
     assert sum(kept) < len(want) / 4
+
+
+def test_budgets_of_groups_cost_few_pandas_calls(spark, monkeypatch, tmp_path):
+    """The rows of a user are counted by arrays: a column operation for each rule cost milliseconds a group, whatever its rows."""
+    import pandas as pd
+
+    from caseloom.streaming import stateful
+
+    steps = []
+
+    class Stream:
+        def __init__(self, df):
+            self.df, self.schema = df, df.schema
+
+        def select(self, *columns):
+            return Stream(self.df.select(*columns))
+
+        def groupBy(self, _):
+            return self
+
+        def applyInPandasWithState(self, step, *_):
+            steps.append(step)
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    stream = spark.createDataFrame([(1, 1, "a", 1)], "u long, e long, s string, c long")
+    stateful.until_spent(Stream(stream), "u", ["e"], F.col("c"), "s", 300, 12)
+    monkeypatch.setattr(pd.Series, "shift", None)
+    monkeypatch.setattr(pd.Series, "cumsum", None)
+    state = State()
+    first = pd.concat(steps[0]((1,), iter([pd.DataFrame({"u": 1, "e": [3, 1], "signature": ["a", "b"], "cost": [100, 250]})]), state))
+    assert [tuple(x) for x in first[["e", "spent_before", "calls_before", "stopped"]].to_numpy()] == [(1, 0, 0, False), (3, 250, 1, False)]
+    assert state.get == (350, 2, "a", False)
+    state = State()
+    state.update((10, 1, "a", False))
+    parts = [pd.DataFrame({"u": 1, "e": [9], "signature": ["c"], "cost": [1]}), pd.DataFrame({"u": 1, "e": [8], "signature": ["a"], "cost": [5]})]
+    then = pd.concat(steps[0]((1,), iter(parts), state))
+    assert [tuple(x) for x in then[["e", "spent_before", "calls_before", "stopped"]].to_numpy()] == [(8, 10, 1, True)] and state.get[3]
